@@ -21,3 +21,9 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_n(df, keys, order, 1, "__first").drop("__first")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rebalance a scan that has fewer splits than the session has cores; larger inputs pass unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -24,3 +24,16 @@ def carry_forward(df: DataFrame, key: str, order: str, columns: list[str], block
     joined = local.join(carried, [key, block], "left")
     plain = [c for c in df.columns if c not in columns]
     return joined.select(*plain, *[F.coalesce(f"__l_{c}", f"__c_{c}").alias(c) for c in columns])
+
+
+def number_rows(df: DataFrame, key: str, order: str, out: str = "n", block_rows: int = 65536) -> DataFrame:
+    """1-based row number per key along an integral order column, block by block."""
+    block = "__block"
+    blocked = df.withColumn(block, F.floor(F.col(order) / block_rows))
+    inside = Window.partitionBy(key, block).orderBy(order)
+    local = blocked.withColumn("__n", F.row_number().over(inside))
+    ends = local.groupBy(key, block).agg(F.count("*").alias("__size"))
+    before = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(key, block, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    joined = local.join(offsets, [key, block])
+    return joined.select(*df.columns, (F.col("__n") + F.col("__offset")).alias(out))

@@ -21,45 +21,55 @@ def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
 
     The marker row keeps chunks without terms in the statistics. Rows are placed by
     chunk, so term counts, and later (query, chunk) sums, need no further shuffle.
-    With ``vocabulary`` other terms are dropped before the shuffle.
+    With ``vocabulary`` other terms are dropped before the shuffle. Every reader uses
+    ``len`` and filters nothing below the exchange, so one plan tokenises once and
+    reuses the exchange for statistics and scores.
     """
     rows = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text)).alias("tokens")).select(
         "chunk_id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    rows = rows.where(F.col("term").isNotNull())
     if vocabulary is not None:
         marker = chunks.sparkSession.range(1).select(F.lit("").alias("term"))
         wanted = vocabulary.select("term").distinct().unionByName(marker)
         rows = rows.join(broadcast_if_small(wanted), "term", "left_semi")
     return rows.repartition("chunk_id").groupBy("chunk_id", "term").agg(
-        F.count("*").alias("tf"), F.first("len").alias("len"))
+        F.count("len").alias("tf"), F.first("len").alias("len"))
 
 
-def term_statistics(index: DataFrame) -> DataFrame:
-    """(term, df)."""
-    return index.where(F.col("term") != "").groupBy("term").agg(F.count("*").alias("df"))
+def term_counts(index: DataFrame) -> DataFrame:
+    """(term, df, total_len); the marker term counts the chunks and sums their lengths."""
+    return index.groupBy("term").agg(F.count("len").alias("df"), F.sum("len").alias("total_len"))
 
 
 def corpus_statistics(index: DataFrame) -> DataFrame:
     """One row: (n, avg_len)."""
-    return index.where(F.col("term") == "").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    marker = F.col("term") == ""
+    totals = term_counts(index).agg(
+        F.sum(F.when(marker, F.col("df"))).alias("n"), F.sum(F.when(marker, F.col("total_len"))).alias("total"))
+    return totals.select("n", (F.col("total") / F.col("n")).alias("avg_len"))
 
 
-def with_idf(terms: DataFrame, stats: DataFrame) -> DataFrame:
-    n = stats.select("n").scalar()
-    return terms.withColumn("idf", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+def term_statistics(index: DataFrame) -> DataFrame:
+    """(term, df, idf)."""
+    n = corpus_statistics(index).select("n").scalar()
+    return term_counts(index).where(F.col("term") != "").select(
+        "term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def term_hits(index: DataFrame, qterms: DataFrame) -> DataFrame:
     """(query, chunk, term, part): the contribution of each query term to each chunk."""
-    stats = corpus_statistics(index)
+    stats = corpus_statistics(index).select(F.struct("n", "avg_len")).scalar()
     asked = broadcast_if_small(qterms)
-    # The weights hold one row per query term: bounded by the side just checked.
-    weights = with_idf(term_statistics(index), stats).join(asked, "term")
+    weights = (
+        term_counts(index).join(asked, "term")
+        .select("query_id", "term", "df", stats["n"].alias("n"), stats["avg_len"].alias("avg_len"))
+        .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     if asked is not qterms:
+        # One row per query term: bounded by the side just checked.
         weights = F.broadcast(weights)
-    avg_len = stats.select("avg_len").scalar()
     tf = F.col("tf")
-    damp = P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * (F.col("len") / avg_len))
-    return index.where(F.col("term") != "").join(weights, "term").select(
+    damp = P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * (F.col("len") / F.col("avg_len")))
+    return index.join(weights.drop("df", "n"), "term").select(
         "query_id", "chunk_id", "term", (F.col("idf") * (tf * (P.BM25_K1 + 1) / (tf + damp))).alias("part"))
 
 

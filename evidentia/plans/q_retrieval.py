@@ -8,7 +8,7 @@ from evidentia import params as P
 from evidentia.functions import routing as R
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
-from evidentia.functions.bounds import top_n
+from evidentia.functions.bounds import spread, top_n
 from evidentia.operators import dense, fusion, lexical
 from evidentia.plans import sqltext as S
 from evidentia.plans.registry import query, shared
@@ -57,7 +57,7 @@ shared("d_fused", """
 
 
 def documents(t):
-    return t("documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return spread(t("documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
 def benchmark(t):
@@ -75,8 +75,7 @@ def f16(t):
 def g2(t):
     index = lexical.postings(documents(t))
     stats = lexical.corpus_statistics(index)
-    terms = lexical.with_idf(lexical.term_statistics(index), stats)
-    return terms.select("term", "df", F.round("idf", 6).alias("idf"), stats.select("n").scalar().alias("n"),
+    return lexical.term_statistics(index).select("term", "df", F.round("idf", 6).alias("idf"), stats.select("n").scalar().alias("n"),
                         F.round(stats.select("avg_len").scalar(), 6).alias("avg_len"))
 
 
