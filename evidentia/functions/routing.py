@@ -56,7 +56,7 @@ def aspects(question: Column) -> Column:
     stripped = F.trim(F.regexp_replace(F.regexp_replace(stripped, r"^[\s,:-]+", ""), r"\?+$", ""))
     sides = F.transform(F.split(stripped, P.ASPECT_SPLIT), lambda p: F.trim(p))
     sides = F.filter(sides, lambda p: F.size(F.split(p, r"\s+")) >= 2)
-    words = F.split(sides[0], r"\s+")
+    words = F.split(F.get(sides, F.lit(0)), r"\s+")
     carrier = F.when(F.size(words) > 4, F.array_join(F.slice(words, F.lit(1), F.size(words) - 2), " "))
     joined = F.transform(
         sides, lambda p, i: F.when((i == 0) | carrier.isNull(), p).otherwise(F.concat(carrier, F.lit(" "), p)))
@@ -130,8 +130,8 @@ def roster(mode: Column, question: Column) -> Column:
     """(owner, sub-question) pairs: three, two distinct, or one."""
     protector, investigator, responder = (p[0] for p in P.PROFILES)
     subs = sub_queries(question)
-    first = focused_owner(subs[0])
-    second = focused_owner(subs[1])
+    first = focused_owner(F.get(subs, F.lit(0)))
+    second = focused_owner(F.get(subs, F.lit(1)))
     second = F.when(first != second, second).when(first == investigator, F.lit(responder)).otherwise(F.lit(investigator))
 
     def row(owner: Column, text: Column) -> Column:
@@ -139,6 +139,6 @@ def roster(mode: Column, question: Column) -> Column:
 
     return (
         F.when(mode == "sitrep", F.array(*[row(F.lit(o), question) for o in (protector, investigator, responder)]))
-        .when(mode == "compare", F.array(row(first, subs[0]), row(second, subs[1])))
+        .when(mode == "compare", F.array(row(first, F.get(subs, F.lit(0))), row(second, F.get(subs, F.lit(1)))))
         .otherwise(F.array(row(focused_owner(question), question)))
     )

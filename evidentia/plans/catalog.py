@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from evidentia.plans import q_chunking, q_retrieval  # noqa: F401
+from evidentia.plans import q_chunking, q_grounding, q_questions, q_reports, q_retrieval  # noqa: F401
 from evidentia.plans.registry import QUERIES, checks  # noqa: F401
