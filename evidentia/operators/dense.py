@@ -35,10 +35,12 @@ def _query_blocks(queries: DataFrame, block: int):
     return [queries.where(share == i) for i in range(parts)]
 
 
-def _scorer(query_ids, matrix, k: int, out_id, id_type):
+def _scorer(query_ids, matrix, allowed, k: int, out_id, id_type):
     import numpy as np
     import pyarrow as pa
 
+    n_queries = len(query_ids)
+
     def emit(ids, q, s):
         return pa.RecordBatch.from_arrays(
             [pa.array([query_ids[i] for i in q], out_id), pa.array(list(ids), id_type), pa.array(s, pa.float64())],
@@ -53,6 +55,12 @@ def _scorer(query_ids, matrix, k: int, out_id, id_type):
         keep = place < k
         return ids[keep], q[keep], s[keep]
 
+    def barred(labels):
+        """Cells that a query's label filter shuts out."""
+        names, codes = np.unique(labels, return_inverse=True)
+        shut = np.array([[a is not None and name not in a for a in allowed] for name in names])
+        return shut[codes]
+
     def score(batches):
         held, rows = [], 0
         for batch in batches:
@@ -62,30 +70,37 @@ def _scorer(query_ids, matrix, k: int, out_id, id_type):
             ids = np.asarray(batch.column(0).to_pylist())
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             scores = np.round(flat.reshape(n, -1) @ matrix.T, 6) + 0.0
+            if allowed is not None:
+                scores[barred(np.asarray(batch.column(2).to_pylist(), dtype=object).astype(str))] = -9.0
             # One integer per cell orders by score, then by id within the batch.
             rank = np.empty(n, dtype=np.int64)
             rank[np.argsort(ids, kind="stable")] = np.arange(n)
             key = np.rint(scores * 1e6).astype(np.int64) * (1 << 31) - rank[:, None]
             m = min(k, n)
-            pick = np.argpartition(-key, m - 1, axis=0)[:m] if m < n else np.tile(np.arange(n)[:, None], (1, matrix.shape[0]))
-            q = np.tile(np.arange(matrix.shape[0]), (m, 1))
-            held.append((ids[pick].ravel(), q.ravel(), np.take_along_axis(scores, pick, axis=0).ravel()))
+            pick = np.argpartition(-key, m - 1, axis=0)[:m] if m < n else np.tile(np.arange(n)[:, None], (1, n_queries))
+            found = np.take_along_axis(scores, pick, axis=0).ravel()
+            open_cells = found > -8.0
+            q = np.tile(np.arange(n_queries), (m, 1)).ravel()
+            held.append((ids[pick].ravel()[open_cells], q[open_cells], found[open_cells]))
             rows += m
             if rows > 16 * k:
                 held = [best(*(np.concatenate(c) for c in zip(*held)))]
                 rows = k
         if held:
-            yield emit(*best(*(np.concatenate(c) for c in zip(*held))))
+            ids, q, s = (np.concatenate(c) for c in zip(*held))
+            if len(ids):
+                yield emit(*best(ids, q, s))
 
     return score
 
 
-def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK, label: str | None = None) -> DataFrame:
     """Exact best ``k`` chunks per query by cosine of unit vectors.
 
     Chunks ``(chunk_id, vector)`` stream past a bounded block of query vectors, and
     every task hands on only its own best ``k`` per query, so no query-chunk pair is
     ever written out. Queries beyond one block take one more pass over the chunks.
+    With ``label`` a query's ``allowed`` array (NULL for no filter) restricts its chunks.
     """
     import numpy as np
     import pyarrow as pa
@@ -95,31 +110,34 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BL
     q_type, c_type = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
     schema = T.StructType([
         T.StructField("query_id", q_type), T.StructField("chunk_id", c_type), T.StructField("score", T.DoubleType())])
+    filters = ["allowed"] if label else []
+    scanned = chunks.select("chunk_id", "vector", *([label] if label else []))
     found = None
-    for part in _query_blocks(queries.select("query_id", "vector"), block):
+    for part in _query_blocks(queries.select("query_id", "vector", *filters), block):
         table = part.toArrow()
         if table.num_rows == 0:
             continue
         ids = table.column(0).to_pylist()
         flat = pa.concat_arrays(table.column(1).chunks).flatten().to_numpy(zero_copy_only=False)
-        shipped = spark.sparkContext.broadcast((ids, np.asarray(flat, dtype=np.float64).reshape(len(ids), -1)))
+        allowed = [None if a is None else frozenset(a) for a in table.column(2).to_pylist()] if label else None
+        shipped = spark.sparkContext.broadcast((ids, np.asarray(flat, dtype=np.float64).reshape(len(ids), -1), allowed))
 
         def run(batches, shipped=shipped):
-            query_ids, matrix = shipped.value
-            yield from _scorer(query_ids, matrix, k, to_arrow_type(q_type), to_arrow_type(c_type))(batches)
+            query_ids, matrix, allowed = shipped.value
+            yield from _scorer(query_ids, matrix, allowed, k, to_arrow_type(q_type), to_arrow_type(c_type))(batches)
 
-        hits = chunks.select("chunk_id", "vector").mapInArrow(run, schema)
+        hits = scanned.mapInArrow(run, schema)
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         found = spark.createDataFrame([], schema)
     return top_n(found, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
-def search_dense(chunks: DataFrame, queries: DataFrame, k: int = P.CANDIDATES) -> DataFrame:
+def search_dense(chunks: DataFrame, queries: DataFrame, k: int = P.CANDIDATES, label: str | None = None) -> DataFrame:
     """Embed both sides by hashing, then exact search."""
-    units = embed(chunks.select("chunk_id", "text")).select("chunk_id", "vector")
-    asked = embed(queries.select("query_id", "question"), "question").select("query_id", "vector")
-    return nearest(units, asked, k)
+    units = embed(chunks.select("chunk_id", "text", *([label] if label else []))).drop("text")
+    asked = embed(queries.select("query_id", "question", *(["allowed"] if label else [])), "question").drop("question")
+    return nearest(units, asked, k, label=label)
 
 
 def nearest_approximate(chunks: DataFrame, queries: DataFrame, k: int, bucket_length: float = 1.0, tables: int = 4,

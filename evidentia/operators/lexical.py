@@ -11,13 +11,14 @@ from evidentia.functions.text import tokens
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", question: str = "question") -> DataFrame:
-    """Unique terms of each query."""
-    return queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(question)))).alias("term"))
+    """Unique terms of each query, with its list of allowed labels where it has one."""
+    keep = [c for c in ("allowed",) if c in queries.columns]
+    return queries.select(query_id, *keep, F.explode(F.array_distinct(tokens(F.col(question)))).alias("term"))
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
-             vocabulary: DataFrame | None = None) -> DataFrame:
-    """(chunk, term, tf, len), plus one row with an empty term that stands for the chunk itself.
+             vocabulary: DataFrame | None = None, label: str | None = None) -> DataFrame:
+    """(chunk, term, tf, len[, label]), plus one row with an empty term that stands for the chunk itself.
 
     The marker row keeps chunks without terms in the statistics. Rows are placed by
     chunk, so term counts, and later (query, chunk) sums, need no further shuffle.
@@ -25,15 +26,17 @@ def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
     ``len`` and filters nothing below the exchange, so one plan tokenises once and
     reuses the exchange for statistics and scores.
     """
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), tokens(F.col(text)).alias("tokens")).select(
-        "chunk_id", F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    carried = [F.col(label).alias("label")] if label else []
+    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), *carried, tokens(F.col(text)).alias("tokens"))
+    rows = rows.select(
+        "chunk_id", *["label" for _ in carried], F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
     rows = rows.where(F.col("term").isNotNull())
     if vocabulary is not None:
         marker = chunks.sparkSession.range(1).select(F.lit("").alias("term"))
         wanted = vocabulary.select("term").distinct().unionByName(marker)
         rows = rows.join(broadcast_if_small(wanted), "term", "left_semi")
     return rows.repartition("chunk_id").groupBy("chunk_id", "term").agg(
-        F.count("len").alias("tf"), F.first("len").alias("len"))
+        F.count("len").alias("tf"), F.first("len").alias("len"), *[F.first("label").alias("label") for _ in carried])
 
 
 def term_counts(index: DataFrame) -> DataFrame:
@@ -60,16 +63,20 @@ def term_hits(index: DataFrame, qterms: DataFrame) -> DataFrame:
     """(query, chunk, term, part): the contribution of each query term to each chunk."""
     stats = corpus_statistics(index).select(F.struct("n", "avg_len")).scalar()
     asked = broadcast_if_small(qterms)
+    allowed = [c for c in ("allowed",) if c in qterms.columns]
     weights = (
         term_counts(index).join(asked, "term")
-        .select("query_id", "term", "df", stats["n"].alias("n"), stats["avg_len"].alias("avg_len"))
+        .select("query_id", *allowed, "term", "df", stats["n"].alias("n"), stats["avg_len"].alias("avg_len"))
         .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     if asked is not qterms:
         # One row per query term: bounded by the side just checked.
         weights = F.broadcast(weights)
     tf = F.col("tf")
     damp = P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * (F.col("len") / F.col("avg_len")))
-    return index.join(weights.drop("df", "n"), "term").select(
+    hits = index.join(weights.drop("df", "n"), "term")
+    if allowed:
+        hits = hits.where(F.col("allowed").isNull() | F.array_contains("allowed", F.col("label")))
+    return hits.select(
         "query_id", "chunk_id", "term", (F.col("idf") * (tf * (P.BM25_K1 + 1) / (tf + damp))).alias("part"))
 
 
@@ -80,10 +87,14 @@ def bm25(index: DataFrame, qterms: DataFrame) -> DataFrame:
 
 
 def search_lexical(chunks: DataFrame, queries: DataFrame, k: int = P.CANDIDATES, chunk_id: str = "chunk_id",
-                   text: str = "text") -> DataFrame:
-    """Best ``k`` chunks per query by BM25; ties go to the lower chunk id."""
-    qterms = query_terms(queries)
-    index = postings(chunks, chunk_id, text, vocabulary=qterms)
+                   text: str = "text", label: str | None = None) -> DataFrame:
+    """Best ``k`` chunks per query by BM25; ties go to the lower chunk id.
+
+    With ``label`` a query's ``allowed`` array (NULL for no filter) restricts its chunks
+    before the cut; corpus statistics stay those of all chunks.
+    """
+    qterms = query_terms(queries if label else queries.drop("allowed"))
+    index = postings(chunks, chunk_id, text, vocabulary=qterms, label=label)
     return top_n(bm25(index, qterms), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 

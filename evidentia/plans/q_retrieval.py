@@ -359,3 +359,117 @@ def p9(t):
     best = dense.search_dense(documents(t), benchmark(t), P.FLOOR_TOP)
     return best.groupBy("query_id").agg(F.max("score").alias("top_similarity")).withColumn(
         "covered", F.col("top_similarity") >= P.RELEVANCE_FLOOR)
+
+
+# ---- composed retrieval -----------------------------------------------------
+from evidentia.operators import retrieve as RT  # noqa: E402
+
+
+def _retrieval_ctes(p: str, source: str, depth: int) -> None:
+    """Check CTEs for questions ``(query_id, question, allowed)``: both arms filtered by record type, and the fusion."""
+    shared(f"{p}_src", source)
+    shared(f"{p}_tok", f"SELECT query_id, allowed, unnest(list_distinct({S.toks('question')})) AS term FROM {p}_src")
+    shared(f"{p}_lex", f"""
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+          SELECT query_id, tf.chunk_id, round(sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avg_len)))), 6) AS score
+          FROM {p}_tok JOIN d_tf tf USING (term) JOIN d_df USING (term) JOIN d_tok d ON d.chunk_id = tf.chunk_id JOIN d_meta m ON m.chunk_id = tf.chunk_id, d_stats
+          WHERE allowed IS NULL OR list_contains(allowed, record_type) GROUP BY ALL)) WHERE rank <= {depth}""")
+    shared(f"{p}_vec", _vec_cte(f"{p}_src", "query_id", "question"))
+    shared(f"{p}_den", f"""
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+          SELECT b.query_id, d.chunk_id, round(coalesce(s.score, 0), 6) AS score FROM {p}_src b JOIN d_meta d ON allowed IS NULL OR list_contains(allowed, record_type)
+          LEFT JOIN (SELECT q.id AS qid, v.id AS did, sum(q.wt * v.wt) AS score FROM {p}_vec q JOIN d_vec v USING (bucket) GROUP BY ALL) s ON s.qid = b.query_id AND s.did = d.chunk_id)) WHERE rank <= {depth}""")
+    shared(f"{p}_cut", f"""
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+          SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM {p}_lex UNION ALL SELECT query_id, chunk_id, rank FROM {p}_den) GROUP BY ALL)""")
+
+
+_ALLOW = "CASE WHEN item_id % 3 = 0 THEN {} WHEN item_id % 3 = 1 THEN {} END"
+_ALLOW_SQL = _ALLOW.format("['incident', 'fauna', 'policy']", "['field_note', 'narrative']")
+_ALLOW_SPARK = _ALLOW.format("array('incident', 'fauna', 'policy')", "array('field_note', 'narrative')")
+_FIRST = "split_part(text, '.', 1)"
+_retrieval_ctes("v", f"""
+    SELECT item_id || '#0' AS query_id, text AS question, {_ALLOW_SQL} AS allowed FROM benchmark
+    UNION ALL SELECT item_id || '#1', {_FIRST}, {_ALLOW_SQL} FROM benchmark WHERE trim({_FIRST}) <> '' AND lower(trim({_FIRST})) <> lower(trim(text))""", 30)
+_V_TOP = "SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {} score DESC, chunk_id) AS rank FROM (SELECT CAST(split_part(query_id, '#', 1) AS BIGINT) AS query_id, chunk_id, max(score) AS score FROM v_cut WHERE rank <= 30 GROUP BY ALL)"
+
+
+def _asked(t):
+    b = t("benchmark")
+    queries = b.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.expr(_ALLOW_SPARK).alias("allowed"))
+    return queries, b.select(F.col("item_id").alias("query_id"), F.lit(1).alias("n"), F.expr(_FIRST).alias("variant"))
+
+
+def units(t):
+    return spread(t("doc_chunks"))
+
+
+@query("r6_full_retrieve", f"""
+    SELECT query_id, chunk_id, score, rank, record_type, coalesce(record_id, 'SEC-' || sum(CASE WHEN record_id IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)) AS citation_id
+    FROM ({_V_TOP.format('')}) JOIN d_meta USING (chunk_id) WHERE rank <= 6""")
+def r6(t):
+    queries, variants = _asked(t)
+    return RT.retrieve(units(t), queries, variants).drop("record_id")
+
+
+_SECTIONS = ", ".join(f"({S.q(s)}, [{', '.join(S.q(k) for k in kinds)}], {S.q(focus)})" for _, s, _, kinds, focus, _ in P.PROFILES)
+_retrieval_ctes("s", f"SELECT item_id || '/' || section AS query_id, text || ' ' || focus AS question, types AS allowed FROM benchmark, (VALUES {_SECTIONS}) p(section, types, focus)", 30)
+_retrieval_ctes("u", "SELECT query_id, question, CAST(NULL AS VARCHAR[]) AS allowed FROM s_src", 30)
+shared("s_widen", """
+    WITH f AS (SELECT q.query_id, count(record_id) AS n FROM s_src q LEFT JOIN (SELECT * FROM s_cut WHERE rank <= 6) c USING (query_id) LEFT JOIN d_meta USING (chunk_id) GROUP BY q.query_id),
+    w AS (SELECT query_id, count(record_id) AS n FROM u_cut JOIN d_meta USING (chunk_id) WHERE rank <= 6 GROUP BY query_id)
+    SELECT f.query_id FROM f JOIN w USING (query_id) WHERE f.n < 2 AND w.n > f.n""")
+shared("s_final", """
+    SELECT query_id, chunk_id, score, rank, false AS widened FROM s_cut WHERE rank <= 6 AND query_id NOT IN (SELECT query_id FROM s_widen)
+    UNION ALL SELECT query_id, chunk_id, score, rank, true FROM u_cut WHERE rank <= 6 AND query_id IN (SELECT query_id FROM s_widen)""")
+
+
+@query("r8_section_retrieval", "SELECT query_id, chunk_id, score, rank, widened FROM s_final")
+def r8(t):
+    asked = t("doc_queries").select("query_id", "question")
+    return RT.retrieve_sections(units(t), asked).select("query_id", "chunk_id", "score", "rank", "widened")
+
+
+# The likely-causes profile lists few types with records here; questions it starves are widened.
+_retrieval_ctes("n", "SELECT item_id AS query_id, text AS question, ['narrative', 'chapter'] AS allowed FROM benchmark", 30)
+
+
+@query("p10_starvation_widening", """
+    SELECT query_id, chunk_id, rank, CAST(widened AS BOOLEAN) AS widened FROM (
+      SELECT query_id, chunk_id, rank, true AS widened FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, chunk_id) AS rank FROM d_fused) WHERE rank <= 6
+        AND query_id IN (SELECT query_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, chunk_id) AS rank FROM d_fused) JOIN d_meta USING (chunk_id) WHERE rank <= 6 GROUP BY query_id HAVING count(record_id) > 0)
+      UNION ALL SELECT query_id, chunk_id, rank, false FROM n_cut WHERE rank <= 6
+        AND query_id NOT IN (SELECT query_id FROM (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, chunk_id) AS rank FROM d_fused) JOIN d_meta USING (chunk_id) WHERE rank <= 6 GROUP BY query_id HAVING count(record_id) > 0))""")
+def p10(t):
+    from evidentia.functions.durable import durable
+    from evidentia.operators.listing import widen_starved
+
+    docs, asked = units(t), t("doc_queries").select("query_id", "question")
+    facts = docs.select("chunk_id", "record_id")
+    narrow = asked.withColumn("allowed", F.array(F.lit("narrative"), F.lit("chapter")))
+    filtered = durable(RT.cut(RT.hybrid(docs, narrow, P.SEARCH_CANDIDATES, "record_type"), P.FINAL_K).join(facts, "chunk_id"))
+    out = widen_starved(filtered, lambda plenty: RT.cut(RT.hybrid(docs, asked.join(plenty, "query_id", "left_anti")), P.FINAL_K).join(facts, "chunk_id"))
+    return out.select("query_id", "chunk_id", "rank", "widened")
+
+
+_retrieval_ctes("z", f"SELECT 'scale' AS query_id, {S.q(P.SCALE_QUERY)} AS question, CAST(NULL AS VARCHAR[]) AS allowed", 40)
+
+
+@query("r9_scale_lookup", "SELECT query_id, chunk_id, score, rank FROM z_cut WHERE rank <= 2")
+def r9(t):
+    return RT.scale_lookup(units(t))
+
+
+@query("r7_diversified_retrieve")
+def r7(t):
+    ranked = ranked_pool(t).select("query_id", "chunk_id", "place", "weighted", "lexical_rank", "dense_rank")
+    docs = units(t)
+    wanted = docs.select("chunk_id", "text").join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    out = RT.diversified(ranked, dense.embed(wanted).drop("text"), docs)
+    return out.select("query_id", "chunk_id", "pick", F.round("relative", 6).alias("relative"), "added", F.array_join("matched_by", "+").alias("matched_by"))
+
+
+@query("r7_retrieval_counts")
+def r7_counts(t):
+    kept = fusion.drop_near_duplicates(pool_vectors(t))
+    return RT.retrieval_counts(pool(t), ranked_pool(t), kept)
