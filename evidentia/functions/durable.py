@@ -1,17 +1,28 @@
-"""Lineage cuts that survive the loss of an executor."""
+"""Shared folders and lineage cuts that survive the loss of an executor."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in its settings; a temporary one only where none is set, as in tests."""
+    return spark.conf.get(SETTING, None) or tempfile.mkdtemp(prefix="spark-")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder for one run of a job."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder the session names; a temporary one only where none is set."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Checkpoint to the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -37,3 +37,17 @@ def number_rows(df: DataFrame, key: str, order: str, out: str = "n", block_rows:
     offsets = ends.select(key, block, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
     joined = local.join(offsets, [key, block])
     return joined.select(*df.columns, (F.col("__n") + F.col("__offset")).alias(out))
+
+
+def previous_value(df: DataFrame, key: str, order: str, column: str, out: str, block_rows: int = 65536) -> DataFrame:
+    """Value of ``column`` in the row before, per key, block by block."""
+    block = "__block"
+    blocked = df.withColumn(block, F.floor(F.col(order) / block_rows))
+    inside = Window.partitionBy(key, block).orderBy(order)
+    local = blocked.withColumn("__lag", F.lag(column).over(inside)).withColumn("__n", F.row_number().over(inside))
+    ends = local.groupBy(key, block).agg(F.max_by(F.col(column), order).alias("__end"))
+    before = F.lag("__end").over(Window.partitionBy(key).orderBy(block))
+    heads = ends.select(key, block, before.alias("__carry"))
+    joined = local.join(heads, [key, block])
+    value = F.when(F.col("__n") == 1, F.col("__carry")).otherwise(F.col("__lag"))
+    return joined.select(*df.columns, value.alias(out))

@@ -55,25 +55,27 @@ def removed_counts(current: DataFrame, doc_ids: DataFrame) -> DataFrame:
     return doc_ids.join(gone, "doc_id", "left").select("doc_id", F.coalesce("removed", F.lit(0)).alias("removed"))
 
 
-def publish(spark: SparkSession, path: str, incoming: DataFrame, buckets: int = BUCKETS) -> None:
-    """Replace the incoming documents in the index at ``path``.
+def publish(spark: SparkSession, path: str, incoming: DataFrame, schema: str = INDEX_SCHEMA, buckets: int = BUCKETS) -> DataFrame:
+    """Replace the incoming documents in the index at ``path``; returns the rows that arrived.
 
     Only the hash buckets that hold those documents are rewritten, and a replay of
-    the same input leaves the same table. The new content is written to a staging
-    folder first, because a bucket cannot be read and overwritten in one job.
+    the same input leaves the same table. Incoming rows are computed once, into a
+    folder beside the index. The merged buckets are staged before the overwrite,
+    because a bucket cannot be read and overwritten in one job.
     """
-    if rejected_keys(incoming).limit(1).count():
+    arrived_path, staging = f"{path}__arrived", f"{path}__staging"
+    incoming.withColumn("bucket", bucket_of(buckets=buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(arrived_path)
+    arrived = spark.read.schema(f"{schema}, bucket INT").parquet(arrived_path)
+    if rejected_keys(arrived).limit(1).count():
         raise ValueError("incoming rows without a chunk_id")
-    rows = incoming.withColumn("bucket", bucket_of(buckets=buckets))
-    docs, touched = rows.select("doc_id").distinct(), rows.select("bucket").distinct()
     # At most ``buckets`` values.
-    wanted = [r["bucket"] for r in touched.limit(buckets).collect()]
-    current = spark.read.parquet(path).where(F.col("bucket").isin(wanted))
-    merged = remove_documents(current, docs).unionByName(rows, allowMissingColumns=True)
-    staging = f"{path}__staging"
-    merged.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    staged = spark.read.schema(merged.schema).parquet(staging)
+    touched = [r["bucket"] for r in arrived.select("bucket").distinct().limit(buckets).collect()]
+    current = spark.read.schema(f"{schema}, bucket INT").parquet(path).where(F.col("bucket").isin(touched))
+    merged = remove_documents(current, arrived.select("doc_id").distinct()).unionByName(arrived)
+    merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(staging)
+    staged = spark.read.schema(f"{schema}, bucket INT").parquet(staging)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return arrived
 
 
 def append_history(rows: DataFrame, path: str) -> None:
