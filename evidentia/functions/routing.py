@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia import params as P
@@ -126,19 +126,23 @@ def dispatch_mode(question: Column, severity: Column, forced: Column) -> Column:
     )
 
 
-def roster(mode: Column, question: Column) -> Column:
-    """(owner, sub-question) pairs: three, two distinct, or one."""
-    protector, investigator, responder = (p[0] for p in P.PROFILES)
-    subs = sub_queries(question)
-    first = focused_owner(F.get(subs, F.lit(0)))
-    second = focused_owner(F.get(subs, F.lit(1)))
-    second = F.when(first != second, second).when(first == investigator, F.lit(responder)).otherwise(F.lit(investigator))
-
-    def row(owner: Column, text: Column) -> Column:
-        return F.struct(owner.alias("owner"), text.alias("sub_question"))
+def with_roster(rows: DataFrame) -> DataFrame:
+    """(owner, sub_question) rows for ``mode`` and ``question``: three, two distinct, or one.
 
-    return (
-        F.when(mode == "sitrep", F.array(*[row(F.lit(o), question) for o in (protector, investigator, responder)]))
-        .when(mode == "compare", F.array(row(first, F.get(subs, F.lit(0))), row(second, F.get(subs, F.lit(1)))))
-        .otherwise(F.array(row(focused_owner(question), question)))
-    )
+    Each step is a column of its own, so the split and the owners are evaluated once.
+    """
+    protector, investigator, responder = (p[0] for p in P.PROFILES)
+    compare = F.col("mode") == "compare"
+    staged = rows.withColumn("__subs", F.when(compare, sub_queries(F.col("question"))).otherwise(F.array("question")))
+    staged = staged.withColumn("__a", F.get("__subs", F.lit(0))).withColumn("__b", F.get("__subs", F.lit(1)))
+    staged = staged.withColumn("__first", focused_owner(F.col("__a"))).withColumn("__second", F.when(compare, focused_owner(F.col("__b"))))
+    second = F.when(F.col("__first") != F.col("__second"), F.col("__second")).when(
+        F.col("__first") == investigator, F.lit(responder)).otherwise(F.lit(investigator))
+
+    def row(owner: Column, text: str) -> Column:
+        return F.struct(owner.alias("owner"), F.col(text).alias("sub_question"))
+
+    picks = (
+        F.when(F.col("mode") == "sitrep", F.array(*[row(F.lit(o), "question") for o in (protector, investigator, responder)]))
+        .when(compare, F.array(row(F.col("__first"), "__a"), row(second, "__b"))).otherwise(F.array(row(F.col("__first"), "__a"))))
+    return staged.select(*rows.columns, F.explode(picks).alias("__r")).select(*rows.columns, F.col("__r.owner").alias("roster_owner"), "__r.sub_question")

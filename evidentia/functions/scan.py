@@ -6,23 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+BLOCK = "__block"
+
+
+def place_blocks(df: DataFrame, key: str, order: str, block_rows: int = 65536) -> DataFrame:
+    """Place rows by key and block of the order column. Costly per-row marks belong after this shuffle."""
+    return df.withColumn(BLOCK, F.floor(F.col(order) / block_rows)).repartition(key, BLOCK)
+
+
 def carry_forward(df: DataFrame, key: str, order: str, columns: list[str], block_rows: int = 65536) -> DataFrame:
     """Fill each column with its last non-NULL value at or before the row, per key.
 
     Rows are scanned in blocks of the order column. Each block is summarised to one
     row (its last values), the summaries are scanned per key, and the carry joins
-    back, so a key holding a large share of all rows is spread over many tasks. The
-    block exchange is shared by the scan, the summary and the join.
+    back, so a key holding a large share of all rows is spread over many tasks. Rows
+    that ``place_blocks`` has placed are not shuffled again.
     """
-    block = "__block"
-    blocked = df.withColumn(block, F.floor(F.col(order) / block_rows))
-    inside = Window.partitionBy(key, block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    blocked = df if BLOCK in df.columns else df.withColumn(BLOCK, F.floor(F.col(order) / block_rows))
+    inside = Window.partitionBy(key, BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.select("*", *[F.last(c, ignorenulls=True).over(inside).alias(f"__l_{c}") for c in columns])
-    ends = local.groupBy(key, block).agg(*[F.max_by(f"__l_{c}", order).alias(f"__e_{c}") for c in columns])
-    before = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(key, block, *[F.last(f"__e_{c}", ignorenulls=True).over(before).alias(f"__c_{c}") for c in columns])
-    joined = local.join(carried, [key, block], "left")
-    plain = [c for c in df.columns if c not in columns]
+    ends = blocked.groupBy(key, BLOCK).agg(*[
+        F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"__e_{c}") for c in columns])
+    before = Window.partitionBy(key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(key, BLOCK, *[F.last(f"__e_{c}", ignorenulls=True).over(before).alias(f"__c_{c}") for c in columns])
+    joined = local.join(carried, [key, BLOCK], "left")
+    plain = [c for c in df.columns if c not in columns and c != BLOCK]
     return joined.select(*plain, *[F.coalesce(f"__l_{c}", f"__c_{c}").alias(c) for c in columns])
 
 

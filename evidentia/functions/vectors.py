@@ -31,31 +31,55 @@ def gram_buckets(text: Column, dim: int = P.HASH_DIM) -> Column:
     return F.transform(grams(text), lambda g: (fnv1a(g) % dim).cast("int"))
 
 
-def bucket_vector(dim: int = P.HASH_DIM):
-    """Arrow-batched helper: bucket lists to unit vectors of ``1 + ln(count)``."""
+def _fnv_steps(state, starts, sizes, data):
+    """Continue FNV-1a over byte spans, all spans of a batch one byte at a time."""
+    import numpy as np
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dense(buckets):
+    order = np.argsort(-sizes, kind="stable")
+    state, starts, sizes = state[order].copy(), starts[order], sizes[order]
+    prime = np.uint32(P.FNV_PRIME)
+    for i in range(int(sizes[0]) if len(sizes) else 0):
+        live = np.searchsorted(-sizes, -i, side="left")
+        state[:live] = (state[:live] ^ data[starts[:live] + i]) * prime
+    out = np.empty_like(state)
+    out[order] = state
+    return out
+
+
+def word_vector(dim: int = P.HASH_DIM):
+    """Arrow-batched helper: word lists to unit vectors of ``1 + ln(count)`` over hashed words and pairs.
+
+    The hash of a pair continues from the hash of its first word, so no pair is ever built as text.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def dense(words):
         import numpy as np
-        import pandas as pd
-
-        sizes = buckets.map(len).to_numpy()
-        out = np.zeros((len(buckets), dim))
-        if sizes.sum():
-            rows = np.repeat(np.arange(len(buckets)), sizes)
-            flat = np.concatenate([b for b in buckets if len(b)]).astype(np.int64)
-            out = np.bincount(rows * dim + flat, minlength=len(buckets) * dim).reshape(-1, dim).astype(float)
-            hit = out > 0
-            out[hit] = 1.0 + np.log(out[hit])
-            norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-            out = out / np.where(norm == 0, 1.0, norm)
-        return pd.Series(list(out))
+        import pyarrow as pa
+
+        n = len(words)
+        flat = words.flatten().cast(pa.large_string())
+        edges = np.frombuffer(flat.buffers()[1], dtype=np.int64, count=len(flat) + flat.offset + 1)[flat.offset:]
+        data = np.frombuffer(flat.buffers()[2], dtype=np.uint8).astype(np.uint32) if len(flat) and flat.buffers()[2] else np.zeros(0, np.uint32)
+        bounds = np.asarray(words.offsets) - (np.asarray(words.offsets)[0] if n else 0)
+        rows = np.repeat(np.arange(n), np.diff(bounds))
+        starts, sizes = edges[:-1], np.diff(edges)
+        single = _fnv_steps(np.full(len(flat), P.FNV_OFFSET, np.uint32), starts, sizes, data)
+        joined = (single[:-1] ^ np.uint32(ord("_"))) * np.uint32(P.FNV_PRIME)
+        inside = rows[1:] == rows[:-1]
+        pairs = _fnv_steps(joined[inside], starts[1:][inside], sizes[1:][inside], data)
+        cells = np.concatenate([rows * dim + single % dim, rows[1:][inside] * dim + pairs % dim])
+        out = np.bincount(cells, minlength=n * dim).reshape(n, dim).astype(float)
+        out = np.where(out > 0, 1.0 + np.log(np.maximum(out, 1.0)), 0.0)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        out /= np.where(norm == 0, 1.0, norm)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim), pa.int32()), pa.array(out.ravel()))
 
     return dense
 
 
 def hashed_vector(text: Column, dim: int = P.HASH_DIM) -> Column:
-    return bucket_vector(dim)(gram_buckets(text, dim))
+    return word_vector(dim)(F.filter(cleaned_words(text), lambda w: F.length(w) > 1))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -27,21 +27,28 @@ def split_inference(answer: Column) -> Column:
         F.when(at.isNull(), F.lit("")).otherwise(answer.substr(at, F.length(answer))).alias("inference"))
 
 
+def _line_class(line: Column) -> Column:
+    """One line with its marks: blank, structure, template slot, citation, opening and closing quote."""
+    s = F.trim(line)
+    return F.struct(
+        s.alias("s"), (s == "").alias("blank"), s.rlike(r"^(#|\||---|\*\*\*|===)").alias("structure"),
+        (s.contains("[") & s.rlike(P.PLACEHOLDER)).alias("slot"), (s.contains("[") & s.rlike(P.CITATION)).alias("cites"),
+        (s.startswith('"') | s.startswith("'")).alias("quoted"), s.endswith('"').alias("closes"))
+
+
 def _prose_lines(text: Column) -> Column:
     """Lines that may hold claims: no structure, no quoted template blocks."""
-    lines = F.transform(X.lines_of(text), lambda ln: F.trim(ln))
+    lines = F.transform(X.lines_of(text), _line_class)
     start = F.struct(F.lit(False).alias("inside"), F.array().cast(STRINGS).alias("kept"))
 
-    def step(state: Column, s: Column) -> Column:
-        inside = state["inside"]
-        blank, structure, slot = s == "", s.rlike(r"^(#|\||---|\*\*\*|===)"), s.rlike(P.PLACEHOLDER)
-        cites, opens, closes = s.rlike(P.CITATION), s.rlike("^[\"']") & ~s.rlike(P.CITATION), s.endswith('"')
+    def step(state: Column, c: Column) -> Column:
+        inside, opens = state["inside"], c["quoted"] & ~c["cites"]
         after = (
-            F.when(blank, F.lit(False)).when(structure, inside).when(slot, F.lit(True))
-            .when(inside, ~(cites | closes)).otherwise(opens))
-        keep = ~blank & ~structure & ~slot & F.when(inside, cites).otherwise(~opens)
+            F.when(c["blank"], F.lit(False)).when(c["structure"], inside).when(c["slot"], F.lit(True))
+            .when(inside, ~(c["cites"] | c["closes"])).otherwise(opens))
+        keep = ~(c["blank"] | c["structure"] | c["slot"]) & F.when(inside, c["cites"]).otherwise(~opens)
         return F.struct(after.alias("inside"),
-                        F.when(keep, F.concat(state["kept"], F.array(s))).otherwise(state["kept"]).alias("kept"))
+                        F.when(keep, F.concat(state["kept"], F.array(c["s"]))).otherwise(state["kept"]).alias("kept"))
 
     return F.aggregate(lines, start, step, lambda state: state["kept"])
 

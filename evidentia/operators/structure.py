@@ -9,7 +9,7 @@ from evidentia import params as P
 from evidentia.functions import labels as L
 from evidentia.functions import text as X
 from evidentia.functions.bounds import first_per
-from evidentia.functions.scan import carry_forward, number_rows
+from evidentia.functions.scan import carry_forward, number_rows, place_blocks
 
 
 def explode_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -56,7 +56,7 @@ def plain_heading(text: Column) -> Column:
 def segment_plain(lines: DataFrame, min_chars: int = 40) -> DataFrame:
     """Linear segments of plain text: each heading opens one; the chapter is inherited."""
     head = plain_heading(F.trim("text"))
-    marked = lines.withColumn("head", head).withColumn("start", F.when(F.col("head").isNotNull(), F.col("line_no")))
+    marked = place_blocks(lines, "doc_id", "line_no").withColumn("head", head).withColumn("start", F.when(F.col("head").isNotNull(), F.col("line_no")))
     is_chapter = F.col("head.kind") == "chapter"
     marked = marked.withColumn("is_heading", F.col("head").isNotNull()).withColumn(
         "chapter", F.when(is_chapter, F.col("head.section"))).withColumn("chapter_title", F.when(is_chapter, F.col("head.title")))
@@ -98,7 +98,7 @@ def split_notes(segments: DataFrame, min_preamble: int = 60, min_note: int = 40)
 def locate(lines: DataFrame) -> DataFrame:
     """Add ``chapter`` and ``page`` by the last chapter heading or page marker at or before each line."""
     text = F.col("text")
-    marked = lines.withColumn(
+    marked = place_blocks(lines, "doc_id", "line_no").withColumn(
         "chapter", F.when(text.rlike(P.MD_CHAPTER), F.concat(
             F.regexp_extract(text, P.MD_CHAPTER, 1), F.lit(" · "), F.trim(F.regexp_extract(text, P.MD_CHAPTER, 2)))))
     marked = marked.withColumn("page", X.group(text, P.PAGE_MARKER, 1).cast("bigint"))
@@ -116,7 +116,7 @@ def outline(lines: DataFrame, end_level: int = 3) -> DataFrame:
     level = F.length(F.regexp_extract(text, P.MD_HEADING, 1))
     heading = text.rlike(P.MD_HEADING)
     boundary = record | (heading & (level <= end_level))
-    marked = lines.select(
+    marked = place_blocks(lines, "doc_id", "line_no").select(
         "*", F.when(boundary, F.col("line_no")).alias("segment"),
         F.when(record, F.regexp_extract(text, P.MD_RECORD_HEADING, 1)).when(boundary, F.lit("")).alias("record_id"),
         F.when(record, F.trim(F.regexp_extract(text, P.MD_RECORD_HEADING, 2))).when(boundary, F.lit("")).alias("title"),

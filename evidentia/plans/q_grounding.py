@@ -218,10 +218,10 @@ shared("o_conf", """
         WHEN groundedness >= 40 THEN 'Low — ' || sources || ' sources, groundedness ' || groundedness || '%' ELSE 'no record scored above the relevance threshold' END AS reason FROM o_facts""")
 
 
-def report_facts(t):
+def report_facts(t, checked=None):
     """Groundedness, best display score of ten, cited sources and conflict per report."""
     answers, evidence = t("answers"), t("evidence")
-    ground = V.merge_groundedness(V.gate(answers, evidence, KEYS)).select("report_id", "groundedness")
+    ground = V.merge_groundedness(gates(t) if checked is None else checked).select("report_id", "groundedness")
     top = evidence.groupBy("report_id").agg(F.round(F.max(display_score(F.col("score"), F.col("rerank_score"))) * 10, 6).alias("top10"))
     sources = V.resolve_citations(answers, evidence).groupBy("report_id").agg(F.count("*").alias("sources"))
     marks = V.conflicts(evidence).select("report_id", F.lit(True).alias("conflicted"))

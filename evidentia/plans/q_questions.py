@@ -163,7 +163,8 @@ def f30(t):
     UNION ALL SELECT query_id, CASE WHEN o1 <> o2 THEN o2 WHEN o1 = {_INV} THEN {_RESP} ELSE {_INV} END, s[2] FROM c WHERE mode = 'compare'
     UNION ALL SELECT query_id, owner, question FROM c WHERE mode = 'focused'""")
 def f31(t):
-    return routed(t).select("query_id", F.explode(R.roster(F.col("mode"), F.col("question"))).alias("r")).select("query_id", "r.*")
+    rows = R.with_roster(routed(t).select("query_id", "question", "mode"))
+    return rows.select("query_id", F.col("roster_owner").alias("owner"), "sub_question")
 
 
 _JSON = """'{"severity_class": "' || coalesce(severity_class, '') || '", "query_shape": "' || CASE WHEN query_id % 3 = 0 THEN ' Compare ' ELSE 'odd' END || '", "use_case": "' || CASE WHEN query_id % 2 = 0 THEN 'Research Assistant' ELSE 'Other' END || '", "variants": ' || CASE WHEN query_id % 4 = 0 THEN '"one"' WHEN query_id % 4 = 1 THEN '["a", " ", "b", "c"]' ELSE '[]' END || CASE WHEN query_id % 9 = 0 THEN '' ELSE '}' END"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evidentia import params as P
 from evidentia.functions import text as X
 from evidentia.functions.bounds import spread
+from evidentia.functions.durable import durable
 from evidentia.functions import labels as L
 from evidentia.operators import evaluation as E
 from evidentia.operators import grounding as V
@@ -153,10 +154,10 @@ shared("o_verdict", """
     SELECT report_id, NOT (top10 < 4.5 OR groundedness = 0 OR sources = 0 OR filled = 0) AS sufficient, groundedness, top10, sources, conflicted, filled, partial FROM o_facts JOIN o_filled USING (report_id)""")
 
 
-def verdict(t):
+def verdict(t, checked=None):
     """Report facts, filled sections and the sufficiency decision."""
     filled = completed(t).groupBy("report_id").agg(F.count_if(F.col("status") == "filled").alias("filled"), F.bool_or(F.col("status") == "timed_out").alias("partial"))
-    facts = QG.report_facts(t).join(filled, "report_id")
+    facts = QG.report_facts(t, checked).join(filled, "report_id")
     ok = RP.sufficiency(F.col("top10"), F.col("groundedness"), F.lit(3), F.col("sources"), F.col("filled"), 0.45)
     return facts.withColumn("sufficient", ok)
 
@@ -187,10 +188,12 @@ def v12(t):
     JOIN (SELECT report_id, string_agg(status, ',' ORDER BY display_order) AS sections FROM o_complete GROUP BY report_id) USING (report_id)
     LEFT JOIN (SELECT report_id, CAST(count(*) FILTER (NOT passed) AS BIGINT) AS rules FROM o_merged GROUP BY report_id) USING (report_id)""")
 def v14(t):
-    rows = verdict(t)
+    # One row per answer, read by the verdict and by the rule summary.
+    checked = durable(QG.gates(t))
+    rows = verdict(t, checked)
     level, _ = V.confidence(F.col("groundedness"), F.col("top10"), F.col("sources"), F.col("conflicted"))
     sections = completed(t).groupBy("report_id").agg(F.expr("listagg(status, ',') within group (order by display_order)").alias("sections"))
-    failed = V.merge_rules(V.rule_rows(QG.gates(t), QG.KEYS)).groupBy("report_id").agg(F.count_if(~F.col("passed")).alias("rules_failed"))
+    failed = V.merge_rules(V.rule_rows(checked, QG.KEYS)).groupBy("report_id").agg(F.count_if(~F.col("passed")).alias("rules_failed"))
     regions = RP.affected_regions(t("reports").withColumn("given", F.array().cast("array<string>")), t("evidence"), "given")
     out = rows.join(RP.map_priority(t("reports")).select("report_id", F.col("class").alias("priority")), "report_id").join(sections, "report_id").join(
         failed, "report_id", "left").join(regions, "report_id")

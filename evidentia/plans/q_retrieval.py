@@ -67,7 +67,7 @@ def benchmark(t):
 # ---- tokens, statistics, BM25 -----------------------------------------------
 @query("f16_tokens", f"SELECT doc_id, len(toks) AS n_tokens, array_to_string(toks, ' ') AS tokens FROM (SELECT doc_id, {S.toks('text')} AS toks FROM documents)")
 def f16(t):
-    return t("documents").select("doc_id", X.tokens(F.col("text")).alias("k")).select(
+    return spread(t("documents")).select("doc_id", X.tokens(F.col("text")).alias("k")).select(
         "doc_id", F.size("k").alias("n_tokens"), F.array_join("k", " ").alias("tokens"))
 
 
@@ -113,7 +113,7 @@ def w1(t):
 # ---- vectors ----------------------------------------------------------------
 @query("f17_hashed_embedding", "SELECT id AS doc_id, count(*) AS n_buckets, round(sum(wt), 6) AS total, round(sum(wt * wt), 6) AS norm2, round(sum(wt * bucket), 4) AS moment FROM d_vec GROUP BY id")
 def f17(t):
-    v = t("documents").select("doc_id", V.hashed_vector(F.col("text")).alias("v"))
+    v = spread(t("documents")).select("doc_id", V.hashed_vector(F.col("text")).alias("v"))
     add = lambda f: F.aggregate(F.transform("v", f), F.lit(0.0), lambda a, x: a + x)
     return v.select(
         "doc_id", F.size(F.filter("v", lambda x: x > 0)).alias("n_buckets"), F.round(add(lambda x: x), 6).alias("total"),
