@@ -27,3 +27,22 @@ def spread(df: DataFrame) -> DataFrame:
     """Rebalance a scan that has fewer splits than the session has cores; larger inputs pass unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def unroll(df: DataFrame, keep: list, array: Column | str, value: str, pos: str | None = None) -> DataFrame:
+    """One row per array element, with its place if asked for.
+
+    A plain explode makes the optimizer test the array's size in a filter below it,
+    which repeats the array expression; the outer form with a filter on the place
+    evaluates it once.
+    """
+    place = pos or "__pos"
+    rows = df.select(*keep, F.posexplode_outer(array).alias(place, value)).where(F.col(place).isNotNull())
+    return rows if pos else rows.drop(place)
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Place derived rows that are small but costly to work on; AQE judges by bytes and would put them into few tasks."""
+    spark = df.sparkSession
+    wide = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wide, *keys)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.bounds import unroll
 from evidentia import params as P
 from evidentia.functions.text import contains_any, find_all
 
@@ -145,4 +146,4 @@ def with_roster(rows: DataFrame) -> DataFrame:
     picks = (
         F.when(F.col("mode") == "sitrep", F.array(*[row(F.lit(o), "question") for o in (protector, investigator, responder)]))
         .when(compare, F.array(row(F.col("__first"), "__a"), row(second, "__b"))).otherwise(F.array(row(F.col("__first"), "__a"))))
-    return staged.select(*rows.columns, F.explode(picks).alias("__r")).select(*rows.columns, F.col("__r.owner").alias("roster_owner"), "__r.sub_question")
+    return unroll(staged, [*rows.columns], picks, "__r").select(*rows.columns, F.col("__r.owner").alias("roster_owner"), "__r.sub_question")

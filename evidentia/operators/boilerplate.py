@@ -11,19 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia import params as P
-from evidentia.functions.bounds import top_n
+from evidentia.functions.bounds import top_n, unroll
 from evidentia.functions.text import sentence_key
 
 
 def sentence_rows(segments: DataFrame) -> DataFrame:
-    rows = segments.select("segment_id", "record_type", "record_id", F.posexplode("sentences").alias("pos", "sentence"))
+    rows = unroll(segments, ["segment_id", "record_type", "record_id"], "sentences", "sentence", "pos")
     return rows.withColumn("key", sentence_key(F.col("sentence")))
 
 
 def shared_keys(segments: DataFrame, min_chars: int = P.BOILERPLATE_KEY, min_segments: int = P.BOILERPLATE_SEGMENTS) -> DataFrame:
     """(key, n_segments). Repeats inside a segment are folded in its own row, so no distinct shuffle is needed."""
     keys = F.array_distinct(F.transform("sentences", sentence_key))
-    once = segments.select(F.explode(F.filter(keys, lambda k: F.length(k) >= min_chars)).alias("key"))
+    once = unroll(segments, [], F.filter(keys, lambda k: F.length(k) >= min_chars), "key")
     return once.groupBy("key").agg(F.count("*").alias("n_segments")).where(F.col("n_segments") >= min_segments)
 
 

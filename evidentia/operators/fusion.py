@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia import params as P
-from evidentia.functions.bounds import first_per, top_n
+from evidentia.functions.bounds import first_per, top_n, unroll
 from evidentia.functions.labels import retrieval_prior, triage_boost
 from evidentia.functions.vectors import dot
 
@@ -63,7 +63,7 @@ def closest_earlier(candidates: DataFrame) -> DataFrame:
         lambda c, i: F.struct(
             c["chunk_id"].alias("chunk_id"), c["place"].alias("place"),
             F.array_max(F.transform(F.slice("pool", F.lit(1), i), lambda e: dot(e["vector"], c["vector"]))).alias("similarity")))
-    return pool.select("query_id", F.explode(rows).alias("r")).select("query_id", "r.*")
+    return unroll(pool, ["query_id"], rows, "r").select("query_id", "r.*")
 
 
 def drop_near_duplicates(candidates: DataFrame, threshold: float = P.NEAR_DUPLICATE) -> DataFrame:
@@ -74,7 +74,7 @@ def drop_near_duplicates(candidates: DataFrame, threshold: float = P.NEAR_DUPLIC
         "pool", F.array().cast(row_type),
         lambda acc, c: F.when(F.exists(acc, lambda k: dot(k["vector"], c["vector"]) > threshold), acc)
         .otherwise(F.concat(acc, F.array(c))))
-    places = pool.select("query_id", F.explode(F.transform(kept, lambda k: k["chunk_id"])).alias("chunk_id"))
+    places = unroll(pool, ["query_id"], F.transform(kept, lambda k: k["chunk_id"]), "chunk_id")
     return candidates.join(places, ["query_id", "chunk_id"], "left_semi")
 
 

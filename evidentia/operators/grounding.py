@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from evidentia import params as P
 from evidentia.functions import labels as L
 from evidentia.functions import text as X
-from evidentia.functions.bounds import first_per
+from evidentia.functions.bounds import first_per, unroll
 
 STRINGS = "array<string>"
 
@@ -78,12 +78,11 @@ def with_claims(answers: DataFrame, answer: str = "answer") -> DataFrame:
 
 def claims(answers: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, kind, claim_no, text) rows."""
-    split = with_claims(answers)
+    def rows(col: str, kind: str) -> Column:
+        return F.transform(col, lambda c, i: F.struct(F.lit(kind).alias("kind"), i.alias("claim_no"), c.alias("text")))
 
-    def rows(col: str, kind: str) -> DataFrame:
-        return split.select(*keys, F.lit(kind).alias("kind"), F.posexplode(col).alias("claim_no", "text"))
-
-    return rows("claims", "claim").unionByName(rows("inference", "inference"))
+    both = F.concat(rows("claims", "claim"), rows("inference", "inference"))
+    return unroll(with_claims(answers), [*keys], both, "c").select(*keys, "c.*")
 
 
 def evidence_arrays(evidence: DataFrame, key: str = "report_id") -> DataFrame:
@@ -129,11 +128,12 @@ def merged_records(claim: Column, ev: Column) -> Column:
         return F.struct(F.array_position(cited, F.get(ids, F.lit(0))).alias("at"), F.array_sort(ids).alias("ids"))
 
     groups = F.array(*[of(kind) for kind in P.MERGE_SENSITIVE])
-    return F.transform(F.array_sort(F.filter(groups, lambda g: F.size(g["ids"]) > 1)), lambda g: g["ids"])
+    found = F.transform(F.array_sort(F.filter(groups, lambda g: F.size(g["ids"]) > 1)), lambda g: g["ids"])
+    return F.when(F.size(cited) > 1, found).otherwise(F.array().cast(f"array<{STRINGS}>"))
 
 
 def rule_no_merging() -> tuple[Column, Column, Column]:
-    hits = F.flatten(F.transform("claims", lambda c: merged_records(c, F.col("ev"))))
+    hits = F.col("merged")
     n = F.size(hits)
     detail = _pick(n == 0, "no sentence blends same-type records", F.concat(
         F.lit("review: "), _text(n), F.lit(" sentence(s) cite multiple same-type records ("), _ids(F.get(hits, F.lit(0))), F.lit(" in one sentence)")))
@@ -141,13 +141,11 @@ def rule_no_merging() -> tuple[Column, Column, Column]:
 
 
 def rule_time_and_place() -> tuple[Column, Column]:
-    dated = F.filter("ev", lambda e: e["record_date"].isNotNull())
-    cited = F.filter(dated, lambda e: F.array_contains(F.col("markers"), e["citation_id"]))
-    good = F.size(F.filter(cited, lambda e: X.date_present(e["record_date"], F.col("answer"))))
-    return good == F.size(cited), (
-        F.when(F.size(dated) == 0, F.lit("no dated record retrieved; rule not engaged"))
-        .when(F.size(cited) == 0, F.lit("no dated record was cited"))
-        .otherwise(F.concat(_text(good), F.lit("/"), _text(F.size(cited)), F.lit(" cited dated record(s) carry their date in the answer"))))
+    dated, cited, good = (F.size(F.col(c)) for c in ("dated", "cited_dated", "qualified"))
+    return good == cited, (
+        F.when(dated == 0, F.lit("no dated record retrieved; rule not engaged"))
+        .when(cited == 0, F.lit("no dated record was cited"))
+        .otherwise(F.concat(_text(good), F.lit("/"), _text(cited), F.lit(" cited dated record(s) carry their date in the answer"))))
 
 
 def rule_health() -> tuple[Column, Column]:
@@ -198,7 +196,12 @@ def gate(answers: DataFrame, evidence: DataFrame, keys: list[str], key: str = "r
     none = F.array().cast(evidence_type(evidence))
     rows = rows.withColumn("ev", F.coalesce("ev", none)).withColumn("markers", X.citation_markers(F.col("answer")))
     rows = rows.withColumn("valid", F.transform("ev", lambda e: e["citation_id"]))
+    # Facts that several rules or details read are columns of their own, evaluated once.
     rows = rows.withColumn("unsupported", F.filter("claims", lambda c: ~F.arrays_overlap(X.citation_markers(c), F.col("valid"))))
+    rows = rows.withColumn("merged", F.flatten(F.transform("claims", lambda c: merged_records(c, F.col("ev")))))
+    rows = rows.withColumn("dated", F.filter("ev", lambda e: e["record_date"].isNotNull()))
+    rows = rows.withColumn("cited_dated", F.filter("dated", lambda e: F.array_contains(F.col("markers"), e["citation_id"])))
+    rows = rows.withColumn("qualified", F.filter("cited_dated", lambda e: X.date_present(e["record_date"], F.col("answer"))))
     merge_ok, merge_detail, merge_flag = rule_no_merging()
     outcomes = [
         (*rule_citations(), None), (*rule_hypotheses(), None), (merge_ok, merge_detail, merge_flag), (*rule_time_and_place(), None),
@@ -220,7 +223,7 @@ def evidence_type(evidence: DataFrame) -> str:
 
 
 def rule_rows(gates: DataFrame, keys: list[str]) -> DataFrame:
-    return gates.select(*keys, F.explode("rules").alias("r")).select(*keys, "r.*")
+    return unroll(gates, [*keys], "rules", "r").select(*keys, "r.*")
 
 
 def merge_rules(rules: DataFrame, key: str = "report_id", order: str = "pos") -> DataFrame:
@@ -240,7 +243,7 @@ def merge_groundedness(gates: DataFrame, key: str = "report_id", order: str = "p
 
 
 def cited_markers(answers: DataFrame, keys: list[str]) -> DataFrame:
-    return answers.select(*keys, F.posexplode(X.citation_markers(F.col("answer"))).alias("marker_no", "citation_id"))
+    return unroll(answers, [*keys], X.citation_markers(F.col("answer")), "citation_id", "marker_no")
 
 
 def resolve_citations(answers: DataFrame, evidence: DataFrame, key: str = "report_id", order: str = "pos") -> DataFrame:

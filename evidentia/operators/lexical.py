@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia import params as P
-from evidentia.functions.bounds import broadcast_if_small, top_n
+from evidentia.functions.bounds import broadcast_if_small, top_n, unroll
 from evidentia.functions.text import tokens
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", question: str = "question") -> DataFrame:
     """Unique terms of each query, with its list of allowed labels where it has one."""
     keep = [c for c in ("allowed",) if c in queries.columns]
-    return queries.select(query_id, *keep, F.explode(F.array_distinct(tokens(F.col(question)))).alias("term"))
+    return unroll(queries, [query_id, *keep], F.array_distinct(tokens(F.col(question))), "term")
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
@@ -28,8 +28,7 @@ def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
     """
     carried = [F.col(label).alias("label")] if label else []
     rows = chunks.select(F.col(chunk_id).alias("chunk_id"), *carried, tokens(F.col(text)).alias("tokens"))
-    rows = rows.select(
-        "chunk_id", *["label" for _ in carried], F.size("tokens").alias("len"), F.explode(F.concat("tokens", F.array(F.lit("")))).alias("term"))
+    rows = unroll(rows, ["chunk_id", *["label" for _ in carried], F.size("tokens").alias("len")], F.concat("tokens", F.array(F.lit(""))), "term")
     rows = rows.where(F.col("term").isNotNull())
     if vocabulary is not None:
         marker = chunks.sparkSession.range(1).select(F.lit("").alias("term"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia import params as P
 from evidentia.functions import labels as L
-from evidentia.functions.bounds import first_per
+from evidentia.functions.bounds import first_per, unroll
 
 NO_CONTENT = "No content was produced for this section."
 NOT_APPLICABLE = "Not applicable to this query"
@@ -112,7 +112,7 @@ def domain_violations(rows: DataFrame, key: str, domains: dict[str, list[str]])
     """(key, column, value) of every value outside its domain."""
     bad = F.array(*[
         F.when(~F.col(c).isin(allowed), F.struct(F.lit(c).alias("column"), F.col(c).alias("value"))) for c, allowed in domains.items()])
-    return rows.select(key, F.explode(F.filter(bad, lambda b: b.isNotNull())).alias("b")).select(key, "b.*")
+    return unroll(rows, [key], F.filter(bad, lambda b: b.isNotNull()), "b").select(key, "b.*")
 
 
 def affected_regions(reports: DataFrame, evidence: DataFrame, supplied: str) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from evidentia import params as P
 from evidentia.functions import labels as L
 from evidentia.functions import text as X
-from evidentia.functions.bounds import first_per
+from evidentia.functions.bounds import first_per, unroll
 from evidentia.functions.scan import carry_forward, number_rows, place_blocks
 
 
 def explode_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Trimmed lines in order: ``keys, line_no, text``."""
-    rows = docs.select(*keys, F.posexplode(X.lines_of(F.col(text))).alias("line_no", "line"))
+    rows = unroll(docs, [*keys], X.lines_of(F.col(text)), "line", "line_no")
     return rows.select(*keys, "line_no", F.trim("line").alias("text"))
 
 
@@ -83,7 +83,7 @@ def split_notes(segments: DataFrame, min_preamble: int = 60, min_note: int = 40)
     mark = "\u0001"
     parts = F.split(F.regexp_replace("body", P.FIELD_NOTE, mark + "$1 $2"), mark)
     rows = segments.withColumn("parts", parts).withColumn("many", F.size("parts") > 2)
-    rows = rows.select("*", F.posexplode(F.when(F.col("many"), F.col("parts")).otherwise(F.array("body"))).alias("part_no", "part"))
+    rows = unroll(rows, ["*"], F.when(F.col("many"), F.col("parts")).otherwise(F.array("body")), "part", "part_no")
     part = F.trim("part")
     note = F.col("many") & (F.col("part_no") > 0)
     keep = F.when(note, F.length(part) >= min_note).when(F.col("many"), F.length(part) > min_preamble).otherwise(F.lit(True))
@@ -179,7 +179,7 @@ def table_row_chunks(lines: DataFrame) -> DataFrame:
 def field_note_chunks(texts: DataFrame, keys: list[str], text: str = "text", min_chars: int = 40) -> DataFrame:
     """Labelled notes cut out of running text, each up to the next label, heading or the end."""
     note = rf"(?s)((?:{P.FIELD_NOTE_LABEL})[,.]?\s*.+?)(?={P.FIELD_NOTE_LABEL}|\n#|\z)"
-    rows = texts.select(*keys, F.posexplode(X.find_all(F.col(text), note)).alias("note_no", "note"))
+    rows = unroll(texts, [*keys], X.find_all(F.col(text), note), "note", "note_no")
     label = F.regexp_extract("note", rf"^({P.FIELD_NOTE_LABEL})", 1)
     body = X.fold(F.regexp_replace("note", rf"^(?:{P.FIELD_NOTE_LABEL})[,.]?\s*", ""))
     rows = rows.withColumn("title", label).withColumn("body", body).where(F.length("body") >= min_chars)
@@ -205,9 +205,7 @@ def narrative_pieces(lines: DataFrame, end_level: int = 3, min_chars: int = P.NA
 def narrative_chunks(pieces: DataFrame, limit: int = P.WINDOW_CHARS, overlap: int = P.WINDOW_OVERLAP, paragraph: str = "\n\n",
                      min_body: int = 100) -> DataFrame:
     """Pack pieces into windows; a window whose text without headings is short is dropped."""
-    rows = pieces.select(
-        "doc_id", "piece", "chapter", "page", "title",
-        F.posexplode(X.pack_paragraphs(F.col("content"), limit, overlap, paragraph)).alias("window_no", "window"))
+    rows = unroll(pieces, ["doc_id", "piece", "chapter", "page", "title"], X.pack_paragraphs(F.col("content"), limit, overlap, paragraph), "window", "window_no")
     rows = rows.where(F.length(X.body_without_headings(F.col("window"))) >= min_body)
     return rows.select(
         F.concat_ws("-", F.lit("nar"), X.slug(F.coalesce("chapter", F.lit("general"))), X.slug(F.col("title")),
@@ -226,7 +224,7 @@ def unique_keys(chunks: DataFrame, key: str = "chunk_id", order: str = "ordinal"
 
 def chunking_mode(lines: DataFrame, threshold: int = P.RECORD_AWARE_IDS) -> DataFrame:
     """Distinct record IDs per document and the chunking mode they call for."""
-    ids = lines.select("doc_id", F.explode(X.find_all(F.col("text"), f"({P.RECORD_ID_ANY})", 1)).alias("id")).distinct()
+    ids = unroll(lines, ["doc_id"], X.find_all(F.col("text"), f"({P.RECORD_ID_ANY})", 1), "id").distinct()
     counts = ids.groupBy("doc_id").agg(F.count("*").alias("record_count"))
     docs = lines.select("doc_id").distinct().join(counts, "doc_id", "left")
     count = F.coalesce("record_count", F.lit(0))
@@ -239,9 +237,7 @@ def upload_chunks(lines: DataFrame, names: DataFrame, min_chars: int = P.UPLOAD_
     pieces = narrative_pieces(lines.where(~F.col("text").rlike(P.PAGE_MARKER)), end_level=3, min_chars=min_chars)
     first = F.trim(F.regexp_replace(F.element_at(F.split("content", "\n"), 1), "^[# ]+", ""))
     heading = F.when(F.length(first) < 120, F.substring(first, 1, 80)).otherwise(F.lit(""))
-    rows = pieces.join(names, "doc_id").select(
-        "doc_id", "doc_name", "piece", heading.alias("section"),
-        F.posexplode(X.pack_paragraphs(F.col("content"), paragraph=paragraph)).alias("window_no", "window"))
+    rows = unroll(pieces.join(names, "doc_id"), ["doc_id", "doc_name", "piece", heading.alias("section")], X.pack_paragraphs(F.col("content"), paragraph=paragraph), "window", "window_no")
     return rows.select(
         "doc_id", "piece", "window_no", "section", F.when(F.col("section") != "", F.col("section")).otherwise(F.col("doc_name")).alias("title"),
         F.when(F.col("section") != "", F.concat(F.lit("["), "doc_name", F.lit("] "), "section", F.lit("\n\n"), "window"))
@@ -254,7 +250,7 @@ def segment_chunks(segments: DataFrame, keys: list[str]) -> DataFrame:
     ``segments`` carries ``sentences``; ``keys`` identify a segment in order.
     """
     rows = segments.withColumn("bodies", X.pack_sentences(F.col("sentences"))).withColumn("parts", F.size("bodies"))
-    rows = rows.select("*", F.posexplode("bodies").alias("part_no", "part_body"))
+    rows = unroll(rows, ["*"], "bodies", "part_body", "part_no")
     heading = (
         F.when(F.col("record_id").isNotNull(), F.concat("record_id", F.lit(" — "), "title"))
         .when(F.col("section").isNotNull(), F.concat("section", F.lit(" "), "title")).otherwise(F.col("title")))

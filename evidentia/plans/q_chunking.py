@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidentia import params as P
 from evidentia.functions import labels as L
 from evidentia.functions import text as X
-from evidentia.functions.bounds import spread
+from evidentia.functions.bounds import spread, unroll
 from evidentia.operators import boilerplate as B
 from evidentia.operators import structure as C
 from evidentia.plans import sqltext as S
@@ -234,14 +234,14 @@ def u4(t):
 
 @query("c11_pack_windows")
 def c11(t):
-    rows = spread(t("documents")).select("doc_id", F.posexplode(X.pack_paragraphs(F.col("text"), paragraph="\n")).alias("window_no", "window"))
+    rows = unroll(spread(t("documents")), ["doc_id"], X.pack_paragraphs(F.col("text"), paragraph="\n"), "window", "window_no")
     return rows.select("doc_id", "window_no", F.length("window").alias("chars"), F.md5("window").alias("digest"))
 
 
 @query("c12_pack_sentences")
 def c12(t):
     sentences = X.reflow(X.lines_of(F.col("text")))
-    rows = spread(t("documents")).select("doc_id", F.posexplode(X.pack_sentences(sentences)).alias("body_no", "body"))
+    rows = unroll(spread(t("documents")), ["doc_id"], X.pack_sentences(sentences), "body", "body_no")
     return rows.select("doc_id", "body_no", F.length("body").alias("chars"), F.md5("body").alias("digest"))
 
 

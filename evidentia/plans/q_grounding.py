@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidentia.functions.bounds import spread_by, unroll
 from evidentia import params as P
 from evidentia.functions import text as X
 from evidentia.operators import grounding as V
@@ -90,8 +91,12 @@ shared("o_rule8", f"""
 shared("o_rules", " UNION ALL ".join(f"SELECT * FROM o_rule{i}" for i in range(1, 9)))
 
 
+def answers(t):
+    return spread_by(t("answers"), "report_id")
+
+
 def gates(t):
-    return V.gate(t("answers"), t("evidence"), KEYS)
+    return V.gate(answers(t), t("evidence"), KEYS)
 
 
 def one_rule(n: int):
@@ -103,7 +108,7 @@ def one_rule(n: int):
 
 @query("v1_claim_split", "SELECT * FROM o_claims")
 def v1(t):
-    return V.claims(t("answers"), KEYS)
+    return V.claims(answers(t), KEYS)
 
 
 for _n, _name in enumerate(
@@ -184,7 +189,7 @@ def g7(t):
     SELECT report_id, citation_id AS record_id, {S.excerpt('content', 200)} AS claim, {_limit('content')} AS reliability_limitation
     FROM evidence JOIN o_disputed USING (report_id) WHERE evidence_quality = 'disputed report'""")
 def g7_positions(t):
-    return V.conflicts(t("evidence")).select("report_id", F.explode("positions").alias("p")).select("report_id", "p.*")
+    return unroll(V.conflicts(t("evidence")), ["report_id"], "positions", "p").select("report_id", "p.*")
 
 
 @query("g8_unique_conflicts", "SELECT report_id, array_to_string(list_sort(ids), ',') AS id_set FROM o_disputed")
@@ -220,10 +225,10 @@ shared("o_conf", """
 
 def report_facts(t, checked=None):
     """Groundedness, best display score of ten, cited sources and conflict per report."""
-    answers, evidence = t("answers"), t("evidence")
+    evidence = t("evidence")
     ground = V.merge_groundedness(gates(t) if checked is None else checked).select("report_id", "groundedness")
     top = evidence.groupBy("report_id").agg(F.round(F.max(display_score(F.col("score"), F.col("rerank_score"))) * 10, 6).alias("top10"))
-    sources = V.resolve_citations(answers, evidence).groupBy("report_id").agg(F.count("*").alias("sources"))
+    sources = V.resolve_citations(t("answers"), evidence).groupBy("report_id").agg(F.count("*").alias("sources"))
     marks = V.conflicts(evidence).select("report_id", F.lit(True).alias("conflicted"))
     return ground.join(top, "report_id").join(sources, "report_id", "left").join(marks, "report_id", "left").fillna(
         {"sources": 0, "conflicted": False})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia import params as P
 from evidentia.functions import routing as R
 from evidentia.functions import text as X
-from evidentia.functions.bounds import first_per, top_n
+from evidentia.functions.bounds import first_per, spread, top_n, unroll
 from evidentia.functions.labels import one_of
 from evidentia.operators import listing as LS
 from evidentia.plans import sqltext as S
@@ -64,7 +64,7 @@ def f25(t):
     i AS (SELECT query_id, sides, CASE WHEN len(ws) > 4 THEN array_to_string(ws[1:len(ws) - 2], ' ') END AS carrier, unnest(range(1, len(sides) + 1)) AS n FROM w)
     SELECT query_id, n - 1 AS aspect_no, CASE WHEN n = 1 OR carrier IS NULL THEN sides[n] ELSE carrier || ' ' || sides[n] END AS aspect FROM i""")
 def f26(t):
-    return t("questions").select("query_id", F.posexplode(R.aspects(F.col("question"))).alias("aspect_no", "aspect"))
+    return unroll(t("questions"), ["query_id"], R.aspects(F.col("question")), "aspect", "aspect_no")
 
 
 def _cut(sep: str) -> str:
@@ -97,7 +97,7 @@ def f28(t):
         F.struct(F.lit("original").alias("kind"), F.col("question").alias("variant")),
         F.struct(F.lit("expanded").alias("kind"), F.when(F.size("ex") > 0, F.array_join(F.array_sort("ex"), " ")).alias("variant")),
         F.struct(F.lit("identifiers").alias("kind"), F.when(F.size("ids") > 0, F.array_join("ids", " ")).alias("variant")))
-    return q.select("query_id", F.explode(rows).alias("r")).where("r.variant IS NOT NULL").select("query_id", "r.*")
+    return unroll(q, ["query_id"], rows, "r").where("r.variant IS NOT NULL").select("query_id", "r.*")
 
 
 @query("u2_variant_pool", rf"""
@@ -145,7 +145,7 @@ shared("o_routes", f"""
 def routed(t):
     from evidentia.functions.labels import priority_class
 
-    q = t("questions").withColumn("class", priority_class(F.col("severity_class")))
+    q = spread(t("questions")).withColumn("class", priority_class(F.col("severity_class")))
     return q.withColumn("mode", R.dispatch_mode(F.col("question"), F.col("class"), F.col("forced_mode"))).withColumn(
         "owner", R.focused_owner(F.col("question")))
 

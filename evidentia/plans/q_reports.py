@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia import params as P
 from evidentia.functions import text as X
-from evidentia.functions.bounds import spread
+from evidentia.functions.bounds import spread, unroll
 from evidentia.functions.durable import durable
 from evidentia.functions import labels as L
 from evidentia.operators import evaluation as E
@@ -69,7 +69,7 @@ def f20(t):
       nullif(regexp_extract(s, '\[([^\]]+)\]', 1), '') AS citation FROM l WHERE regexp_matches(s, '^\d+\.')""")
 def f32(t):
     lines = F.filter(F.transform(F.split("answer", "\n"), lambda s: F.trim(s)), lambda s: s.rlike(r"^\d+\."))
-    rows = t("answers").select("report_id", "pos", F.posexplode(lines).alias("i", "s"))
+    rows = unroll(t("answers"), ["report_id", "pos"], lines, "s", "i")
     action = F.trim(F.regexp_replace(F.regexp_replace("s", r"^\d+\.\s*", ""), r"\s*\[[^\]]+\]", ""))
     return rows.select("report_id", "pos", (F.col("i") + 1).alias("step"), action.alias("action"), X.group(F.col("s"), r"\[([^\]]+)\]", 1).alias("citation"))
 
@@ -82,7 +82,7 @@ _CARD = r"\*\*([A-Z]{2,4}-[A-Z0-9]+)\s*([^*]*)\*\*\s*[—-]?\s*([^*]*)"
     SELECT report_id, pos, regexp_extract(card, {S.q(_CARD)}, 1) AS id, coalesce(nullif(trim(regexp_extract(card, {S.q(_CARD)}, 2)), ''), regexp_extract(card, {S.q(_CARD)}, 1)) AS name,
       left(trim(regexp_replace(regexp_extract(card, {S.q(_CARD)}, 3), '^\s+|\s+$', '', 'g')), 220) AS pressure FROM c""")
 def f32_species(t):
-    cards = t("answers").select("report_id", "pos", F.explode(X.find_all(F.col("answer"), _CARD, 0)).alias("card"))
+    cards = unroll(t("answers"), ["report_id", "pos"], X.find_all(F.col("answer"), _CARD, 0), "card")
     g = lambda i: F.regexp_extract("card", _CARD, i)
     return cards.select(
         "report_id", "pos", g(1).alias("id"), F.coalesce(X.non_empty(F.trim(g(2))), g(1)).alias("name"),
@@ -97,7 +97,7 @@ def f32_species(t):
 def f32_causes(t):
     strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
     blocks = F.slice(F.filter(F.transform(F.split("answer", r"\n{2,}"), strip), lambda b: b != ""), 1, 6)
-    rows = t("answers").select("report_id", "pos", F.posexplode(blocks).alias("block_no", "block"))
+    rows = unroll(t("answers"), ["report_id", "pos"], blocks, "block", "block_no")
     term = F.regexp_replace(F.coalesce(X.group(F.col("block"), r"\*\*([^*]+)\*\*", 1), F.lit("Finding")), "[.:]$", "")
     detail = F.regexp_replace(F.regexp_replace("block", r"\*\*", ""), r"\s*\[[^\]]+\]", "")
     return rows.select("report_id", "pos", "block_no", term.alias("term"), X.group(F.col("block"), r"\[([A-Z]{2,4}-[A-Z0-9]+)", 1).alias("record_id"), F.length(detail).alias("chars"))

@@ -8,7 +8,7 @@ from evidentia import params as P
 from evidentia.functions import routing as R
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
-from evidentia.functions.bounds import spread, top_n
+from evidentia.functions.bounds import spread, top_n, unroll
 from evidentia.operators import dense, fusion, lexical
 from evidentia.plans import sqltext as S
 from evidentia.plans.registry import query, shared
@@ -111,18 +111,18 @@ def w1(t):
 
 
 # ---- vectors ----------------------------------------------------------------
-@query("f17_hashed_embedding", "SELECT id AS doc_id, count(*) AS n_buckets, round(sum(wt), 6) AS total, round(sum(wt * wt), 6) AS norm2, round(sum(wt * bucket), 4) AS moment FROM d_vec GROUP BY id")
+@query("f17_hashed_embedding", "SELECT doc_id, count(bucket) AS n_buckets, coalesce(round(sum(wt), 6), 0) AS total, coalesce(round(sum(wt * wt), 6), 0) AS norm2, coalesce(round(sum(wt * bucket), 4), 0) AS moment FROM documents LEFT JOIN d_vec ON id = doc_id GROUP BY doc_id")
 def f17(t):
     v = spread(t("documents")).select("doc_id", V.hashed_vector(F.col("text")).alias("v"))
     add = lambda f: F.aggregate(F.transform("v", f), F.lit(0.0), lambda a, x: a + x)
     return v.select(
         "doc_id", F.size(F.filter("v", lambda x: x > 0)).alias("n_buckets"), F.round(add(lambda x: x), 6).alias("total"),
-        F.round(add(lambda x: x * x), 6).alias("norm2"), F.round(add(lambda x, i: x * i), 4).alias("moment")).where("n_buckets > 0")
+        F.round(add(lambda x: x * x), 6).alias("norm2"), F.round(add(lambda x, i: x * i), 4).alias("moment"))
 
 
 @query("f17_gram_hash", f"SELECT item_id, min(h) AS lowest, max(h) AS highest, CAST(sum(h) AS BIGINT) AS total FROM (SELECT item_id, {S.fnv('w')} AS h FROM (SELECT item_id, unnest({S.words('text')}) AS w FROM benchmark)) GROUP BY item_id")
 def f17_hash(t):
-    hashed = t("benchmark").select("item_id", F.explode(X.cleaned_words(F.col("text"))).alias("w")).select("item_id", V.fnv1a(F.col("w")).alias("h"))
+    hashed = unroll(t("benchmark"), ["item_id"], X.cleaned_words(F.col("text")), "w").select("item_id", V.fnv1a(F.col("w")).alias("h"))
     return hashed.groupBy("item_id").agg(F.min("h").alias("lowest"), F.max("h").alias("highest"), F.sum("h").alias("total"))
 
 
@@ -269,7 +269,7 @@ def w10(t):
     JOIN d_tf tf ON tf.term = q.term AND tf.chunk_id = l.chunk_id WHERE rank <= 6 GROUP BY ALL""")
 def w10_highlights(t):
     docs, asked = documents(t), benchmark(t)
-    placed = asked.select("query_id", F.posexplode(F.array_distinct(X.tokens(F.col("question")))).alias("at", "term"))
+    placed = unroll(asked, ["query_id"], F.array_distinct(X.tokens(F.col("question"))), "term", "at")
     index = lexical.postings(docs, vocabulary=placed)
     hits = top_n(lexical.bm25(index, placed.select("query_id", "term")), ["query_id"], [F.desc("score"), F.asc("chunk_id")], P.FINAL_K)
     rows = index.join(hits.select("query_id", "chunk_id"), "chunk_id").join(placed, ["query_id", "term"])

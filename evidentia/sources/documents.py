@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions.bounds import unroll
 from evidentia import params as P
 from evidentia.functions import text as X
 from evidentia.functions.labels import lookup
@@ -39,7 +40,7 @@ def text_pages(docs: DataFrame, keys: list[str], paragraph: str = "\n{2,}", join
     """Plain text cut into pages on paragraph bounds."""
     paragraphs = F.split(F.col("text"), paragraph)
     pages = X.pack(paragraphs, limit + len(joiner), 0, joiner)
-    return docs.select(*keys, F.posexplode(F.when(F.size(pages) > 0, pages).otherwise(F.array("text"))).alias("page", "text")).withColumn(
+    return unroll(docs, [*keys], F.when(F.size(pages) > 0, pages).otherwise(F.array("text")), "text", "page").withColumn(
         "page", F.col("page") + 1)
 
 

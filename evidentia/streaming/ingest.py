@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions.bounds import unroll
 from evidentia.functions import labels as L
 from evidentia.functions import text as X
 from evidentia.operators.dense import embed
@@ -18,7 +19,7 @@ Chunker = Callable[[DataFrame], DataFrame]
 
 def window_chunks(docs: DataFrame, paragraph: str = "\n") -> DataFrame:
     """Default chunker: labelled windows of each document, with a key that depends on content position only."""
-    rows = docs.select("doc_id", F.posexplode(X.pack_paragraphs(F.col("text"), paragraph=paragraph)).alias("ordinal", "content"))
+    rows = unroll(docs, ["doc_id"], X.pack_paragraphs(F.col("text"), paragraph=paragraph), "content", "ordinal")
     return rows.select(
         F.concat_ws("#", "doc_id", "ordinal").alias("chunk_id"), F.col("doc_id").cast("string").alias("doc_id"), F.col("ordinal").cast("bigint"),
         "content", F.lit("narrative").alias("record_type"), L.region_earliest(F.col("content")).alias("region_id"),
