@@ -25,6 +25,11 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Trim blanks and line ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def non_empty(text: Column) -> Column:
     """NULL for an empty string."""
     return F.nullif(text, F.lit(""))
@@ -150,12 +155,12 @@ def pack(pieces: Column, limit: int, overlap: int, joiner: str, word_edge: bool
             grown = F.when(F.length(buf) > 0, F.concat(buf, F.lit(joiner), piece)).otherwise(piece)
             fresh = F.concat(tail, F.lit(joiner), piece) if overlap else piece
         return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.trim(buf)))).otherwise(acc["done"]).alias("done"),
+            F.when(full, F.concat(acc["done"], F.array(strip(buf)))).otherwise(acc["done"]).alias("done"),
             F.when(full, fresh).otherwise(grown).alias("buf"),
         )
 
     def finish(acc: Column) -> Column:
-        last = F.regexp_replace(acc["buf"], r"^\s+|\s+$", "")
+        last = strip(acc["buf"])
         return F.when(last != "", F.concat(acc["done"], F.array(last))).otherwise(acc["done"])
 
     return F.aggregate(pieces, state, step, finish)
@@ -164,7 +169,7 @@ def pack(pieces: Column, limit: int, overlap: int, joiner: str, word_edge: bool
 def pack_paragraphs(text: Column, limit: int = P.WINDOW_CHARS, overlap: int = P.WINDOW_OVERLAP,
                     paragraph: str = "\n\n") -> Column:
     """Windows on paragraph bounds; a text within the limit is one window."""
-    paragraphs = F.filter(F.split(text, paragraph), lambda p: F.trim(p) != "")
+    paragraphs = F.filter(F.split(text, paragraph), lambda p: p.rlike(r"\S"))
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(pack(paragraphs, limit, overlap, paragraph))
 
 
