@@ -140,21 +140,41 @@ def search_dense(chunks: DataFrame, queries: DataFrame, k: int = P.CANDIDATES, l
     return nearest(units, asked, k, label=label)
 
 
-def nearest_approximate(chunks: DataFrame, queries: DataFrame, k: int, bucket_length: float = 1.0, tables: int = 4,
-                        radius: float = 2.0, seed: int = 42) -> DataFrame:
-    """Approximate best ``k``: random-projection buckets, then exact cosine inside shared buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def train_cells(chunks: DataFrame, cells: int, seed: int = 42, rounds: int = 10):
+    """Cluster the chunk vectors; the model holds ``cells`` centres, a size the caller sets."""
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    left = chunks.select("chunk_id", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
-    right = queries.select("query_id", array_to_vector(F.col("vector").cast("array<double>")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    model = lsh.fit(left)
-    pairs = model.approxSimilarityJoin(left, right, radius, distCol="d")
-    hits = pairs.select(
-        F.col("datasetA.chunk_id").alias("chunk_id"), F.col("datasetB.query_id").alias("query_id"),
-        F.round(1 - F.col("d") * F.col("d") / 2, 6).alias("score"))
-    return top_n(hits, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    points = chunks.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    return KMeans(k=cells, seed=seed, maxIter=rounds).fit(points)
+
+
+def assign_cells(chunks: DataFrame, model) -> DataFrame:
+    """Add the ``cell`` of each chunk. A stored index is partitioned by this column."""
+    from pyspark.ml.functions import array_to_vector
+
+    placed = model.transform(chunks.withColumn("features", array_to_vector(F.col("vector").cast("array<double>"))))
+    return placed.withColumn("cell", F.col("prediction").cast("string")).drop("features", "prediction")
+
+
+def probe_cells(queries: DataFrame, model, probes: int) -> DataFrame:
+    """Queries with the ``allowed`` cells: those of their nearest centres."""
+    centres = queries.sparkSession.createDataFrame(
+        [(str(i), [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "chunk_id string, vector array<double>")
+    hits = nearest(centres, queries, probes)
+    return queries.join(hits.groupBy("query_id").agg(F.collect_list("chunk_id").alias("allowed")), "query_id")
+
+
+def nearest_approximate(placed: DataFrame, queries: DataFrame, model, k: int, probes: int) -> DataFrame:
+    """Best ``k`` among the chunks of each query's nearest cells.
+
+    A hot cell costs no more than its rows: chunks stream past the queries, no bucket is
+    joined or collected. On a table partitioned by ``cell`` only probed cells are read.
+    """
+    asked = probe_cells(queries, model, probes)
+    # At most as many names as the model has centres.
+    wanted = [r["c"] for r in asked.select(F.explode("allowed").alias("c")).distinct().limit(len(model.clusterCenters())).collect()]
+    return nearest(placed.where(F.col("cell").isin(wanted)), asked, k, label="cell")
 
 
 def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:

@@ -66,13 +66,15 @@ def degraded_comparison(sections: DataFrame, title: str, content: str, key: str
         F.expr(f"listagg(part, '\n\n---\n\n') within group (order by {order})").alias("text"))
 
 
-def nest_steps(reports: DataFrame, steps: DataFrame, key: str) -> DataFrame:
-    """Each report with its own steps, in sequence order.
+def with_steps(reports: DataFrame, steps: DataFrame, key: str) -> DataFrame:
+    """Each report beside its own steps as rows; a report without steps keeps one row.
 
-    The steps come back as rows beside the report, clustered by it, so a report with
-    very many steps is never held in one array.
+    Rows, not an array: a report may have very many steps. The inner join lets AQE split
+    a hot report on the side of the steps, which an outer join would not.
     """
-    return reports.join(steps, key, "left")
+    matched = reports.join(steps, key)
+    alone = reports.join(steps.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
 
 
 def latest_per(rows: DataFrame, key: str, when: str, columns: list[str]) -> DataFrame:

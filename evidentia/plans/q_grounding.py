@@ -202,9 +202,9 @@ def g8(t):
 shared("o_scores", "SELECT *, greatest(0, least(1, coalesce(rerank_score, score * 30))) AS shown FROM evidence")
 
 
-@query("f14_display_score", "SELECT report_id, rnk, round(shown, 6) AS shown FROM o_scores")
+@query("f14_display_score", "SELECT report_id, rnk, round(shown, 9) AS shown FROM o_scores")
 def f14(t):
-    return t("evidence").select("report_id", "rnk", F.round(display_score(F.col("score"), F.col("rerank_score")), 6).alias("shown"))
+    return t("evidence").select("report_id", "rnk", F.round(display_score(F.col("score"), F.col("rerank_score")), 9).alias("shown"))
 
 
 def display_score(score, reranked):
@@ -213,7 +213,7 @@ def display_score(score, reranked):
 
 shared("o_facts", """
     SELECT g.report_id, groundedness, top10, coalesce(n, 0) AS sources, d.report_id IS NOT NULL AS conflicted
-    FROM o_gmean g JOIN (SELECT report_id, round(max(shown) * 10, 6) AS top10 FROM o_scores GROUP BY report_id) USING (report_id)
+    FROM o_gmean g JOIN (SELECT report_id, round(max(shown) * 10, 9) AS top10 FROM o_scores GROUP BY report_id) USING (report_id)
     LEFT JOIN (SELECT report_id, count(*) AS n FROM o_cited GROUP BY report_id) USING (report_id) LEFT JOIN o_disputed d USING (report_id)""")
 shared("o_conf", """
     SELECT report_id, CASE WHEN sources = 0 THEN 'insufficient' WHEN groundedness >= 90 AND top10 >= 7.5 AND sources >= 3 AND NOT conflicted THEN 'high'
@@ -227,7 +227,7 @@ def report_facts(t, checked=None):
     """Groundedness, best display score of ten, cited sources and conflict per report."""
     evidence = t("evidence")
     ground = V.merge_groundedness(gates(t) if checked is None else checked).select("report_id", "groundedness")
-    top = evidence.groupBy("report_id").agg(F.round(F.max(display_score(F.col("score"), F.col("rerank_score"))) * 10, 6).alias("top10"))
+    top = evidence.groupBy("report_id").agg(F.round(F.max(display_score(F.col("score"), F.col("rerank_score"))) * 10, 9).alias("top10"))
     sources = V.resolve_citations(t("answers"), evidence).groupBy("report_id").agg(F.count("*").alias("sources"))
     marks = V.conflicts(evidence).select("report_id", F.lit(True).alias("conflicted"))
     return ground.join(top, "report_id").join(sources, "report_id", "left").join(marks, "report_id", "left").fillna(

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidentia import params as P
 from evidentia.functions import routing as R
 from evidentia.functions import text as X
-from evidentia.functions.bounds import first_per, spread, top_n, unroll
+from evidentia.functions.bounds import spread, top_n, unroll
 from evidentia.functions.labels import one_of
+from evidentia.functions.scan import previous_value
 from evidentia.operators import listing as LS
 from evidentia.plans import sqltext as S
 from evidentia.plans.registry import query, shared
@@ -116,8 +116,7 @@ def u2(t):
       SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prior FROM conversations WHERE role = 'user')""")
 def f29(t):
     users = t("conversations").where("role = 'user'")
-    prior = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = users.withColumn("prior", prior)
+    rows = previous_value(users, "conv_id", "turn", "text", "prior")
     return rows.select("conv_id", "turn", F.when(F.col("prior").isNotNull() & (F.length("text") <= 120), F.concat_ws(" ", "prior", "text")).otherwise(F.col("text")).alias("question"))
 
 

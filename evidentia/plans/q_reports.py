@@ -256,7 +256,7 @@ def j4(t):
     SELECT r.report_id, s.sequence_number, s.step_type FROM reports r LEFT JOIN agent_steps s ON s.run_id = r.report_id""")
 def j5(t):
     steps = t("agent_steps").select(F.col("run_id").alias("report_id"), "sequence_number", "step_type")
-    return RP.nest_steps(t("reports").select("report_id"), steps, "report_id")
+    return RP.with_steps(t("reports").select("report_id"), steps, "report_id")
 
 
 # ---- evaluation -------------------------------------------------------------

@@ -185,7 +185,8 @@ def r2(t):
 def r4(t):
     chunks, asked = _emb_pair(t)
     exact = dense.nearest(chunks, asked, 10)
-    near = dense.nearest_approximate(chunks, asked, 10)
+    model = dense.train_cells(chunks, 16)
+    near = dense.nearest_approximate(dense.assign_cells(chunks, model), asked, model, 10, probes=6)
     return dense.recall(exact, near)
 
 

@@ -136,7 +136,11 @@ def test_approximate_recall(spark):
     m, chunks = vectors(spark, 200)
     asked = spark.createDataFrame([(i, m[i].tolist()) for i in range(10)], "query_id long, vector array<double>")
     exact = dense.nearest(chunks, asked, 5)
-    near = dense.nearest_approximate(chunks, asked, 5, bucket_length=2.0, tables=6)
+    model = dense.train_cells(chunks, 8)
+    placed = dense.assign_cells(chunks, model)
+    near = dense.nearest_approximate(placed, asked, model, 5, probes=5)
+    everything = dense.recall(exact, dense.nearest_approximate(placed, asked, model, 5, probes=8))
+    assert everything.where("n_found < n_exact").count() == 0
     found = dense.recall(exact, near).agg(F.sum("n_found"), F.sum("n_exact")).first()
     assert found[0] / found[1] > 0.8
 
