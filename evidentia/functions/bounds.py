@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting the side; a larger one is left to AQE's shuffle joins."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Count a side before hinting its broadcast; a larger one is left to AQE's shuffle joins."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

@@ -7,13 +7,13 @@ over that row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia import params as P
 from evidentia.functions import labels as L
 from evidentia.functions import text as X
-from evidentia.functions.bounds import first_per, unroll
+from evidentia.functions.bounds import first_per, top_n, unroll
 
 STRINGS = "array<string>"
 
@@ -251,16 +251,10 @@ def resolve_citations(answers: DataFrame, evidence: DataFrame, key: str = "repor
     mentioned = cited_markers(answers, [key, order]).groupBy(key, "citation_id").agg(F.min(F.struct(order, "marker_no")).alias("first"))
     known = first_per(evidence, [key, "citation_id"], [F.asc("rnk")])
     resolved = known.join(mentioned, [key, "citation_id"])
-    place = F.row_number().over(F_window(key, "first"))
+    place = F.row_number().over(Window.partitionBy(key).orderBy("first"))
     return resolved.withColumn("marker", place).drop("first")
 
 
-def F_window(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
-
-
 def invented_citations(answers: DataFrame, evidence: DataFrame, keys: list[str], key: str = "report_id") -> DataFrame:
     """Markers that resolve to no evidence."""
     return cited_markers(answers, keys).join(evidence.select(key, "citation_id"), [key, "citation_id"], "left_anti")
@@ -313,6 +307,5 @@ def simple_confidence(cited: Column, top: Column, disputed: Column) -> Column:
 
 
 def first_three(evidence: DataFrame, key: str = "report_id") -> DataFrame:
-    from evidentia.functions.bounds import top_n
-
+    """The best three by display score ``shown``."""
     return top_n(evidence, [key], [F.desc("shown"), F.asc("rnk")], 3, "r")

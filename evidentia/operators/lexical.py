@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia import params as P
-from evidentia.functions.bounds import broadcast_if_small, top_n, unroll
+from evidentia.functions.bounds import is_small, top_n, unroll
 from evidentia.functions.text import tokens
 
 
@@ -17,12 +17,13 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", question: str =
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
-             vocabulary: DataFrame | None = None, label: str | None = None) -> DataFrame:
+             vocabulary: DataFrame | None = None, label: str | None = None, small: bool | None = None) -> DataFrame:
     """(chunk, term, tf, len[, label]), plus one row with an empty term that stands for the chunk itself.
 
     The marker row keeps chunks without terms in the statistics. Rows are placed by
     chunk, so term counts, and later (query, chunk) sums, need no further shuffle.
-    With ``vocabulary`` other terms are dropped before the shuffle. Every reader uses
+    With ``vocabulary`` other terms are dropped before the shuffle; ``small`` passes on
+    a size check that the caller has made on it. Every reader uses
     ``len`` and filters nothing below the exchange, so one plan tokenises once and
     reuses the exchange for statistics and scores.
     """
@@ -33,7 +34,8 @@ def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
     if vocabulary is not None:
         marker = chunks.sparkSession.range(1).select(F.lit("").alias("term"))
         wanted = vocabulary.select("term").distinct().unionByName(marker)
-        rows = rows.join(broadcast_if_small(wanted), "term", "left_semi")
+        hinted = F.broadcast(wanted) if (is_small(wanted) if small is None else small) else wanted
+        rows = rows.join(hinted, "term", "left_semi")
     return rows.repartition("chunk_id").groupBy("chunk_id", "term").agg(
         F.count("len").alias("tf"), F.first("len").alias("len"), *[F.first("label").alias("label") for _ in carried])
 
@@ -58,16 +60,17 @@ def term_statistics(index: DataFrame) -> DataFrame:
         "term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def term_hits(index: DataFrame, qterms: DataFrame) -> DataFrame:
+def term_hits(index: DataFrame, qterms: DataFrame, small: bool | None = None) -> DataFrame:
     """(query, chunk, term, part): the contribution of each query term to each chunk."""
     stats = corpus_statistics(index).select(F.struct("n", "avg_len")).scalar()
-    asked = broadcast_if_small(qterms)
+    small = is_small(qterms) if small is None else small
+    asked = F.broadcast(qterms) if small else qterms
     allowed = [c for c in ("allowed",) if c in qterms.columns]
     weights = (
         term_counts(index).join(asked, "term")
         .select("query_id", *allowed, "term", "df", stats["n"].alias("n"), stats["avg_len"].alias("avg_len"))
         .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
-    if asked is not qterms:
+    if small:
         # One row per query term: bounded by the side just checked.
         weights = F.broadcast(weights)
     tf = F.col("tf")
@@ -79,9 +82,9 @@ def term_hits(index: DataFrame, qterms: DataFrame) -> DataFrame:
         "query_id", "chunk_id", "term", (F.col("idf") * (tf * (P.BM25_K1 + 1) / (tf + damp))).alias("part"))
 
 
-def bm25(index: DataFrame, qterms: DataFrame) -> DataFrame:
+def bm25(index: DataFrame, qterms: DataFrame, small: bool | None = None) -> DataFrame:
     """(query, chunk, score, n_matched)."""
-    return term_hits(index, qterms).groupBy("query_id", "chunk_id").agg(
+    return term_hits(index, qterms, small).groupBy("query_id", "chunk_id").agg(
         F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("n_matched"))
 
 
@@ -93,8 +96,10 @@ def search_lexical(chunks: DataFrame, queries: DataFrame, k: int = P.CANDIDATES,
     before the cut; corpus statistics stay those of all chunks.
     """
     qterms = query_terms(queries if label else queries.drop("allowed"))
-    index = postings(chunks, chunk_id, text, vocabulary=qterms, label=label)
-    return top_n(bm25(index, qterms), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    # One count bounds both sides that are broadcast: the vocabulary is no larger than the question terms.
+    small = is_small(qterms)
+    index = postings(chunks, chunk_id, text, vocabulary=qterms, label=label, small=small)
+    return top_n(bm25(index, qterms, small), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def matched_terms(index: DataFrame, qterms: DataFrame, hits: DataFrame) -> DataFrame:

@@ -112,18 +112,20 @@ def outline(lines: DataFrame, end_level: int = 3) -> DataFrame:
     ``end_level`` or less. ``record_id`` is the empty string outside of records.
     """
     text = F.col("text")
-    record = text.rlike(P.MD_RECORD_HEADING)
-    level = F.length(F.regexp_extract(text, P.MD_HEADING, 1))
-    heading = text.rlike(P.MD_HEADING)
-    boundary = record | (heading & (level <= end_level))
+    # Body lines fail the prefix tests, so the patterns run on headings and markers alone.
+    hashed = text.startswith("#")
+    record = hashed & text.rlike(P.MD_RECORD_HEADING)
+    heading = hashed & text.rlike(P.MD_HEADING)
+    level = F.when(heading, F.length(F.regexp_extract(text, P.MD_HEADING, 1)))
+    boundary = F.coalesce(record | (heading & (level <= end_level)), F.lit(False))
     marked = place_blocks(lines, "doc_id", "line_no").select(
         "*", F.when(boundary, F.col("line_no")).alias("segment"),
         F.when(record, F.regexp_extract(text, P.MD_RECORD_HEADING, 1)).when(boundary, F.lit("")).alias("record_id"),
         F.when(record, F.trim(F.regexp_extract(text, P.MD_RECORD_HEADING, 2))).when(boundary, F.lit("")).alias("title"),
         F.when(heading, F.col("line_no")).alias("piece"),
-        F.when(text.rlike(P.MD_CHAPTER), F.concat(
+        F.when(hashed & text.rlike(P.MD_CHAPTER), F.concat(
             F.regexp_extract(text, P.MD_CHAPTER, 1), F.lit(" · "), F.trim(F.regexp_extract(text, P.MD_CHAPTER, 2)))).alias("chapter"),
-        X.group(text, P.PAGE_MARKER, 1).cast("bigint").alias("page"))
+        F.when(text.startswith("[["), X.group(text, P.PAGE_MARKER, 1)).cast("bigint").alias("page"))
     return carry_forward(marked, "doc_id", "line_no", ["segment", "record_id", "title", "piece", "chapter", "page"])
 
 
