@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import quality
+from evidentia.llm import pieces, quality, simhash, urls
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_quality_rules": quality.op8_quality_rules}
-CHECKS: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filters": urls.op3_url_filters,
+    "op8_quality_rules": quality.op8_quality_rules,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_simhash": simhash.op10_simhash,
+}
+CHECKS: dict[str, str] = {"op3_url_filters": urls.OP3_SQL}
