@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import licences, markup, pieces, quality, simhash, urls
+from evidentia.llm import decontaminate, licences, markup, pieces, quality, simhash, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": urls.op3_url_filters,
     "op5_html_extraction": markup.op5_html_extraction,
     "op6_license_scan": licences.op6_license_scan,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_simhash": simhash.op10_simhash,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,5 +76,38 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
-def unique_name(prefix: str) -> str:
-    return f"{prefix}_{uuid.uuid4().hex[:12]}"
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a bound. Made inside a task and gone with it."""
+
+    BOUND = 500_000
+
+    def __missing__(self, word: str | bytes) -> int:
+        if len(self) >= self.BOUND:
+            self.clear()
+        out = self[word] = xxhash.xxh64_intdigest(word)
+        return out
+
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def windows_hashed(hashes: np.ndarray, length: int, multiplier: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """One hash for each window of ``length`` elements: a polynomial modulo 2 ** 64 by doubling, mixed at the end."""
+    n = len(hashes) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    power, run, width = np.uint64(multiplier), hashes, 1
+    out, done = None, 0
+    with np.errstate(over="ignore"):
+        while True:
+            if length & width:
+                # ``out`` covers ``done`` elements from each place; append ``width`` more.
+                out, done = (run if out is None else out[:len(run) - done] * power + run[done:done + len(out)][:len(run) - done]), done + width
+            if 2 * width > length:
+                break
+            run = run[:-width] * power + run[width:]
+            power = power * power
+            width *= 2
+        out = out[:n]
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
