@@ -19,7 +19,6 @@ repeat are reported each; a document without a match has no row; without items o
 from __future__ import annotations
 
 import math
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -38,12 +37,13 @@ SEED = 7
 BLOCK_WORDS = 1_000_000
 #: Words handled at a time in a task.
 SLICE_WORDS = 1 << 20
-WORD = re.compile(r"\w+")
 _NO_WORD = np.uint64(0)
+#: Words are runs of letters, digits and characters outside ASCII, in lower case.
+_WORD_BYTES = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").lower().encode().translate(_WORD_BYTES).split()
 
 
 def edits_allowed(n: int) -> int:
@@ -95,6 +95,12 @@ def distances(item: np.ndarray, stretches: np.ndarray) -> tuple[np.ndarray, np.n
     return row[np.arange(rows), end], end
 
 
+def _runs(values: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    cuts = [*np.nonzero(np.diff(values))[0] + 1]
+    return zip([0, *cuts], [*cuts, len(values)], strict=True) if len(values) else iter(())
+
+
 class ItemIndex:
     """Items of one block: their runs of words and their embeddings."""
 
@@ -114,7 +120,13 @@ class ItemIndex:
         for length, found in runs.items():
             found.sort()
             self.runs[length] = (np.array([f[0] for f in found], np.uint64), np.array([f[1:] for f in found], np.int64))
-        self.samples = [embed(w[None, :])[0] for w in self.words]
+        # Items of one length are embedded together; ``place`` is an item's row among them.
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.place, self.samples = np.zeros(len(self.words), np.int64), {}
+        for n in np.unique(self.sizes):
+            same = np.nonzero(self.sizes == n)[0]
+            self.place[same] = np.arange(len(same))
+            self.samples[int(n)] = embed(np.stack([self.words[i] for i in same]))
 
     def windows(self, text: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Distinct rows of item and start in ``text`` (documents one after another, apart by a word of their own)."""
@@ -141,22 +153,31 @@ class ItemIndex:
         ``first`` holds where each document starts in ``text``, and one more entry for the end.
         """
         found = self.windows(text, owner)
-        cuts = np.nonzero(np.diff(found[:, 0], prepend=-1))[0]
-        for low, high in zip(cuts, [*cuts[1:], len(found)], strict=True):
-            number = int(found[low, 0])
-            item, sample = self.words[number], self.samples[number]
-            n, e = len(item), edits_allowed(len(item))
-            for start in range(low, high, max(1, SLICE_WORDS // (n + 2 * e))):
-                part = found[start:min(high, start + max(1, SLICE_WORDS // (n + 2 * e)))]
-                begin, end = first[part[:, 2]], first[part[:, 2] + 1]
-                near = (embed(self._cut(text, part[:, 1], n, begin, end)) == sample).all(axis=2).any(axis=1)
-                part, begin, end = part[near], begin[near], end[near]
-                if not len(part):
-                    continue
-                distance, stop = distances(item, self._cut(text, part[:, 1] - e, n + 2 * e, begin, end))
-                stop = stop + part[:, 1] - e - begin
-                for row in np.nonzero(distance <= e)[0]:
-                    yield int(part[row, 2]), number, int(stop[row]), int(distance[row])
+        size = self.sizes[found[:, 0]]
+        for n in np.unique(size):
+            for part in self._near(text, found[size == n], int(n), first):
+                for low, high in _runs(part[:, 0]):
+                    yield from self._verified(text, part[low:high], int(n), first)
+
+    def _near(self, text: np.ndarray, found: np.ndarray, n: int, first: np.ndarray) -> Iterator[np.ndarray]:
+        """Windows of ``n`` words that agree with their item in all samples of a walk."""
+        rows = max(1, SLICE_WORDS // (n * REPEATS))
+        for start in range(0, len(found), rows):
+            part = found[start:start + rows]
+            taken = embed(self._cut(text, part[:, 1], n, first[part[:, 2]], first[part[:, 2] + 1]))
+            yield part[(taken == self.samples[n][self.place[part[:, 0]]]).all(axis=2).any(axis=1)]
+
+    def _verified(self, text: np.ndarray, found: np.ndarray, n: int, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """The windows of one item that are within the allowed distance."""
+        number, e = int(found[0, 0]), edits_allowed(n)
+        rows = max(1, SLICE_WORDS // (n + 2 * e))
+        for start in range(0, len(found), rows):
+            part = found[start:start + rows]
+            begin = first[part[:, 2]]
+            distance, stop = distances(self.words[number], self._cut(text, part[:, 1] - e, n + 2 * e, begin, first[part[:, 2] + 1]))
+            stop = stop + part[:, 1] - e - begin
+            for row in np.nonzero(distance <= e)[0]:
+                yield int(part[row, 2]), number, int(stop[row]), int(distance[row])
 
     @staticmethod
     def _cut(text: np.ndarray, start: np.ndarray, width: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -213,7 +234,7 @@ def _search(docs: DataFrame, index, schema: str) -> DataFrame:
         if not out:
             return None
         lines, items, stops, distance = map(np.array, zip(*out, strict=True))
-        lengths = np.array([len(w) for w in known.words])[items]
+        lengths = known.sizes[items]
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(lines)), pa.array([known.ids[i] for i in items]), pa.array(stops.astype(np.int64)),
              pa.array(lengths.astype(np.int64)), pa.array(distance.astype(np.int64)), pa.array(1 - distance / lengths)],
