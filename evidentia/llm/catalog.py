@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import decontaminate, licences, markup, pieces, quality, simhash, suffixes, urls
+from evidentia.llm import chunks, decontaminate, licences, markup, pieces, quality, simhash, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": suffixes.op1_suffix_array,
     "op3_url_filters": urls.op3_url_filters,
+    "op4_substring_dedup": chunks.op4_substring_dedup,
     "op5_html_extraction": markup.op5_html_extraction,
     "op6_license_scan": licences.op6_license_scan,
     "op7_decontamination": decontaminate.op7_decontamination,
