@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import chunks, decontaminate, licences, markup, pieces, quality, simhash, suffixes, urls
+from evidentia.llm import chunks, decontaminate, licences, markup, pieces, quality, revisits, simhash, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": suffixes.op1_suffix_array,
+    "op2_revisit_resolution": revisits.op2_revisit_resolution,
     "op3_url_filters": urls.op3_url_filters,
     "op4_substring_dedup": chunks.op4_substring_dedup,
     "op5_html_extraction": markup.op5_html_extraction,
@@ -19,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_simhash": simhash.op10_simhash,
 }
-CHECKS: dict[str, str] = {"op3_url_filters": urls.OP3_SQL}
+CHECKS: dict[str, str] = {"op2_revisit_resolution": revisits.OP2_SQL, "op3_url_filters": urls.OP3_SQL}
