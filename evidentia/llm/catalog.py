@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from evidentia.llm import chunks, decontaminate, licences, markup, pieces, quality, revisits, simhash, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,5 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_simhash": simhash.op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 CHECKS: dict[str, str] = {"op2_revisit_resolution": revisits.OP2_SQL, "op3_url_filters": urls.OP3_SQL}

@@ -201,48 +201,64 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
         yield block
 
 
-def _search(docs: DataFrame, index, schema: str) -> DataFrame:
-    """Matches of the items of one broadcast index."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        known: ItemIndex = index.value
-        hashes, out = WordHashes(), []
-        texts = batch.column(1).to_pylist()
-
-        def flush(rows: list[int], parts: list[np.ndarray]) -> None:
+def _found(known: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
+    """Row, item, end in words and distance of the best match of each row and item."""
+    hashes, out = WordHashes(), []
+    rows, parts, held = [], [], 0
+    for row, text in enumerate([*texts, None]):
+        words = hashes.of(words_of(text))
+        if len(words):
+            rows.append(row)
+            parts.append(words)
+            held += len(words)
+        if rows and (held >= SLICE_WORDS or row == len(texts)):
             sizes = np.array([len(p) for p in parts])
             first = np.concatenate([[0], np.cumsum(sizes)])
-            # A hash that no word has between documents would be one more element; runs over an edge are cut by ``_cut``.
-            text, owner = np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes)
             best: dict[tuple[int, int], tuple[int, int]] = {}
-            for doc, item, stop, distance in known.matches(text, owner, first):
+            # Runs over the edge of two documents give windows that ``_cut`` keeps inside the one they start in.
+            for doc, item, stop, distance in known.matches(np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes), first):
                 best[doc, item] = min(best.get((doc, item), (distance, stop)), (distance, stop))
-            out.extend((rows[doc], item, stop, distance) for (doc, item), (distance, stop) in best.items())
+            out += [(rows[doc], item, stop, distance) for (doc, item), (distance, stop) in best.items()]
+            rows, parts, held = [], [], 0
+    return out
 
-        rows, parts, held = [], [], 0
-        for row, text in enumerate(texts):
-            words = hashes.of(words_of(text))
-            if len(words):
-                rows.append(row)
-                parts.append(words)
-                held += len(words)
-            if held >= SLICE_WORDS:
-                flush(rows, parts)
-                rows, parts, held = [], [], 0
-        if rows:
-            flush(rows, parts)
-        if not out:
+
+def _search(docs: DataFrame, index, schema: str) -> DataFrame:
+    """Matches of the items of one broadcast index."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        known: ItemIndex = index.value
+        found = _found(known, batch.column(1).to_pylist())
+        if not found:
             return None
-        lines, items, stops, distance = map(np.array, zip(*out, strict=True))
+        lines, items, stops, distance = (np.array(c, np.int64) for c in zip(*found, strict=True))
         lengths = known.sizes[items]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(lines)), pa.array([known.ids[i] for i in items]), pa.array(stops.astype(np.int64)),
-             pa.array(lengths.astype(np.int64)), pa.array(distance.astype(np.int64)), pa.array(1 - distance / lengths)],
+            [batch.column(0).take(pa.array(lines)), pa.array([known.ids[i] for i in items]), pa.array(stops), pa.array(lengths),
+             pa.array(distance), pa.array(1 - distance / lengths)],
             ["doc_id", "item_id", "end_word", "item_words", "distance", "similarity"])
 
     return map_batches(docs.select("doc_id", "text"), work, schema)
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without the rows that hold an item; decided row by row, so nothing is joined."""
+    spark, text = docs.sparkSession, docs.columns.index("text")
+
+    def without(index):
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[f[0] for f in _found(index.value, batch.column(text).to_pylist())]] = False
+            return batch.filter(pa.array(clean))
+
+        return work
+
+    out = docs
+    for block in _blocks(items):
+        out = map_batches(out, without(spark.sparkContext.broadcast(ItemIndex(block))), docs.schema)
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Each document row and item it holds: where the best match ends (in words), its distance and similarity."""
     spark = docs.sparkSession

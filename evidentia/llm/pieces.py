@@ -182,35 +182,27 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id``, ``ids`` (begin and end included) and ``decoded`` of every row; ``path`` is read on the executors."""
+    """``doc_id``, ``n_tokens`` and ``ids`` (begin and end included) of every row, with digests of the IDs and of the text
+    they decode to, which are made where the IDs are. ``path`` is read on the executors."""
     model = path or vocabulary_path()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = encoder(model)
-        coded = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
-        ids = pa.array([np.frombuffer(i, "<u4").view(np.int32) for i, _ in coded], pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array([d.decode() for _, d in coded])], ["doc_id", "ids", "decoded"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, ids array<int>, decoded string")
-
-
-def digest_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``encode_documents`` with the IDs and the decoded text reduced to a count and digests where they are made."""
-    model = path or vocabulary_path()
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        coder = encoder(model)
-        rows = []
+        coded, rows = [], []
         for text in batch.column(1).to_pylist():
             ids, decoded = coder.encode(text or "")
+            coded.append(ids)
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        columns = [pa.array(c) for c in zip(*rows, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        counts, *digests = (pa.array(c) for c in zip(*rows, strict=True))
+        ends = np.concatenate([[0], np.cumsum(counts.to_numpy())]).astype(np.int32)
+        flat = np.frombuffer(b"".join(coded), "<u4").view(np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+        return pa.RecordBatch.from_arrays([batch.column(0), counts, *digests, ids], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", "text"), work, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
+    return map_batches(docs.select("doc_id", "text"), work, schema)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(table(spark, sf_dir, "documents")).drop("ids")
