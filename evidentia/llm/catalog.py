@@ -22,4 +22,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash": simhash.op10_simhash,
     "pipeline": corpus_pipeline.run,
 }
-CHECKS: dict[str, str] = {"op2_revisit_resolution": revisits.OP2_SQL, "op3_url_filters": urls.OP3_SQL}
+CHECKS: dict[str, str] = {"op1_suffix_array": suffixes.OP1_SQL, "op2_revisit_resolution": revisits.OP2_SQL, "op3_url_filters": urls.OP3_SQL}

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.llm.common import WordHashes, map_batches, table, windows_hashed
 
@@ -223,7 +224,7 @@ def _found(known: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, in
     return out
 
 
-def _search(docs: DataFrame, index, schema: str) -> DataFrame:
+def _search(docs: DataFrame, index, schema: str, id_type: pa.DataType) -> DataFrame:
     """Matches of the items of one broadcast index."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -234,7 +235,7 @@ def _search(docs: DataFrame, index, schema: str) -> DataFrame:
         lines, items, stops, distance = (np.array(c, np.int64) for c in zip(*found, strict=True))
         lengths = known.sizes[items]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(lines)), pa.array([known.ids[i] for i in items]), pa.array(stops), pa.array(lengths),
+            [batch.column(0).take(pa.array(lines)), pa.array([known.ids[i] for i in items], id_type), pa.array(stops), pa.array(lengths),
              pa.array(distance), pa.array(1 - distance / lengths)],
             ["doc_id", "item_id", "end_word", "item_words", "distance", "similarity"])
 
@@ -264,9 +265,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     kind = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id"))]
     schema = f"doc_id {kind[0]}, item_id {kind[1]}, end_word long, item_words long, distance long, similarity double"
+    id_type = to_arrow_type(items.schema["item_id"].dataType)
     out = spark.createDataFrame([], schema)
     for block in _blocks(items):
-        out = out.union(_search(docs, spark.sparkContext.broadcast(ItemIndex(block)), schema))
+        out = out.union(_search(docs, spark.sparkContext.broadcast(ItemIndex(block)), schema, id_type))
     return out
 
 

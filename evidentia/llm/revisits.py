@@ -11,7 +11,7 @@ replace those of the response, but for the fields that describe a body or a conn
 Defined results: a capture without URL or time, or without an earlier response, is ``unmatched``; a response at the same
 time is not earlier; of two responses at one time the one with the larger ``record_id`` is the later; validators that
 differ make it ``changed``, none to compare make it ``unchecked``, and neither has merged headers; names of header fields
-are lower-cased, of fields that then share a name the last counts; rows that repeat are resolved each.
+are lower-cased, of fields that then share a name the one spelled last in order counts; rows that repeat are resolved each.
 """
 
 from __future__ import annotations
@@ -42,8 +42,8 @@ def canonical_url(url: Column) -> Column:
 
 
 def _named(headers: Column) -> Column:
-    """Header fields with names in lower case; of fields that share one the last stays."""
-    fields = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
+    """Header fields with names in lower case; of fields that share one the last in order of spelling stays."""
+    fields = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
     return F.filter(fields, lambda e, i: ~F.exists(F.slice(fields, i + 2, F.size(fields)), lambda x: x["name"] == e["name"]))
 
 

@@ -9,7 +9,7 @@ extension needs to look at ``RUNS - 1`` words on either side, wherever the passa
 
 A passage of ``MIN_WORDS + RUNS - 1`` words or more is found in full length among any other copies; a shorter one of at
 least ``MIN_WORDS`` is found unless a copy of its core with other words around it sorts between its copies. What is
-reported does repeat. Words beside a core are compared by 16 bits of their hashes.
+reported does repeat. Words beside a core are compared by 32 bits of their hashes.
 
 Skew: counts of cores are summed up per task before they move, and the sort cuts its ranges by document and place last,
 so the copies of one passage spread over many tasks; rows next to the cuts are compared in a second, small step.
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import WordHashes, fresh, map_batches, stage, table, windows_hashed
@@ -74,18 +74,14 @@ def _kind(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def _beside(docs: DataFrame, groups: DataFrame) -> Column:
-    return docs["doc_id"].eqNullSafe(groups["__id"])
-
-
 def suffixes(docs: DataFrame) -> DataFrame:
-    """Suffixes whose core repeats, with the words before and behind the core (two bytes each, none is zero)."""
+    """Suffixes whose core repeats, with the words before and behind the core (four bytes each, none is zero)."""
     cores = suffix_cores(docs)
     repeated = stage(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     held = cores.join(repeated, "core").groupBy("doc_id").agg(F.collect_set("core").alias("cores"))
     held = held.select(F.col("doc_id").alias("__id"), "cores")
     texts = docs.select("doc_id", "text")
-    joined = texts.join(held, _beside(texts, held)).select("doc_id", "text", "cores")
+    joined = texts.join(held, texts["doc_id"].eqNullSafe(held["__id"])).select("doc_id", "text", "cores")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         hashes, rows, parts = WordHashes(), [], []
@@ -97,8 +93,8 @@ def suffixes(docs: DataFrame) -> DataFrame:
             shared = np.isin(core, known[row].values.to_numpy())
             kept, core = kept[shared], core[shared]
             if len(kept):
-                short = np.maximum((words >> np.uint64(48)).astype(np.uint16), 1)
-                padded = np.concatenate([np.zeros(SIDE, np.uint16), short, np.zeros(SIDE, np.uint16)])
+                short = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
+                padded = np.concatenate([np.zeros(SIDE, np.uint32), short, np.zeros(SIDE, np.uint32)])
                 step = np.arange(SIDE)
                 after = padded[kept[:, None] + SIDE + CORE + step]
                 before = padded[kept[:, None] + SIDE - 1 - step]
@@ -107,7 +103,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
         if not rows:
             return None
         core, after, before, place = (np.concatenate(p) for p in zip(*parts, strict=True))
-        sides = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * SIDE), len(core), [None, pa.py_buffer(x.astype(">u2").tobytes())]).cast(pa.binary()) for x in (after, before)]
+        sides = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SIDE), len(core), [None, pa.py_buffer(x.astype(">u4").tobytes())]).cast(pa.binary()) for x in (after, before)]
         ids = batch.column(0).take(pa.array(np.concatenate(rows)))
         return pa.RecordBatch.from_arrays([pa.array(core), *sides, ids, pa.array(place)], ["core", "after", "before", "doc_id", "place"])
 
@@ -115,7 +111,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 
 def _sides(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u2").reshape(len(column), SIDE)
+    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(len(column), SIDE)
 
 
 def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -246,10 +242,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     marked = found.join(first, "core").where(~place.eqNullSafe(F.col("__first")))
     earlier = lambda c: F.max(F.when(F.col("later"), F.col(c)).otherwise(0))
     cuts = marked.groupBy("doc_id", "core", "place").agg(earlier("left").alias("left"), earlier("right").alias("right"))
-    held = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "core", "left", "right")).alias("cuts"))
-    held = held.select(F.col("doc_id").alias("__id"), "cuts")
-    [column] = fresh(docs, "__cuts")
-    joined = docs.join(held, _beside(docs, held), "left").withColumn(column, F.col("cuts")).select(*docs.columns, column)
+    [key, column] = fresh(docs, "__id", "__cuts")
+    held = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "core", "left", "right")).alias(column))
+    held = held.select(F.col("doc_id").alias(key), column)
+    joined = docs.join(held, docs["doc_id"].eqNullSafe(held[key]), "left").drop(key)
     names = docs.columns
     text_at, cuts_at = names.index("text"), len(names)
 
@@ -282,3 +278,17 @@ def _cut(text: str, cuts: list[dict], hashes: WordHashes) -> str:
 
 def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = rf"""
+WITH texts AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+split AS (SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM texts),
+windows AS (
+    SELECT doc_id, s, md5(array_to_string(words[s + 1:s + {MIN_WORDS}], ' ')) AS h
+    FROM (SELECT doc_id, words, unnest(range(len(words) - {MIN_WORDS} + 1)) AS s FROM split WHERE len(words) >= {MIN_WORDS})),
+again AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+found AS (SELECT doc_id, s FROM windows SEMI JOIN again USING (h)),
+opened AS (SELECT *, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + {MIN_WORDS} THEN 1 ELSE 0 END AS fresh FROM found),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM opened)
+SELECT doc_id, min(s) AS start_word, max(s) + {MIN_WORDS} AS end_word, max(s) + {MIN_WORDS} - min(s) AS n_words FROM islands GROUP BY doc_id, island
+"""
