@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in its settings; a temporary one only where none is set, as in tests."""
-    return spark.conf.get(SETTING, None) or tempfile.mkdtemp(prefix="spark-")
+    """The folder the cluster names in its settings. Only a local session may go without, as in tests."""
+    folder = spark.conf.get(SETTING, None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError(f"{SETTING} must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def work_folder(spark: SparkSession, name: str) -> str:

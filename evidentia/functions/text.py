@@ -73,7 +73,9 @@ def reflow(lines: Column) -> Column:
     joined = F.regexp_replace(F.array_join(lines, " "), r"(\w)-\s+(\w)", "$1$2")
     joined = F.trim(F.regexp_replace(joined, r"\s{2,}", " "))
     parts = find_all(joined, r"([^.!?]+[.!?]+(?:\s|$)|[^.!?]+$)")
-    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
+    # A text of nothing but end marks is one sentence.
+    whole = F.when((F.size(parts) == 0) & (joined != ""), F.array(joined)).otherwise(parts)
+    return F.filter(F.transform(whole, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def sentence_key(sentence: Column) -> Column:

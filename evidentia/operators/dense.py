@@ -8,13 +8,17 @@ from pyspark.sql import types as T
 
 from evidentia import params as P
 from evidentia.functions.bounds import top_n
+from evidentia.functions.ship import ship
 from evidentia.functions.vectors import hashed_vector
 
 QUERY_BLOCK = 4096
+#: Scores that a task holds at a time (8 bytes each).
+SCORES = 1 << 22
 
 
 def embed(df: DataFrame, text: str = "text", vector: str = "vector", dim: int = P.HASH_DIM) -> DataFrame:
     """Add the hashed unit vector of a text column. A narrow stage, no shuffle."""
+    ship(df.sparkSession)
     return df.withColumn(vector, hashed_vector(F.col(text), dim))
 
 
@@ -61,31 +65,40 @@ def _scorer(query_ids, matrix, allowed, k: int, out_id, id_type):
         shut = np.array([[a is not None and name not in a for a in allowed] for name in names])
         return shut[codes]
 
+    tile = max(1, SCORES // max(1, n_queries))
+
+    def tiles(batches):
+        """Rows in parts whose scores for all queries of the block stay within a bound."""
+        for batch in batches:
+            if batch.num_rows:
+                ids = np.asarray(batch.column(0).to_pylist())
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                labels = None if allowed is None else np.asarray(batch.column(2).to_pylist(), dtype=object).astype(str)
+                for low in range(0, len(ids), tile):
+                    yield low, ids[low:low + tile], flat[low:low + tile], labels
+
     def score(batches):
         held, rows = [], 0
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            ids = np.asarray(batch.column(0).to_pylist())
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(flat.reshape(n, -1) @ matrix.T, 6) + 0.0
+        for low, ids, vectors, labels in tiles(batches):
+            n = len(ids)
+            scores = np.round(vectors @ matrix.T, 6) + 0.0
             if allowed is not None:
-                scores[barred(np.asarray(batch.column(2).to_pylist(), dtype=object).astype(str))] = -9.0
-            # One integer per cell orders by score, then by id within the batch.
-            rank = np.empty(n, dtype=np.int64)
-            rank[np.argsort(ids, kind="stable")] = np.arange(n)
-            key = np.rint(scores * 1e6).astype(np.int64) * (1 << 31) - rank[:, None]
+                shut = barred(labels[low:low + tile])
+                scores[shut] = -np.inf
             m = min(k, n)
-            pick = np.argpartition(-key, m - 1, axis=0)[:m] if m < n else np.tile(np.arange(n)[:, None], (1, n_queries))
-            found = np.take_along_axis(scores, pick, axis=0).ravel()
-            open_cells = found > -8.0
-            q = np.tile(np.arange(n_queries), (m, 1)).ravel()
-            held.append((ids[pick].ravel()[open_cells], q[open_cells], found[open_cells]))
-            rows += m
-            if rows > 16 * k:
+            if m < n:
+                # The k-th score of each query; rows that tie with it all go on to the exact cut.
+                least = np.partition(scores, n - m, axis=0)[n - m]
+                row, q = np.nonzero(scores >= least)
+            else:
+                row, q = np.divmod(np.arange(n * n_queries), n_queries)
+            if allowed is not None:
+                row, q = row[~shut[row, q]], q[~shut[row, q]]
+            held.append(best(ids[row], q, scores[row, q]))
+            rows += len(held[-1][0])
+            if rows > 16 * k * n_queries:
                 held = [best(*(np.concatenate(c) for c in zip(*held)))]
-                rows = k
+                rows = len(held[0][0])
         if held:
             ids, q, s = (np.concatenate(c) for c in zip(*held))
             if len(ids):
@@ -107,6 +120,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BL
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = chunks.sparkSession
+    ship(spark)
     q_type, c_type = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
     schema = T.StructType([
         T.StructField("query_id", q_type), T.StructField("chunk_id", c_type), T.StructField("score", T.DoubleType())])

@@ -110,16 +110,17 @@ def diversify(candidates: DataFrame, k: int = P.FINAL_K, trade: float = P.MMR_LA
         pick, f"query_id {id_type}, chunk_id {chunk_type}, pick int, relevance double")
 
 
-def complete_clusters(selected: DataFrame, chunks: DataFrame, kind: str = "field_note",
+def complete_clusters(selected: DataFrame, chunks: DataFrame, cleared: DataFrame, kind: str = "field_note",
                       factor: float = P.CLUSTER_FACTOR) -> DataFrame:
-    """Siblings (same section and type) of selected chunks that are not selected themselves.
+    """Siblings (same section and type) of selected chunks that are not selected themselves and may be seen.
 
-    ``selected`` has ``query_id, chunk_id, pick, relevance``; the trigger is the earliest pick.
+    ``selected`` has ``query_id, chunk_id, pick, relevance``; the trigger is the earliest pick. ``cleared`` has the
+    ``access_class`` values that each ``query_id`` may see.
     """
-    cards = chunks.where(F.col("record_type") == kind).select("chunk_id", "section")
+    cards = chunks.where(F.col("record_type") == kind).select("chunk_id", "section", "access_class")
     triggers = selected.join(cards, "chunk_id")
     groups = triggers.groupBy("query_id", "section").agg(F.min_by("relevance", "pick").alias("trigger_relevance"))
-    siblings = groups.join(cards, "section")
+    siblings = groups.join(cards, "section").join(cleared, ["query_id", "access_class"], "left_semi")
     return siblings.join(selected, ["query_id", "chunk_id"], "left_anti").select(
         "query_id", "chunk_id", (F.col("trigger_relevance") * factor).alias("relevance"))
 

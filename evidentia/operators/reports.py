@@ -19,8 +19,8 @@ def map_priority(reports: DataFrame) -> DataFrame:
     citation = F.nullif(F.trim("priority_citation"), F.lit(""))
     down = (cls != "informational") & citation.isNull()
     return reports.withColumn("class", F.when(down, F.lit("informational")).otherwise(cls)).withColumn(
-        "label", F.when(down, F.lit("OBSERVATION")).otherwise(F.coalesce("priority_label", F.lit("OBSERVATION")))).withColumn(
-        "reason", F.coalesce("priority_reason", F.when(down, F.lit("Severity could not be attributed to a corpus record.")).otherwise(F.lit("")))).withColumn(
+        "label", F.when(down, F.lit("OBSERVATION")).otherwise(F.coalesce(F.nullif("priority_label", F.lit("")), F.lit("OBSERVATION")))).withColumn(
+        "reason", F.coalesce(F.nullif("priority_reason", F.lit("")), F.when(down, F.lit("Severity could not be attributed to a corpus record.")).otherwise(F.lit("")))).withColumn(
         "citation", F.when(~down, citation))
 
 

@@ -40,8 +40,8 @@ def phrasings(queries: DataFrame, variants: DataFrame) -> DataFrame:
 def citation_keys(ranked: DataFrame) -> DataFrame:
     """Record ID, else ``SEC-n`` counted in rank order inside a query."""
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    nth = F.count_if(F.col("record_id").isNull()).over(w).cast("string")
-    return ranked.withColumn("citation_id", F.coalesce("record_id", F.concat(F.lit("SEC-"), nth)))
+    nth = F.count_if(F.coalesce("record_id", F.lit("")) == "").over(w).cast("string")
+    return ranked.withColumn("citation_id", F.coalesce(F.nullif("record_id", F.lit("")), F.concat(F.lit("SEC-"), nth)))
 
 
 def retrieve(units: DataFrame, queries: DataFrame, variants: DataFrame, k: int = P.FINAL_K, depth: int = P.SEARCH_CANDIDATES,
@@ -90,7 +90,7 @@ def scale_lookup(units: DataFrame, text: str = P.SCALE_QUERY, k: int = 2) -> Dat
     return cut(hybrid(units, asked), k)
 
 
-def diversified(pool: DataFrame, vectors: DataFrame, units: DataFrame, k: int = P.FINAL_K) -> DataFrame:
+def diversified(pool: DataFrame, vectors: DataFrame, units: DataFrame, cleared: DataFrame, k: int = P.FINAL_K) -> DataFrame:
     """From a ranked pool (``place``, ``weighted``) to the final list: near-duplicates out, MMR, sibling notes in, normalised.
 
     The pool is bounded by the candidate cut; it is checkpointed once because four steps read it.
@@ -99,7 +99,7 @@ def diversified(pool: DataFrame, vectors: DataFrame, units: DataFrame, k: int =
     rows = durable(pool.withColumn("relevance", F.col("weighted") / top).join(vectors, "chunk_id"))
     kept = fusion.drop_near_duplicates(rows)
     picks = durable(fusion.diversify(kept, k))
-    siblings = fusion.complete_clusters(picks, units)
+    siblings = fusion.complete_clusters(picks, units, cleared)
     # Siblings line up behind the picks, best relevance first.
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.asc("chunk_id"))
     added = siblings.withColumn("pick", F.row_number().over(w) + k).withColumn("added", F.lit(True))

@@ -344,11 +344,10 @@ CONTENT_KINDS = {
 }
 EXTENSION_KINDS = {"pdf": "pdf", "docx": "docx", "csv": "csv", "txt": "txt", "md": "txt"}
 STEP_TYPES = [
-    "query.received", "route.decided", "retrieval.started", "retrieval.completed",
-    "agent.dispatched", "agent.completed", "agent.timed_out", "conflict.detected",
-    "validation.running", "validation.result", "synthesis.started", "answer.streaming",
-    "answer.completed", "error",
+    "query.received", "query.rewritten", "query.classified", "priority.classified", "map.zone_lit", "route.decided",
+    "retrieval.started", "retrieval.completed", "agent.thinking", "section.filling", "section.completed",
+    "section.unavailable", "agent.completed", "agent.timed_out", "conflict.detected", "validation.running",
+    "validation.result", "synthesis.started", "answer.streaming", "answer.completed", "error",
 ]
 TERMINAL_STEPS = ["answer.completed", "error"]
 UNSTABLE_SPREAD = 25
-GATE_MIN_HITS = 8

@@ -170,7 +170,7 @@ RENDERED["evidence"] = f"""
              CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE concat({_PREFIX}, '-', o_orderkey) END AS record_id,
              CASE o_orderpriority WHEN '1-URGENT' THEN 'incident' WHEN '2-HIGH' THEN 'health' WHEN '3-MEDIUM' THEN 'fauna'
                   WHEN '4-NOT SPECIFIED' THEN 'knowledge_card' ELSE 'narrative' END AS record_type,
-             concat('Order ', o_orderkey) AS title, concat(o_custkey % 17 + 1, ' · Orders') AS chapter,
+             CASE WHEN o_orderkey % 15 = 0 THEN '' ELSE concat('Order ', o_orderkey) END AS title, concat(o_custkey % 17 + 1, ' · Orders') AS chapter,
              CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('Orders ', o_orderstatus) END AS section,
              CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderkey % 56 + 1 AS BIGINT) END AS page,
              CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('REG-', lpad(CAST(o_orderkey % 10 + 1 AS STRING), 2, '0')) END AS region_id,
@@ -261,7 +261,7 @@ RENDERED["doc_chunks"] = """
            WHEN 4 THEN 'knowledge_card' WHEN 5 THEN 'health' WHEN 6 THEN 'chapter' ELSE 'narrative' END AS record_type,
       CASE WHEN doc_id % 8 >= 6 THEN NULL ELSE concat(CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN 'INC-' WHEN 1 THEN 'FAU-' WHEN 2 THEN 'FN-'
            WHEN 3 THEN 'POL-' WHEN 4 THEN 'KC-' ELSE 'MED-' END, doc_id) END AS record_id,
-      CASE WHEN doc_id % 8 = 0 THEN 'guardian-limited' WHEN doc_id % 8 = 5 THEN 'healer-limited'
+      CASE WHEN doc_id % 8 = 0 OR doc_id % 24 = 2 THEN 'guardian-limited' WHEN doc_id % 8 = 5 OR doc_id % 24 = 10 THEN 'healer-limited'
            WHEN doc_id % 8 = 1 THEN 'community-limited' ELSE 'public' END AS access_class,
       CASE CAST(doc_id % 5 AS INT) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' ELSE 'none' END AS severity,
       doc_id % 11 = 0 AS navigational, concat(source, '/', CAST(floor(doc_id / 64) AS BIGINT)) AS section,
@@ -279,9 +279,9 @@ RENDERED["reports"] = """
     SELECT CAST(o_custkey AS BIGINT) AS report_id, max(o_orderdate) AS created_at, concat('U', o_custkey % 40) AS user_id,
       concat('Question of ', o_custkey) AS question,
       CASE CAST(o_custkey % 7 AS INT) WHEN 0 THEN 'W4' WHEN 1 THEN ' w3 ' WHEN 2 THEN 'Informational' WHEN 3 THEN 'W1' WHEN 4 THEN 'w2' WHEN 5 THEN 'x9' END AS priority_class,
-      CASE WHEN o_custkey % 6 = 0 THEN NULL ELSE concat('Reason ', o_custkey) END AS priority_reason,
+      CASE WHEN o_custkey % 6 = 0 THEN NULL WHEN o_custkey % 6 = 1 THEN '' ELSE concat('Reason ', o_custkey) END AS priority_reason,
       CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN '4.5 Scale' WHEN 1 THEN '  ' END AS priority_citation,
-      CASE WHEN o_custkey % 4 = 0 THEN NULL ELSE 'EMERGENCY' END AS priority_label,
+      CASE WHEN o_custkey % 4 = 0 THEN NULL WHEN o_custkey % 4 = 1 THEN '' ELSE 'EMERGENCY' END AS priority_label,
       CASE CAST(o_custkey % 6 AS INT) WHEN 0 THEN 'medium' WHEN 1 THEN 'High' WHEN 2 THEN 'low' WHEN 3 THEN 'unsure' WHEN 4 THEN 'insufficient' END AS confidence,
       o_custkey % 5 = 0 AS had_conflict, o_custkey % 4 <> 0 AS has_sufficient_evidence, o_custkey % 9 = 0 AS was_partial,
       count(*) AS citation_count
@@ -294,8 +294,10 @@ RENDERED["raw_sections"] = """
       CASE WHEN (report_id + pos) % 3 = 0 THEN '' ELSE answer END AS content,
       CASE CAST((report_id + pos) % 4 AS INT) WHEN 0 THEN 'marine_life_protector' WHEN 1 THEN 'INCIDENT_INVESTIGATOR' WHEN 2 THEN 'stranger' END AS owning_agent,
       CAST(4 - pos AS BIGINT) AS display_order
-    FROM {answers} WHERE NOT (report_id % 3 = 1 AND pos = 2)
+    FROM {answers}
 """
+# Reports of which one section was never filed; section completion fills it.
+RENDERED["filed_sections"] = "SELECT * FROM {raw_sections} WHERE NOT (report_id % 3 = 1 AND pos = 2)"
 RENDERED["documents_meta"] = """
     SELECT concat('D', c_custkey) AS id, concat('U', c_custkey % 40) AS user_id, concat('file', c_custkey, CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.csv' WHEN 3 THEN '.md' WHEN 4 THEN '.exe' WHEN 5 THEN '.tar.txt' ELSE '' END) AS file_name,
       CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/csv' WHEN 2 THEN 'text/plain' ELSE 'application/octet-stream' END AS content_type,
@@ -304,15 +306,15 @@ RENDERED["documents_meta"] = """
       c_custkey % 25 = 0 AS is_preloaded, c_custkey AS seq
     FROM {customer}
 """
-RENDERED["agent_steps"] = """
+# Every known step type, and one that no reader knows.
+_STEP = _case(f"CAST(event_id % {len(P.STEP_TYPES) + 1} AS INT)", [*P.STEP_TYPES, "unheard.of"])
+RENDERED["agent_steps"] = f"""
     SELECT CAST(user_id AS BIGINT) AS run_id, event_id AS sequence_number, ts AS created_at,
-      CASE event_type WHEN 'signup' THEN 'query.received' WHEN 'click' THEN 'retrieval.started' WHEN 'view' THEN 'agent.completed'
-           WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'answer.completed' ELSE 'agent.timed_out' END
-           WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'error' ELSE 'unheard.of' END END AS step_type,
+      {_STEP} AS step_type,
       CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'marine_life_protector' WHEN 1 THEN 'incident_investigator' ELSE 'emergency_responder' END AS agent,
       CAST(floor(value * 10) AS BIGINT) AS duration_ms,
-      CASE WHEN event_id % 17 = 0 THEN '{"k": ' ELSE props END AS payload
-    FROM {events}
+      CASE WHEN event_id % 17 = 0 THEN '{{"k": ' ELSE props END AS payload
+    FROM {{events}}
 """
 RENDERED["turns"] = "SELECT conv_id, turn, role, text FROM {conversations}"
 

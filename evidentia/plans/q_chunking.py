@@ -247,7 +247,8 @@ def c12(t):
 
 def _reflow(x: str) -> str:
     joined = rf"trim(regexp_replace(regexp_replace(array_to_string({x}, ' '), '(\w)-\s+(\w)', '\1\2', 'g'), '\s{{2,}}', ' ', 'g'))"
-    return rf"list_filter(list_transform(regexp_extract_all({joined}, '([^.!?]+[.!?]+(?:\s|$)|[^.!?]+$)', 1), lambda s: trim(s)), lambda s: s <> '')"
+    parts = rf"regexp_extract_all({joined}, '([^.!?]+[.!?]+(?:\s|$)|[^.!?]+$)', 1)"
+    return f"list_filter(list_transform(CASE WHEN len({parts}) = 0 THEN [{joined}] ELSE {parts} END, lambda s: trim(s)), lambda s: s <> '')"
 
 
 def _key(x: str) -> str:

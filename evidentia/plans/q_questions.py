@@ -36,13 +36,18 @@ def f11(t):
         "query_id", F.array_join(F.concat(F.coalesce(first, F.array().cast("array<string>")), rest), ",").alias("record_ids"), F.array_join(regions, ",").alias("region_ids"))
 
 
-_HINTS = "list_distinct(flatten(list_filter([" + ", ".join(
-    f"CASE WHEN {_has(w)} THEN [{', '.join(S.q(k) for k in kinds)}] END" for w, kinds in P.TYPE_HINTS) + "], lambda g: g IS NOT NULL)))"
+def _ordered(x: str, rest: str) -> str:
+    """Columns of ``rest`` and the distinct elements of ``x``, in order of first place, as ``h``."""
+    return f"SELECT {rest}, list_filter(h, lambda v, i: list_position(h, v) = i) AS h FROM (SELECT {rest}, {x} AS h FROM questions)"
 
 
-@query("f12_type_hints", f"SELECT query_id, CASE WHEN len(h) > 0 THEN array_to_string(list_sort(h), ',') END AS hints FROM (SELECT query_id, {_HINTS} AS h FROM questions)")
+_HINTS = "flatten(list_filter([" + ", ".join(
+    f"CASE WHEN {_has(w)} THEN [{', '.join(S.q(k) for k in kinds)}] END" for w, kinds in P.TYPE_HINTS) + "], lambda g: g IS NOT NULL))"
+
+
+@query("f12_type_hints", f"SELECT query_id, CASE WHEN len(h) > 0 THEN array_to_string(h, ',') END AS hints FROM ({_ordered(_HINTS, 'query_id')})")
 def f12(t):
-    return t("questions").select("query_id", F.array_join(F.array_sort(R.type_hints(F.col("question"))), ",").alias("hints"))
+    return t("questions").select("query_id", F.array_join(R.type_hints(F.col("question")), ",").alias("hints"))
 
 
 _SHAPE = f"CASE WHEN {_has(P.COMPARE_TERMS)} THEN 'compare' WHEN {_has(P.SUMMARISE_TERMS)} THEN 'summarize' ELSE 'simple' END"
@@ -81,23 +86,18 @@ def f27(t):
         "query_id", F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(1)).alias("second"))
 
 
-_EXP = "list_distinct(flatten(list_filter([" + ", ".join(
-    f"CASE WHEN contains({LQ}, {S.q(k)}) THEN [{', '.join(S.q(w) for w in ws)}] END" for k, ws in P.SYNONYMS.items()) + "], lambda g: g IS NOT NULL)))"
+_EXP = "flatten(list_filter([" + ", ".join(
+    f"CASE WHEN contains({LQ}, {S.q(k)}) THEN [{', '.join(S.q(w) for w in ws)}] END" for k, ws in P.SYNONYMS.items()) + "], lambda g: g IS NOT NULL))"
 shared("o_variants", f"""
-    WITH e AS (SELECT query_id, question, {_EXP} AS ex, regexp_extract_all(upper(question), {S.q(P.PROBE_ID)}, 1) AS ids FROM questions)
-    SELECT query_id, 'original' AS kind, question AS variant FROM e
-    UNION ALL SELECT query_id, 'expanded', array_to_string(list_sort(ex), ' ') FROM e WHERE len(ex) > 0
-    UNION ALL SELECT query_id, 'identifiers', array_to_string(ids, ' ') FROM e WHERE len(ids) > 0""")
+    WITH e AS (SELECT query_id, question, h AS ex, regexp_extract_all(upper(question), {S.q(P.PROBE_ID)}, 1) AS ids FROM ({_ordered(_EXP, 'query_id, question')}))
+    SELECT query_id, question AS variant FROM e
+    UNION ALL SELECT query_id, question || ' ' || array_to_string(ex, ' ') FROM e WHERE len(ex) > 0
+    UNION ALL SELECT query_id, array_to_string(ids, ' ') FROM e WHERE len(ids) > 0""")
 
 
 @query("f28_query_variants", "SELECT * FROM o_variants")
 def f28(t):
-    q = t("questions").select("query_id", "question", R.expansions(F.col("question")).alias("ex"), X.find_all(F.upper("question"), P.PROBE_ID).alias("ids"))
-    rows = F.array(
-        F.struct(F.lit("original").alias("kind"), F.col("question").alias("variant")),
-        F.struct(F.lit("expanded").alias("kind"), F.when(F.size("ex") > 0, F.array_join(F.array_sort("ex"), " ")).alias("variant")),
-        F.struct(F.lit("identifiers").alias("kind"), F.when(F.size("ids") > 0, F.array_join("ids", " ")).alias("variant")))
-    return unroll(q, ["query_id"], rows, "r").where("r.variant IS NOT NULL").select("query_id", "r.*")
+    return t("questions").select("query_id", F.explode(R.query_variants(F.col("question"))).alias("variant"))
 
 
 @query("u2_variant_pool", rf"""

@@ -22,15 +22,20 @@ _LP = "lower(trim({}))"
 _CLASS = "CASE lower(trim(priority_class)) WHEN 'w1' THEN 'W1' WHEN 'w2' THEN 'W2' WHEN 'w3' THEN 'W3' WHEN 'w4' THEN 'W4' ELSE 'informational' END"
 _CONF = "CASE lower(trim(confidence)) WHEN 'high' THEN 'high' WHEN 'moderate' THEN 'moderate' WHEN 'medium' THEN 'moderate' WHEN 'low' THEN 'low' ELSE 'insufficient' END"
 shared("o_priority", f"""
-    SELECT report_id, CASE WHEN down THEN 'informational' ELSE cls END AS class, CASE WHEN down THEN 'OBSERVATION' ELSE coalesce(priority_label, 'OBSERVATION') END AS label,
-      coalesce(priority_reason, CASE WHEN down THEN 'Severity could not be attributed to a corpus record.' ELSE '' END) AS reason, CASE WHEN NOT down THEN cit END AS citation
+    SELECT report_id, CASE WHEN down THEN 'informational' ELSE cls END AS class, CASE WHEN down THEN 'OBSERVATION' ELSE coalesce(nullif(priority_label, ''), 'OBSERVATION') END AS label,
+      coalesce(nullif(priority_reason, ''), CASE WHEN down THEN 'Severity could not be attributed to a corpus record.' ELSE '' END) AS reason, CASE WHEN NOT down THEN cit END AS citation
     FROM (SELECT *, {_CLASS} AS cls, nullif(trim(priority_citation), '') AS cit, {_CLASS} <> 'informational' AND nullif(trim(priority_citation), '') IS NULL AS down FROM reports)""")
 _ST = "CASE WHEN lower(trim(status)) IN ('filled', 'empty', 'timed_out', 'not_applicable') THEN lower(trim(status)) ELSE 'empty' END"
-shared("o_sections", f"""
+def _sections_sql(table: str) -> str:
+    return f"""
     SELECT report_id, lower(trim(section_type)) AS section_type, {_ST} AS status,
       CASE WHEN {_ST} = 'filled' THEN NULL ELSE coalesce(nullif(empty_reason, ''), 'No content was produced for this section.') END AS empty_reason, content,
       CASE WHEN lower(trim(owning_agent)) IN {S.in_list(P.OWNING_AGENTS)} THEN lower(trim(owning_agent)) ELSE 'orchestrator' END AS owning_agent, display_order
-    FROM raw_sections WHERE lower(trim(section_type)) IN {S.in_list(P.SECTION_TYPES)}""")
+    FROM {table} WHERE lower(trim(section_type)) IN {S.in_list(P.SECTION_TYPES)}"""
+
+
+shared("o_sections", _sections_sql("raw_sections"))
+shared("o_filed", _sections_sql("filed_sections"))
 
 
 @query("f21_normalise_labels", f"SELECT report_id, {_CONF} AS confidence, {_CLASS} AS priority_class FROM reports")
@@ -116,11 +121,11 @@ shared("o_complete", """
     SELECT r.report_id, s.section_type, s.display_order, coalesce(o.status, 'not_applicable') AS status, CASE WHEN o.status IS NULL THEN 'Not applicable to this query' ELSE o.empty_reason END AS empty_reason,
       coalesce(o.content, '') AS content, coalesce(o.owning_agent, 'orchestrator') AS owning_agent
     FROM reports r CROSS JOIN (VALUES ('affected_species', 2), ('likely_causes', 3), ('recommended_actions', 4)) s(section_type, display_order)
-    LEFT JOIN o_sections o ON o.report_id = r.report_id AND o.section_type = s.section_type""")
+    LEFT JOIN o_filed o ON o.report_id = r.report_id AND o.section_type = s.section_type""")
 
 
 def completed(t):
-    return RP.complete_sections(t("reports"), RP.map_sections(t("raw_sections")).drop("pos"))
+    return RP.complete_sections(t("reports"), RP.map_sections(t("filed_sections")).drop("pos"))
 
 
 @query("v13_section_completion", "SELECT report_id, section_type, display_order, status, empty_reason, length(content) AS chars, owning_agent FROM o_complete")
@@ -236,13 +241,15 @@ def j3(t):
 
 
 @query("j4_severity_citation", """
-    WITH s AS (SELECT report_id, arg_min(coalesce(nullif(section, ''), title), rnk) AS first_section FROM evidence WHERE rnk <= 2 AND report_id % 6 <> 5 GROUP BY report_id)
-    SELECT q.query_id, CASE WHEN s.report_id IS NULL THEN 'informational' ELSE cls END AS class, CASE WHEN s.report_id IS NULL THEN '' ELSE coalesce(nullif(e.section, ''), e.title, first_section) END AS citation
+    WITH l AS (SELECT *, coalesce(nullif(section, ''), nullif(title, ''), nullif(chapter, ''), citation_id) AS label FROM evidence WHERE rnk <= 2 AND risk_level = 'critical'),
+    s AS (SELECT report_id, arg_min(label, rnk) AS first_section FROM l GROUP BY report_id)
+    SELECT q.query_id, CASE WHEN s.report_id IS NULL THEN 'informational' ELSE cls END AS class, CASE WHEN s.report_id IS NULL THEN '' ELSE coalesce(e.label, first_section) END AS citation
     FROM (SELECT query_id, conversation_id, supplied_id, CASE WHEN upper(trim(severity_class)) IN ('W3', 'W4') THEN upper(trim(severity_class)) ELSE 'informational' END AS cls FROM questions) q
-    LEFT JOIN s ON s.report_id = q.conversation_id LEFT JOIN evidence e ON e.report_id = s.report_id AND e.rnk <= 2 AND e.citation_id = 'INC-' || q.query_id""")
+    LEFT JOIN s ON s.report_id = q.conversation_id LEFT JOIN l e ON e.report_id = s.report_id AND e.citation_id = 'INC-' || q.query_id""")
 def j4(t):
-    scale = t("evidence").where("rnk <= 2 AND report_id % 6 <> 5")
-    label = F.coalesce(F.nullif("section", F.lit("")), "title")
+    # Only critical evidence states the scale; reports without any are informational.
+    scale = t("evidence").where("rnk <= 2 AND risk_level = 'critical'")
+    label = F.coalesce(*[F.nullif(c, F.lit("")) for c in ("section", "title", "chapter")], "citation_id")
     first = scale.groupBy(F.col("report_id").alias("conversation_id")).agg(F.min_by(label, "rnk").alias("first_section"))
     exact = scale.select(F.col("report_id").alias("conversation_id"), F.col("citation_id").alias("severity_citation"), label.alias("exact_section"))
     asked = t("questions").withColumn("severity_citation", F.concat(F.lit("INC-"), "query_id")).withColumn("class", L.priority_class(F.col("severity_class")))

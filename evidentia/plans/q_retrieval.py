@@ -226,6 +226,11 @@ def role_access(spark):
     return F.broadcast(spark.createDataFrame(rows, "role string, access_class string"))
 
 
+def clearance(t):
+    """Access classes that each question's role may see."""
+    return t("doc_queries").select("query_id", "role").join(role_access(t("doc_queries").sparkSession), "role").select("query_id", "access_class")
+
+
 def pool(t):
     """Fused candidates with metadata, clearance and weight; ``allowed`` marks clearance."""
     units, asked = t("doc_chunks"), t("doc_queries")
@@ -322,11 +327,12 @@ def w8(t):
 @query("j7_cluster_completion", """
     WITH sel AS (SELECT query_id, chunk_id, place, weighted FROM d_ranked WHERE place <= 6),
     tr AS (SELECT query_id, section, arg_min(weighted, place) AS w FROM sel JOIN d_meta USING (chunk_id) WHERE record_type = 'field_note' GROUP BY ALL)
-    SELECT tr.query_id, m.chunk_id, round(w * 0.9, 9) AS relevance FROM tr JOIN d_meta m ON m.section = tr.section AND m.record_type = 'field_note'
-    WHERE NOT EXISTS (SELECT 1 FROM sel WHERE sel.query_id = tr.query_id AND sel.chunk_id = m.chunk_id)""")
+    SELECT tr.query_id, m.chunk_id, round(w * 0.9, 9) AS relevance FROM tr JOIN doc_queries USING (query_id) JOIN d_meta m ON m.section = tr.section AND m.record_type = 'field_note'
+    WHERE (m.access_class IN ('public', 'community-limited') AND (role <> 'citizen' OR m.access_class = 'public') OR m.access_class = 'healer-limited' AND role = 'healer' OR m.access_class = 'guardian-limited' AND role IN ('guardian', 'researcher'))
+    AND NOT EXISTS (SELECT 1 FROM sel WHERE sel.query_id = tr.query_id AND sel.chunk_id = m.chunk_id)""")
 def j7(t):
     chosen = ranked_pool(t).where("place <= 6").select("query_id", "chunk_id", F.col("place").alias("pick"), F.col("weighted").alias("relevance"))
-    return fusion.complete_clusters(chosen, t("doc_chunks")).withColumn("relevance", F.round("relevance", 9))
+    return fusion.complete_clusters(chosen, t("doc_chunks"), clearance(t)).withColumn("relevance", F.round("relevance", 9))
 
 
 @query("w9_rerank", """
@@ -466,7 +472,7 @@ def r7(t):
     ranked = ranked_pool(t).select("query_id", "chunk_id", "place", "weighted", "lexical_rank", "dense_rank")
     docs = units(t)
     wanted = docs.select("chunk_id", "text").join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    out = RT.diversified(ranked, dense.embed(wanted).drop("text"), docs)
+    out = RT.diversified(ranked, dense.embed(wanted).drop("text"), docs, clearance(t))
     return out.select("query_id", "chunk_id", "pick", F.round("relative", 6).alias("relative"), "added", F.array_join("matched_by", "+").alias("matched_by"))
 
 

@@ -14,9 +14,10 @@ from evidentia.streaming import trace as TR
 
 
 def stream_of(table):
-    """The files of a driver table as a stream."""
+    """All files of a table as a stream: those of its folder, or the one file beside others that it consists of."""
     folder, _, name = table.inputFiles()[0].rpartition("/")
-    return table.sparkSession.readStream.schema(table.schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(folder)
+    reader = table.sparkSession.readStream.schema(table.schema)
+    return (reader if folder.endswith(".parquet") else reader.option("pathGlobFilter", name)).parquet(folder)
 
 
 def drain(stream, name: str, mode: str = "append"):
@@ -41,7 +42,10 @@ def x1(t):
 
 
 @query("x2_trace_parse", """
-    SELECT run_id, sequence_number, step_type, CAST(json_extract(payload, '$.k') AS BIGINT) AS k FROM agent_steps WHERE json_valid(payload) AND step_type <> 'unheard.of'""")
+    SELECT run_id, sequence_number, step_type, CAST(json_extract(payload, '$.k') AS BIGINT) AS k FROM agent_steps WHERE json_valid(payload) AND step_type IN (
+      'query.received', 'query.rewritten', 'query.classified', 'priority.classified', 'map.zone_lit', 'route.decided', 'retrieval.started', 'retrieval.completed',
+      'agent.thinking', 'section.filling', 'section.completed', 'section.unavailable', 'agent.completed', 'agent.timed_out', 'conflict.detected', 'validation.running',
+      'validation.result', 'synthesis.started', 'answer.streaming', 'answer.completed', 'error')""")
 def x2(t):
     rows = TR.parse_frames(t("agent_steps"))
     return rows.select("run_id", "sequence_number", "step_type", F.try_variant_get("data", "$.k", "bigint").alias("k"))
@@ -76,20 +80,29 @@ def x4(t):
     return TR.completion(t("agent_steps"))
 
 
-@query("x4_run_sessions", """
-    WITH g AS (SELECT run_id, created_at, step_type, CASE WHEN created_at >= lag(created_at) OVER (PARTITION BY run_id ORDER BY created_at, sequence_number) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS cut, sequence_number FROM agent_steps),
+def _sessions_sql(frames: str) -> str:
+    return f"""
+    WITH f AS ({frames}), g AS (SELECT run_id, created_at, step_type, CASE WHEN created_at >= lag(created_at) OVER (PARTITION BY run_id ORDER BY created_at, sequence_number) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS cut, sequence_number FROM f),
     s AS (SELECT *, sum(cut) OVER (PARTITION BY run_id ORDER BY created_at, sequence_number ROWS UNBOUNDED PRECEDING) AS n FROM g)
-    SELECT run_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(created_at) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS frames, bool_or(step_type IN ('answer.completed', 'error')) AS completed FROM s GROUP BY run_id, n""")
-def x4_sessions(t):
-    rows = TR.sessions(t("agent_steps"))
+    SELECT run_id, strftime(min(created_at), '%Y-%m-%d %H:%M:%S') AS started, strftime(max(created_at) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S') AS ended, count(*) AS frames, bool_or(step_type IN ('answer.completed', 'error')) AS completed FROM s GROUP BY run_id, n"""
+
+
+def dated(rows):
     return rows.withColumn("started", F.date_format("started", "yyyy-MM-dd HH:mm:ss")).withColumn("ended", F.date_format("ended", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("x4_session_stream")
+@query("x4_run_sessions", _sessions_sql("SELECT * FROM agent_steps"))
+def x4_sessions(t):
+    return dated(TR.sessions(t("agent_steps")))
+
+
+@query("x4_session_stream", _sessions_sql("SELECT user_id AS run_id, event_id AS sequence_number, ts AS created_at, event_type AS step_type FROM events"))
 def x4_stream(t):
-    steps = F.when(F.col("event_type") == "error", F.lit("error")).otherwise(F.col("event_type"))
-    frames = stream_of(t("events")).select(F.col("user_id").alias("run_id"), F.col("event_id").alias("sequence_number"), F.col("ts").alias("created_at"), steps.alias("step_type"))
-    return drain(TR.sessions(frames), "sessions")
+    def frames(events):
+        return events.select(F.col("user_id").alias("run_id"), F.col("event_id").alias("sequence_number"), F.col("ts").alias("created_at"), F.col("event_type").alias("step_type"))
+
+    closed = drain(TR.sessions(frames(stream_of(t("events")))), "sessions")
+    return dated(TR.with_open_sessions(closed, frames(t("events"))))
 
 
 @query("x5_replay", "SELECT run_id, sequence_number, step_type, row_number() OVER (PARTITION BY run_id ORDER BY sequence_number) AS place FROM agent_steps")

@@ -52,6 +52,17 @@ def sessions(frames: DataFrame, gap: str = "30 minutes", lateness: str = "1 hour
     return rows.select("run_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "frames", "completed")
 
 
+def with_open_sessions(closed: DataFrame, frames: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions that a stream has closed, and those still open in ``frames``, the stored frames of the same runs.
+
+    A stream gives a session out once its watermark has passed the end; this batch adds the frames behind each run's
+    last closed session, so that no session is missing at a cut-off.
+    """
+    last = closed.groupBy("run_id").agg(F.max("ended").alias("__ended"))
+    behind = frames.join(last, "run_id", "left").where(F.col("__ended").isNull() | (F.col("created_at").cast("timestamp") >= F.col("__ended")))
+    return closed.unionByName(sessions(behind.drop("__ended"), gap))
+
+
 def replay(frames: DataFrame) -> DataFrame:
     """Stored frames with their place in the run."""
     return number_rows(frames, "run_id", "sequence_number", "place")
