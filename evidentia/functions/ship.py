@@ -18,7 +18,7 @@ def ship(spark: SparkSession) -> None:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if os.path.isdir(root):  # else the driver itself runs from an archive that Spark has sent along
-        path = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{os.path.basename(root)}.zip")
+        path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-")), f"{os.path.basename(root)}.zip")
         with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
             for folder, _, names in os.walk(root):
                 for name in names:
