@@ -45,10 +45,10 @@ def term_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("len").alias("df"), F.sum("len").alias("total_len"))
 
 
-def corpus_statistics(index: DataFrame) -> DataFrame:
-    """One row: (n, avg_len)."""
+def corpus_statistics(index: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """One row: (n, avg_len); from stored ``counts`` where there are any."""
     marker = F.col("term") == ""
-    totals = term_counts(index).agg(
+    totals = (term_counts(index) if counts is None else counts).agg(
         F.sum(F.when(marker, F.col("df"))).alias("n"), F.sum(F.when(marker, F.col("total_len"))).alias("total"))
     return totals.select("n", (F.col("total") / F.col("n")).alias("avg_len"))
 
@@ -60,14 +60,14 @@ def term_statistics(index: DataFrame) -> DataFrame:
         "term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def term_hits(index: DataFrame, qterms: DataFrame, small: bool | None = None) -> DataFrame:
-    """(query, chunk, term, part): the contribution of each query term to each chunk."""
-    stats = corpus_statistics(index).select(F.struct("n", "avg_len")).scalar()
+def term_hits(index: DataFrame, qterms: DataFrame, small: bool | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """(query, chunk, term, part): the contribution of each query term to each chunk. ``counts`` are stored statistics."""
+    stats = corpus_statistics(index, counts).select(F.struct("n", "avg_len")).scalar()
     small = is_small(qterms) if small is None else small
     asked = F.broadcast(qterms) if small else qterms
     allowed = [c for c in ("allowed",) if c in qterms.columns]
     weights = (
-        term_counts(index).join(asked, "term")
+        (term_counts(index) if counts is None else counts).join(asked, "term")
         .select("query_id", *allowed, "term", "df", stats["n"].alias("n"), stats["avg_len"].alias("avg_len"))
         .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     if small:
@@ -82,9 +82,9 @@ def term_hits(index: DataFrame, qterms: DataFrame, small: bool | None = None) ->
         "query_id", "chunk_id", "term", (F.col("idf") * (tf * (P.BM25_K1 + 1) / (tf + damp))).alias("part"))
 
 
-def bm25(index: DataFrame, qterms: DataFrame, small: bool | None = None) -> DataFrame:
+def bm25(index: DataFrame, qterms: DataFrame, small: bool | None = None, counts: DataFrame | None = None) -> DataFrame:
     """(query, chunk, score, n_matched)."""
-    return term_hits(index, qterms, small).groupBy("query_id", "chunk_id").agg(
+    return term_hits(index, qterms, small, counts).groupBy("query_id", "chunk_id").agg(
         F.round(F.sum("part"), 6).alias("score"), F.count("*").alias("n_matched"))
 
 
@@ -99,7 +99,11 @@ def search_lexical(chunks: DataFrame, queries: DataFrame, k: int = P.CANDIDATES,
     # One count bounds both sides that are broadcast: the vocabulary is no larger than the question terms.
     small = is_small(qterms)
     index = postings(chunks, chunk_id, text, vocabulary=qterms, label=label, small=small)
-    return top_n(bm25(index, qterms, small), ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return best(bm25(index, qterms, small), k)
+
+
+def best(scored: DataFrame, k: int) -> DataFrame:
+    return top_n(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 
 def matched_terms(index: DataFrame, qterms: DataFrame, hits: DataFrame) -> DataFrame:

@@ -12,14 +12,18 @@ from pyspark.sql import functions as F
 from evidentia import params as P
 from evidentia.functions.bounds import top_n
 from evidentia.functions.durable import durable
-from evidentia.operators import dense, fusion, lexical
+from evidentia.operators import fusion
 from evidentia.operators.listing import widen_starved
+from evidentia.sources.retrieval import RetrievalIndex, search_dense, search_lexical
 
 
-def hybrid(units: DataFrame, queries: DataFrame, k: int = P.CANDIDATES, label: str | None = None) -> DataFrame:
-    """Both arms cut to ``k`` per query, fused by reciprocal rank."""
-    lex = lexical.search_lexical(units, queries, k, label=label).drop("n_matched")
-    return fusion.reciprocal_rank_fusion(fusion.union_arms(lex, dense.search_dense(units, queries, k, label)))
+def hybrid(index: RetrievalIndex, queries: DataFrame, k: int = P.CANDIDATES, filtered: bool = False) -> DataFrame:
+    """Both arms over the stored index, cut to ``k`` per query, fused by reciprocal rank.
+
+    If ``filtered``, a query's ``allowed`` array (NULL for no filter) restricts the labels of its chunks.
+    """
+    lex = search_lexical(index, queries, k, filtered).drop("n_matched")
+    return fusion.reciprocal_rank_fusion(fusion.union_arms(lex, search_dense(index, queries, k, filtered)))
 
 
 def cut(fused: DataFrame, k: int) -> DataFrame:
@@ -44,17 +48,18 @@ def citation_keys(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("citation_id", F.coalesce(F.nullif("record_id", F.lit("")), F.concat(F.lit("SEC-"), nth)))
 
 
-def retrieve(units: DataFrame, queries: DataFrame, variants: DataFrame, k: int = P.FINAL_K, depth: int = P.SEARCH_CANDIDATES,
-             scores: DataFrame | None = None) -> DataFrame:
-    """Every phrasing searched, best score per chunk, optional rerank, cut to ``k``, citation keys."""
+def retrieve(index: RetrievalIndex, units: DataFrame, queries: DataFrame, variants: DataFrame, k: int = P.FINAL_K,
+             depth: int = P.SEARCH_CANDIDATES, scores: DataFrame | None = None) -> DataFrame:
+    """Every phrasing searched, best score per chunk, the best ``depth`` reranked if scores are given, cut to ``k``, citation keys."""
     asked = phrasings(queries, variants)
     by_phrasing = asked.select(F.col("phrasing_id").alias("query_id"), "question", "allowed")
-    hits = cut(hybrid(units, by_phrasing, depth, "record_type"), depth).withColumnRenamed("query_id", "phrasing_id")
+    hits = cut(hybrid(index, by_phrasing, depth, True), depth).withColumnRenamed("query_id", "phrasing_id")
     pooled = hits.join(asked.select("phrasing_id", "query_id"), "phrasing_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     if scores is None:
         ranked = top_n(pooled, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
     else:
-        ranked = fusion.rerank(pooled, scores, k)
+        deep = top_n(pooled, ["query_id"], [F.desc("score"), F.asc("chunk_id")], depth).drop("rank")
+        ranked = fusion.rerank(deep, scores, k)
     # Content columns join back only after the cut.
     return citation_keys(ranked.join(units.select("chunk_id", "record_id", "record_type"), "chunk_id"))
 
@@ -70,24 +75,24 @@ def profile_queries(queries: DataFrame) -> DataFrame:
         F.concat_ws(" ", "question", "p.focus").alias("question"))
 
 
-def retrieve_sections(units: DataFrame, queries: DataFrame, k: int = P.FINAL_K, depth: int = P.SEARCH_CANDIDATES) -> DataFrame:
+def retrieve_sections(index: RetrievalIndex, units: DataFrame, queries: DataFrame, k: int = P.FINAL_K, depth: int = P.SEARCH_CANDIDATES) -> DataFrame:
     """Retrieval per question and section; starved sections search again without the type filter."""
     asked = profile_queries(queries)
     facts = units.select("chunk_id", "record_id", "record_type")
 
-    def search(rows: DataFrame, label: str | None) -> DataFrame:
-        return cut(hybrid(units, rows, depth, label), k).join(facts, "chunk_id")
+    def search(rows: DataFrame, filtered: bool) -> DataFrame:
+        return cut(hybrid(index, rows, depth, filtered), k).join(facts, "chunk_id")
 
     # Bounded by queries x sections x k rows; both branches and the counts read it.
-    filtered = durable(search(asked.select("query_id", "question", "allowed"), "record_type"))
-    out = widen_starved(filtered, lambda plenty: search(asked.select("query_id", "question").join(plenty, "query_id", "left_anti"), None))
+    filtered = durable(search(asked.select("query_id", "question", "allowed"), True))
+    out = widen_starved(filtered, lambda plenty: search(asked.select("query_id", "question").join(plenty, "query_id", "left_anti"), False))
     return out.join(asked.select("query_id", "base_id", "section", "owner"), "query_id")
 
 
-def scale_lookup(units: DataFrame, text: str = P.SCALE_QUERY, k: int = 2) -> DataFrame:
+def scale_lookup(index: RetrievalIndex, text: str = P.SCALE_QUERY, k: int = 2) -> DataFrame:
     """The records that state the severity scale: one fixed question over the whole corpus."""
-    asked = units.sparkSession.createDataFrame([("scale", text)], "query_id string, question string")
-    return cut(hybrid(units, asked), k)
+    asked = index.vectors.sparkSession.createDataFrame([("scale", text)], "query_id string, question string")
+    return cut(hybrid(index, asked), k)
 
 
 def diversified(pool: DataFrame, vectors: DataFrame, units: DataFrame, cleared: DataFrame, k: int = P.FINAL_K) -> DataFrame:

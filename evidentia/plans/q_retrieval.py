@@ -9,9 +9,11 @@ from evidentia.functions import routing as R
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
 from evidentia.functions.bounds import spread, top_n, unroll
+from evidentia.functions.durable import work_folder
 from evidentia.operators import dense, fusion, lexical
 from evidentia.plans import sqltext as S
 from evidentia.plans.registry import query, shared
+from evidentia.sources import retrieval as IX
 
 # ---- shared check CTEs ------------------------------------------------------
 shared("d_tok", f"SELECT doc_id AS chunk_id, {S.toks('text')} AS toks FROM documents")
@@ -60,6 +62,18 @@ def documents(t):
     return spread(t("documents").select(F.col("doc_id").alias("chunk_id"), "text"))
 
 
+_INDEXES: dict[tuple, IX.RetrievalIndex] = {}
+
+
+def stored(t) -> IX.RetrievalIndex:
+    """The index of the document units, built once per application and data folder."""
+    units = t("doc_chunks")
+    key = units.sparkSession.sparkContext.applicationId, tuple(sorted(units.inputFiles()))
+    if key not in _INDEXES:
+        _INDEXES[key] = IX.build_index(spread(units), work_folder(units.sparkSession, "retrieval"), "record_type")
+    return _INDEXES[key]
+
+
 def benchmark(t):
     return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
@@ -88,11 +102,20 @@ def j10(t):
         asked, "term").select("query_id", "term", "n_chunks", "occurrences")
 
 
+@query("s8_retrieval_index", """
+    SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS occurrences FROM d_tf GROUP BY term""")
+def s8_index(t):
+    units = t("doc_chunks")
+    index = IX.build_index(spread(units), work_folder(units.sparkSession, "retrieval"), "record_type")
+    seen = index.postings.where("term <> ''").groupBy("term").agg(F.sum("tf").alias("occurrences"))
+    return index.counts.select("term", "df").join(seen, "term")
+
+
 @query("r1_bm25", """
     SELECT * FROM (SELECT query_id, chunk_id, score, n_matched, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM d_bm25)
     WHERE rank <= 10""")
 def r1(t):
-    return lexical.search_lexical(documents(t), benchmark(t), 10)
+    return IX.search_lexical(stored(t), benchmark(t), 10)
 
 
 @query("r1_matched_terms", """
@@ -107,7 +130,7 @@ def r1_terms(t):
 
 @query("w1_top_candidates", "SELECT query_id, chunk_id, score, rank FROM d_lex")
 def w1(t):
-    return lexical.search_lexical(documents(t), benchmark(t), P.CANDIDATES).drop("n_matched")
+    return IX.search_lexical(stored(t), benchmark(t), P.CANDIDATES).drop("n_matched")
 
 
 # ---- vectors ----------------------------------------------------------------
@@ -172,7 +195,7 @@ def r3(t):
 
 @query("r3_dense_text", "SELECT query_id, chunk_id, score, rank FROM d_dense")
 def r3_text(t):
-    return dense.search_dense(documents(t), benchmark(t))
+    return IX.search_dense(stored(t), benchmark(t), P.CANDIDATES)
 
 
 @query("r2_batch_embed", "SELECT d.doc_id AS chunk_id, 384 AS dim, coalesce(n, 0) AS n_buckets FROM documents d LEFT JOIN (SELECT id, count(*) AS n FROM d_vec GROUP BY id) v ON v.id = d.doc_id")
@@ -192,9 +215,7 @@ def r4(t):
 
 # ---- fusion -----------------------------------------------------------------
 def fused(t):
-    docs, asked = documents(t), benchmark(t)
-    lex = lexical.search_lexical(docs, asked).drop("n_matched")
-    return fusion.reciprocal_rank_fusion(fusion.union_arms(lex, dense.search_dense(docs, asked)))
+    return RT.hybrid(stored(t), benchmark(t))
 
 
 @query("w2_rank_fusion", "SELECT query_id, chunk_id, round(rrf, 9) AS rrf, lexical_rank, dense_rank, lexical_score, dense_score FROM d_fused")
@@ -288,17 +309,16 @@ def w10_highlights(t):
     f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, aspect) AS n FROM r) WHERE n = 1)
     SELECT query_id, chunk_id, rank, aspect, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, aspect) AS place FROM f) WHERE place <= 40""")
 def w6(t):
-    docs, asked = documents(t), benchmark(t)
-    lex = lexical.search_lexical(docs, asked).select("query_id", "chunk_id", "rank", F.lit(1).alias("aspect"))
-    den = dense.search_dense(docs, asked).select("query_id", "chunk_id", "rank", F.lit(2).alias("aspect"))
+    index, asked = stored(t), benchmark(t)
+    lex = IX.search_lexical(index, asked, P.CANDIDATES).select("query_id", "chunk_id", "rank", F.lit(1).alias("aspect"))
+    den = IX.search_dense(index, asked, P.CANDIDATES).select("query_id", "chunk_id", "rank", F.lit(2).alias("aspect"))
     return fusion.interleave(lex.unionByName(den))
 
 
 def pool_vectors(t):
     """The ranked pool with vectors joined back after the cut."""
     places = ranked_pool(t).select("query_id", "chunk_id", "place", "weighted", "lexical_rank", "dense_rank")
-    wanted = documents(t).join(places.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    return places.join(dense.embed(wanted).drop("text"), "chunk_id")
+    return places.join(stored(t).vectors.drop("label"), "chunk_id")
 
 
 shared("d_pairs", """
@@ -354,16 +374,16 @@ def w5(t):
 @query("w4_best_per_chunk", """
     SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, score FROM d_lex UNION ALL SELECT query_id, chunk_id, score FROM d_dense) GROUP BY ALL""")
 def w4(t):
-    docs, asked = documents(t), benchmark(t)
-    rows = lexical.search_lexical(docs, asked).select("query_id", "chunk_id", "score").unionByName(
-        dense.search_dense(docs, asked).select("query_id", "chunk_id", "score"))
+    index, asked = stored(t), benchmark(t)
+    rows = IX.search_lexical(index, asked, P.CANDIDATES).select("query_id", "chunk_id", "score").unionByName(
+        IX.search_dense(index, asked, P.CANDIDATES).select("query_id", "chunk_id", "score"))
     return fusion.best_per_chunk(rows)
 
 
 @query("p9_relevance_floor", """
     SELECT query_id, max(score) AS top_similarity, max(score) >= 0.622 AS covered FROM d_dense WHERE rank <= 5 GROUP BY query_id""")
 def p9(t):
-    best = dense.search_dense(documents(t), benchmark(t), P.FLOOR_TOP)
+    best = IX.search_dense(stored(t), benchmark(t), P.FLOOR_TOP)
     return best.groupBy("query_id").agg(F.max("score").alias("top_similarity")).withColumn(
         "covered", F.col("top_similarity") >= P.RELEVANCE_FLOOR)
 
@@ -416,7 +436,7 @@ def units(t):
     FROM ({_V_TOP.format('')}) JOIN d_meta USING (chunk_id) WHERE rank <= 6""")
 def r6(t):
     queries, variants = _asked(t)
-    return RT.retrieve(units(t), queries, variants).drop("record_id")
+    return RT.retrieve(stored(t), units(t), queries, variants).drop("record_id")
 
 
 _SECTIONS = ", ".join(f"({S.q(s)}, [{', '.join(S.q(k) for k in kinds)}], {S.q(focus)})" for _, s, _, kinds, focus, _ in P.PROFILES)
@@ -434,7 +454,7 @@ shared("s_final", """
 @query("r8_section_retrieval", "SELECT query_id, chunk_id, score, rank, widened FROM s_final")
 def r8(t):
     asked = t("doc_queries").select("query_id", "question")
-    return RT.retrieve_sections(units(t), asked).select("query_id", "chunk_id", "score", "rank", "widened")
+    return RT.retrieve_sections(stored(t), units(t), asked).select("query_id", "chunk_id", "score", "rank", "widened")
 
 
 # The likely-causes profile lists few types with records here; questions it starves are widened.
@@ -454,8 +474,8 @@ def p10(t):
     docs, asked = units(t), t("doc_queries").select("query_id", "question")
     facts = docs.select("chunk_id", "record_id")
     narrow = asked.withColumn("allowed", F.array(F.lit("narrative"), F.lit("chapter")))
-    filtered = durable(RT.cut(RT.hybrid(docs, narrow, P.SEARCH_CANDIDATES, "record_type"), P.FINAL_K).join(facts, "chunk_id"))
-    out = widen_starved(filtered, lambda plenty: RT.cut(RT.hybrid(docs, asked.join(plenty, "query_id", "left_anti")), P.FINAL_K).join(facts, "chunk_id"))
+    filtered = durable(RT.cut(RT.hybrid(stored(t), narrow, P.SEARCH_CANDIDATES, True), P.FINAL_K).join(facts, "chunk_id"))
+    out = widen_starved(filtered, lambda plenty: RT.cut(RT.hybrid(stored(t), asked.join(plenty, "query_id", "left_anti")), P.FINAL_K).join(facts, "chunk_id"))
     return out.select("query_id", "chunk_id", "rank", "widened")
 
 
@@ -464,15 +484,13 @@ _retrieval_ctes("z", f"SELECT 'scale' AS query_id, {S.q(P.SCALE_QUERY)} AS quest
 
 @query("r9_scale_lookup", "SELECT query_id, chunk_id, score, rank FROM z_cut WHERE rank <= 2")
 def r9(t):
-    return RT.scale_lookup(units(t))
+    return RT.scale_lookup(stored(t))
 
 
 @query("r7_diversified_retrieve")
 def r7(t):
     ranked = ranked_pool(t).select("query_id", "chunk_id", "place", "weighted", "lexical_rank", "dense_rank")
-    docs = units(t)
-    wanted = docs.select("chunk_id", "text").join(ranked.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    out = RT.diversified(ranked, dense.embed(wanted).drop("text"), docs, clearance(t))
+    out = RT.diversified(ranked, stored(t).vectors.drop("label"), units(t), clearance(t))
     return out.select("query_id", "chunk_id", "pick", F.round("relative", 6).alias("relative"), "added", F.array_join("matched_by", "+").alias("matched_by"))
 
 

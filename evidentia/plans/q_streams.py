@@ -125,8 +125,8 @@ def seeded_index(t):
     chunks = records.select(*cols).unionByName(C.table_row_chunks(lines).select(*cols))
     path = work_folder(spark, "index")
     IX.create_index(spark, path)
-    IX.publish(spark, path, chunks)
-    return spark.read.schema(IX.INDEX_SCHEMA).parquet(path)
+    IX.publish(path, chunks, 0)
+    return IX.read_index(spark, path)
 
 
 @query("s8_index_table", "SELECT record_type, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM (SELECT record_type, content FROM o_records UNION ALL SELECT record_type, content FROM o_rows) GROUP BY record_type")

@@ -11,17 +11,13 @@ INDEX_SCHEMA = (
     "chunk_id STRING, doc_id STRING, doc_name STRING, ordinal BIGINT, content STRING, tokens INT, record_id STRING, record_type STRING, "
     "title STRING, chapter STRING, section STRING, page INT, region_id STRING, evidence_quality STRING, risk_level STRING, record_date STRING, "
     "access_class STRING, navigational BOOLEAN, is_shared BOOLEAN, applies_to ARRAY<STRING>, vector ARRAY<FLOAT>")
-BUCKETS = 64
+#: Rows as they are stored: each belongs to the version in which its document was last published or removed.
+STORED_SCHEMA = f"{INDEX_SCHEMA}, deleted BOOLEAN, version BIGINT"
 
 
-def bucket_of(doc_id: str = "doc_id", buckets: int = BUCKETS):
-    return F.pmod(F.xxhash64(doc_id), F.lit(buckets)).cast("int").alias("bucket")
-
-
-def create_index(spark: SparkSession, path: str, schema: str = INDEX_SCHEMA) -> None:
+def create_index(spark: SparkSession, path: str) -> None:
     """Create or recreate an empty index with the declared columns."""
-    empty = spark.createDataFrame([], schema)
-    empty.withColumn("bucket", bucket_of()).write.mode("overwrite").partitionBy("bucket").parquet(path)
+    spark.createDataFrame([], STORED_SCHEMA).write.mode("overwrite").partitionBy("version").parquet(path)
 
 
 def to_index_rows(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -55,27 +51,45 @@ def removed_counts(current: DataFrame, doc_ids: DataFrame) -> DataFrame:
     return doc_ids.join(gone, "doc_id", "left").select("doc_id", F.coalesce("removed", F.lit(0)).alias("removed"))
 
 
-def publish(spark: SparkSession, path: str, incoming: DataFrame, schema: str = INDEX_SCHEMA, buckets: int = BUCKETS) -> DataFrame:
-    """Replace the incoming documents in the index at ``path``; returns the rows that arrived.
+def _append(rows: DataFrame, path: str, version: int) -> DataFrame:
+    """Write one version of its own; the files of others are not touched, and a replay replaces just this one."""
+    stamped = rows.withColumn("version", F.lit(version).cast("bigint"))
+    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+    return rows.sparkSession.read.schema(STORED_SCHEMA).parquet(path).where(F.col("version") == version)
+
 
-    Only the hash buckets that hold those documents are rewritten, and a replay of
-    the same input leaves the same table. Incoming rows are computed once, into a
-    folder beside the index. The merged buckets are staged before the overwrite,
-    because a bucket cannot be read and overwritten in one job.
+def publish(path: str, incoming: DataFrame, version: int, documents: DataFrame | None = None) -> DataFrame:
+    """Append the incoming documents to the index at ``path`` as one version; returns the rows that arrived.
+
+    From then on the documents read as published here, whatever older versions hold. ``documents`` names all documents
+    of the batch; those without a chunk get a tombstone, so that older chunks of theirs are no longer read. Versions
+    rise from batch to batch, as a stream's batch IDs do; writers of different versions do not disturb each other.
     """
-    arrived_path, staging = f"{path}__arrived", f"{path}__staging"
-    incoming.withColumn("bucket", bucket_of(buckets=buckets)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(arrived_path)
-    arrived = spark.read.schema(f"{schema}, bucket INT").parquet(arrived_path)
-    if rejected_keys(arrived).limit(1).count():
-        raise ValueError("incoming rows without a chunk_id")
-    # At most ``buckets`` values.
-    touched = [r["bucket"] for r in arrived.select("bucket").distinct().limit(buckets).collect()]
-    current = spark.read.schema(f"{schema}, bucket INT").parquet(path).where(F.col("bucket").isin(touched))
-    merged = remove_documents(current, arrived.select("doc_id").distinct()).unionByName(arrived)
-    merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(staging)
-    staged = spark.read.schema(f"{schema}, bucket INT").parquet(staging)
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    return arrived
+    blank = F.trim(F.coalesce("chunk_id", F.lit(""))) == ""
+    checked = F.when(F.assert_true(~blank, F.lit("incoming row without a chunk_id")).isNull(), F.col("chunk_id"))
+    rows = incoming.withColumn("chunk_id", checked).withColumn("deleted", F.lit(False))
+    if documents is not None:
+        empty = documents.select("doc_id").distinct().join(incoming.select("doc_id").distinct(), "doc_id", "left_anti")
+        rows = rows.unionByName(empty.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+    return _append(rows, path, version).where(~F.col("deleted"))
+
+
+def retract(path: str, doc_ids: DataFrame, version: int) -> None:
+    """Append tombstones: the documents are no longer read."""
+    _append(doc_ids.select("doc_id").distinct().withColumn("deleted", F.lit(True)), path, version)
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of each document's newest version."""
+    rows = spark.read.schema(STORED_SCHEMA).parquet(path)
+    newest = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
+    return rows.join(newest, ["doc_id", "version"]).where(~F.coalesce("deleted", F.lit(False))).drop("version", "deleted")
+
+
+def compact(spark: SparkSession, path: str, target: str, version: int) -> None:
+    """Write what is read from ``path`` to a new index of one version; readers change over when it is complete."""
+    read_index(spark, path).withColumn("deleted", F.lit(False)).withColumn("version", F.lit(version).cast("bigint")).hint(
+        "rebalance").write.partitionBy("version").parquet(target)
 
 
 def append_history(rows: DataFrame, path: str) -> None:

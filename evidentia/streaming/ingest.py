@@ -37,12 +37,12 @@ def split_failed(docs: DataFrame, payload: str = "payload") -> tuple[DataFrame,
 def ingest_batch(docs: DataFrame, batch_id: int, index_path: str, status_path: str, chunker: Chunker = window_chunks) -> None:
     """Chunk, label, embed and publish one batch, then record each document's outcome.
 
-    Chunk keys are deterministic and publishing replaces a document's chunks, so a
-    replayed batch changes nothing in the index; statuses carry the batch id.
+    Chunk keys are deterministic and the batch is one version of the index, so a
+    replayed batch changes nothing in it; statuses carry the batch id.
     """
     good, bad = split_failed(docs)
     rows = embed(chunker(good), "content").withColumn("vector", F.col("vector").cast("array<float>"))
-    arrived = publish(docs.sparkSession, index_path, rows)
+    arrived = publish(index_path, rows, batch_id)
     counts = arrived.groupBy("doc_id").agg(F.count("*").alias("chunks"))
     done = counts.select("doc_id", F.lit("indexed").alias("status"), "chunks", F.lit(None).cast("string").alias("error"))
     failed = bad.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("failed").alias("status"), F.lit(0).cast("bigint").alias("chunks"), "error")

@@ -2,6 +2,8 @@
 
 import base64
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from evidentia.sources import documents as D
@@ -35,12 +37,33 @@ def test_index_replace_and_replay(spark, tmp_path):
     path = str(tmp_path / "index")
     IX.create_index(spark, path)
     first = spark.createDataFrame([("a#0", "a", "one"), ("a#1", "a", "two"), ("b#0", "b", "three")], "chunk_id string, doc_id string, content string")
-    IX.publish(spark, path, first)
+    IX.publish(path, first, 0)
+    older = {f: f.stat().st_mtime_ns for f in (tmp_path / "index").rglob("*.parquet")}
     newer = spark.createDataFrame([("a#0", "a", "ONE")], "chunk_id string, doc_id string, content string")
+
+    def stored(at=path):
+        return {(r.chunk_id, r.content) for r in IX.read_index(spark, at).collect()}
+
     for _ in range(2):
-        IX.publish(spark, path, newer)
-        rows = {(r.chunk_id, r.content) for r in spark.read.schema(IX.INDEX_SCHEMA).parquet(path).collect()}
-        assert rows == {("a#0", "ONE"), ("b#0", "three")}
+        IX.publish(path, newer, 1)
+        assert stored() == {("a#0", "ONE"), ("b#0", "three")}
+    # A batch of one document writes no file of another version anew.
+    assert older and all(f.stat().st_mtime_ns == t for f, t in older.items())
+    IX.compact(spark, path, str(tmp_path / "compact"), 1)
+    assert stored(str(tmp_path / "compact")) == stored()
+    IX.retract(path, spark.createDataFrame([("b",)], "doc_id string"), 2)
+    assert stored() == {("a#0", "ONE")}
+    IX.publish(path, first.where("doc_id = 'b'"), 3, spark.createDataFrame([("a",), ("b",)], "doc_id string"))
+    assert stored() == {("b#0", "three")}
+
+
+def test_index_rejects_blank_keys(spark, tmp_path):
+    path = str(tmp_path / "index")
+    IX.create_index(spark, path)
+    rows = spark.createDataFrame([(" ", "a", "one")], "chunk_id string, doc_id string, content string")
+    with pytest.raises(Exception, match="without a chunk_id"):
+        IX.publish(path, rows, 0)
+    assert IX.read_index(spark, path).count() == 0
 
 
 def test_ingest_stream_restarts(spark, tmp_path):
@@ -55,7 +78,7 @@ def test_ingest_stream_restarts(spark, tmp_path):
 
     assert add([(1, "first text of some length"), (2, None), (3, "  ")], 0) == {"1": ("indexed", 1), "2": ("failed", 0), "3": ("failed", 0)}
     assert add([(4, "line\n" * 900)], 1)["4"] == ("indexed", 2)
-    rows = spark.read.schema(IX.INDEX_SCHEMA).parquet(index).select("doc_id", F.size("vector").alias("n")).collect()
+    rows = IX.read_index(spark, index).select("doc_id", F.size("vector").alias("n")).collect()
     assert sorted(r.doc_id for r in rows) == ["1", "4", "4"] and {r.n for r in rows} == {384}
 
 
