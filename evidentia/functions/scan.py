@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,26 +34,39 @@ def carry_forward(df: DataFrame, key: str, order: str, columns: list[str], block
     return joined.select(*plain, *[F.coalesce(f"__l_{c}", f"__c_{c}").alias(c) for c in columns])
 
 
-def number_rows(df: DataFrame, key: str, order: str, out: str = "n", block_rows: int = 65536) -> DataFrame:
-    """1-based row number per key along an integral order column, block by block."""
+def row_blocks(df: DataFrame, order: str, blocks: int | None = None) -> Column:
+    """Block number of each row: ranges of ``order`` that hold about equally many rows, however sparse its values are.
+
+    The bounds are quantiles over all rows, one number a block; computed once, so every use of the column agrees.
+    """
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = F.array(*[F.lit(i / n) for i in range(1, n)]) if n > 1 else None
+    bounds = df.agg(F.percentile_approx(order, shares, 10_000)).first()[0] if n > 1 else None
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(order)))
+
+
+def number_rows(df: DataFrame, key: str, order: str, out: str = "n", blocks: int | None = None) -> DataFrame:
+    """1-based row number per key along an ordered column, block by block (see ``row_blocks``)."""
     block = "__block"
-    blocked = df.withColumn(block, F.floor(F.col(order) / block_rows))
+    blocked = df.withColumn(block, row_blocks(df, order, blocks))
     inside = Window.partitionBy(key, block).orderBy(order)
     local = blocked.withColumn("__n", F.row_number().over(inside))
-    ends = local.groupBy(key, block).agg(F.count("*").alias("__size"))
+    ends = blocked.groupBy(key, block).agg(F.count("*").alias("__size"))
     before = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     offsets = ends.select(key, block, F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
     joined = local.join(offsets, [key, block])
     return joined.select(*df.columns, (F.col("__n") + F.col("__offset")).alias(out))
 
 
-def previous_value(df: DataFrame, key: str, order: str, column: str, out: str, block_rows: int = 65536) -> DataFrame:
-    """Value of ``column`` in the row before, per key, block by block."""
+def previous_value(df: DataFrame, key: str, order: str, column: str, out: str, blocks: int | None = None) -> DataFrame:
+    """Value of ``column`` in the row before, per key, block by block (see ``row_blocks``)."""
     block = "__block"
-    blocked = df.withColumn(block, F.floor(F.col(order) / block_rows))
+    blocked = df.withColumn(block, row_blocks(df, order, blocks))
     inside = Window.partitionBy(key, block).orderBy(order)
     local = blocked.withColumn("__lag", F.lag(column).over(inside)).withColumn("__n", F.row_number().over(inside))
-    ends = local.groupBy(key, block).agg(F.max_by(F.col(column), order).alias("__end"))
+    ends = blocked.groupBy(key, block).agg(F.max_by(F.col(column), order).alias("__end"))
     before = F.lag("__end").over(Window.partitionBy(key).orderBy(block))
     heads = ends.select(key, block, before.alias("__carry"))
     joined = local.join(heads, [key, block])
