@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.bounds import unroll
 from evidentia import params as P
+from evidentia.functions.labels import one_of
 from evidentia.functions.text import contains_any, find_all
 
 STRINGS = "array<string>"
@@ -64,15 +65,26 @@ def aspects(question: Column) -> Column:
     return F.when(question.rlike(P.COMPARISON_INTENT) & (F.size(sides) >= 2), joined).otherwise(F.array().cast(STRINGS))
 
 
-def sub_queries(question: Column) -> Column:
-    """Two sides by the first separator that leaves more than eight characters on both."""
+def rewritten_text(question: Column, rewritten: Column | None) -> Column:
+    """The rewritten question where there is one."""
+    return question if rewritten is None else F.coalesce(F.nullif(F.trim(rewritten), F.lit("")), question)
+
+
+def sub_queries(question: Column, supplied: Column | None = None, rewritten: Column | None = None) -> Column:
+    """Two sides of a comparison: the first two that were supplied, else the rewritten question and then the question as
+    asked, cut at the first separator that leaves more than eight characters on both sides, else one text twice."""
     tries = []
-    for sep in P.SUBQUERY_SEPARATORS:
-        at = F.instr(question, sep)
-        head = F.trim(F.substring(question, F.lit(1), at - 1))
-        tail = F.trim(question.substr(at + len(sep), F.length(question)))
-        tries.append(F.when((at > 0) & (F.length(head) > 8) & (F.length(tail) > 8), F.array(head, tail)))
-    return F.coalesce(*tries, F.array(question, question))
+    if supplied is not None:
+        given = F.filter(F.transform(supplied, lambda s: F.trim(s)), lambda s: s != "")
+        tries.append(F.when(F.size(given) >= 2, F.slice(given, 1, 2)))
+    text = rewritten_text(question, rewritten)
+    for source in [text] if rewritten is None else [text, question]:
+        for sep in P.SUBQUERY_SEPARATORS:
+            at = F.instr(source, sep)
+            head = F.trim(F.substring(source, F.lit(1), at - 1))
+            tail = F.trim(source.substr(at + len(sep), F.length(source)))
+            tries.append(F.when((at > 0) & (F.length(head) > 8) & (F.length(tail) > 8), F.array(head, tail)))
+    return F.coalesce(*tries, F.array(text, text))
 
 
 def expansions(question: Column, synonyms: dict[str, list[str]] | None = None) -> Column:
@@ -98,6 +110,28 @@ def query_variants(question: Column) -> Column:
     )
 
 
+def classification(rows: DataFrame, payload: str = "payload", question: str = "question") -> DataFrame:
+    """Tolerant reading of a classification payload: malformed JSON, scalars for lists and unknown labels get defaults."""
+    v = F.try_parse_json(payload)
+
+    def text(path: str) -> Column:
+        return F.trim(F.coalesce(F.try_variant_get(v, f"$.{path}", "string"), F.lit("")))
+
+    def listed(path: str) -> Column:
+        items = F.coalesce(F.try_variant_get(v, f"$.{path}", "array<string>"), F.array(text(path)))
+        return F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+
+    severity = text("severity_class")
+    return rows.select(
+        "*", rewritten_text(F.col(question), text("rewritten_query")).alias("rewritten"),
+        F.when(severity.isin("W1", "W2", "W3", "W4", "Informational"), severity).otherwise(F.lit("Informational")).alias("severity_class"),
+        text("severity_reason").alias("severity_reason"), text("severity_citation").alias("severity_citation"),
+        F.coalesce(one_of(text("query_shape"), P.QUERY_SHAPES, "simple"), F.lit("simple")).alias("query_shape"),
+        F.when(text("use_case").isin(P.USE_CASES), text("use_case")).otherwise(F.lit(P.USE_CASES[0])).alias("use_case"),
+        F.slice(listed("variants"), 1, 2).alias("variants"), listed("record_ids").alias("record_ids"), listed("region_ids").alias("region_ids"),
+        F.slice(listed("sub_queries"), 1, 2).alias("sub_queries"))
+
+
 def focused_owner(question: Column) -> Column:
     low = F.lower(question)
     ids = find_all(question, P.QUESTION_RECORD_ID)
@@ -117,10 +151,12 @@ def focused_owner(question: Column) -> Column:
     )
 
 
-def dispatch_mode(question: Column, severity: Column, forced: Column) -> Column:
+def dispatch_mode(question: Column, severity: Column, forced: Column, shape: Column | None = None) -> Column:
+    """Forced mode, else by comparison (as classified in ``shape`` or worded), severity and wording."""
+    compared = is_comparison(question) if shape is None else (F.coalesce(shape, F.lit("")) == "compare") | is_comparison(question)
     return (
         F.when(forced.isin("sitrep", "focused", "compare"), forced)
-        .when(is_comparison(question), F.lit("compare"))
+        .when(compared, F.lit("compare"))
         .when(severity.isin("W1", "W2", "W3", "W4"), F.lit("sitrep"))
         .when(has_incident_shape(question), F.lit("sitrep"))
         .otherwise(F.lit("focused"))
@@ -130,11 +166,14 @@ def dispatch_mode(question: Column, severity: Column, forced: Column) -> Column:
 def with_roster(rows: DataFrame) -> DataFrame:
     """(owner, sub_question) rows for ``mode`` and ``question``: three, two distinct, or one.
 
+    A classified question brings its ``sub_queries`` and ``rewritten`` text along.
+
     Each step is a column of its own, so the split and the owners are evaluated once.
     """
     protector, investigator, responder = (p[0] for p in P.PROFILES)
     compare = F.col("mode") == "compare"
-    staged = rows.withColumn("__subs", F.when(compare, sub_queries(F.col("question"))).otherwise(F.array("question")))
+    supplied, rewritten = (F.col(c) if c in rows.columns else None for c in ("sub_queries", "rewritten"))
+    staged = rows.withColumn("__subs", F.when(compare, sub_queries(F.col("question"), supplied, rewritten)).otherwise(F.array("question")))
     staged = staged.withColumn("__a", F.get("__subs", F.lit(0))).withColumn("__b", F.get("__subs", F.lit(1)))
     staged = staged.withColumn("__first", focused_owner(F.col("__a"))).withColumn("__second", F.when(compare, focused_owner(F.col("__b"))))
     second = F.when(F.col("__first") != F.col("__second"), F.col("__second")).when(

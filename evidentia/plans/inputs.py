@@ -251,6 +251,9 @@ RENDERED["questions"] = f"""
       CASE o_orderpriority WHEN '1-URGENT' THEN 'W4' WHEN '2-HIGH' THEN 'w3' WHEN '3-MEDIUM' THEN 'Informational' WHEN '5-LOW' THEN 'odd' END AS severity_class,
       CASE WHEN o_orderkey % 5 = 0 THEN 'INC-77' WHEN o_orderkey % 5 = 1 THEN 'inc-1' END AS supplied_id,
       CASE CAST(o_orderkey % 4 AS INT) WHEN 0 THEN 'guardian' WHEN 1 THEN 'healer' WHEN 2 THEN 'researcher' ELSE 'citizen' END AS role,
+      CASE WHEN o_orderkey % 17 = 0 THEN 'compare' WHEN o_orderkey % 17 = 1 THEN 'summarize' ELSE 'simple' END AS query_shape,
+      CASE WHEN o_orderkey % 7 = 0 THEN concat('Long water report of ', o_custkey, ' versus the FAU-0', o_custkey % 9, ' coral report') WHEN o_orderkey % 7 = 1 THEN ' ' END AS rewritten,
+      CASE WHEN o_orderkey % 19 = 0 THEN 'What of the FAU-01 reefs?| |What should we do about MED-2?|more' WHEN o_orderkey % 19 = 1 THEN 'only one' END AS supplied,
       o_orderdate AS asked_at
     FROM {{orders}}
 """

@@ -8,7 +8,6 @@ from evidentia import params as P
 from evidentia.functions import routing as R
 from evidentia.functions import text as X
 from evidentia.functions.bounds import spread, top_n, unroll
-from evidentia.functions.labels import one_of
 from evidentia.functions.scan import previous_value
 from evidentia.operators import listing as LS
 from evidentia.plans import sqltext as S
@@ -72,17 +71,21 @@ def f26(t):
     return unroll(t("questions"), ["query_id"], R.aspects(F.col("question")), "aspect", "aspect_no")
 
 
-def _cut(sep: str) -> str:
-    head, tail = f"trim(left(question, instr(question, {S.q(sep)}) - 1))", f"trim(substr(question, instr(question, {S.q(sep)}) + {len(sep)}))"
-    return f"CASE WHEN instr(question, {S.q(sep)}) > 0 AND length({head}) > 8 AND length({tail}) > 8 THEN [{head}, {tail}] END"
+def _cut(x: str, sep: str) -> str:
+    head, tail = f"trim(left({x}, instr({x}, {S.q(sep)}) - 1))", f"trim(substr({x}, instr({x}, {S.q(sep)}) + {len(sep)}))"
+    return f"CASE WHEN instr({x}, {S.q(sep)}) > 0 AND length({head}) > 8 AND length({tail}) > 8 THEN [{head}, {tail}] END"
 
 
-_SUBS = "coalesce(" + ", ".join(_cut(s) for s in P.SUBQUERY_SEPARATORS) + ", [question, question])"
+_REWRITTEN = "coalesce(nullif(trim(rewritten), ''), question)"
+_GIVEN = "list_filter(list_transform(string_split(coalesce(supplied, ''), '|'), lambda s: trim(s)), lambda s: s <> '')"
+_SUBS = f"coalesce(CASE WHEN len({_GIVEN}) >= 2 THEN {_GIVEN}[1:2] END, " + ", ".join(
+    _cut(x, s) for x in (_REWRITTEN, "question") for s in P.SUBQUERY_SEPARATORS) + f", [{_REWRITTEN}, {_REWRITTEN}])"
 
 
 @query("f27_sub_queries", f"SELECT query_id, s[1] AS first, s[2] AS second FROM (SELECT query_id, {_SUBS} AS s FROM questions)")
 def f27(t):
-    return t("questions").select("query_id", R.sub_queries(F.col("question")).alias("s")).select(
+    subs = R.sub_queries(F.col("question"), F.split("supplied", "[|]"), F.col("rewritten"))
+    return t("questions").select("query_id", subs.alias("s")).select(
         "query_id", F.get("s", F.lit(0)).alias("first"), F.get("s", F.lit(1)).alias("second"))
 
 
@@ -137,7 +140,7 @@ def _owner(x: str) -> str:
 
 _CLS = "CASE WHEN upper(trim(severity_class)) IN ('W1', 'W2', 'W3', 'W4') THEN upper(trim(severity_class)) ELSE 'informational' END"
 shared("o_routes", f"""
-    SELECT query_id, question, coalesce(forced_mode, CASE WHEN {_has(P.COMPARE_TERMS)} THEN 'compare' WHEN {_CLS} <> 'informational' THEN 'sitrep'
+    SELECT query_id, question, rewritten, supplied, coalesce(forced_mode, CASE WHEN query_shape = 'compare' OR {_has(P.COMPARE_TERMS)} THEN 'compare' WHEN {_CLS} <> 'informational' THEN 'sitrep'
       WHEN {_has(P.INCIDENT_TERMS)} THEN 'sitrep' ELSE 'focused' END) AS mode, {_owner('question')} AS owner FROM questions""")
 
 
@@ -145,7 +148,7 @@ def routed(t):
     from evidentia.functions.labels import priority_class
 
     q = spread(t("questions")).withColumn("class", priority_class(F.col("severity_class")))
-    return q.withColumn("mode", R.dispatch_mode(F.col("question"), F.col("class"), F.col("forced_mode"))).withColumn(
+    return q.withColumn("mode", R.dispatch_mode(F.col("question"), F.col("class"), F.col("forced_mode"), F.col("query_shape"))).withColumn(
         "owner", R.focused_owner(F.col("question")))
 
 
@@ -162,37 +165,25 @@ def f30(t):
     UNION ALL SELECT query_id, CASE WHEN o1 <> o2 THEN o2 WHEN o1 = {_INV} THEN {_RESP} ELSE {_INV} END, s[2] FROM c WHERE mode = 'compare'
     UNION ALL SELECT query_id, owner, question FROM c WHERE mode = 'focused'""")
 def f31(t):
-    rows = R.with_roster(routed(t).select("query_id", "question", "mode"))
+    rows = R.with_roster(routed(t).select("query_id", "question", "mode", "rewritten", F.split("supplied", "[|]").alias("sub_queries")))
     return rows.select("query_id", F.col("roster_owner").alias("owner"), "sub_question")
 
 
-_JSON = """'{"severity_class": "' || coalesce(severity_class, '') || '", "query_shape": "' || CASE WHEN query_id % 3 = 0 THEN ' Compare ' ELSE 'odd' END || '", "use_case": "' || CASE WHEN query_id % 2 = 0 THEN 'Research Assistant' ELSE 'Other' END || '", "variants": ' || CASE WHEN query_id % 4 = 0 THEN '"one"' WHEN query_id % 4 = 1 THEN '["a", " ", "b", "c"]' ELSE '[]' END || CASE WHEN query_id % 9 = 0 THEN '' ELSE '}' END"""
+_JSON = """'{"severity_class": "' || coalesce(severity_class, '') || '", "query_shape": "' || CASE WHEN query_id % 3 = 0 THEN ' Compare ' ELSE 'odd' END || '", "use_case": "' || CASE WHEN query_id % 2 = 0 THEN 'Research Assistant' ELSE 'Other' END || '", "variants": ' || CASE WHEN query_id % 4 = 0 THEN '"one"' WHEN query_id % 4 = 1 THEN '["a", " ", "b", "c"]' ELSE '[]' END || ', "rewritten_query": "' || CASE WHEN query_id % 5 = 0 THEN ' ' ELSE 'again ' || query_id || ' ' END || '", "record_ids": ["INC-1", " FAU-2 ", ""], "region_ids": "REG-01", "severity_reason": " seen ", "sub_queries": ["x", "y", "z"]' || CASE WHEN query_id % 9 = 0 THEN '' ELSE '}' END"""
 
 
 @query("f24_classification_payload", """
     SELECT query_id, CASE WHEN query_id % 9 <> 0 AND severity_class IN ('W1', 'W2', 'W3', 'W4', 'Informational') THEN severity_class ELSE 'Informational' END AS severity_class,
       CASE WHEN query_id % 9 <> 0 AND query_id % 3 = 0 THEN 'compare' ELSE 'simple' END AS query_shape,
       CASE WHEN query_id % 9 <> 0 AND query_id % 2 = 0 THEN 'Research Assistant' ELSE 'Environmental Incident Investigation' END AS use_case,
-      CASE WHEN query_id % 9 = 0 THEN '' WHEN query_id % 4 = 0 THEN 'one' WHEN query_id % 4 = 1 THEN 'a,b' ELSE '' END AS variants FROM questions""")
+      CASE WHEN query_id % 9 = 0 THEN '' WHEN query_id % 4 = 0 THEN 'one' WHEN query_id % 4 = 1 THEN 'a,b' ELSE '' END AS variants,
+      CASE WHEN query_id % 9 <> 0 AND query_id % 5 <> 0 THEN 'again ' || query_id ELSE question END AS rewritten, CASE WHEN query_id % 9 <> 0 THEN 'INC-1,FAU-2' ELSE '' END AS record_ids,
+      CASE WHEN query_id % 9 <> 0 THEN 'REG-01' ELSE '' END AS region_ids, CASE WHEN query_id % 9 <> 0 THEN 'seen' ELSE '' END AS severity_reason, '' AS severity_citation,
+      CASE WHEN query_id % 9 <> 0 THEN 'x,y' ELSE '' END AS sub_queries FROM questions""")
 def f24(t):
-    raw = t("questions").select("query_id", F.expr(_JSON).alias("payload"))
-    return classification(raw).select("query_id", "severity_class", "query_shape", "use_case", F.array_join("variants", ",").alias("variants"))
-
-
-def classification(rows, payload: str = "payload"):
-    """Tolerant reading of a classification payload: malformed JSON, scalars for lists and unknown labels get defaults."""
-    v = F.try_parse_json(payload)
-
-    def text(path):
-        return F.trim(F.try_variant_get(v, f"$.{path}", "string"))
-
-    listed = F.coalesce(F.try_variant_get(v, "$.variants", "array<string>"), F.array(text("variants")))
-    listed = F.slice(F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), 1, 2)
-    severity = text("severity_class")
-    return rows.select(
-        "*", F.when(severity.isin("W1", "W2", "W3", "W4", "Informational"), severity).otherwise(F.lit("Informational")).alias("severity_class"),
-        F.coalesce(one_of(text("query_shape"), P.QUERY_SHAPES, "simple"), F.lit("simple")).alias("query_shape"),
-        F.when(text("use_case").isin(P.USE_CASES), text("use_case")).otherwise(F.lit(P.USE_CASES[0])).alias("use_case"), listed.alias("variants"))
+    raw = t("questions").select("query_id", "question", F.expr(_JSON).alias("payload"))
+    lists = [F.array_join(c, ",").alias(c) for c in ("variants", "record_ids", "region_ids", "sub_queries")]
+    return R.classification(raw).select("query_id", "severity_class", "query_shape", "use_case", "rewritten", "severity_reason", "severity_citation", *lists)
 
 
 @query("f34_conversation_title", "SELECT conv_id, left(arg_min(text, turn), 200) AS title FROM conversations WHERE role = 'user' GROUP BY conv_id")
