@@ -282,7 +282,7 @@ def f15(t):
 
 
 @query("f35_context_block", f"""
-    SELECT report_id, string_agg('───── BEGIN RECORD ' || citation_id || ' ─────' || chr(10) || concat_ws(' | ', 'cite as: [' || citation_id || ']', 'type: ' || record_type, 'title: ' || title,
+    SELECT report_id, string_agg('───── BEGIN RECORD ' || citation_id || ' ─────' || chr(10) || concat_ws(' | ', 'cite as: [' || citation_id || ']', 'type: ' || record_type, 'title: ' || nullif(title, ''),
       'chapter: ' || chapter, 'region: ' || region_id, 'date: ' || record_date, 'evidence quality: ' || evidence_quality, 'risk level: ' || risk_level) || chr(10) || chr(10) ||
       regexp_replace(content, '^\\s+|\\s+$', '', 'g') || chr(10) || '───── END RECORD ' || citation_id || ' ─────', chr(10) || chr(10) ORDER BY rnk) AS context FROM evidence GROUP BY report_id""")
 def f35(t):
