@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from evidentia import params as P
 from evidentia.functions import routing as R
-from evidentia.functions import text as X
 from evidentia.functions.bounds import spread, top_n, unroll
 from evidentia.functions.scan import previous_value
 from evidentia.operators import listing as LS

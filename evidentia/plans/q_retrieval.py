@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia import params as P
-from evidentia.functions import routing as R
 from evidentia.functions import text as X
 from evidentia.functions import vectors as V
 from evidentia.functions.bounds import spread, top_n, unroll

@@ -5,7 +5,6 @@ import subprocess
 import sys
 
 from compare import DATA
-from pyspark.sql import functions as F
 
 from evidentia.operators import dense
 from evidentia.plans import catalog
