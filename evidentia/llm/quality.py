@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions.bounds import unroll
 from evidentia.llm.common import WHITE, fresh, let, spaced, table, white_words
 
 BUCKETS = 10_000
@@ -126,6 +127,17 @@ def judge_documents(
     return scored.withColumn(result, r.withField("base_failed", failed).withField("kept", kept)), result
 
 
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept.
+
+    A plain filter on the verdict would be pushed below the columns it is made of, which repeats their expressions; a
+    filter on the place of an unrolled array is not.
+    """
+    judged, result = judge_documents(docs, labels)
+    [mark] = fresh(judged, "__kept")
+    return unroll(judged, docs.columns, F.when(F.col(result)["kept"], F.array(F.lit(1))), mark).select(*docs.columns)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged, result = judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *[f"{result}.{c}" for c in (
