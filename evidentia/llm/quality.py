@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from evidentia.functions.bounds import unroll
 from evidentia.llm.common import WHITE, fresh, let, spaced, table, white_words
 
-BUCKETS = 10_000
+#: Well above the number of frequent words and pairs, so that those of junk have buckets of their own (2 MB of numbers).
+BUCKETS = 1 << 18
 #: Bound of the labelled sample the target multinomial is fitted on (see ``target_ids``).
 TARGET_DOCS = 4_096
 #: Mean log ratio per n-gram below which a document is rejected.
@@ -51,7 +52,8 @@ def log_ratios(docs: DataFrame, targets: DataFrame, buckets: int = BUCKETS, smoo
     """One row with one array: the log ratio of each bucket.
 
     Both multinomials come from one scan: counts are summed per task before the shuffle, which so moves ``buckets``
-    rows a task. ``targets`` holds at most ``TARGET_DOCS`` IDs and is broadcast.
+    rows a task. ``targets`` holds at most ``TARGET_DOCS`` IDs and is broadcast. Raw counts are brought to the size of the
+    target before both are smoothed, so that scores do not drift with the sizes of the corpus, the sample and the array.
     """
     marked = docs.select("doc_id", "text").join(F.broadcast(targets.select("doc_id", F.lit(1).alias("__good"))), "doc_id", "left")
     hashed = marked.select("__good", F.transform(white_words(F.col("text")), lambda w: F.xxhash64(w)).alias("__w"))
@@ -65,8 +67,8 @@ def log_ratios(docs: DataFrame, targets: DataFrame, buckets: int = BUCKETS, smoo
     packed = full.agg(
         F.sum("__raw").alias("raw"), F.sum("__target").alias("target"),
         F.array_sort(F.collect_list(F.struct("__b", "__raw", "__target"))).alias("cells"))
-    ratio = lambda c: F.log((c["__target"] + smoothing) / (F.col("target") + smoothing * buckets)) - F.log(
-        (c["__raw"] + smoothing) / (F.col("raw") + smoothing * buckets))
+    share = F.col("target") / F.col("raw")
+    ratio = lambda c: F.log((c["__target"] + smoothing) / (c["__raw"] * share + smoothing))
     return packed.select(F.when(F.col("target") == 0, F.array_repeat(F.lit(0.0), buckets)).otherwise(
         F.transform("cells", ratio)).alias("ratios"))
 

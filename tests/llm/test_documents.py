@@ -372,6 +372,16 @@ def test_quality_counts_equal_brute_force(spark):
     assert {r.score for r in got if r.n_words == 0} == {0.0}
 
 
+def test_quality_holds_where_pairs_outnumber_small_tables(spark):
+    """Many distinct pairs: junk must not share the buckets of frequent good n-grams."""
+    rng = random.Random(31)
+    good = [(i, prose(rng, 150)) for i in range(2000)]
+    junk = [(9100 + i, " ".join(f"{w}&&&" for w in rng.choices(WORDS[:3000], k=100))) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 0) for i, _ in junk], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.keep_good(documents(spark, good + junk), labels).collect()}
+    assert len(kept & {i for i, _ in good}) >= 1990 and not kept & {i for i, _ in junk}
+
+
 def test_quality_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     judged, name = quality.judge_documents(documents(spark, quality_corpus()[0][:9]), labels)
