@@ -1,18 +1,12 @@
-"""Suffix-array dedup on sparse suffixes.
+"""Suffix dedup on sparse suffixes: all passages of ``MIN_WORDS`` words that occur at two places.
 
-Suffixes are kept only at minimiser positions: places whose short run of words has the smallest hash of ``RUNS`` runs in
-a row, which depends on the words alone, so copies of a passage keep the same places. Every passage of ``MIN_WORDS`` words
-has a kept place with at least ``CORE`` words behind it. Suffixes whose first ``CORE`` words occur once are dropped; the
-others are sorted by these and the words that follow, neighbours are compared, and matches are extended left and right.
-A match of ``MIN_WORDS`` or more is a repeat. Between places less than ``RUNS`` words apart further places take over, so an
-extension needs to look at ``RUNS - 1`` words on either side, wherever the passage ends.
+Suffixes are looked at only at minimiser positions: a window of ``MIN_WORDS`` words is anchored at the place among its first
+``RUNS`` whose short run of words has the smallest hash, which depends on the window's words alone, so copies of a window
+have the same anchor, with ``CORE`` words behind it. Only windows whose anchor's core occurs again are hashed; a window
+found at two places is a repeat. Each window is looked up by its own words, so what other copies of its core stand beside
+makes no difference: every repeat of ``MIN_WORDS`` words or more is found in full, and what is reported does repeat.
 
-A passage of ``MIN_WORDS + RUNS - 1`` words or more is found in full length among any other copies; a shorter one of at
-least ``MIN_WORDS`` is found unless a copy of its core with other words around it sorts between its copies. What is
-reported does repeat. Words beside a core are compared by 32 bits of their hashes.
-
-Skew: counts of cores are summed up per task before they move, and the sort cuts its ranges by document and place last,
-so the copies of one passage spread over many tasks; rows next to the cuts are compared in a second, small step.
+Skew: cores and windows are counted per task before they move; each row that is joined back is one place.
 
 Defined results: texts that are NULL, empty or shorter than ``MIN_WORDS`` words have no repeat; rows that share a
 ``doc_id`` and a text are one document; a passage that occurs twice in one text is a repeat; a NULL ``doc_id`` is an ID.
@@ -21,12 +15,9 @@ Defined results: texts that are NULL, empty or shorter than ``MIN_WORDS`` words
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,47 +26,42 @@ from evidentia.llm.common import WordHashes, fresh, map_batches, stage, table, w
 MIN_WORDS = 50
 RUNS, RUN_WORDS = 16, 5
 CORE = MIN_WORDS - RUNS + 1
-SIDE = RUNS - 1
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def kept_places(hashes: np.ndarray) -> np.ndarray:
-    """Minimiser positions with ``CORE`` words behind them."""
-    runs = windows_hashed(hashes, RUN_WORDS)
-    if len(hashes) < MIN_WORDS or len(runs) < RUNS:
+def anchors(hashes: np.ndarray) -> np.ndarray:
+    """The minimiser position of each window of ``MIN_WORDS`` words."""
+    if len(hashes) < MIN_WORDS:
         return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(runs, RUNS)
-    places = np.unique(view.argmin(axis=1) + np.arange(len(view)))
-    return places[places <= len(hashes) - CORE]
+    view = np.lib.stride_tricks.sliding_window_view(windows_hashed(hashes, RUN_WORDS), RUNS)[:len(hashes) - MIN_WORDS + 1]
+    return view.argmin(axis=1) + np.arange(len(view))
 
 
 def suffix_cores(docs: DataFrame) -> DataFrame:
-    """``core`` (a hash of the first words), ``doc_id`` and ``place`` of every kept suffix."""
+    """``core`` (a hash of the first words) and ``doc_id`` of every suffix at an anchor."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        hashes, rows, places, cores = WordHashes(), [], [], []
+        hashes, rows, cores = WordHashes(), [], []
         for row, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
             words = hashes.of((text or b"").split())
-            kept = kept_places(words)
+            kept = np.unique(anchors(words))
             if len(kept):
                 rows.append(np.full(len(kept), row))
-                places.append(kept)
                 cores.append(windows_hashed(words, CORE)[kept])
         if not rows:
             return None
         ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(cores).view(np.int64)), ids, pa.array(np.concatenate(places).astype(np.int32))], ["core", "doc_id", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cores).view(np.int64)), ids], ["core", "doc_id"])
 
-    return map_batches(docs.select("doc_id", "text"), work, f"core long, doc_id {_kind(docs)}, place int")
+    return map_batches(docs.select("doc_id", "text"), work, f"core long, doc_id {_kind(docs)}")
 
 
 def _kind(docs: DataFrame) -> str:
     return docs.schema["doc_id"].dataType.simpleString()
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """Suffixes whose core repeats, with the words before and behind the core (four bytes each, none is zero)."""
+def windows(docs: DataFrame) -> DataFrame:
+    """``window`` (a hash of its words), ``doc_id`` and ``place`` of the windows whose anchor's core repeats."""
     cores = suffix_cores(docs)
     repeated = stage(cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "cores")
     held = cores.join(repeated, "core").groupBy("doc_id").agg(F.collect_set("core").alias("cores"))
@@ -84,132 +70,33 @@ def suffixes(docs: DataFrame) -> DataFrame:
     joined = texts.join(held, texts["doc_id"].eqNullSafe(held["__id"])).select("doc_id", "text", "cores")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        hashes, rows, parts = WordHashes(), [], []
+        hashes, rows, places, found = WordHashes(), [], [], []
         known = batch.column(2)
         for row, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
             words = hashes.of((text or b"").split())
-            kept = kept_places(words)
-            core = windows_hashed(words, CORE)[kept].view(np.int64)
-            shared = np.isin(core, known[row].values.to_numpy())
-            kept, core = kept[shared], core[shared]
-            if len(kept):
-                short = np.maximum((words >> np.uint64(32)).astype(np.uint32), 1)
-                padded = np.concatenate([np.zeros(SIDE, np.uint32), short, np.zeros(SIDE, np.uint32)])
-                step = np.arange(SIDE)
-                after = padded[kept[:, None] + SIDE + CORE + step]
-                before = padded[kept[:, None] + SIDE - 1 - step]
-                rows.append(np.full(len(kept), row))
-                parts.append((core, after, before, kept.astype(np.int32)))
+            at = anchors(words)
+            if len(at):
+                core = windows_hashed(words, CORE).view(np.int64)[at]
+                shared = np.nonzero(np.isin(core, known[row].values.to_numpy()))[0]
+                rows.append(np.full(len(shared), row))
+                places.append(shared.astype(np.int32))
+                found.append(windows_hashed(words, MIN_WORDS)[shared])
         if not rows:
             return None
-        core, after, before, place = (np.concatenate(p) for p in zip(*parts, strict=True))
-        sides = [pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * SIDE), len(core), [None, pa.py_buffer(x.astype(">u4").tobytes())]).cast(pa.binary()) for x in (after, before)]
         ids = batch.column(0).take(pa.array(np.concatenate(rows)))
-        return pa.RecordBatch.from_arrays([pa.array(core), *sides, ids, pa.array(place)], ["core", "after", "before", "doc_id", "place"])
-
-    return map_batches(joined, work, f"core long, after binary, before binary, doc_id {_kind(docs)}, place int")
-
-
-def _sides(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), ">u4").reshape(len(column), SIDE)
-
-
-def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Leading words that are equal and there."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(axis=1), SIDE, same.argmin(axis=1))
-
-
-def _first(a: pa.Array, b: pa.Array, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether (document, place) of the first is before that of the second, and whether they are the same."""
-    unlike = pc.or_(pc.is_null(a), pc.is_null(b))
-    less = pc.if_else(unlike, pc.and_(pc.is_null(a), pc.is_valid(b)), pc.less(a, b)).to_numpy(zero_copy_only=False).astype(bool)
-    same = pc.if_else(unlike, pc.and_(pc.is_null(a), pc.is_null(b)), pc.equal(a, b)).to_numpy(zero_copy_only=False).astype(bool)
-    return less | same & (i < j), same & (i == j)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(found).view(np.int64)), ids, pa.array(np.concatenate(places))], ["window", "doc_id", "place"])
 
+    return map_batches(joined, work, f"window long, doc_id {_kind(docs)}, place int")
 
-def compare_neighbours(rows: pa.Table, apart: np.ndarray | None = None) -> pa.Table:
-    """Matches between neighbouring rows of a sorted table, once for each side.
 
-    ``left`` and ``right`` are the words by which the core is extended; ``later`` says that the other side stands before
-    in the order of documents and places. ``apart`` marks pairs that are not to be compared.
-    """
-    core, place = rows["core"].to_numpy(), rows["place"].to_numpy()
-    pair = core[1:] == core[:-1]
-    if apart is not None:
-        pair &= ~apart
-    at = np.nonzero(pair)[0]
-    after, before = _sides(rows["after"].combine_chunks()), _sides(rows["before"].combine_chunks())
-    right, left = _equal(after[at], after[at + 1]), _equal(before[at], before[at + 1])
-    enough = left + right + CORE >= MIN_WORDS
-    at, left, right = at[enough], left[enough], right[enough]
-    ids = rows["doc_id"].combine_chunks()
-    one, two = ids.take(pa.array(at)), ids.take(pa.array(at + 1))
-    before_it, same = _first(one, two, place[at], place[at + 1])
-    at, left, right, before_it = at[~same], left[~same], right[~same], before_it[~same]
-    sides = np.concatenate([at, at + 1])
-    return pa.table({
-        "core": pa.array(core[sides]), "doc_id": ids.take(pa.array(sides)), "place": pa.array(place[sides]),
-        "left": pa.array(np.tile(left, 2).astype(np.int32)), "right": pa.array(np.tile(right, 2).astype(np.int32)),
-        "later": pa.array(np.concatenate([~before_it, before_it]))})
-
-
-def matches(docs: DataFrame) -> DataFrame:
-    """Matches of sorted suffixes with their neighbours (see ``compare_neighbours``)."""
-    order = ["core", "after", "before", "doc_id", "place"]
-    ordered = suffixes(docs).repartitionByRange(*order).sortWithinPartitions(*order)
-    kind = _kind(docs)
-    found = f"core long, doc_id {kind}, place int, left int, right int, later boolean"
-    edge = "part int, number int, after binary, before binary"
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, first = TaskContext.get().partitionId(), None, True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            now = pa.Table.from_batches([batch])
-            if first:
-                yield from _edge(now.slice(0, 1), part, 0)
-                first = False
-            rows = now if last is None else pa.concat_tables([last, now])
-            last = now.slice(now.num_rows - 1)
-            out = compare_neighbours(rows)
-            if out.num_rows:
-                yield from _filled(out, None)
-        if last is not None:
-            yield from _edge(last, part, 1)
-
-    def _edge(row: pa.Table, part: int, number: int) -> list[pa.RecordBatch]:
-        return _filled(row, (part, number))
-
-    def _filled(rows: pa.Table, mark: tuple[int, int] | None) -> list[pa.RecordBatch]:
-        n, none = rows.num_rows, lambda kind: pa.nulls(rows.num_rows, kind)
-        has = set(rows.column_names)
-        columns = [
-            rows["core"], rows["doc_id"], rows["place"],
-            rows["left"] if "left" in has else none(pa.int32()), rows["right"] if "right" in has else none(pa.int32()),
-            rows["later"] if "later" in has else none(pa.bool_()),
-            pa.array([mark[0]] * n, pa.int32()) if mark else none(pa.int32()), pa.array([mark[1]] * n, pa.int32()) if mark else none(pa.int32()),
-            rows["after"] if mark else none(pa.binary()), rows["before"] if mark else none(pa.binary())]
-        names = ["core", "doc_id", "place", "left", "right", "later", "part", "number", "after", "before"]
-        return pa.table(dict(zip(names, columns, strict=True))).combine_chunks().to_batches()
-
-    walked = stage(ordered.mapInArrow(walk, f"{found}, {edge}"), "matches")
-    # Two rows of each task, whatever the input; one more task walks over all of them.
-    edges = walked.where(F.col("part").isNotNull()).repartition(1).sortWithinPartitions("part", "number")
-
-    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            now = pa.Table.from_batches([batch])
-            rows = now if last is None else pa.concat_tables([last, now])
-            last = now.slice(now.num_rows - 1) if now.num_rows else last
-            if rows.num_rows > 1:
-                part = rows["part"].to_numpy()
-                yield from compare_neighbours(rows, part[1:] == part[:-1]).to_batches()
-
-    inside = walked.where(F.col("part").isNull()).select("core", "doc_id", "place", "left", "right", "later")
-    return inside.union(edges.mapInArrow(between, found))
+def repeats(docs: DataFrame) -> DataFrame:
+    """The ``windows`` that occur at two places or more."""
+    every = stage(windows(docs), "windows")
+    # Two numbers a window tell whether its places differ; rows that repeat are one place.
+    place = F.xxhash64("doc_id", "place")
+    again = every.groupBy("window").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low < high").select("window")
+    return every.join(again, "window")
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -224,26 +111,22 @@ def merge_spans(spans: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Stretches of words that occur at another place too, one row each: ``doc_id``, first word, end and length."""
-    widest = matches(docs).groupBy("doc_id", "place").agg(F.max("left").alias("left"), F.max("right").alias("right"))
-    return merge_spans(widest.select(
-        "doc_id", (F.col("place") - F.col("left")).cast("long").alias("start_word"),
-        (F.col("place") + CORE + F.col("right")).cast("long").alias("end_word")))
+    start = F.col("place").cast("long")
+    return merge_spans(repeats(docs).select("doc_id", start.alias("start_word"), (start + MIN_WORDS).alias("end_word")))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeats cut out of ``text`` but at their first place, in the order of documents and places.
 
-    A core goes wherever it is not the first of its kind; words beside it go where the neighbour that shares them stands
-    before. So each word that goes has an earlier copy, and following these copies ends at one that stays.
+    The words of a window go wherever it is not the first of its kind. So each word that goes has an earlier copy, and
+    following these copies ends at one that stays.
     """
-    found = stage(matches(docs), "found")
+    found = stage(repeats(docs), "found")
     place = F.struct("doc_id", "place")
-    first = found.groupBy("core").agg(F.min(place).alias("__first"))
-    marked = found.join(first, "core").where(~place.eqNullSafe(F.col("__first")))
-    earlier = lambda c: F.max(F.when(F.col("later"), F.col(c)).otherwise(0))
-    cuts = marked.groupBy("doc_id", "core", "place").agg(earlier("left").alias("left"), earlier("right").alias("right"))
+    first = found.groupBy("window").agg(F.min(place).alias("__first"))
+    cuts = found.join(first, "window").where(~place.eqNullSafe(F.col("__first")))
     [key, column] = fresh(docs, "__id", "__cuts")
-    held = cuts.groupBy("doc_id").agg(F.collect_list(F.struct("place", "core", "left", "right")).alias(column))
+    held = cuts.groupBy("doc_id").agg(F.collect_set(F.struct("place", "window")).alias(column))
     held = held.select(F.col("doc_id").alias(key), column)
     joined = docs.join(held, docs["doc_id"].eqNullSafe(held[key]), "left").drop(key)
     names = docs.columns
@@ -251,23 +134,26 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, out = WordHashes(), []
-        for text, parts in zip(batch.column(text_at).to_pylist(), batch.column(cuts_at).to_pylist(), strict=True):
-            out.append(_cut(text, parts, hashes) if text and parts else text)
+        for text, parts in zip(batch.column(text_at).to_pylist(), batch.column(cuts_at), strict=True):
+            out.append(_cut(text, *[parts.values.field(i).to_numpy() for i in (0, 1)], hashes) if text and parts.is_valid else text)
         columns = [pa.array(out, pa.string()) if i == text_at else batch.column(i) for i in range(cuts_at)]
         return pa.RecordBatch.from_arrays(columns, names)
 
     return map_batches(joined, work, docs.schema)
 
 
-def _cut(text: str, cuts: list[dict], hashes: WordHashes) -> str:
-    """The text without the words of the cuts; a cut whose core does not stand at its place belongs to another row."""
+def _cut(text: str, places: np.ndarray, found: np.ndarray, hashes: WordHashes) -> str:
+    """The text without the words of the windows; one that does not stand at its place belongs to another row."""
     raw = text.encode()
     words = [m.span() for m in _WORD.finditer(raw)]
-    cores = windows_hashed(hashes.of([raw[a:b] for a, b in words]), CORE).view(np.int64)
-    gone = np.zeros(len(words) + 1, bool)
-    for cut in cuts:
-        if cut["place"] < len(cores) and cores[cut["place"]] == cut["core"]:
-            gone[max(0, cut["place"] - cut["left"]):min(len(words), cut["place"] + CORE + cut["right"])] = True
+    here = windows_hashed(hashes.of([raw[a:b] for a, b in words]), MIN_WORDS).view(np.int64)
+    inside = places < len(here)
+    places, found = places[inside], found[inside]
+    places = places[here[places] == found]
+    depth = np.zeros(len(words) + MIN_WORDS + 1, np.int64)
+    depth[places] += 1
+    depth[places + MIN_WORDS] -= 1
+    gone = np.cumsum(depth)[:len(words) + 1] > 0
     edges = np.nonzero(np.diff(np.concatenate([[False], gone[:-1], [False]]).astype(np.int8)))[0]
     kept, at = [], 0
     for start, end in edges.reshape(-1, 2):

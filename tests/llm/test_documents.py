@@ -77,6 +77,22 @@ def test_cut_leaves_one_copy_of_every_window(spark):
     assert all(k in left for k, n in whole.items() if n > 1)
 
 
+def test_repeats_around_a_hot_line_equal_brute_force(spark):
+    """Two documents share words before a line of 35 to 49 words that stands alone in many others."""
+    rng = random.Random(41)
+    rows = []
+    for n, (extra, size) in enumerate([(6, 49), (10, 45), (15, 40), (6, 49), (10, 45), (8, 49)]):
+        line, before = prose(rng, size), prose(rng, extra)
+        rows += [(1000 * n + i, f"{prose(rng, 20)} {before} {line} {prose(rng, 20)}") for i in range(2)]
+        rows += [(1000 * n + 10 + i, f"{prose(rng, 20)} {line} {prose(rng, 20)}") for i in range(60)]
+    got = {(r.doc_id, r.start_word, r.end_word) for r in suffixes.repeated_spans(documents(spark, rows)).collect()}
+    want = set()
+    for (i, _), hit in repeated_words(rows).items():
+        edges = np.nonzero(np.diff(np.concatenate([[0], hit.astype(int), [0]])))[0]
+        want |= {(i, int(a), int(b)) for a, b in edges.reshape(-1, 2)}
+    assert got == want and len(want) >= 12
+
+
 def test_suffixes_of_one_long_text_and_of_none(spark):
     assert suffixes.repeated_spans(documents(spark, [(1, LONG)])).collect()[0].n_words == 40_000
     assert suffixes.repeated_spans(documents(spark, [])).count() == 0
