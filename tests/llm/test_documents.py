@@ -93,6 +93,23 @@ def test_repeats_around_a_hot_line_equal_brute_force(spark):
     assert got == want and len(want) >= 12
 
 
+def test_cut_text_equals_brute_force_word_by_word(spark):
+    """Later copies lose all their words, also the edges that copies with three or more contexts share."""
+    rng = random.Random(42)
+    passages = [prose(rng, n) for n in (50, 62, 70, 100)]
+    rows = [(i, f"{prose(rng, 15)} {rng.choice(passages)} {prose(rng, 15)}") for i in range(80)]
+    seen, want = set(), {}
+    for i, t in rows:
+        w = t.split()
+        gone = [False] * len(w)
+        for k in range(len(w) - 49):
+            if tuple(w[k:k + 50]) in seen:
+                gone[k:k + 50] = [True] * 50
+            seen.add(tuple(w[k:k + 50]))
+        want[i] = [x for x, g in zip(w, gone, strict=True) if not g]
+    assert {r.doc_id: r.text.split() for r in suffixes.cut_repeats(documents(spark, rows)).collect()} == want
+
+
 def test_suffixes_of_one_long_text_and_of_none(spark):
     assert suffixes.repeated_spans(documents(spark, [(1, LONG)])).collect()[0].n_words == 40_000
     assert suffixes.repeated_spans(documents(spark, [])).count() == 0
