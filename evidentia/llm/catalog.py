@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evidentia.llm import chunks, decontaminate, licences, markup, periods, pieces, quality, revisits, simhash, suffixes, urls
+from evidentia.llm import chat, chunks, decontaminate, licences, markup, periods, pieces, quality, revisits, simhash, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": suffixes.op1_suffix_array,
@@ -20,7 +20,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_simhash": simhash.op10_simhash,
+    "op11_chat_format": chat.op11_chat_format,
     "op13_periodic_runs": periods.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
-CHECKS: dict[str, str] = {"op1_suffix_array": suffixes.OP1_SQL, "op2_revisit_resolution": revisits.OP2_SQL, "op3_url_filters": urls.OP3_SQL}
+CHECKS: dict[str, str] = {
+    "op1_suffix_array": suffixes.OP1_SQL,
+    "op2_revisit_resolution": revisits.OP2_SQL,
+    "op3_url_filters": urls.OP3_SQL,
+    "op11_chat_format": chat.OP11_SQL,
+}
