@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from evidentia.llm import chat, chunks, decontaminate, licences, markup, periods, pieces, quality, revisits, simhash, suffixes, urls
+from evidentia.llm import chat, chunks, decontaminate, licences, markup, periods, phrases, pieces, quality, revisits, simhash, suffixes, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array": suffixes.op1_suffix_array,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_simhash": simhash.op10_simhash,
     "op11_chat_format": chat.op11_chat_format,
+    "op12_collocations": phrases.op12_collocations,
     "op13_periodic_runs": periods.op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
@@ -29,4 +30,5 @@ CHECKS: dict[str, str] = {
     "op2_revisit_resolution": revisits.OP2_SQL,
     "op3_url_filters": urls.OP3_SQL,
     "op11_chat_format": chat.OP11_SQL,
+    "op12_collocations": phrases.OP12_SQL,
 }
