@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,29 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
+#: Bits of a bitmap, whatever it marks: 2 MB on the driver and in each task.
+BITS = 1 << 24
+
+
+def bitmap(hashes: DataFrame) -> Broadcast:
+    """A bit for each value of the one column ``hash``, for scans that look ahead what a later exact join will keep.
+
+    Its size does not grow with the table: the more values there are, the more others pass in vain, and none is lost.
+    """
+    bit = F.pmod("hash", F.lit(BITS))
+    words = hashes.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    marks = np.zeros(BITS // 64, np.int64)
+    marks[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return hashes.sparkSession.sparkContext.broadcast(marks.view(np.uint8))
+
+
+def marked(marks: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of these 64-bit hashes may be in the bitmap."""
+    bit = hashes.view(np.uint64) & np.uint64(BITS - 1)
+    return (marks[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound. Made inside a task and gone with it."""
 
