@@ -77,8 +77,10 @@ def test_cut_leaves_one_copy_of_every_window(spark):
     assert all(k in left for k, n in whole.items() if n > 1)
 
 
-def test_repeats_around_a_hot_line_equal_brute_force(spark):
+@pytest.mark.parametrize("hot", [2_048, 5])
+def test_repeats_around_a_hot_line_equal_brute_force(spark, monkeypatch, hot):
     """Two documents share words before a line of 35 to 49 words that stands alone in many others."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rng = random.Random(41)
     rows = []
     for n, (extra, size) in enumerate([(6, 49), (10, 45), (15, 40), (6, 49), (10, 45), (8, 49)]):
@@ -93,8 +95,10 @@ def test_repeats_around_a_hot_line_equal_brute_force(spark):
     assert got == want and len(want) >= 12
 
 
-def test_cut_text_equals_brute_force_word_by_word(spark):
+@pytest.mark.parametrize("hot", [2_048, 5])
+def test_cut_text_equals_brute_force_word_by_word(spark, monkeypatch, hot):
     """Later copies lose all their words, also the edges that copies with three or more contexts share."""
+    monkeypatch.setattr(suffixes, "HOT", hot)
     rng = random.Random(42)
     passages = [prose(rng, n) for n in (50, 62, 70, 100)]
     rows = [(i, f"{prose(rng, 15)} {rng.choice(passages)} {prose(rng, 15)}") for i in range(80)]
@@ -116,6 +120,17 @@ def test_suffixes_of_one_long_text_and_of_none(spark):
     assert suffixes.cut_repeats(documents(spark, [])).count() == 0
 
 
+def test_texts_that_share_an_id_are_two_documents(spark):
+    """The same window at the same place of two texts with one ID, or with none, is a repeat; a repeated row is not."""
+    passage, other = prose(random.Random(6), 55), prose(random.Random(7), 60)
+    rows = [(1, f"{passage} one"), (1, f"{passage} two"), (None, f"{other} one"), (None, f"{other} two"), (2, "x " + prose(random.Random(8), 70))]
+    docs = documents(spark, [*rows, rows[4]])
+    assert sorted(map(str, suffixes.repeated_spans(docs).collect())) == sorted(
+        f"Row(doc_id={i}, start_word=0, end_word={n}, n_words={n})" for i, n in [(1, 55), (1, 55), (None, 60), (None, 60)])
+    left = [r.text for r in suffixes.cut_repeats(docs).collect()]
+    assert sum(passage in t for t in left) == sum(other in t for t in left) == 1 and left.count(rows[4][1]) == 2
+
+
 def test_neighbours_across_tasks(spark):
     """Many copies over many tasks: the rows beside each cut of the sort are compared too."""
     passage = prose(random.Random(5), 60)
