@@ -17,19 +17,19 @@ def query_terms(queries: DataFrame, query_id: str = "query_id", question: str =
 
 
 def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
-             vocabulary: DataFrame | None = None, label: str | None = None, small: bool | None = None) -> DataFrame:
+             vocabulary: DataFrame | None = None, label: str | None = None, small: bool | None = None, carry: list[str] | None = None) -> DataFrame:
     """(chunk, term, tf, len[, label]), plus one row with an empty term that stands for the chunk itself.
 
     The marker row keeps chunks without terms in the statistics. Rows are placed by
     chunk, so term counts, and later (query, chunk) sums, need no further shuffle.
-    With ``vocabulary`` other terms are dropped before the shuffle; ``small`` passes on
+    Columns to ``carry`` belong to the chunk. With ``vocabulary`` other terms are dropped before the shuffle; ``small`` passes on
     a size check that the caller has made on it. Every reader uses
     ``len`` and filters nothing below the exchange, so one plan tokenises once and
     reuses the exchange for statistics and scores.
     """
-    carried = [F.col(label).alias("label")] if label else []
-    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), *carried, tokens(F.col(text)).alias("tokens"))
-    rows = unroll(rows, ["chunk_id", *["label" for _ in carried], F.size("tokens").alias("len")], F.concat("tokens", F.array(F.lit(""))), "term")
+    carried = {**({"label": label} if label else {}), **{c: c for c in carry or []}}
+    rows = chunks.select(F.col(chunk_id).alias("chunk_id"), *[F.col(c).alias(n) for n, c in carried.items()], tokens(F.col(text)).alias("tokens"))
+    rows = unroll(rows, ["chunk_id", *carried, F.size("tokens").alias("len")], F.concat("tokens", F.array(F.lit(""))), "term")
     rows = rows.where(F.col("term").isNotNull())
     if vocabulary is not None:
         marker = chunks.sparkSession.range(1).select(F.lit("").alias("term"))
@@ -37,7 +37,7 @@ def postings(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "text",
         hinted = F.broadcast(wanted) if (is_small(wanted) if small is None else small) else wanted
         rows = rows.join(hinted, "term", "left_semi")
     return rows.repartition("chunk_id").groupBy("chunk_id", "term").agg(
-        F.count("len").alias("tf"), F.first("len").alias("len"), *[F.first("label").alias("label") for _ in carried])
+        F.count("len").alias("tf"), F.first("len").alias("len"), *[F.first(n).alias(n) for n in carried])
 
 
 def term_counts(index: DataFrame) -> DataFrame:

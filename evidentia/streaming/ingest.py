@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions.bounds import unroll
 from evidentia.functions import labels as L
 from evidentia.functions import text as X
+from evidentia.functions.bounds import unroll
+from evidentia.functions.durable import durable
 from evidentia.operators.dense import embed
+from evidentia.sources import segments
 from evidentia.sources.documents import decoded
 from evidentia.sources.index import append_history, publish
 
@@ -61,3 +63,35 @@ def run_available(stream: DataFrame, checkpoint: str, index_path: str, status_pa
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
         .foreachBatch(lambda batch, batch_id: ingest_batch(batch, batch_id, index_path, status_path, chunker)).start())
     query.awaitTermination()
+
+
+def whole_documents(docs: DataFrame) -> DataFrame:
+    """A chunker that keeps each document in one chunk, under the document's ID."""
+    key = F.col("doc_id").cast("string")
+    return docs.select(key.alias("chunk_id"), key.alias("doc_id"), F.col("text").alias("content"))
+
+
+def ingest_live(docs: DataFrame, batch_id: int, index_path: str, status_path: str, chunker: Chunker = window_chunks, label: str | None = None,
+                writer: str = "ingest") -> None:
+    """One batch into the live index (``sources.segments``): what is committed here is what the next search reads.
+
+    A replayed batch finds itself applied and commits nothing. Documents that cannot be read keep what was indexed of them
+    before. Segments that are due are merged after the batch.
+    """
+    good, bad = split_failed(docs)
+    rows = durable(chunker(good))
+    segments.publish(index_path, rows.withColumnRenamed("content", "text"), good.select("doc_id"), label, writer, batch_id)
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    arrived = good.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().join(counts, "doc_id", "left").fillna(0, ["chunks"])
+    done = arrived.select("doc_id", F.lit("indexed").alias("status"), "chunks", F.lit(None).cast("string").alias("error"))
+    failed = bad.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("failed").alias("status"), F.lit(0).cast("bigint").alias("chunks"), "error")
+    append_history(done.unionByName(failed).withColumn("batch_id", F.lit(batch_id)), status_path)
+    segments.merge(docs.sparkSession, index_path)
+
+
+def run_live(stream: DataFrame, checkpoint: str, index_path: str, status_path: str, chunker: Chunker = window_chunks, label: str | None = None) -> None:
+    """Ingest all that is there into the live index, then stop; a restart goes on from the checkpoint."""
+    query = (
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        .foreachBatch(lambda batch, batch_id: ingest_live(batch, batch_id, index_path, status_path, chunker, label)).start())
+    query.awaitTermination()
