@@ -1,10 +1,10 @@
 """Phrase collocations from sorted count streams.
 
 Every word starts one window: itself and what follows it in its piece, ``LONGEST`` words at most. Windows are counted per
-slice of text before they move, and a stream of windows and counts is written, one row for each, not one for each shorter
-phrase: laid in prefix order (a range of the words a task), all windows that begin with a phrase follow each other, so one
-pass over neighbours sums up the counts of phrases of all lengths. What is cut by the edge of a batch is handed on as a
-part, and parts are added up; of what lies inside, only phrases frequent enough leave the task.
+slice of text before they move, one row for each, not one for each shorter phrase: laid in prefix order (a range of the
+words a task), all windows that begin with a phrase follow each other, so one pass over neighbours sums up the counts of
+phrases of all lengths. What is cut by the edge of a batch is handed on as a part, and parts are added up; of what lies
+inside, only phrases frequent enough leave the task.
 
 The frequent phrases are then kept in two orders. In prefix order a phrase stands behind its own beginnings, so the last
 count seen of each length is the left part's, and the next row tells whether a word behind always follows. In suffix order
@@ -21,6 +21,7 @@ ties go to the higher count, then to the phrase that is first in UTF-8 bytes; an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -29,6 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from evidentia.functions.ship import ship
 from evidentia.llm.common import LOWER, UPPER, map_batches, stage, table
 
 LONGEST, LEAST, BEST = 5, 100, 2000
@@ -36,6 +38,8 @@ NO_LANGUAGE = "und"
 #: Words of one language that are counted together before they move.
 SLICE = 1 << 20
 SALTS = 64
+#: Rows that a task hands on at a time.
+HANDED_ON = 1 << 15
 
 #: Signs that end a piece become a byte that UTF-8 never holds.
 _END = b"\xff"
@@ -43,64 +47,73 @@ _SIGNS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(UPPER.encode() + _SIGNS, LOWER.encode() + _END * len(_SIGNS))
 
 
+class Slice:
+    """The words of some texts of one language as numbers in the order they were first seen; 0 parts pieces."""
+
+    def __init__(self):
+        self.numbers, self.texts, self.size = {_END: 0}, [], 0
+
+    def add(self, text: bytes) -> None:
+        tokens, numbers = text.translate(_FOLD).replace(_END, b" \xff ").split(), self.numbers
+        tokens.append(_END)
+        self.texts.append(np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int32, len(tokens)))
+        self.size += len(tokens)
+
+    def windows(self, longest: int) -> tuple[pa.Array, np.ndarray]:
+        """The distinct windows, in byte order, each word with a space behind it, and their counts."""
+        words = pa.array([b"", *[w + b" " for w in list(self.numbers)[1:]]], pa.binary())
+        by_bytes = pc.sort_indices(words).to_numpy()  # the empty word, number 0, comes first
+        rank = np.empty(len(words), np.int32)
+        rank[by_bytes] = np.arange(len(words), dtype=np.int32)
+        ranked = np.concatenate([*[rank[t] for t in self.texts], np.zeros(longest, np.int32)])
+        begins = np.nonzero(ranked > 0)[0]
+        columns = [ranked[begins]]
+        for i in range(1, longest):
+            columns.append(np.where(columns[-1] > 0, ranked[begins + i], np.int32(0)))
+        order, firsts = _sorted_rows(columns, len(words))
+        laid = words.take(pa.array(by_bytes))
+        phrase = pc.binary_join_element_wise(*[laid.take(pa.array(c[order[firsts]])) for c in columns], b"")
+        return phrase, np.diff(np.concatenate([firsts, [len(order)]]))
+
+
 def _sorted_rows(columns: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that sorts rows by these columns of numbers up to ``most``, and where rows differ from the one before."""
+    """The order that sorts rows by these columns of numbers up to ``most``, and the places where rows change in it."""
     bits = max(1, int(most).bit_length())
     per = max(1, 62 // bits)
-    keys = [reduce(lambda key, column: (key << bits) | column, columns[i:i + per]) for i in range(0, len(columns), per)]
+    keys = [reduce(lambda key, column: (key << bits) | column, columns[i + 1:i + per], columns[i].astype(np.int64)) for i in range(0, len(columns), per)]
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for key in keys:
         laid = key[order]
         new[1:] |= laid[1:] != laid[:-1]
-    return order, new
-
-
-def count_windows(tokens: list[bytes], longest: int) -> tuple[pa.Array, np.ndarray]:
-    """The distinct windows of words (each word with a space behind it) in byte order, and their counts. ``_END`` parts pieces."""
-    numbers = {_END: 0}
-    ids = np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int64, len(tokens))
-    words = pa.array([b"", *[w + b" " for w in list(numbers)[1:]]], pa.binary())
-    by_bytes = pc.sort_indices(words).to_numpy()  # the empty word, number 0, comes first
-    rank = np.empty(len(words), np.int64)
-    rank[by_bytes] = np.arange(len(words))
-    ranked = np.concatenate([rank[ids], np.zeros(longest, np.int64)])
-    columns = [ranked[:len(ids)]]
-    for i in range(1, longest):
-        columns.append(np.where(columns[-1] > 0, ranked[i:i + len(ids)], 0))
-    begins = columns[0] > 0
-    columns = [c[begins] for c in columns]
-    order, new = _sorted_rows(columns, len(words))
-    firsts = np.nonzero(new)[0]
-    laid = words.take(pa.array(by_bytes))
-    phrase = pc.binary_join_element_wise(*[laid.take(pa.array(c[order[firsts]])) for c in columns], b"")
-    return phrase, np.diff(np.concatenate([firsts, [len(order)]]))
+    return order, np.nonzero(new)[0]
 
 
 def window_stream(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """``lang``, ``window`` (words, each with a space behind it) and ``n``, counted per slice."""
 
-    def work(batch: pa.RecordBatch) -> pa.Table | None:
-        texts, by_lang, out = batch.column(1).cast(pa.binary()), {}, []
+    ship(docs.sparkSession)
 
-        def flush(lang: str, tokens: list[bytes]) -> None:
-            phrase, n = count_windows(tokens, longest)
-            if len(n):
-                out.append(pa.table([pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64))), phrase.cast(pa.string()), pa.array(n)], ["lang", "window", "n"]))
+    def counted(lang: str, part: Slice) -> Iterator[pa.RecordBatch]:
+        found, n = part.windows(longest)
+        for start in range(0, len(n), HANDED_ON):
+            some = found[start:start + HANDED_ON].cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), some, pa.array(n[start:start + HANDED_ON])], ["lang", "window", "n"])
 
-        for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-            if text.is_valid:
-                tokens = by_lang.setdefault(lang, [])
-                tokens += text.as_py().translate(_FOLD).replace(_END, b" \xff ").split()
-                tokens.append(_END)
-                if len(tokens) > SLICE:
-                    flush(lang, by_lang.pop(lang))
-        for lang, tokens in by_lang.items():
-            flush(lang, tokens)
-        return pa.concat_tables(out) if out else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[str, Slice] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                if text.is_valid:
+                    part = slices.setdefault(lang, Slice())
+                    part.add(text.as_py())
+                    if part.size > SLICE:
+                        yield from counted(lang, slices.pop(lang))
+        for lang, part in slices.items():
+            yield from counted(lang, part)
 
-    return map_batches(docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text"), work, "lang string, window string, n long")
+    return docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text").mapInArrow(run, "lang string, window string, n long")
 
 
 def _word_numbers(windows: pa.Array, longest: int) -> np.ndarray:
@@ -120,7 +133,7 @@ def _word_numbers(windows: pa.Array, longest: int) -> np.ndarray:
 def rolled_up(stream: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """``lang``, ``depth``, ``phrase`` and ``n`` of phrases found at ``least`` times or more; depth 0 is the language itself.
 
-    ``stream`` is read in prefix order. A group of neighbours that begin alike is whole unless it touches an edge of its
+    ``stream`` is laid in prefix order by ranges, for whose bounds Spark runs it once more. A group of neighbours that begin alike is whole unless it touches an edge of its
     batch, and only such parts go on below the least count.
     """
     laid = stream.repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
@@ -173,15 +186,14 @@ _EXACT = "decimal(16,0)"  # counts up to 10 ** 16; products of two and a thousan
 def scored(frequent: DataFrame, longest: int = LONGEST) -> DataFrame:
     """``lang``, ``phrase``, ``a``, ``l``, ``r``, ``n`` and ``score`` of the phrases that no longer one stands for."""
     words = F.split("phrase", " ")
-    phrases = frequent.where("depth > 1")
+    phrases, single, totals = frequent.where("depth > 1"), frequent.where("depth = 1"), frequent.where("depth = 0")
     left = _trie_order(phrases, words, longest, "l", "followed").where(~F.col("followed"))
     right = _trie_order(phrases, F.reverse(words), longest, "r", "preceded").where(~F.col("preceded"))
     both = left.join(right.drop("depth", "n").hint("merge"), ["lang", "phrase"])
-    ones = frequent.where("depth = 1")
     ends = both.withColumns({"__first": F.substring_index("phrase", " ", 1), "__last": F.substring_index("phrase", " ", -1)})
     for side, name in (("l1", "__first"), ("r1", "__last")):
-        ends = ends.join(ones.select("lang", F.col("phrase").alias(name), F.col("n").alias(side)), ["lang", name])
-    whole = ends.join(frequent.where("depth = 0").select("lang", F.col("n").alias("total")), "lang")
+        ends = ends.join(single.select("lang", F.col("phrase").alias(name), F.col("n").alias(side)), ["lang", name])
+    whole = ends.join(totals.select("lang", F.col("n").alias("total")), "lang")
 
     def cut(k: int, d: int) -> Column:
         score = f"(cast(1000 as decimal(4,0)) * cast(n as {_EXACT}) * cast(total as {_EXACT})) div (cast(l{k} as {_EXACT}) * cast(r{d - k} as {_EXACT}))"
@@ -194,8 +206,7 @@ def scored(frequent: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, best: int = BEST) -> DataFrame:
     """The ``best`` phrases of each language by the score of their weakest cut, with ``rank``."""
-    stream = stage(window_stream(docs, longest), "windows")
-    phrases = scored(stage(rolled_up(stream, longest, least), "phrases"), longest)
+    phrases = scored(stage(rolled_up(window_stream(docs, longest), longest, least), "phrases"), longest)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = phrases.withColumn("__salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__salt").orderBy(*order))).where(F.col("rank") <= best)
