@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from evidentia.functions.durable import work_folder
 from evidentia.plans import sqltext as S
 from evidentia.plans.q_retrieval import benchmark
-from evidentia.plans.q_streams import stream_of
+from evidentia.plans.q_streams import drain, stream_of
 from evidentia.plans.registry import query
 from evidentia.sources import retrieval as R
 from evidentia.sources import segments as SG
 from evidentia.streaming import ingest as IN
+from evidentia.streaming import lifecycle as LC
 
 _LIVE: dict[tuple, str] = {}
 
@@ -101,3 +104,40 @@ def x1_search(t):
     stream = stream_of(docs).select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("payload"))
     IN.run_live(stream, work_folder(spark, "ingest-checkpoint"), index, status, IN.whole_documents)
     return R.search_lexical(SG.load(spark, index), benchmark(t), 10).drop("n_matched")
+
+
+_EVENTS = {"signup": "uploaded", "view": "started", "purchase": "completed", "error": "errored", "click": "deleted"}
+_SQL_EVENT = " ".join(f"WHEN '{kind}' THEN '{event}'" for kind, event in _EVENTS.items())
+_SQL_STEP = " ".join(f"WHEN s1 = '{status}' AND event = '{event}' THEN '{following}'" for (status, event), following in LC.STEPS.items())
+_SQL_LIMIT = f"INTERVAL {LC.STUCK_AFTER // timedelta(hours=1)} HOUR"
+_TIMED = "('pending', 'indexing')"
+
+
+@query("x1_lifecycle", f"""
+    WITH RECURSIVE e AS (
+      SELECT user_id AS doc_id, ts AS moment, CASE event_type {_SQL_EVENT} END AS event, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (
+      SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, 'absent' AS status, CAST(NULL AS TIMESTAMP) AS since, CAST(NULL AS TIMESTAMP) AS failed_at, 'absent' AS s1,
+        CAST(NULL AS VARCHAR) AS event, CAST(NULL AS TIMESTAMP) AS moment FROM e
+      UNION ALL
+      SELECT doc_id, n, after AS status, CASE WHEN after <> s1 THEN moment WHEN stuck THEN since + {_SQL_LIMIT} ELSE since END AS since,
+        CASE WHEN stuck THEN since + {_SQL_LIMIT} END AS failed_at, s1, event, moment
+      FROM (SELECT *, CASE {_SQL_STEP} ELSE s1 END AS after FROM (
+        SELECT *, CASE WHEN stuck THEN 'failed' ELSE status END AS s1 FROM (
+          SELECT e.doc_id, e.n, e.moment, e.event, r.status, r.since, r.status IN {_TIMED} AND r.since + {_SQL_LIMIT} < e.moment AS stuck
+          FROM r JOIN e ON e.doc_id = r.doc_id AND e.n = r.n + 1)))),
+    changes AS (
+      SELECT doc_id, failed_at AS moment, 'timer' AS event, 'failed' AS status FROM r WHERE failed_at IS NOT NULL
+      UNION ALL SELECT doc_id, moment, event, CASE status WHEN 'absent' THEN 'deleted' ELSE status END FROM r WHERE n > 0 AND status <> s1
+      UNION ALL SELECT doc_id, moment, event, 'refused' FROM r WHERE s1 = 'indexing' AND event = 'deleted'
+      UNION ALL SELECT doc_id, since + {_SQL_LIMIT}, 'timer', 'failed' FROM r
+        WHERE n = (SELECT max(n) FROM e WHERE e.doc_id = r.doc_id) AND status IN {_TIMED} AND since + {_SQL_LIMIT} <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))
+    SELECT doc_id, strftime(moment, '%Y-%m-%d %H:%M:%S.%f') AS moment, event, status FROM changes""")
+def x1_lifecycle(t):
+    """Every change of status of documents whose events stream in, the timers of stuck ones included."""
+    events = t("events")
+    kinds = F.coalesce(*[F.when(F.col("event_type") == kind, F.lit(event)) for kind, event in _EVENTS.items()])
+    stream = stream_of(events).select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("sequence"), F.col("ts").alias("at"), kinds.alias("event"))
+    with LC.rocksdb_state(events.sparkSession):
+        changes = drain(LC.lifecycle(stream), "lifecycle")
+    return changes.select("doc_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("moment"), "event", "status")
