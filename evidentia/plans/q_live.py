@@ -11,10 +11,12 @@ from evidentia.plans import sqltext as S
 from evidentia.plans.q_retrieval import benchmark
 from evidentia.plans.q_streams import drain, stream_of
 from evidentia.plans.registry import query
+from evidentia.sources import frames as FR
 from evidentia.sources import retrieval as R
 from evidentia.sources import segments as SG
 from evidentia.streaming import ingest as IN
 from evidentia.streaming import lifecycle as LC
+from evidentia.streaming import trace as TR
 
 _LIVE: dict[tuple, str] = {}
 
@@ -141,3 +143,56 @@ def x1_lifecycle(t):
     with LC.rocksdb_state(events.sparkSession):
         changes = drain(LC.lifecycle(stream), "lifecycle")
     return changes.select("doc_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("moment"), "event", "status")
+
+
+# ---- frames in files, reports beside their steps ------------------------------
+_FRAMES = "SELECT sequence_number, step_type, run_id, CAST(json_extract(payload, '$.k') AS BIGINT) AS k FROM agent_steps WHERE json_valid(payload)"
+
+
+def frame_file(t) -> str:
+    """The trace frames as an event-stream file: a name and two lines of data each."""
+    steps = t("agent_steps")
+    path = work_folder(steps.sparkSession, "frames")
+    head = F.concat(F.lit('data: {"run_id": '), "run_id", F.lit(', "sequence_number": '), "sequence_number", F.lit(","))
+    frame = F.concat_ws("\n", F.concat(F.lit("event: "), "step_type"), head, F.concat(F.lit('data: "payload": '), "payload", F.lit("}")))
+    steps.select(frame.alias("value")).write.option("lineSep", "\n\n").text(path)
+    FR.register(steps.sparkSession)
+    return path
+
+
+def read_frames(frames):
+    data = F.try_parse_json("data")
+    field = lambda path: F.try_variant_get(data, path, "bigint")
+    return frames.where(data.isNotNull()).select(
+        field("$.sequence_number").alias("sequence_number"), F.col("event").alias("step_type"), field("$.run_id").alias("run_id"), field("$.payload.k").alias("k"))
+
+
+@query("x2_frame_file", _FRAMES)
+def x2_file(t):
+    path = frame_file(t)
+    return read_frames(t("events").sparkSession.read.format(FR.FORMAT).option("rangeBytes", 1 << 18).load(path))
+
+
+@query("x2_frame_stream", _FRAMES)
+def x2_stream(t):
+    path = frame_file(t)
+    stream = t("events").sparkSession.readStream.format(FR.FORMAT).option("rangeBytes", 1 << 18).load(path)
+    return read_frames(drain(stream, "frames"))
+
+
+@query("j5_report_stream", """
+    SELECT r.event_id AS report_id, r.user_id AS run_id, s.event_id AS sequence_number FROM events r
+    LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') s ON s.user_id = r.user_id AND s.ts >= r.ts AND s.ts <= r.ts + INTERVAL 2 HOUR
+    WHERE r.event_type = 'purchase'""")
+def j5_stream(t):
+    """Reports joined to their steps while both stream in, then settled from the stored rows."""
+    events = t("events")
+
+    def reports(rows):
+        return rows.where("event_type = 'purchase'").select(F.col("event_id").alias("report_id"), F.col("user_id").alias("run_id"), F.col("ts").alias("created_at"))
+
+    def steps(rows):
+        return rows.where("event_type = 'view'").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("sequence_number"), F.col("ts").alias("step_at"))
+
+    streamed = drain(TR.with_steps_stream(reports(stream_of(events)), steps(stream_of(events))), "reports")
+    return TR.settled(streamed, reports(events), steps(events)).select("report_id", "run_id", "sequence_number")

@@ -72,3 +72,29 @@ def agent_summary(frames: DataFrame) -> DataFrame:
     """Per run and agent: longest step and number of timeouts."""
     return frames.groupBy("run_id", "agent").agg(
         F.max("duration_ms").alias("elapsed_ms"), F.count_if(F.col("step_type") == "agent.timed_out").alias("timed_out"))
+
+
+def with_steps_stream(reports: DataFrame, steps: DataFrame, within: str = "2 hours", lateness: str = "1 hour") -> DataFrame:
+    """Reports ``(report_id, run_id, created_at)`` beside the steps ``(run_id, sequence_number, step_at)`` of their run that
+    come within a time limit, while both arrive.
+
+    A step meets its report in either order of arrival; a report that no step has joined by the time its limit and the
+    lateness are over comes alone, so what is kept of either stream is bounded by time.
+    """
+    told = reports.select("report_id", "run_id", F.col("created_at").cast("timestamp").alias("created_at")).withWatermark("created_at", lateness)
+    done = steps.select(F.col("run_id").alias("step_run"), "sequence_number", F.col("step_at").cast("timestamp").alias("step_at")).withWatermark("step_at", lateness)
+    limit = F.expr(f"step_run = run_id AND step_at >= created_at AND step_at <= created_at + INTERVAL {within}")
+    return told.join(done, limit, "left").drop("step_run")
+
+
+def settled(streamed: DataFrame, reports: DataFrame, steps: DataFrame, within: str = "2 hours") -> DataFrame:
+    """What the stream has written, completed from the stored reports and steps: steps that came too late for it, and
+    reports that it still held open."""
+    told = reports.select("report_id", "run_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    done = steps.select("run_id", "sequence_number", F.col("step_at").cast("timestamp").alias("step_at"))
+    pairs = told.join(done, "run_id").where(F.expr(f"step_at >= created_at AND step_at <= created_at + INTERVAL {within}"))
+    met = streamed.where(F.col("sequence_number").isNotNull())
+    late = pairs.join(met.select("report_id", "sequence_number"), ["report_id", "sequence_number"], "left_anti").select(streamed.columns)
+    both = met.unionByName(late)
+    alone = told.join(both.select("report_id").distinct(), "report_id", "left_anti")
+    return both.unionByName(alone, allowMissingColumns=True)
