@@ -9,6 +9,7 @@ from evidentia import params as P
 from evidentia.functions import labels as L
 from evidentia.functions import text as X
 from evidentia.functions.bounds import first_per, unroll
+from evidentia.functions.durable import durable
 from evidentia.functions.scan import carry_forward, number_rows, place_blocks
 
 
@@ -224,6 +225,78 @@ def unique_keys(chunks: DataFrame, key: str = "chunk_id", order: str = "ordinal"
     return numbered.withColumn(key, F.concat(key, suffix)).drop("__nth")
 
 
+def heading_pieces(lines: DataFrame, heading: str = "^#") -> DataFrame:
+    """All text of a document cut at its headings: ``doc_id``, ``piece`` (line of the heading, far below 0 before the first),
+    ``content``, and ``page`` where the lines have one."""
+    placed = place_blocks(lines, "doc_id", "line_no").withColumn("piece", F.when(F.col("text").rlike(heading), F.col("line_no")))
+    rows = carry_forward(placed, "doc_id", "line_no", ["piece"])
+    page = [F.min_by("page", "line_no").alias("page")] if "page" in lines.columns else []
+    return rows.groupBy("doc_id", F.coalesce("piece", F.lit(-(1 << 40))).alias("piece")).agg(F.expr(_JOIN_LINES).alias("content"), *page)
+
+
+#: Columns of a chunk before it is embedded.
+CHUNK_COLUMNS = [
+    "chunk_id", "doc_id", "ordinal", "record_id", "record_type", "title", "chapter", "section", "page", "region_id", "evidence_quality", "risk_level",
+    "record_date", "content"]
+
+
+def corpus_chunks(lines: DataFrame) -> DataFrame:
+    """The four tiers of a corpus-shaped document: records, table rows, field notes, narrative windows, under keys of its own.
+
+    A key is the document's ID before the tier's key, so no two documents share one; what repeats inside a document is
+    numbered in the order of tiers and lines. Notes are cut out of all text, that of records included, as they are
+    evidence by themselves.
+    """
+    notes = field_note_chunks(heading_pieces(lines), ["doc_id", "piece"], "content").select(
+        F.concat(F.lit("note-"), F.lower("record_id")).alias("chunk_id"), "*", (F.col("piece") + F.col("note_no")).alias("ordinal"))
+    narrative = narrative_chunks(narrative_pieces(lines))
+    tiers = [record_chunks(lines), table_row_chunks(lines), notes, narrative]
+    out = None
+    for n, tier in enumerate(tiers):
+        missing = [F.lit(None).cast("int" if c == "page" else "string").alias(c) for c in CHUNK_COLUMNS if c not in tier.columns]
+        rows = tier.select("*", *missing).select(*CHUNK_COLUMNS, (F.lit(n).cast("bigint") * (1 << 44) + F.col("ordinal")).alias("__order"))
+        out = rows if out is None else out.unionByName(rows)
+    keyed = out.withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_id"))
+    return unique_keys(keyed, "chunk_id", "__order").drop("__order")
+
+
+def chunk_documents(docs: DataFrame, threshold: int = P.RECORD_AWARE_IDS) -> DataFrame:
+    """Chunks of documents ``(doc_id, doc_name, text)``, each by the mode its own text calls for.
+
+    One with ``threshold`` distinct record IDs or more is read tier by tier, any other as narrative.
+    """
+    lines = durable(explode_lines(docs, ["doc_id"]))
+    modes = durable(chunking_mode(lines, threshold))
+    aware = corpus_chunks(lines.join(modes.where("mode = 'record_aware'"), "doc_id", "left_semi"))
+    plain = lines.join(modes.where("mode = 'narrative'"), "doc_id", "left_semi")
+    uploads = upload_chunks(plain, docs.select("doc_id", "doc_name")).select(
+        F.concat_ws("-", "doc_id", F.lit("up"), F.col("piece").cast("string"), F.col("window_no").cast("string")).alias("chunk_id"), "doc_id",
+        F.col("piece").alias("ordinal"), "title", "section", "page", F.lit("narrative").alias("record_type"),
+        L.evidence_quality(F.lit("narrative"), F.col("content")).alias("evidence_quality"), "content")
+    return aware.unionByName(uploads, allowMissingColumns=True)
+
+
+def inventory_problems(chunks: DataFrame, expected: dict[str, int], critical: list[str], min_chars: int = 50) -> DataFrame:
+    """What a seed should not be published with: ``problem`` and ``detail`` rows, none if all is well.
+
+    Record types with another count than ``expected``, ``critical`` records that are missing, records that hold another
+    record's header, and chunks that are next to empty. ``expected`` and ``critical`` are parameters of a fixed size.
+    """
+    spark = chunks.sparkSession
+    wanted = spark.createDataFrame(list(expected.items()), "record_type string, expected long")
+    counts = chunks.groupBy("record_type").agg(F.count("*").alias("found"))
+    off = wanted.join(counts, "record_type", "left").where(F.coalesce("found", F.lit(0)) != F.col("expected")).select(
+        F.lit("count").alias("problem"), F.concat(F.col("record_type"), F.lit(": expected "), "expected", F.lit(", got "), F.coalesce("found", F.lit(0))).alias("detail"))
+    named = spark.createDataFrame([(c,) for c in critical], "record_id string")
+    gone = named.join(chunks.select("record_id").distinct(), "record_id", "left_anti").select(F.lit("missing").alias("problem"), F.col("record_id").alias("detail"))
+    heads = X.find_all(F.col("content"), r"(?m)^\[([A-Z]{2,3}-\d+)\]", 1)
+    others = F.array_sort(F.array_remove(F.array_distinct(heads), F.col("record_id")))
+    mixed = chunks.where("record_id IS NOT NULL AND record_type <> 'narrative'").select("chunk_id", others.alias("others")).where(F.size("others") > 0).select(
+        F.lit("mixed").alias("problem"), F.concat("chunk_id", F.lit(": "), F.array_join("others", ",")).alias("detail"))
+    bare = chunks.where(F.length(F.trim("content")) < min_chars).select(F.lit("short").alias("problem"), F.col("chunk_id").alias("detail"))
+    return off.unionByName(gone).unionByName(mixed).unionByName(bare)
+
+
 def chunking_mode(lines: DataFrame, threshold: int = P.RECORD_AWARE_IDS) -> DataFrame:
     """Distinct record IDs per document and the chunking mode they call for."""
     ids = unroll(lines, ["doc_id"], X.find_all(F.col("text"), f"({P.RECORD_ID_ANY})", 1), "id").distinct()
@@ -235,13 +308,14 @@ def chunking_mode(lines: DataFrame, threshold: int = P.RECORD_AWARE_IDS) -> Data
 
 
 def upload_chunks(lines: DataFrame, names: DataFrame, min_chars: int = P.UPLOAD_PIECE, paragraph: str = "\n\n") -> DataFrame:
-    """Narrative chunking of an upload: pieces by heading, a short first line becomes the heading."""
-    pieces = narrative_pieces(lines.where(~F.col("text").rlike(P.PAGE_MARKER)), end_level=3, min_chars=min_chars)
+    """Narrative chunking of an upload: all of its text cut at headings, a short first line becomes the heading."""
+    paged = locate(lines).where(~F.col("text").rlike(P.PAGE_MARKER))
+    pieces = heading_pieces(paged, P.UPLOAD_HEADING).withColumn("content", _strip(F.col("content"))).where(F.length("content") >= min_chars)
     first = F.trim(F.regexp_replace(F.element_at(F.split("content", "\n"), 1), "^[# ]+", ""))
     heading = F.when(F.length(first) < 120, F.substring(first, 1, 80)).otherwise(F.lit(""))
-    rows = unroll(pieces.join(names, "doc_id"), ["doc_id", "doc_name", "piece", heading.alias("section")], X.pack_paragraphs(F.col("content"), paragraph=paragraph), "window", "window_no")
+    rows = unroll(pieces.join(names, "doc_id"), ["doc_id", "doc_name", "piece", "page", heading.alias("section")], X.pack_paragraphs(F.col("content"), paragraph=paragraph), "window", "window_no")
     return rows.select(
-        "doc_id", "piece", "window_no", "section", F.when(F.col("section") != "", F.col("section")).otherwise(F.col("doc_name")).alias("title"),
+        "doc_id", "piece", "window_no", "page", "section", F.when(F.col("section") != "", F.col("section")).otherwise(F.col("doc_name")).alias("title"),
         F.when(F.col("section") != "", F.concat(F.lit("["), "doc_name", F.lit("] "), "section", F.lit("\n\n"), "window"))
         .otherwise(F.col("window")).alias("content"))
 

@@ -80,6 +80,7 @@ BOILERPLATE_SEGMENTS = 3
 RECORD_AWARE_IDS = 50
 NARRATIVE_PIECE = 200
 UPLOAD_PIECE = 120
+UPLOAD_HEADING = r"^#{1,3}\s+.+"
 UPLOAD_BYTES = 10 * 1024 * 1024
 
 # --- Fixed values: evidence quality phrases ---------------------------------

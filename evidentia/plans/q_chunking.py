@@ -379,24 +379,6 @@ def g20(t):
     return B.chunking_statistics(segments, B.mark_shared(segments))
 
 
-def all_chunks(t):
-    """Union of the chunk tiers with unique keys."""
-    lines = t("record_lines")
-    cols = ["chunk_id", "doc_id", "ordinal", "record_id", "record_type", "title", "region_id", "evidence_quality", "content"]
-    tiers = [C.record_chunks(lines), C.table_row_chunks(lines), C.narrative_chunks(C.narrative_pieces(lines))]
-    out = tiers[0].select(*cols)
-    for tier in tiers[1:]:
-        out = out.unionByName(tier.select(*cols))
-    return out
-
-
-@query("u1_union_tiers", """
-    SELECT record_type, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM (
-      SELECT record_type, content FROM o_records UNION ALL SELECT record_type, content FROM o_rows UNION ALL SELECT 'narrative', content FROM o_pieces) GROUP BY record_type""")
-def u1(t):
-    return all_chunks(t).groupBy("record_type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
-
-
 # ---- labels -----------------------------------------------------------------
 @query("f1_record_type", f"SELECT chunk_id, record_id, {_TYPE} AS record_type FROM chunks WHERE record_id IS NOT NULL")
 def f1(t):

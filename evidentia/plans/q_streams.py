@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.functions.durable import work_folder
-from evidentia.operators import evaluation as E
-from evidentia.operators import structure as C
 from evidentia.plans.registry import query
 from evidentia.sources import index as IX
 from evidentia.streaming import ingest as IN
@@ -116,30 +114,6 @@ def x6(t):
 
 
 # ---- index tables -----------------------------------------------------------
-def seeded_index(t):
-    """Chunk the record register, check it, publish it and read it back."""
-    lines = t("record_lines")
-    spark = lines.sparkSession
-    cols = ["chunk_id", "doc_id", "ordinal", "record_id", "record_type", "title", "region_id", "evidence_quality", "content"]
-    records = C.record_chunks(lines)
-    chunks = records.select(*cols).unionByName(C.table_row_chunks(lines).select(*cols))
-    path = work_folder(spark, "index")
-    IX.create_index(spark, path)
-    IX.publish(path, chunks, 0)
-    return IX.read_index(spark, path)
-
-
-@query("s8_index_table", "SELECT record_type, count(*) AS n, CAST(sum(length(content)) AS BIGINT) AS chars FROM (SELECT record_type, content FROM o_records UNION ALL SELECT record_type, content FROM o_rows) GROUP BY record_type")
-def s8(t):
-    return seeded_index(t).groupBy("record_type").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"))
-
-
-@query("s12_bulk_seed", """
-    SELECT count(*) AS chunks, count(record_id) AS records, count(*) > 0 AS indexed FROM (SELECT record_id FROM o_records UNION ALL SELECT record_id FROM o_rows)""")
-def s12(t):
-    return E.health(seeded_index(t))
-
-
 @query("s13_append_history", "SELECT report_id, count(*) AS n_answers, CAST(sum(length(answer)) AS BIGINT) AS chars FROM answers GROUP BY report_id")
 def s13(t):
     answers = t("answers")
