@@ -60,10 +60,14 @@ def _scorer(query_ids, matrix, allowed, k: int, out_id, id_type):
         return ids[keep], q[keep], s[keep]
 
     def barred(labels):
-        """Cells that a query's label filter shuts out."""
-        names, codes = np.unique(labels, return_inverse=True)
-        shut = np.array([[a is not None and name not in a for a in allowed] for name in names])
-        return shut[codes]
+        """Cells that a query's filters shut out; only filters that are set are looked at."""
+        shut = np.zeros((len(labels[0]), n_queries), dtype=bool)
+        for column, wanted in zip(labels, allowed, strict=True):
+            names, codes = np.unique(column, return_inverse=True)
+            for i, a in enumerate(wanted):
+                if a is not None:
+                    shut[:, i] |= ~np.isin(names, list(a))[codes]
+        return shut
 
     tile = max(1, SCORES // max(1, n_queries))
 
@@ -73,17 +77,17 @@ def _scorer(query_ids, matrix, allowed, k: int, out_id, id_type):
             if batch.num_rows:
                 ids = np.asarray(batch.column(0).to_pylist())
                 flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                labels = None if allowed is None else np.asarray(batch.column(2).to_pylist(), dtype=object).astype(str)
+                labels = [np.asarray(["" if v is None else str(v) for v in batch.column(2 + i).to_pylist()]) for i in range(len(allowed))]
                 for low in range(0, len(ids), tile):
-                    yield low, ids[low:low + tile], flat[low:low + tile], labels
+                    yield ids[low:low + tile], flat[low:low + tile], [c[low:low + tile] for c in labels]
 
     def score(batches):
         held, rows = [], 0
-        for low, ids, vectors, labels in tiles(batches):
+        for ids, vectors, labels in tiles(batches):
             n = len(ids)
             scores = np.round(vectors @ matrix.T, 6) + 0.0
-            if allowed is not None:
-                shut = barred(labels[low:low + tile])
+            if allowed:
+                shut = barred(labels)
                 scores[shut] = -np.inf
             m = min(k, n)
             if m < n:
@@ -92,7 +96,7 @@ def _scorer(query_ids, matrix, allowed, k: int, out_id, id_type):
                 row, q = np.nonzero(scores >= least)
             else:
                 row, q = np.divmod(np.arange(n * n_queries), n_queries)
-            if allowed is not None:
+            if allowed:
                 row, q = row[~shut[row, q]], q[~shut[row, q]]
             held.append(best(ids[row], q, scores[row, q]))
             rows += len(held[-1][0])
@@ -113,7 +117,8 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BL
     Chunks ``(chunk_id, vector)`` stream past a bounded block of query vectors, and
     every task hands on only its own best ``k`` per query, so no query-chunk pair is
     ever written out. Queries beyond one block take one more pass over the chunks.
-    With ``label`` a query's ``allowed`` array (NULL for no filter) restricts its chunks.
+    A query's filters (``params.FILTERS``: arrays, NULL for none) restrict its chunks where these have the column; ``label``
+    names the column that ``allowed`` goes by.
     """
     import numpy as np
     import pyarrow as pa
@@ -124,8 +129,9 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BL
     q_type, c_type = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
     schema = T.StructType([
         T.StructField("query_id", q_type), T.StructField("chunk_id", c_type), T.StructField("score", T.DoubleType())])
-    filters = ["allowed"] if label else []
-    scanned = chunks.select("chunk_id", "vector", *([label] if label else []))
+    by = {c: label if label and c == "allowed" else of for c, of in P.FILTERS.items()}
+    filters = [c for c, of in by.items() if c in queries.columns and of in chunks.columns]
+    scanned = chunks.select("chunk_id", "vector", *[by[c] for c in filters])
     found = None
     for part in _query_blocks(queries.select("query_id", "vector", *filters), block):
         table = part.toArrow()
@@ -133,7 +139,7 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BL
             continue
         ids = table.column(0).to_pylist()
         flat = pa.concat_arrays(table.column(1).chunks).flatten().to_numpy(zero_copy_only=False)
-        allowed = [None if a is None else frozenset(a) for a in table.column(2).to_pylist()] if label else None
+        allowed = [[None if a is None else frozenset(map(str, a)) for a in table.column(2 + i).to_pylist()] for i in range(len(filters))]
         shipped = spark.sparkContext.broadcast((ids, np.asarray(flat, dtype=np.float64).reshape(len(ids), -1), allowed))
 
         def run(batches, shipped=shipped):

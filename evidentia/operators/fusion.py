@@ -126,12 +126,13 @@ def complete_clusters(selected: DataFrame, chunks: DataFrame, cleared: DataFrame
 
 
 def normalise(rows: DataFrame, score: str = "relevance") -> DataFrame:
-    """Scale by the best score of the query, at most one; name the arms that found the row."""
+    """Scale by the best score of the query, at most one; name the arms, and the filter (``in_region``), that found the row."""
+    region = F.coalesce(F.col("in_region"), F.lit(False)) if "in_region" in rows.columns else F.lit(False)
     top = F.max(score).over(Window.partitionBy("query_id"))
     return rows.withColumn("relative", F.when(top > 0, F.least(F.lit(1.0), F.col(score) / top)).otherwise(F.lit(0.0))).withColumn(
         "matched_by", F.array_compact(F.array(
             F.when(F.col("lexical_rank").isNotNull(), F.lit("lexical")),
-            F.when(F.col("dense_rank").isNotNull(), F.lit("dense")))))
+            F.when(F.col("dense_rank").isNotNull(), F.lit("dense")), F.when(region, F.lit("metadata")))))
 
 
 def best_per_chunk(rows: DataFrame, score: str = "score") -> DataFrame:

@@ -11,8 +11,8 @@ from evidentia.functions.text import tokens
 
 
 def query_terms(queries: DataFrame, query_id: str = "query_id", question: str = "question") -> DataFrame:
-    """Unique terms of each query, with its list of allowed labels where it has one."""
-    keep = [c for c in ("allowed",) if c in queries.columns]
+    """Unique terms of each query, with its filters."""
+    keep = [c for c in P.FILTERS if c in queries.columns]
     return unroll(queries, [query_id, *keep], F.array_distinct(tokens(F.col(question))), "term")
 
 
@@ -65,10 +65,10 @@ def term_hits(index: DataFrame, qterms: DataFrame, small: bool | None = None, co
     stats = corpus_statistics(index, counts).select(F.struct("n", "avg_len")).scalar()
     small = is_small(qterms) if small is None else small
     asked = F.broadcast(qterms) if small else qterms
-    allowed = [c for c in ("allowed",) if c in qterms.columns]
+    filters = [c for c in P.FILTERS if c in qterms.columns]
     weights = (
         (term_counts(index) if counts is None else counts).join(asked, "term")
-        .select("query_id", *allowed, "term", "df", stats["n"].alias("n"), stats["avg_len"].alias("avg_len"))
+        .select("query_id", *filters, "term", "df", stats["n"].alias("n"), stats["avg_len"].alias("avg_len"))
         .withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))))
     if small:
         # One row per query term: bounded by the side just checked.
@@ -76,8 +76,8 @@ def term_hits(index: DataFrame, qterms: DataFrame, small: bool | None = None, co
     tf = F.col("tf")
     damp = P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * (F.col("len") / F.col("avg_len")))
     hits = index.join(weights.drop("df", "n"), "term")
-    if allowed:
-        hits = hits.where(F.col("allowed").isNull() | F.array_contains("allowed", F.col("label")))
+    for c in filters:
+        hits = hits.where(F.col(c).isNull() | F.array_contains(c, F.col(P.FILTERS[c])))
     return hits.select(
         "query_id", "chunk_id", "term", (F.col("idf") * (tf * (P.BM25_K1 + 1) / (tf + damp))).alias("part"))
 

@@ -32,13 +32,18 @@ def cut(fused: DataFrame, k: int) -> DataFrame:
 
 
 def phrasings(queries: DataFrame, variants: DataFrame) -> DataFrame:
-    """Question and variants as rows keyed by phrasing; blank and repeated phrasings are skipped."""
-    own = queries.select("query_id", F.lit(0).alias("n"), "question", "allowed")
-    more = variants.join(queries.select("query_id", "allowed"), "query_id").select("query_id", "n", F.col("variant").alias("question"), "allowed")
+    """Question and variants as rows keyed by phrasing; blank and repeated phrasings are skipped.
+
+    Variants share the filters of their question but that by record: they widen a search for a named record.
+    """
+    filters = [c for c in P.FILTERS if c in queries.columns]
+    own = queries.select("query_id", F.lit(0).alias("n"), "question", *filters)
+    shared = [F.lit(None).cast("array<string>").alias(c) if c == "record_ids" else c for c in filters]
+    more = variants.join(queries.select("query_id", *filters), "query_id").select("query_id", "n", F.col("variant").alias("question"), *shared)
     rows = own.unionByName(more).where(F.trim("question") != "")
     first = Window.partitionBy("query_id", F.lower(F.trim("question"))).orderBy("n")
     rows = rows.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
-    return rows.select(F.concat_ws("#", "query_id", "n").alias("phrasing_id"), "query_id", "question", "allowed")
+    return rows.select(F.concat_ws("#", "query_id", "n").alias("phrasing_id"), "query_id", "question", *filters)
 
 
 def citation_keys(ranked: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def retrieve(index: RetrievalIndex, units: DataFrame, queries: DataFrame, varian
              depth: int = P.SEARCH_CANDIDATES, scores: DataFrame | None = None) -> DataFrame:
     """Every phrasing searched, best score per chunk, the best ``depth`` reranked if scores are given, cut to ``k``, citation keys."""
     asked = phrasings(queries, variants)
-    by_phrasing = asked.select(F.col("phrasing_id").alias("query_id"), "question", "allowed")
+    by_phrasing = asked.drop("query_id").withColumnRenamed("phrasing_id", "query_id")
     hits = cut(hybrid(index, by_phrasing, depth, True), depth).withColumnRenamed("query_id", "phrasing_id")
     pooled = hits.join(asked.select("phrasing_id", "query_id"), "phrasing_id").groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     if scores is None:
@@ -64,6 +69,52 @@ def retrieve(index: RetrievalIndex, units: DataFrame, queries: DataFrame, varian
     return citation_keys(ranked.join(units.select("chunk_id", "record_id", "record_type"), "chunk_id"))
 
 
+def coverage(index: RetrievalIndex, queries: DataFrame, floor: float = P.RELEVANCE_FLOOR) -> DataFrame:
+    """``query_id``, ``top_similarity`` and ``covered``: whether the corpus has anything near the question at all.
+
+    A question without a word, or an empty corpus, has a similarity of 0.
+    """
+    best = search_dense(index, queries, P.FLOOR_TOP).groupBy("query_id").agg(F.max("score").alias("top"))
+    top = F.coalesce("top", F.lit(0.0))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", top.alias("top_similarity"), (top >= floor).alias("covered"))
+
+
+def retrieve_covered(index: RetrievalIndex, units: DataFrame, queries: DataFrame, variants: DataFrame, floor: float = P.RELEVANCE_FLOOR,
+                     **options) -> tuple[DataFrame, DataFrame]:
+    """Retrieval for questions that the corpus covers, and the refused ones with their best similarity.
+
+    Refused questions are not searched. One row a question decides, which is kept.
+    """
+    judged = durable(coverage(index, queries, floor))
+    asked = queries.join(judged.where("covered"), "query_id", "left_semi")
+    told = variants.join(judged.where("covered"), "query_id", "left_semi")
+    return retrieve(index, units, asked, told, **options), judged.where("NOT covered").drop("covered")
+
+
+def aspect_pool(index: RetrievalIndex, units: DataFrame, queries: DataFrame, aspects: DataFrame, cleared: DataFrame, n: int = P.CANDIDATES) -> DataFrame:
+    """Candidates of each question in ``place`` order: every aspect searched and fused, cleared, weighted, interleaved.
+
+    ``aspects`` has ``query_id, aspect, n, question``: several aspects for a comparison, of which each keeps its share, or
+    several phrasings ``n`` of the one aspect, which are fused. ``queries`` has ``triage`` and the question's filters;
+    ``cleared`` the access classes that each question may see. ``in_region`` marks chunks of a region that was asked for.
+    """
+    key = F.concat_ws("#", "query_id", "aspect", "n")
+    asked = aspects.join(queries.select("query_id", *[c for c in P.FILTERS if c in queries.columns]), "query_id").withColumn("key", key)
+    by_key = asked.drop("query_id", "aspect", "n").withColumnRenamed("key", "query_id")
+    arms = fusion.union_arms(search_lexical(index, by_key, n, True).drop("n_matched"), search_dense(index, by_key, n, True))
+    ranked = arms.withColumnRenamed("query_id", "key").join(asked.select("key", "query_id", "aspect"), "key").drop("key")
+    fused = fusion.reciprocal_rank_fusion(ranked, ["query_id", "aspect"])
+    facts = units.select("chunk_id", "record_type", "navigational", "severity", "access_class", "region_id")
+    seen = fused.join(facts, "chunk_id").join(cleared, ["query_id", "access_class"], "left_semi").join(queries.select("query_id", "triage"), "query_id")
+    weighted = fusion.weigh(seen, F.col("triage"))
+    lists = top_n(weighted, ["query_id", "aspect"], [F.desc("weighted"), F.asc("chunk_id")], n)
+    pool = fusion.interleave(lists, n)
+    if "region_ids" not in queries.columns:
+        return pool
+    here = F.array_contains("region_ids", F.col("region_id"))
+    return pool.join(queries.select("query_id", "region_ids"), "query_id").withColumn("in_region", F.coalesce(here, F.lit(False))).drop("region_ids")
+
+
 def profile_queries(queries: DataFrame) -> DataFrame:
     """One row per question and section profile: focus words appended, the profile's types allowed."""
     slots = F.array(*[
@@ -109,7 +160,7 @@ def diversified(pool: DataFrame, vectors: DataFrame, units: DataFrame, cleared:
     w = Window.partitionBy("query_id").orderBy(F.desc("relevance"), F.asc("chunk_id"))
     added = siblings.withColumn("pick", F.row_number().over(w) + k).withColumn("added", F.lit(True))
     final = picks.withColumn("added", F.lit(False)).unionByName(added.select("query_id", "chunk_id", "pick", "relevance", F.lit(True).alias("added")))
-    arms = rows.select("query_id", "chunk_id", "lexical_rank", "dense_rank")
+    arms = rows.select("query_id", "chunk_id", "lexical_rank", "dense_rank", *[c for c in ("in_region",) if c in rows.columns])
     return fusion.normalise(final.join(arms, ["query_id", "chunk_id"], "left"))
 
 

@@ -352,3 +352,7 @@ STEP_TYPES = [
 ]
 TERMINAL_STEPS = ["answer.completed", "error"]
 UNSTABLE_SPREAD = 25
+
+# ---- search filters ----------------------------------------------------------
+#: Column of a question (an array, NULL for no filter) and the column of a chunk that it restricts.
+FILTERS = {"allowed": "label", "record_types": "record_type", "region_ids": "region_id", "record_ids": "record_id", "doc_ids": "doc_id"}

@@ -69,7 +69,7 @@ def stored(t) -> IX.RetrievalIndex:
     units = t("doc_chunks")
     key = units.sparkSession.sparkContext.applicationId, tuple(sorted(units.inputFiles()))
     if key not in _INDEXES:
-        _INDEXES[key] = IX.build_index(spread(units), work_folder(units.sparkSession, "retrieval"), "record_type")
+        _INDEXES[key] = IX.build_index(spread(units), work_folder(units.sparkSession, "retrieval"), "record_type", facets=["record_type", "region_id", "record_id"])
     return _INDEXES[key]
 
 
@@ -331,13 +331,49 @@ def j13(t):
     return fusion.closest_earlier(pool_vectors(t)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("w7_near_duplicates")
+shared("d_sims", """
+    WITH v AS (SELECT query_id, place, bucket, wt FROM d_ranked JOIN d_vec ON id = chunk_id)
+    SELECT query_id, a.place, b.place AS other, sum(a.wt * b.wt) AS sim FROM v a JOIN v b USING (query_id, bucket) WHERE a.place <> b.place GROUP BY ALL""")
+shared("d_rel", "SELECT query_id, place, weighted / max(weighted) OVER (PARTITION BY query_id) AS rel FROM d_ranked")
+
+
+def greedy_ctes(p: str, ranked: str, sims: str) -> None:
+    """Check CTE ``{p}_kept``: places left when those too near to a kept earlier one go."""
+    shared(f"{p}_kept", f"""
+        WITH RECURSIVE clash AS (SELECT query_id, place, list(other) AS near FROM {sims} WHERE other < place AND sim > {P.NEAR_DUPLICATE} GROUP BY ALL),
+        k AS (
+          SELECT DISTINCT query_id, CAST(0 AS BIGINT) AS place, CAST([] AS BIGINT[]) AS kept FROM {ranked}
+          UNION ALL
+          SELECT r.query_id, CAST(r.place AS BIGINT), CASE WHEN c.near IS NOT NULL AND list_has_any(k.kept, c.near) THEN k.kept ELSE list_append(k.kept, r.place) END
+          FROM k JOIN {ranked} r ON r.query_id = k.query_id AND r.place = k.place + 1 LEFT JOIN clash c ON c.query_id = r.query_id AND c.place = r.place)
+        SELECT query_id, unnest(arg_max(kept, place)) AS place FROM k GROUP BY query_id""")
+
+
+def mmr_ctes(p: str, rel: str, sims: str, k: int = P.FINAL_K) -> None:
+    """Check CTE ``{p}_picks``: ``k`` steps of maximal marginal relevance over ``rel(query_id, place, rel)``."""
+    shared(f"{p}_c0", f"SELECT DISTINCT query_id, CAST([] AS BIGINT[]) AS chosen FROM {rel}")
+    for i in range(k):
+        shared(f"{p}_c{i + 1}", f"""
+            WITH g AS (
+              SELECT c.query_id, r.place, round({P.MMR_LAMBDA} * rel - (1 - {P.MMR_LAMBDA}) * coalesce(max(s.sim), 0), 9) AS gain
+              FROM {p}_c{i} c JOIN {rel} r USING (query_id) LEFT JOIN {sims} s ON s.query_id = r.query_id AND s.place = r.place AND list_contains(c.chosen, s.other)
+              WHERE NOT list_contains(c.chosen, r.place) GROUP BY c.query_id, r.place, rel),
+            b AS (SELECT query_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, place) AS n FROM g) WHERE n = 1)
+            SELECT query_id, CASE WHEN b.place IS NULL THEN chosen ELSE list_append(chosen, b.place) END AS chosen FROM {p}_c{i} LEFT JOIN b USING (query_id)""")
+    shared(f"{p}_picks", f"SELECT query_id, unnest(chosen) AS place, unnest(range(1, len(chosen) + 1)) AS pick FROM {p}_c{k}")
+
+
+greedy_ctes("d", "d_ranked", "d_sims")
+mmr_ctes("d", "d_rel", "d_sims")
+
+
+@query("w7_near_duplicates", "SELECT query_id, count(*) AS kept, max(place) AS last_place FROM d_kept GROUP BY query_id")
 def w7(t):
     kept = fusion.drop_near_duplicates(pool_vectors(t))
     return kept.groupBy("query_id").agg(F.count("*").alias("kept"), F.max("place").alias("last_place"))
 
 
-@query("w8_diversify")
+@query("w8_diversify", "SELECT query_id, chunk_id, pick, round(rel, 6) AS relevance FROM d_picks JOIN d_rel USING (query_id, place) JOIN d_ranked USING (query_id, place)")
 def w8(t):
     rows = pool_vectors(t).withColumn("relevance", F.col("weighted") / F.max("weighted").over(fusion.Window.partitionBy("query_id")))
     return fusion.diversify(rows).withColumn("relevance", F.round("relevance", 6))
@@ -391,19 +427,19 @@ def p9(t):
 from evidentia.operators import retrieve as RT  # noqa: E402
 
 
-def _retrieval_ctes(p: str, source: str, depth: int) -> None:
-    """Check CTEs for questions ``(query_id, question, allowed)``: both arms filtered by record type, and the fusion."""
+def _retrieval_ctes(p: str, source: str, depth: int, passes: str = "(allowed IS NULL OR list_contains(allowed, record_type))") -> None:
+    """Check CTEs for questions ``(query_id, question, filters)``: both arms filtered, and the fusion."""
     shared(f"{p}_src", source)
-    shared(f"{p}_tok", f"SELECT query_id, allowed, unnest(list_distinct({S.toks('question')})) AS term FROM {p}_src")
+    shared(f"{p}_tok", f"SELECT * EXCLUDE (question), unnest(list_distinct({S.toks('question')})) AS term FROM {p}_src")
     shared(f"{p}_lex", f"""
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
           SELECT query_id, tf.chunk_id, round(sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / avg_len)))), 6) AS score
           FROM {p}_tok JOIN d_tf tf USING (term) JOIN d_df USING (term) JOIN d_tok d ON d.chunk_id = tf.chunk_id JOIN d_meta m ON m.chunk_id = tf.chunk_id, d_stats
-          WHERE allowed IS NULL OR list_contains(allowed, record_type) GROUP BY ALL)) WHERE rank <= {depth}""")
+          WHERE {passes} GROUP BY ALL)) WHERE rank <= {depth}""")
     shared(f"{p}_vec", _vec_cte(f"{p}_src", "query_id", "question"))
     shared(f"{p}_den", f"""
         SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-          SELECT b.query_id, d.chunk_id, round(coalesce(s.score, 0), 6) AS score FROM {p}_src b JOIN d_meta d ON allowed IS NULL OR list_contains(allowed, record_type)
+          SELECT b.query_id, d.chunk_id, round(coalesce(s.score, 0), 6) AS score FROM {p}_src b JOIN d_meta d ON {passes}
           LEFT JOIN (SELECT q.id AS qid, v.id AS did, sum(q.wt * v.wt) AS score FROM {p}_vec q JOIN d_vec v USING (bucket) GROUP BY ALL) s ON s.qid = b.query_id AND s.did = d.chunk_id)) WHERE rank <= {depth}""")
     shared(f"{p}_cut", f"""
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
@@ -486,14 +522,36 @@ def r9(t):
     return RT.scale_lookup(stored(t))
 
 
-@query("r7_diversified_retrieve")
+def final_sql(p: str, ranked: str, rel: str) -> str:
+    """Check of a diversified list: picks, then siblings of field notes, scaled by the best."""
+    return f"""
+    WITH sel AS (SELECT query_id, chunk_id, pick, rel AS relevance, lexical_rank, dense_rank FROM {p}_picks JOIN {rel} USING (query_id, place) JOIN {ranked} USING (query_id, place)),
+    tr AS (SELECT query_id, section, arg_min(relevance, pick) AS w FROM sel JOIN d_meta USING (chunk_id) WHERE record_type = 'field_note' GROUP BY ALL),
+    sib AS (
+      SELECT tr.query_id, m.chunk_id, w * 0.9 AS relevance FROM tr JOIN doc_queries USING (query_id) JOIN d_meta m ON m.section = tr.section AND m.record_type = 'field_note'
+      WHERE {_ALLOWED} AND NOT EXISTS (SELECT 1 FROM sel WHERE sel.query_id = tr.query_id AND sel.chunk_id = m.chunk_id)),
+    every AS (
+      SELECT query_id, chunk_id, pick, relevance, false AS added FROM sel
+      UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, chunk_id) + {P.FINAL_K}, relevance, true FROM sib)
+    SELECT e.query_id, e.chunk_id, pick, round(CASE WHEN max(relevance) OVER (PARTITION BY e.query_id) > 0 THEN least(1, relevance / max(relevance) OVER (PARTITION BY e.query_id)) ELSE 0 END, 6) AS relative, added,
+      concat_ws('+', CASE WHEN lexical_rank IS NOT NULL THEN 'lexical' END, CASE WHEN dense_rank IS NOT NULL THEN 'dense' END) AS matched_by
+    FROM every e LEFT JOIN {ranked} r ON r.query_id = e.query_id AND r.chunk_id = e.chunk_id"""
+
+
+shared("f_rel", "SELECT query_id, place, rel FROM d_rel SEMI JOIN d_kept USING (query_id, place)")
+mmr_ctes("f", "f_rel", "d_sims")
+
+
+@query("r7_diversified_retrieve", final_sql("f", "d_ranked", "d_rel"))
 def r7(t):
     ranked = ranked_pool(t).select("query_id", "chunk_id", "place", "weighted", "lexical_rank", "dense_rank")
     out = RT.diversified(ranked, stored(t).vectors.drop("label"), units(t), clearance(t))
     return out.select("query_id", "chunk_id", "pick", F.round("relative", 6).alias("relative"), "added", F.array_join("matched_by", "+").alias("matched_by"))
 
 
-@query("r7_retrieval_counts")
+@query("r7_retrieval_counts", """
+    SELECT query_id, CAST(count(*) FILTER (NOT allowed) AS BIGINT) AS withheld, any_value(p) AS pool, any_value(k) AS kept, any_value(p) - any_value(k) AS dropped
+    FROM d_pool JOIN (SELECT query_id, count(*) AS p FROM d_ranked GROUP BY query_id) USING (query_id) JOIN (SELECT query_id, count(*) AS k FROM d_kept GROUP BY query_id) USING (query_id) GROUP BY query_id""")
 def r7_counts(t):
     kept = fusion.drop_near_duplicates(pool_vectors(t))
     return RT.retrieval_counts(pool(t), ranked_pool(t), kept)

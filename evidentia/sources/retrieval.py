@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia import params as P
 from evidentia.operators import dense, lexical
 
 
@@ -17,57 +18,74 @@ class RetrievalIndex:
 
     ``postings`` (chunk_id, term, tf, len, label) is bucketed by chunk and sorted by term, so the scores of a chunk are
     summed up where its postings lie and only each task's best rows move; ``counts`` (term, df, total_len) has a row with
-    an empty term for the corpus itself; ``vectors`` has chunk_id, vector and label.
+    an empty term for the corpus itself; ``vectors`` has chunk_id, vector and label. ``table`` is the catalog's name for the
+    postings, which ``close_index`` drops.
     """
 
     postings: DataFrame
     counts: DataFrame
     vectors: DataFrame
+    table: str = ""
 
 
-def _postings_table(spark: SparkSession, path: str, kind: str, buckets: int) -> str:
+def _postings_table(spark: SparkSession, path: str, kind: str, buckets: int, facets: list[str]) -> str:
     """Name of a table over the postings below ``path``; only a table tells Spark how its files are bucketed."""
     name = f"evidentia_postings_{uuid.uuid4().hex[:12]}"
+    columns = "".join(f", {c} STRING" for c in ["label", *facets])
+    location = f"{path}/postings".replace("\\", "\\\\").replace("'", "\\'")
     spark.sql(
-        f"CREATE TABLE {name} (chunk_id {kind}, term STRING, tf BIGINT, len INT, label STRING) USING parquet "
-        f"CLUSTERED BY (chunk_id) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+        f"CREATE TABLE {name} (chunk_id {kind}, term STRING, tf BIGINT, len INT{columns}) USING parquet "
+        f"CLUSTERED BY (chunk_id) SORTED BY (term) INTO {buckets} BUCKETS LOCATION '{location}'")
     return name
 
 
-def build_index(chunks: DataFrame, path: str, label: str | None = None, buckets: int | None = None) -> RetrievalIndex:
+def close_index(index: RetrievalIndex) -> None:
+    """Forget the table that an index put into the catalog; its files stay."""
+    if index.table:
+        index.vectors.sparkSession.sql(f"DROP TABLE IF EXISTS {index.table}")
+
+
+def build_index(chunks: DataFrame, path: str, label: str | None = None, buckets: int | None = None, facets: list[str] | None = None) -> RetrievalIndex:
     """Tokenise and embed ``chunks(chunk_id, text[, label])`` once and write the tables of an index below ``path``.
 
     ``buckets`` should give buckets of a few hundred MB; the default is the session's number of shuffle partitions.
+    ``facets`` are further columns of a chunk that questions may filter by (``params.FILTERS``).
     """
+    facets = facets or []
     spark = chunks.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = chunks.select("chunk_id", "text", (F.col(label) if label else F.lit(None).cast("string")).alias("label"))
+    given = [F.col(c).cast("string").alias(c) for c in facets]
+    named = chunks.select("chunk_id", "text", (F.col(label) if label else F.lit(None).cast("string")).alias("label"), *given)
     kind = chunks.schema["chunk_id"].dataType.simpleString()
-    name = _postings_table(spark, path, kind, n)
-    lexical.postings(named, label="label").select("chunk_id", "term", "tf", "len", "label").write.insertInto(name)
+    name = _postings_table(spark, path, kind, n, facets)
+    lexical.postings(named, label="label", carry=facets).select("chunk_id", "term", "tf", "len", "label", *facets).write.insertInto(name)
     spark.catalog.refreshTable(name)
     postings = spark.table(name)
     lexical.term_counts(postings).write.parquet(f"{path}/counts")
-    dense.embed(named).select("chunk_id", "vector", "label").write.parquet(f"{path}/vectors")
-    spark.createDataFrame([(n, kind)], "buckets int, kind string").coalesce(1).write.parquet(f"{path}/layout")
-    return RetrievalIndex(postings, spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/vectors"))
+    dense.embed(named).select("chunk_id", "vector", "label", *facets).write.parquet(f"{path}/vectors")
+    spark.createDataFrame([(n, kind, facets)], "buckets int, kind string, facets array<string>").coalesce(1).write.parquet(f"{path}/layout")
+    return RetrievalIndex(postings, spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/vectors"), name)
 
 
 def open_index(spark: SparkSession, path: str) -> RetrievalIndex:
     """An index that another session has built."""
-    buckets, kind = spark.read.parquet(f"{path}/layout").first()
-    postings = spark.table(_postings_table(spark, path, kind, buckets))
-    return RetrievalIndex(postings, spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/vectors"))
+    buckets, kind, facets = spark.read.parquet(f"{path}/layout").first()
+    name = _postings_table(spark, path, kind, buckets, facets)
+    return RetrievalIndex(spark.table(name), spark.read.parquet(f"{path}/counts"), spark.read.parquet(f"{path}/vectors"), name)
+
+
+def _filters(queries: DataFrame, filtered: bool) -> list[str]:
+    return [c for c in P.FILTERS if filtered and c in queries.columns]
 
 
 def search_lexical(index: RetrievalIndex, queries: DataFrame, k: int, filtered: bool = False) -> DataFrame:
     """Best ``k`` chunks per question by BM25, from the stored postings and statistics."""
-    asked = lexical.query_terms(queries if filtered else queries.drop("allowed"))
+    asked = lexical.query_terms(queries.select("query_id", "question", *_filters(queries, filtered)))
     scored = lexical.bm25(index.postings, asked, counts=index.counts)
     return lexical.best(scored, k)
 
 
 def search_dense(index: RetrievalIndex, queries: DataFrame, k: int, filtered: bool = False) -> DataFrame:
     """Best ``k`` chunks per question by cosine, from the stored vectors; only questions are embedded."""
-    asked = dense.embed(queries.select("query_id", "question", *(["allowed"] if filtered else [])), "question").drop("question")
-    return dense.nearest(index.vectors, asked, k, label="label" if filtered else None)
+    asked = dense.embed(queries.select("query_id", "question", *_filters(queries, filtered)), "question").drop("question")
+    return dense.nearest(index.vectors, asked, k)
