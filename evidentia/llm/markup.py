@@ -2,9 +2,12 @@
 
 A page becomes a tree of block elements. Each node has a density: its characters per tag, adjusted by how many of the
 characters and tags are links. The node with the largest sum of its children's densities holds the main text; the
-smallest density on its path up to the body is the threshold that other subtrees must reach to be main text too. If that
-node lies in an article element, the article is the main text. Elements that are no content by their kind (scripts, forms,
-menus, footers and the like) or by the words of their class, ID or role are left out before densities are computed.
+smallest density on its path up to the body is the threshold that other subtrees must reach to be main text too.
+
+Elements that are no content by their kind (scripts, forms, menus, footers and the like) are left out before densities are
+computed. Words of a class, an ID or a role, or standing beside the article element that holds the main text, decide nothing by
+themselves: they scale the density of a subtree by ``DOUBT``, and it goes only if it then falls below the threshold,
+inside the main text as beside it.
 
 Text is taken block by block in page order: character references are decoded, white space becomes one space.
 
@@ -44,6 +47,8 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent notice notices gdpr popup modal overlay newsletter "
     "subscribe subscription share sharing social related recommended recommendations comment comments respond discussion disqus "
     "form login signup search toolbar skip pagination pager widget".split())
+#: What is left of the density of a subtree whose class, ID, role or place says that it is no content.
+DOUBT = 0.001
 #: Left out unless they belong to an article.
 HEADERS = frozenset(["header"])
 ARTICLES = frozenset(["article", "main"])
@@ -59,7 +64,7 @@ class Page:
     """The block tree of a page: parallel lists of node properties, and the runs of text in page order."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.out = [-1], ["#root"], [False]
+        self.parent, self.tag, self.out, self.doubt = [-1], ["#root"], [False], [False]
         self.tags, self.links, self.link_chars = [0], [0], [0]
         self.runs: list[tuple[int, list[str]]] = []
         self._read(source)
@@ -127,10 +132,12 @@ class Page:
             if name == "a":
                 anchors += 1
                 self.links[node] += 1
-            if name not in INLINE or self._left_out(name, attributes, node):
+            out, doubt = self._judged(name, attributes, node)
+            if name not in INLINE or out or doubt:
                 self.parent.append(node)
                 self.tag.append(name)
-                self.out.append(self.out[node] or self._left_out(name, attributes, node))
+                self.out.append(self.out[node] or out)
+                self.doubt.append(self.doubt[node] or doubt)
                 for values in (self.tags, self.links, self.link_chars):
                     values.append(0)
                 node = len(self.parent) - 1
@@ -140,26 +147,26 @@ class Page:
                 end = re.compile(f"</{name}", re.I).search(source, place)
                 place = end.start() if end else len(source)
 
-    def _left_out(self, name: str, attributes: str, node: int) -> bool:
+    def _judged(self, name: str, attributes: str, node: int) -> tuple[bool, bool]:
+        """Whether an element is no content by its kind or hidden, and whether its attributes make it doubtful."""
         if name in LEFT_OUT or name in HEADERS and not self._in_article(node):
-            return True
+            return True, False
         if name in ("html", "body") or not attributes:
-            return False
+            return False, False
         if HIDDEN.search(attributes):
-            return True
+            return True, False
+        doubt = False
         for key, value in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "style":
                 if "display:none" in value.replace(" ", ""):
-                    return True
+                    return True, False
             elif key == "role":
-                if value in ROLES:
-                    return True
+                doubt = doubt or value in ROLES
             elif name not in ARTICLES:
                 words = set(WORD.findall(value))
-                if words & MARKS or words & HEADERS and not self._in_article(node):
-                    return True
-        return False
+                doubt = doubt or bool(words & MARKS or words & HEADERS and not self._in_article(node))
+        return False, doubt
 
     def _in_article(self, node: int) -> bool:
         while node > 0:
@@ -175,21 +182,22 @@ class Page:
         for node, t in self.texts:
             chars[node] += len(t)
         for i in range(n - 1, 0, -1):  # a child stands behind its parent
-            if not self.out[i]:
-                p = self.parent[i]
+            p = self.parent[i]
+            if not self.out[i] and self.doubt[i] == self.doubt[p]:  # a doubtful subtree counts for itself only
                 chars[p] += chars[i]
                 tags[p] += tags[i]
                 links[p] += links[i]
                 link_chars[p] += link_chars[i]
         share = min(1.0, link_chars[0] / chars[0]) if chars[0] else 0.0
-        density = [0.0 if self.out[i] else _density(chars[i], tags[i], min(link_chars[i], chars[i]), links[i], share) for i in range(n)]
+        density = [0.0 if self.out[i] else _density(chars[i], tags[i], min(link_chars[i], chars[i]), links[i], share) * (DOUBT if self.doubt[i] else 1) for i in range(n)]
         total, leaf = [0.0] * n, [True] * n
         for i in range(n - 1, 0, -1):
             if not self.out[i]:
                 if leaf[i]:
                     total[i] = density[i]
-                total[self.parent[i]] += density[i]
-                leaf[self.parent[i]] = False
+                if self.doubt[i] == self.doubt[self.parent[i]]:
+                    total[self.parent[i]] += density[i]
+                    leaf[self.parent[i]] = False
         if leaf[0]:
             total[0] = density[0]
         return density, total
@@ -202,31 +210,35 @@ class Page:
         path = [best]
         while self.parent[path[-1]] >= 0 and self.tag[path[-1]] != "body":
             path.append(self.parent[path[-1]])
+        threshold = min(density[i] for i in path)
+        above, near = set(path[1:]), set(path)
         article = next((i for i in reversed(path) if self.tag[i] in ARTICLES), None)
-        inside = [False] * len(total)
-        if article is not None:
-            inside[article] = True
-        else:
-            threshold = min(density[i] for i in path)
-            above = set(path[1:])
-            for i in range(len(total)):
-                inside[i] = i == best or i not in above and density[i] >= threshold and density[i] > 0 and self.parent[i] in above
-        for i in range(1, len(total)):
-            inside[i] = inside[i] or inside[self.parent[i]]
+        within = [article is None] * len(total)
+        # A node stands behind its parent: what is inside, and what a doubtful subtree below the threshold takes out.
+        inside, gone = [False] * len(total), [False] * len(total)
+        for i in range(len(total)):
+            p = self.parent[i]
+            within[i] = within[i] or i == article or p >= 0 and within[p]
+            level = density[i] if within[i] or self.doubt[i] else density[i] * DOUBT
+            dense = i not in above and level >= threshold and level > 0 and p in above
+            inside[i] = i == best or dense or p >= 0 and inside[p]
+            gone[i] = p >= 0 and gone[p] or (self.doubt[i] or not within[i]) and i not in near and i > path[-1] and level < threshold
         # Text that stands directly in a node above the main text, or a heading beside it, belongs to the same article.
-        near = set(path)
         heading = lambda i: self.tag[i][0] == "h" and self.tag[i][1:].isdigit() and self.parent[i] in near
-        return "\n".join(t for n, t in self.texts if inside[n] or article is None and (n in near or heading(n)))
+        return "\n".join(t for n, t in self.texts if not gone[n] and (inside[n] or n in near or heading(n)))
 
 
 def _density(chars: int, tags: int, link_chars: int, links: int, share: float) -> float:
-    """Characters per tag, scaled by a logarithm that falls as links take over; ``share`` is the link share of the page."""
+    """Characters per tag, scaled by a logarithm that falls as links take over; ``share`` is the link share of the page.
+
+    On a page without links the base of the logarithm is 1, and characters per tag are the density.
+    """
     if not chars:
         return 0.0
     tags = max(tags, 1)
     base = math.log(chars / max(chars - link_chars, 1) * link_chars + share * chars + math.e)
     ratio = chars / max(link_chars, 1) * tags / max(links, 1)
-    return max(0.0, chars / tags * math.log(max(ratio, 1.0)) / math.log(max(base, 1.0) + 1.0))
+    return max(0.0, chars / tags * (math.log(max(ratio, 1.0)) / math.log(base) if base > 1 else 1.0))
 
 
 def extract(source: str | None) -> str:

@@ -1,5 +1,8 @@
 """Operators on pages against brute force, and the registered queries with a check."""
 
+import math
+import random
+
 import pytest
 from compare import connect, difference
 from pyspark.sql import functions as F
@@ -166,3 +169,50 @@ def test_revisits_of_an_empty_table(spark):
 def test_canonical_urls(spark, url, key):
     df = spark.createDataFrame([(url,)], "url string")
     assert df.select(revisits.canonical_url(F.col("url"))).first()[0] == key
+
+
+# Density -----------------------------------------------------------------------------------------------------------
+
+def test_density_drops_clutter_that_no_class_names():
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    links = "".join(f"<li><a href='/{i}'>Link {i}</a></li>" for i in range(25))
+    body = [f"<p>{words(40, f'body{k}')} with <a href='#'>a link</a> inside.</p>" for k in range(6)]
+    want = "\n".join(["Title", *[f"{words(40, f'body{k}')} with a link inside." for k in range(6)]])
+    page = f"""<html><body><div><ul>{links}</ul></div><div><div><h1>Title</h1>{''.join(body)}</div><div><ul>{links}</ul></div></div>
+        <div><span>One</span><span>two</span> <a href='/'>three</a></div></body></html>"""
+    assert markup.extract(page) == want
+    # A doubtful class takes out what is thin, and a page of nothing else keeps its text.
+    thin = page.replace(body[2], body[2] + "<div class='share'>Tell <a href='/'>a friend</a></div>")
+    assert markup.extract(thin) == want
+    assert markup.extract("<body><div class='sidebar'><p>All there is.</p></div></body>") == "All there is."
+
+
+def test_densities_equal_their_definition():
+    rng = random.Random(12)
+
+    def tree(depth):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["text", "link", "block", "block"] if depth else ["text", "link"])
+            parts.append({"text": f"w{rng.randint(0, 9)} " * rng.randint(1, 9), "link": f"<a href='x'>l{rng.randint(0, 9)}</a>", "block": ""}[kind] or f"<div>{tree(depth - 1)}</div>")
+        return "".join(parts)
+
+    for _ in range(40):
+        page = markup.Page(f"<html><body>{tree(4)}</body></html>")
+        density, total = page.densities()
+        children = {i: [j for j in range(len(page.parent)) if page.parent[j] == i] for i in range(len(page.parent))}
+
+        def below(i, own):
+            return own(i) + sum(below(j, own) for j in children[i])
+
+        chars = {i: sum(len(t) for n, t in page.texts if n == i) for i in children}
+        whole = below(0, chars.get)
+        share = min(1.0, below(0, lambda i: page.link_chars[i]) / whole) if whole else 0.0
+        for i in children:
+            c, t, lc, lt = (below(i, own) for own in (chars.get, lambda i: page.tags[i], lambda i: page.link_chars[i], lambda i: page.links[i]))
+            lc, plain = min(lc, c), 0.0
+            if c:
+                base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+                plain = c / max(t, 1) * (math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / math.log(base) if base > 1 else 1)
+            assert density[i] == pytest.approx(max(0.0, plain))
+            assert total[i] == pytest.approx(sum(density[j] for j in children[i]) if children[i] else density[i])
