@@ -7,10 +7,12 @@ item's in any walk is a candidate, and its exact edit distance, with free ends,
 
 Windows are placed where they can matter: an item within ``MAX_EDITS`` of its words of some stretch of text shares an
 unedited run of words with it, by the pigeonhole principle (``run_length``), so windows are aligned on such runs. Every
-place of every document is tested for them. Recall against exhaustive search is measured in the tests.
+place of every document is tested for them. The tests measure recall against exhaustive search: edit distances of all
+items to all places of all documents.
 
-Items go to the tasks in blocks of at most ``BLOCK_WORDS`` words, each block being one more pass over the documents, so
-what is broadcast is bounded whatever the size of the benchmark. Documents are never shuffled.
+Items are dealt to numbered blocks of about ``BLOCK_WORDS`` words. One block at a time goes to the tasks, which index it,
+and each is one more pass over the documents whose result is written before the next one starts; so driver and tasks hold
+one block, whatever the size of the benchmark. Documents are never shuffled.
 
 Defined results: NULL and empty texts and items match nothing; items that repeat are reported each; documents that
 repeat are reported each; a document without a match has no row; without items or documents there are no rows.
@@ -19,16 +21,19 @@ repeat are reported each; a document without a match has no row; without items o
 from __future__ import annotations
 
 import math
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from evidentia.llm.common import WordHashes, map_batches, table, windows_hashed
+from evidentia.llm.common import WordHashes, map_batches, stage, table, windows_hashed
 
 #: Share of an item's words that may be edited: a similarity of 0.8 or more.
 MAX_EDITS = 0.2
@@ -188,18 +193,29 @@ class ItemIndex:
         return np.where(inside, text[np.clip(place, 0, len(text) - 1)], _NO_WORD)
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
-    """Items in blocks of at most ``BLOCK_WORDS`` characters' worth of words, streamed from the table."""
-    block, held = [], 0
-    for row in items.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator():
-        size = len(row[1]) // 2 + 1
-        if block and held + size > BLOCK_WORDS:
-            yield block
-            block, held = [], 0
-        block.append((row[0], row[1]))
-        held += size
-    if block:
-        yield block
+def _blocks(items: DataFrame) -> Iterator[Broadcast]:
+    """The items in blocks of about ``BLOCK_WORDS`` characters' worth of words, one at a time."""
+    given = items.where(F.col("text").isNotNull()).select("item_id", "text")
+    size = given.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    count = math.ceil(size / BLOCK_WORDS)
+    spark = items.sparkSession
+    if count > 1:
+        given = stage(given.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(count))), "items")
+    for number in range(count):
+        block = (given.where(F.col("block") == number) if count > 1 else given).select("item_id", "text").toArrow()
+        yield spark.sparkContext.broadcast((uuid.uuid4().hex, block.column(0).to_pylist(), block.column(1).to_pylist()))
+
+
+_indexed: dict[str, ItemIndex] = {}
+
+
+def _index(block: Broadcast) -> ItemIndex:
+    """The block's index, made once in each worker, which keeps one."""
+    name, ids, texts = block.value
+    if name not in _indexed:
+        _indexed.clear()
+        _indexed[name] = ItemIndex(list(zip(ids, texts, strict=True)))
+    return _indexed[name]
 
 
 def _found(known: ItemIndex, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
@@ -228,7 +244,7 @@ def _search(docs: DataFrame, index, schema: str, id_type: pa.DataType) -> DataFr
     """Matches of the items of one broadcast index."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        known: ItemIndex = index.value
+        known = _index(index)
         found = _found(known, batch.column(1).to_pylist())
         if not found:
             return None
@@ -244,19 +260,22 @@ def _search(docs: DataFrame, index, schema: str, id_type: pa.DataType) -> DataFr
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold an item; decided row by row, so nothing is joined."""
-    spark, text = docs.sparkSession, docs.columns.index("text")
+    text = docs.columns.index("text")
 
     def without(index):
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             clean = np.ones(batch.num_rows, bool)
-            clean[[f[0] for f in _found(index.value, batch.column(text).to_pylist())]] = False
+            clean[[f[0] for f in _found(_index(index), batch.column(text).to_pylist())]] = False
             return batch.filter(pa.array(clean))
 
         return work
 
-    out = docs
+    out, before = docs, None
     for block in _blocks(items):
-        out = map_batches(out, without(spark.sparkContext.broadcast(ItemIndex(block))), docs.schema)
+        if before is not None:
+            out = stage(out, "clean")
+            before.destroy()
+        out, before = map_batches(out, without(block), docs.schema), block
     return out
 
 
@@ -266,10 +285,14 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     kind = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (items, "item_id"))]
     schema = f"doc_id {kind[0]}, item_id {kind[1]}, end_word long, item_words long, distance long, similarity double"
     id_type = to_arrow_type(items.schema["item_id"].dataType)
-    out = spark.createDataFrame([], schema)
+    done, now, before = [], None, None
     for block in _blocks(items):
-        out = out.union(_search(docs, spark.sparkContext.broadcast(ItemIndex(block)), schema, id_type))
-    return out
+        if now is not None:
+            done.append(stage(now, "matches"))
+            before.destroy()
+        now, before = _search(docs, block, schema, id_type), block
+    found = [*done, *([now] if now is not None else [])] or [spark.createDataFrame([], schema)]
+    return reduce(DataFrame.union, found)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
