@@ -40,7 +40,7 @@ MIN_WORDS = 50
 RUNS, RUN_WORDS = 16, 5
 CORE, SIDE = MIN_WORDS - RUNS + 1, RUNS - 1
 #: Suffixes of one core that a task holds at a time.
-HOT = 2_048
+HOT = 1 << 16
 SALTS = 16
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -81,7 +81,9 @@ def suffixes(docs: DataFrame) -> DataFrame:
     """The suffixes whose core repeats: ``core`` (a digest), ``after`` and ``before`` (the words on either side, nearest
     first), ``hot``, ``doc_id``, ``text_id`` and ``place`` (the word it begins with)."""
     cores = stage(suffix_cores(docs), "cores")
-    repeated = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core", (F.col("n") > HOT).alias("hot"))
+    counted = cores.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    # A table, so that the join below has shuffled rows on both sides and Spark may split a frequent core.
+    repeated = stage(counted.select("core", (F.col("n") > HOT).alias("hot")), "repeated")
     held = cores.join(repeated, "core").groupBy("doc_id", "text_id").agg(F.collect_set(F.struct("core", "hot")).alias("cores"))
     held = held.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text"), "cores")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
