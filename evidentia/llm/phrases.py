@@ -21,6 +21,7 @@ ties go to the higher count, then to the phrase that is first in UTF-8 bytes; an
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,6 +39,8 @@ NO_LANGUAGE = "und"
 #: Words of one language that are counted together before they move.
 SLICE = 1 << 20
 SALTS = 64
+#: Documents, about, whose windows show how to cut the ranges, and windows for each range.
+SAMPLE, PER_PART, SEED = 2_000, 50, 12
 #: Rows that a task hands on at a time.
 HANDED_ON = 1 << 15
 
@@ -47,16 +50,22 @@ _SIGNS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(UPPER.encode() + _SIGNS, LOWER.encode() + _END * len(_SIGNS))
 
 
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Slice:
     """The words of some texts of one language as numbers in the order they were first seen; 0 parts pieces."""
 
     def __init__(self):
-        self.numbers, self.texts, self.size = {_END: 0}, [], 0
+        self.numbers, self.texts, self.size = _Numbers({_END: 0}), [], 0
 
     def add(self, text: bytes) -> None:
-        tokens, numbers = text.translate(_FOLD).replace(_END, b" \xff ").split(), self.numbers
+        tokens = text.translate(_FOLD).replace(_END, b" \xff ").split()
         tokens.append(_END)
-        self.texts.append(np.fromiter((numbers.setdefault(t, len(numbers)) for t in tokens), np.int32, len(tokens)))
+        self.texts.append(np.fromiter(map(self.numbers.__getitem__, tokens), np.int32, len(tokens)))
         self.size += len(tokens)
 
     def windows(self, longest: int) -> tuple[pa.Array, np.ndarray]:
@@ -90,16 +99,22 @@ def _sorted_rows(columns: list[np.ndarray], most: int) -> tuple[np.ndarray, np.n
     return order, np.nonzero(new)[0]
 
 
-def window_stream(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """``lang``, ``window`` (words, each with a space behind it) and ``n``, counted per slice."""
-
+def window_stream(docs: DataFrame, longest: int = LONGEST, pivots: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``lang``, ``window`` (words, each with a space behind it) and ``n``, counted per slice, and the ``part`` between the
+    ``pivots`` (in byte order) that a window lies in."""
     ship(docs.sparkSession)
+    bounds = sorted((lang.encode(), window.encode()) for lang, window in pivots or [])
 
     def counted(lang: str, part: Slice) -> Iterator[pa.RecordBatch]:
         found, n = part.windows(longest)
+        key = lang.encode()
+        before = sum(b[0] < key for b in bounds)
+        cuts = [bisect_left(found, b[1], key=lambda w: w.as_py()) for b in bounds if b[0] == key]
+        parts = (before + np.searchsorted(cuts, np.arange(len(n)), "right")).astype(np.int32)
         for start in range(0, len(n), HANDED_ON):
-            some = found[start:start + HANDED_ON].cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), some, pa.array(n[start:start + HANDED_ON])], ["lang", "window", "n"])
+            rows = slice(start, start + HANDED_ON)
+            some = found[rows].cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), some, pa.array(n[rows]), pa.array(parts[rows])], ["lang", "window", "n", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[str, Slice] = {}
@@ -113,7 +128,18 @@ def window_stream(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
         for lang, part in slices.items():
             yield from counted(lang, part)
 
-    return docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text").mapInArrow(run, "lang string, window string, n long")
+    return docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), "text").mapInArrow(run, "lang string, window string, n long, part int")
+
+
+def pivots_of(docs: DataFrame, longest: int, parts: int) -> list[tuple[str, str]]:
+    """Windows that cut all windows into about equal parts, from those of ``SAMPLE`` documents or so.
+
+    They place rows and decide no result; ``PER_PART`` windows a part reach the driver.
+    """
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    seen = window_stream(docs.sample(share, SEED), longest).select("lang", "window")
+    drawn = sorted((r.lang.encode(), r.window.encode()) for r in seen.orderBy(F.xxhash64("lang", "window")).limit(PER_PART * parts).collect())
+    return [(lang.decode(), window.decode()) for lang, window in dict.fromkeys(drawn[len(drawn) * i // parts] for i in range(1, parts) if drawn)]
 
 
 def _word_numbers(windows: pa.Array, longest: int) -> np.ndarray:
@@ -130,13 +156,15 @@ def _word_numbers(windows: pa.Array, longest: int) -> np.ndarray:
     return out
 
 
-def rolled_up(stream: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+def rolled_up(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """``lang``, ``depth``, ``phrase`` and ``n`` of phrases found at ``least`` times or more; depth 0 is the language itself.
 
-    ``stream`` is laid in prefix order by ranges, for whose bounds Spark runs it once more. A group of neighbours that begin alike is whole unless it touches an edge of its
+    The windows of ``docs`` are laid in prefix order, a range of them a task. A group of neighbours that begin alike is whole unless it touches an edge of its
     batch, and only such parts go on below the least count.
     """
-    laid = stream.repartitionByRange("lang", "window").sortWithinPartitions("lang", "window")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stream = window_stream(docs, longest, pivots_of(docs, longest, parts))
+    laid = stream.repartitionById(parts, F.col("part")).drop("part").sortWithinPartitions("lang", "window")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         langs, windows, n = batch.column(0), batch.column(1), batch.column(2).to_numpy()
@@ -160,8 +188,8 @@ def rolled_up(stream: DataFrame, longest: int = LONGEST, least: int = LEAST) ->
         phrases = [" ".join(w.split(" ")[:d]) for w, d in zip(windows.take(at).to_pylist(), depth.tolist(), strict=True)]
         return pa.RecordBatch.from_arrays([langs.take(at), pa.array(depth), pa.array(phrases, pa.string()), pa.array(np.concatenate(sums))], ["lang", "depth", "phrase", "n"])
 
-    parts = map_batches(laid, work, "lang string, depth int, phrase string, n long")
-    return parts.groupBy("lang", "depth", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("depth") == 0))
+    sums = map_batches(laid, work, "lang string, depth int, phrase string, n long")
+    return sums.groupBy("lang", "depth", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("depth") == 0))
 
 
 def _trie_order(phrases: DataFrame, words: Column, longest: int, part: str, beyond: str) -> DataFrame:
@@ -206,7 +234,7 @@ def scored(frequent: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, best: int = BEST) -> DataFrame:
     """The ``best`` phrases of each language by the score of their weakest cut, with ``rank``."""
-    phrases = scored(stage(rolled_up(window_stream(docs, longest), longest, least), "phrases"), longest)
+    phrases = scored(stage(rolled_up(docs, longest, least), "phrases"), longest)
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     salted = phrases.withColumn("__salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
     near = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "__salt").orderBy(*order))).where(F.col("rank") <= best)
