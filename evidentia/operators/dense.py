@@ -117,8 +117,8 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BL
     Chunks ``(chunk_id, vector)`` stream past a bounded block of query vectors, and
     every task hands on only its own best ``k`` per query, so no query-chunk pair is
     ever written out. Queries beyond one block take one more pass over the chunks.
-    A query's filters (``params.FILTERS``: arrays, NULL for none) restrict its chunks where these have the column; ``label``
-    names the column that ``allowed`` goes by.
+    A query's filters (``params.FILTERS``: arrays, NULL for none) restrict its chunks where these have the column; ``allowed`` goes by
+    the column that ``label`` names, if any.
     """
     import numpy as np
     import pyarrow as pa
@@ -129,8 +129,8 @@ def nearest(chunks: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BL
     q_type, c_type = queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
     schema = T.StructType([
         T.StructField("query_id", q_type), T.StructField("chunk_id", c_type), T.StructField("score", T.DoubleType())])
-    by = {c: label if label and c == "allowed" else of for c, of in P.FILTERS.items()}
-    filters = [c for c, of in by.items() if c in queries.columns and of in chunks.columns]
+    by = {**P.FILTERS, "allowed": label}
+    filters = [c for c, of in by.items() if of and c in queries.columns and of in chunks.columns]
     scanned = chunks.select("chunk_id", "vector", *[by[c] for c in filters])
     found = None
     for part in _query_blocks(queries.select("query_id", "vector", *filters), block):

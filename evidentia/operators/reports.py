@@ -126,3 +126,34 @@ def affected_regions(reports: DataFrame, evidence: DataFrame, supplied: str) ->
 
 def keep_first_citation(rows: DataFrame) -> DataFrame:
     return first_per(rows, ["report_id", "citation_id"], [F.asc("rnk")])
+
+
+def nest(reports: DataFrame, sections: DataFrame, citations: DataFrame, rules: DataFrame, conflicts: DataFrame, key: str = "report_id") -> DataFrame:
+    """One row per report with all that belongs to it as ordered arrays of structs.
+
+    Each kind is summed up by report once and joined; a report has three sections, eight rules, and as many citations and
+    conflicts as its evidence has rows. What a report has none of is an empty array.
+    """
+
+    def listed(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
+        return rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+    parts = {
+        "sections": (sections, ["display_order", "section_type", "status", "owning_agent", "content", "empty_reason"]),
+        "citations": (citations, ["marker", "citation_id", "chunk_id", "record_type", "title", "page", "evidence_quality"]),
+        "rules": (rules, ["number", "name", "passed", "detail"]),
+        "conflicts": (conflicts, ["record_ids", "reliability_limitation", "positions"]),
+    }
+    out = reports
+    for name, (rows, columns) in parts.items():
+        out = out.join(listed(rows, name, columns), key, "left").withColumn(name, F.coalesce(F.col(name), F.array()))
+    return out
+
+
+def seed_preloaded(documents: DataFrame, row: dict) -> DataFrame:
+    """``documents`` with the preloaded document, unless one has its ID: seeding twice adds one row."""
+    spark = documents.sparkSession
+    fields = [f for f in documents.schema.fields if f.name in row]
+    given = spark.range(1).select(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
+    new = given.join(documents.select("id"), "id", "left_anti")
+    return documents.unionByName(new, allowMissingColumns=True)

@@ -207,6 +207,28 @@ def v14(t):
         "partial", "sufficient", F.array_join("regions", ",").alias("regions"), "sections", F.coalesce("rules_failed", F.lit(0)).alias("rules_failed"))
 
 
+@query("v14_nested_report", """
+    SELECT v.report_id, p.class AS priority, sufficient,
+      (SELECT string_agg(display_order || ':' || section_type || ':' || status || ':' || length(content), ';' ORDER BY display_order) FROM o_complete c WHERE c.report_id = v.report_id) AS sections,
+      coalesce((SELECT string_agg(marker || ':' || citation_id, ';' ORDER BY marker) FROM o_cited c WHERE c.report_id = v.report_id), '') AS citations,
+      coalesce((SELECT string_agg(number || ':' || passed || ':' || detail, ';' ORDER BY number) FROM o_merged m WHERE m.report_id = v.report_id), '') AS rules,
+      coalesce((SELECT record_ids || ' ' || len(string_split(record_ids, ',')) FROM o_conflicts k WHERE k.report_id = v.report_id), '') AS conflicts
+    FROM o_verdict v JOIN o_priority p USING (report_id)""")
+def v14_nested(t):
+    """The whole report in one nested row; its arrays are spelt out here to be compared."""
+    checked = durable(QG.gates(t))
+    head = verdict(t, checked).select("report_id", "sufficient").join(RP.map_priority(t("reports")).select("report_id", F.col("class").alias("priority")), "report_id")
+    rules = V.merge_rules(V.rule_rows(checked, QG.KEYS))
+    nested = RP.nest(head, completed(t), V.resolve_citations(t("answers"), t("evidence")), rules, V.conflicts(t("evidence")))
+    told = lambda name, *fields: F.array_join(F.transform(name, lambda x: F.concat_ws(":", *[f(x).cast("string") for f in fields])), ";")
+    field = lambda name: lambda x: x[name]
+    return nested.select(
+        "report_id", "priority", "sufficient",
+        told("sections", field("display_order"), field("section_type"), field("status"), lambda x: F.length(x["content"])).alias("sections"),
+        told("citations", field("marker"), field("citation_id")).alias("citations"), told("rules", field("number"), field("passed"), field("detail")).alias("rules"),
+        F.array_join(F.transform("conflicts", lambda c: F.concat(F.array_join(c["record_ids"], ","), F.lit(" "), F.size(c["positions"]).cast("string"))), ";").alias("conflicts"))
+
+
 @query("v16_plain_sufficiency", "SELECT report_id, sources > 0 AND filled > 0 AS sufficient FROM o_verdict")
 def v16(t):
     cited = V.resolve_citations(t("answers"), t("evidence")).groupBy("report_id").agg(F.count("*").alias("n"))
@@ -445,6 +467,14 @@ def s14(t):
     return RP.evolve_answers(old)
 
 
+_PRELOADED = {"id": "PRELOADED", "user_id": "U0", "file_name": "register.pdf", "content_type": "application/pdf", "size_bytes": 501366, "status": "indexed", "is_preloaded": True, "seq": 0}
+
+
+@query("s14_preloaded_row", "SELECT id, user_id, file_name, status, is_preloaded FROM documents_meta UNION ALL SELECT 'PRELOADED', 'U0', 'register.pdf', 'indexed', true")
+def s14_preloaded(t):
+    return RP.seed_preloaded(RP.seed_preloaded(t("documents_meta"), _PRELOADED), _PRELOADED).select("id", "user_id", "file_name", "status", "is_preloaded")
+
+
 @query("s14_domain_checks", """
     SELECT report_id, 'confidence' AS column, confidence AS value FROM reports WHERE confidence NOT IN ('high', 'moderate', 'low', 'insufficient')
     UNION ALL SELECT report_id, 'priority_class', priority_class FROM reports WHERE priority_class NOT IN ('W1', 'W2', 'W3', 'W4', 'informational')""")

@@ -88,4 +88,4 @@ def search_lexical(index: RetrievalIndex, queries: DataFrame, k: int, filtered:
 def search_dense(index: RetrievalIndex, queries: DataFrame, k: int, filtered: bool = False) -> DataFrame:
     """Best ``k`` chunks per question by cosine, from the stored vectors; only questions are embedded."""
     asked = dense.embed(queries.select("query_id", "question", *_filters(queries, filtered)), "question").drop("question")
-    return dense.nearest(index.vectors, asked, k)
+    return dense.nearest(index.vectors, asked, k, label="label")
