@@ -40,7 +40,7 @@ NO_LANGUAGE = "und"
 SLICE = 1 << 20
 SALTS = 64
 #: Documents, about, whose windows show how to cut the ranges, and windows for each range.
-SAMPLE, PER_PART, SEED = 2_000, 50, 12
+SAMPLE, PER_PART, DRAWN_BY, SEED = 2_000, 50, 4, 12
 #: Rows that a task hands on at a time.
 HANDED_ON = 1 << 15
 
@@ -134,10 +134,11 @@ def window_stream(docs: DataFrame, longest: int = LONGEST, pivots: list[tuple[st
 def pivots_of(docs: DataFrame, longest: int, parts: int) -> list[tuple[str, str]]:
     """Windows that cut all windows into about equal parts, from those of ``SAMPLE`` documents or so.
 
-    They place rows and decide no result; ``PER_PART`` windows a part reach the driver.
+    They place rows and decide no result; ``PER_PART`` windows a part reach the driver from each of ``DRAWN_BY`` tasks.
     """
     share = min(1.0, SAMPLE / max(1, docs.count()))
-    seen = window_stream(docs.sample(share, SEED), longest).select("lang", "window")
+    drawn_from = docs.select("lang", "text").sample(share, SEED).repartition(DRAWN_BY)
+    seen = window_stream(drawn_from, longest).select("lang", "window")
     drawn = sorted((r.lang.encode(), r.window.encode()) for r in seen.orderBy(F.xxhash64("lang", "window")).limit(PER_PART * parts).collect())
     return [(lang.decode(), window.decode()) for lang, window in dict.fromkeys(drawn[len(drawn) * i // parts] for i in range(1, parts) if drawn)]
 
