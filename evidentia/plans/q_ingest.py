@@ -11,6 +11,7 @@ from evidentia.operators.dense import embed
 from evidentia.plans import sqltext as S
 from evidentia.plans.q_chunking import _REGION, _STRIP
 from evidentia.plans.registry import query, shared
+from evidentia.sources import documents as D
 from evidentia.sources import index as IX
 from evidentia.streaming import ingest as IN
 
@@ -152,3 +153,15 @@ def x1_chunks(t):
     stream = spark.readStream.schema("doc_id string, doc_name string, payload string").parquet(arrived)
     IN.run_available(stream, work_folder(spark, "ingest-checkpoint"), index, status, lambda batch: C.chunk_documents(batch, _AWARE))
     return _routed(IX.read_index(spark, index))
+
+
+# ---- whole files --------------------------------------------------------------
+@query("s1_whole_documents", "SELECT n_nationkey, 'Register of ' || n_name || chr(10) || 'Nation ' || n_nationkey || chr(10) AS text FROM nation")
+def s1(t):
+    """One text file per nation, read back one row per file."""
+    nations = t("nation")
+    path = work_folder(nations.sparkSession, "files")
+    text = F.concat(F.lit("Register of "), "n_name", F.lit("\nNation "), "n_nationkey")
+    nations.select("n_nationkey", text.alias("value")).write.partitionBy("n_nationkey").text(path)
+    docs = D.read_documents(nations.sparkSession, f"{path}/*/*.txt")
+    return docs.select(F.regexp_extract("doc_id", r"n_nationkey=(\d+)", 1).cast("bigint").alias("n_nationkey"), "text")
