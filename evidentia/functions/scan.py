@@ -61,12 +61,15 @@ def number_rows(df: DataFrame, key: str, order: str, out: str = "n", blocks: int
 
 
 def previous_value(df: DataFrame, key: str, order: str, column: str, out: str, blocks: int | None = None) -> DataFrame:
-    """Value of ``column`` in the row before, per key, block by block (see ``row_blocks``)."""
+    """Value of ``column`` in the row before, per key, block by block (see ``row_blocks``).
+
+    Rows that share a place stand in the order of ``column``, so the result does not depend on how rows are read.
+    """
     block = "__block"
     blocked = df.withColumn(block, row_blocks(df, order, blocks))
-    inside = Window.partitionBy(key, block).orderBy(order)
+    inside = Window.partitionBy(key, block).orderBy(order, column)
     local = blocked.withColumn("__lag", F.lag(column).over(inside)).withColumn("__n", F.row_number().over(inside))
-    ends = blocked.groupBy(key, block).agg(F.max_by(F.col(column), order).alias("__end"))
+    ends = blocked.groupBy(key, block).agg(F.max_by(F.col(column), F.struct(order, column)).alias("__end"))
     before = F.lag("__end").over(Window.partitionBy(key).orderBy(block))
     heads = ends.select(key, block, before.alias("__carry"))
     joined = local.join(heads, [key, block])

@@ -57,3 +57,10 @@ assert catalog.QUERIES["r3_exact_dense"](spark, "{DATA}/sf0.001").count() > 0
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=180, capture_output=True)
+
+
+def test_frames_that_share_a_place_do_not_depend_on_how_they_are_read(spark):
+    rows = [(1, 1, "2024-01-01 08:00:00"), *[(1, 2, f"2024-01-01 09:{m:02d}:00") for m in range(20)], (1, 3, "2024-01-01 09:05:00")]
+    for given in (rows, rows[::-1]):
+        frames = spark.createDataFrame(given, "run_id long, sequence_number long, created_at string").coalesce(1)
+        assert [(r.sequence_number, r.created_at[11:16]) for r in TR.out_of_order(frames).collect()] == [(3, "09:05")]
