@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions.bounds import top_n
+from evidentia.functions.bounds import is_small, top_n
 
 INDEX_SCHEMA = (
     "chunk_id STRING, doc_id STRING, doc_name STRING, ordinal BIGINT, content STRING, tokens INT, record_id STRING, record_type STRING, "
@@ -80,10 +80,17 @@ def retract(path: str, doc_ids: DataFrame, version: int) -> None:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of each document's newest version."""
-    rows = spark.read.schema(STORED_SCHEMA).parquet(path)
-    newest = rows.groupBy("doc_id").agg(F.max("version").alias("version"))
-    return rows.join(newest, ["doc_id", "version"]).where(~F.coalesce("deleted", F.lit(False))).drop("version", "deleted")
+    """The rows of each document's newest version.
+
+    Only documents with several versions need a join. While these are few they are broadcast, so that texts and vectors
+    are read where they lie and not shuffled.
+    """
+    rows = spark.read.schema(STORED_SCHEMA).parquet(path).where(F.col("doc_id").isNotNull())
+    spans = rows.groupBy("doc_id").agg(F.max("version").alias("__newest"), F.min("version").alias("__oldest"))
+    replaced = spans.where(F.col("__oldest") < F.col("__newest")).select("doc_id", "__newest")
+    hinted = F.broadcast(replaced) if is_small(replaced) else replaced
+    current = rows.join(hinted, "doc_id", "left").where(F.col("__newest").isNull() | (F.col("version") == F.col("__newest")))
+    return current.where(~F.coalesce("deleted", F.lit(False))).drop("version", "deleted", "__newest")
 
 
 def compact(spark: SparkSession, path: str, target: str, version: int) -> None:

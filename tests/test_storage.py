@@ -93,3 +93,19 @@ def test_stream_sessions_equal_batch(spark, tmp_path):
     assert closed and closed <= whole
     # Only the sessions that the watermark has not yet passed are still open.
     assert len(whole - closed) <= 2 * 3
+
+
+def test_reading_the_index_does_not_shuffle_its_vectors(spark, tmp_path):
+    path = str(tmp_path / "index")
+    IX.create_index(spark, path)
+    rows = spark.createDataFrame([("a#0", "a", "one"), ("a#1", "a", "two"), ("b#0", "b", "three")], "chunk_id string, doc_id string, content string")
+    IX.publish(path, rows, 0)
+    IX.publish(path, rows.where("chunk_id = 'a#1'"), 1)
+    IX.retract(path, rows.where("doc_id = 'b'"), 2)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        read = IX.read_index(spark, path)
+        assert "SortMergeJoin" not in read._jdf.queryExecution().executedPlan().toString()
+        assert [r.chunk_id for r in read.collect()] == ["a#1"]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
