@@ -17,6 +17,7 @@ from evidentia.llm.common import stage, table
 from evidentia.llm.decontaminate import drop_contaminated
 from evidentia.llm.pieces import encode_documents
 from evidentia.llm.quality import keep_good
+from evidentia.llm.simhash import one_row_of_each
 from evidentia.llm.similar import one_of_similar
 from evidentia.llm.suffixes import cut_repeats
 
@@ -27,8 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 of five-word shingles in common), the one with the smallest ID."""
-    return one_of_similar(docs)
+    """One document of each group of near-duplicates, the one with the smallest ID.
+
+    First SimHash, as in op10: fingerprints within its radius link documents. Among those left, the ones that have 0.8 of
+    their five-word shingles in common, most of which lie beyond that radius.
+    """
+    return one_of_similar(stage(one_row_of_each(docs), "simhash"))
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

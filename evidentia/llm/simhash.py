@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import map_batches, stage, table
+from evidentia.llm.common import fresh, map_batches, stage, table
 from evidentia.llm.components import connected
 
 RADIUS = 2
@@ -168,6 +168,18 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return named.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 
 
+def one_row_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each component, the one with the smallest ``doc_id`` (and, where rows share it, the smallest hash of the
+    text). Rows that share a ``doc_id`` but not their text are judged by themselves; rows without one stay, as nothing names them.
+    """
+    key = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("node")))
+    found = near_duplicates(docs.select(key.alias("doc_id"), "text"), radius)
+    [node] = fresh(docs, "__node")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id.doc_id", F.col("doc_id.node").alias(node)).distinct()
+    named = docs.where(F.col("doc_id").isNotNull()).withColumn(node, F.xxhash64("text")).join(kept, ["doc_id", node], "left_semi")
+    return named.dropDuplicates(["doc_id", node]).select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

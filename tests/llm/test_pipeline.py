@@ -54,6 +54,21 @@ def test_stages_do_their_work_and_keep_clean_documents(spark, tmp_path):
     assert {(r.doc_id, r.ids_sha256) for r in run} == {(r.doc_id, r.ids_sha256) for r in kept["sentencepiece"]}
 
 
+def test_near_duplicates_by_fingerprint_and_by_shingles(spark, tmp_path):
+    rng = random.Random(8)
+    base = " ".join(rng.choices(WORDS, k=41) * 12)
+    longer = f"{base} {prose(rng, 24)}"
+    bits = (plain_fingerprint(base) ^ plain_fingerprint(longer)).bit_count()
+    grams = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (base.split(), longer.split())]
+    assert bits <= 2 and len(grams[0] & grams[1]) < 0.8 * len(grams[0] | grams[1])
+    words = prose(rng, 200).split()
+    edited = " ".join([*words[:100], "unheard", *words[101:]])
+    assert (plain_fingerprint(" ".join(words)) ^ plain_fingerprint(edited)).bit_count() > 2
+    rows = [(1, base), (2, longer), (3, " ".join(words)), (4, edited), (5, prose(rng, 90)), (5, prose(rng, 90)), (None, base)]
+    kept = corpus_pipeline.simhash_near_dedup(spark, documents(spark, rows, CLASHING), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted((i or 0, t) for i, t in rows if i not in (2, 4))
+
+
 def test_pipeline_of_empty_tables(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
