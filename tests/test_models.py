@@ -167,3 +167,25 @@ def test_widening_searches_only_the_starved(spark):
     wide = spark.createDataFrame([(1, "z", "R-9"), (2, "x", "R-3"), (2, "y", "R-4")], "query_id int, chunk_id string, record_id string")
     out = widen_starved(hits, lambda plenty: wide.join(plenty, "query_id", "left_anti"))
     assert {(r.query_id, r.chunk_id, r.widened) for r in out.collect()} == {(1, "a", False), (1, "b", False), (2, "x", True), (2, "y", True)}
+
+
+def test_embedding_holds_a_bounded_part_of_a_batch():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from evidentia.functions import vectors
+
+    embed, dim = vectors.word_vector().func, 384
+    texts = [[f"word{(i * 7 + j) % 997}" for j in range(i % 60)] for i in range(8000)]
+    texts[5:5] = [["long"] * 131_082, [], None]
+    batch = pa.array(texts, pa.list_(pa.string()))
+    tracemalloc.start()
+    out = embed(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.7 * len(batch) * dim * 8 and len(out) == len(batch)
+    for i in (0, 5, 6, 7, 8, 1023, 1024, 8002):
+        assert np.array_equal(np.array(out[i].as_py()), np.array(embed(batch.slice(i, 1))[0].as_py()))
+    assert len(embed(batch.slice(0, 0))) == 0
