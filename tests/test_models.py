@@ -189,3 +189,27 @@ def test_embedding_holds_a_bounded_part_of_a_batch():
     for i in (0, 5, 6, 7, 8, 1023, 1024, 8002):
         assert np.array_equal(np.array(out[i].as_py()), np.array(embed(batch.slice(i, 1))[0].as_py()))
     assert len(embed(batch.slice(0, 0))) == 0
+
+
+def test_words_and_terms_of_arrow_batches(spark):
+    import pyarrow as pa
+
+    from evidentia.functions import vectors, words
+    from evidentia.operators import lexical
+
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice("abcings-S0129 \n.KİéΣss-İK中") for _ in range(rnd.randint(0, 80))) for _ in range(500)]
+    texts += [None, "", "   ", "inc-12 FN-001 abc-1234 the-and running runs class -a- --", "a" * 900, "reports running " * 50, "ends", "ends"]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id int, text string").repartition(3)
+    want = {}
+    for r in df.select("chunk_id", X.tokens(F.col("text")).alias("k")).where("k IS NOT NULL").collect():
+        for term in [*r.k, ""]:
+            n, _ = want.get((r.chunk_id, term), (0, 0))
+            want[r.chunk_id, term] = (n + 1, len(r.k))
+    assert {(r.chunk_id, r.term): (r.tf, r.len) for r in lexical.postings(df).collect()} == want
+    by_list = vectors.word_vector()(F.filter(X.cleaned_words(F.col("text")), lambda w: F.length(w) > 1))
+    assert df.where(by_list != vectors.hashed_vector(F.col("text"))).count() == 0
+    # A task holds a bounded part at a time, whatever the size of the batch.
+    parts = [(high - low, len(data)) for low, high, data, *_ in words.spans(pa.array(["word " * 60_000] * 40 + ["a"] * 3000))]
+    assert sum(n for n, _ in parts) == 3040 and all(n <= words.PART_ROWS and size <= words.PART_BYTES for n, size in parts)
+    assert not list(words.spans(pa.array([], pa.string()))) and vectors.text_vector().func(pa.array([], pa.string())).type == pa.list_(pa.float64())

@@ -57,3 +57,38 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 def test_only_bounded_groups_go_to_python(spark):
     assert "FlatMapGroupsInPandas" not in plan_of(catalog.QUERIES["r5_hybrid_search"](spark, SF))
+
+
+def test_an_arm_is_built_when_it_is_searched(spark, monkeypatch):
+    from evidentia.plans import q_retrieval as Q
+    from evidentia.plans.inputs import load
+
+    monkeypatch.setattr(Q, "_INDEXES", {})
+    t = lambda name: load(spark, SF, name)
+    catalog.QUERIES["r3_dense_text"](spark, SF)
+    [built] = Q._INDEXES.values()
+    assert built.postings is None and built.vectors is not None
+    both = Q.stored(t)
+    assert both.vectors is built.vectors and both.postings is not None
+
+
+def test_terms_are_counted_inside_a_row_before_the_shuffle(spark):
+    from evidentia.operators import lexical
+
+    df = spark.createDataFrame([(1, "reports of the reefs"), (2, None)], "chunk_id int, text string")
+    plan = plan_of(lexical.postings(df))
+    assert plan.index("Generate") < plan.index("Exchange") < plan.index("MapInArrow") and "Aggregate" not in plan
+
+
+def test_candidates_go_to_the_vectors(spark):
+    from evidentia.operators import retrieve
+
+    pool = spark.createDataFrame([(1, 7), (1, 9), (2, 7)], "query_id int, chunk_id int")
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(20)], "chunk_id int, vector array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = retrieve.with_vectors(pool, vectors)
+        assert "SortMergeJoin" not in plan_of(joined)
+        assert sorted((r.query_id, r.chunk_id, r.vector[0]) for r in joined.collect()) == [(1, 7, 7.0), (1, 9, 9.0), (2, 7, 7.0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
