@@ -28,6 +28,8 @@ from evidentia.sources.retrieval import RetrievalIndex
 
 #: Segments of a size class that are merged into one of the next class, and the size that spans one class.
 FANOUT = 8
+#: Killed documents (two short strings each) that are broadcast; more of them meet the rows in a shuffle.
+KILLS = 1_000_000
 
 
 class VersionConflict(Exception):
@@ -105,7 +107,7 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
 
 # ---- tables of a snapshot ---------------------------------------------------
 _SCHEMAS = {
-    "postings": "chunk_id {key}, doc_id string, term string, tf bigint, len int, label string, segment string",
+    "postings": "chunk_id {key}, doc_id string, len int, terms array<string>, tfs array<bigint>, label string, segment string",
     "vectors": "chunk_id {key}, doc_id string, vector array<double>, label string, segment string",
     "counts": "term string, df bigint, total_len bigint, target string",
     "kills": "doc_id string, target string",
@@ -124,10 +126,11 @@ def _table(spark: SparkSession, path: str, seen: Snapshot, name: str, ids: list[
 
 def _alive(spark: SparkSession, path: str, seen: Snapshot, rows: DataFrame) -> DataFrame:
     """Rows (with ``doc_id`` and ``segment``) whose document was not replaced or removed since."""
-    if not any(s["kills"] for s in seen.segments):
+    killed = sum(s["kills"] for s in seen.segments)
+    if not killed:
         return rows
-    dead = _table(spark, path, seen, "kills").withColumnRenamed("target", "segment").distinct()
-    return rows.join(dead, ["doc_id", "segment"], "left_anti")
+    dead = _table(spark, path, seen, "kills").withColumnRenamed("target", "segment")
+    return rows.join(F.broadcast(dead) if killed <= KILLS else dead, ["doc_id", "segment"], "left_anti")
 
 
 def live_documents(spark: SparkSession, path: str, seen: Snapshot) -> DataFrame:
@@ -143,30 +146,33 @@ def load(spark: SparkSession, path: str, seen: Snapshot | None = None) -> Retrie
     counts = _table(spark, path, seen, "counts").join(F.broadcast(current), "target", "left_semi").groupBy("term").agg(
         F.sum("df").alias("df"), F.sum("total_len").alias("total_len")).where("df > 0")
     postings, vectors = (_alive(spark, path, seen, _table(spark, path, seen, name)) for name in ("postings", "vectors"))
-    return RetrievalIndex(postings.drop("doc_id", "segment"), counts, vectors.drop("doc_id", "segment"))
+    return RetrievalIndex(lexical.unfolded(postings.drop("doc_id", "segment")), counts, vectors.drop("doc_id", "segment"))
 
 
 # ---- writers ----------------------------------------------------------------
-def _checked(chunks: DataFrame) -> DataFrame:
-    """Fail on a key that is blank or that two rows bear."""
+def _check_keys(chunks: DataFrame) -> None:
+    """Fail on a key that is blank or that two rows bear. Only keys are read."""
     key = F.coalesce(F.col("chunk_id").cast("string"), F.lit(""))
     blank = F.assert_true(F.trim(key) != "", F.lit("incoming chunk without a chunk_id"))
-    repeated = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"))
     once = F.assert_true(F.col("n") == 1, F.concat(F.lit("chunk_id occurs twice: "), key))
-    return chunks.join(repeated, "chunk_id").where(blank.isNull() & once.isNull()).drop("n")
+    chunks.groupBy("chunk_id").agg(F.count("*").alias("n")).agg(F.count(F.when(blank.isNull() & once.isNull(), 1))).collect()
+
+
+def _written(rows: DataFrame, path: str, name: str) -> DataFrame:
+    """The rows as they lie in a table of a segment."""
+    rows.write.parquet(f"{path}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
 
 
 def _write_segment(path: str, segment: str, postings: DataFrame, vectors: DataFrame, documents: DataFrame, kills: DataFrame, taken: DataFrame | None) -> dict:
-    """Write the tables of a segment; returns its line of the manifest."""
-    spark, folder = postings.sparkSession, f"{path}/segments/{segment}"
-    postings.withColumn("segment", F.lit(segment)).sortWithinPartitions("term").write.parquet(f"{folder}/postings")
-    stored = spark.read.schema(postings.withColumn("segment", F.lit(segment)).schema).parquet(f"{folder}/postings")
-    own = lexical.term_counts(stored).withColumn("target", F.lit(segment))
-    (own if taken is None else own.unionByName(taken)).write.parquet(f"{folder}/counts")
-    vectors.withColumn("segment", F.lit(segment)).write.parquet(f"{folder}/vectors")
-    documents.withColumn("segment", F.lit(segment)).write.parquet(f"{folder}/documents")
-    kills.write.parquet(f"{folder}/kills")
-    chunks = spark.read.schema(_SCHEMAS["counts"]).parquet(f"{folder}/counts").where((F.col("term") == "") & (F.col("target") == segment)).agg(F.sum("df")).first()[0]
+    """Write the tables of a segment but its kills, which the caller has written; returns its line of the manifest."""
+    folder, own = f"{path}/segments/{segment}", F.lit(segment)
+    stored = _written(postings.withColumn("segment", own), folder, "postings")
+    counts = lexical.term_counts(lexical.unfolded(stored.select("len", "terms", "tfs"))).withColumn("target", own)
+    counts = _written(counts if taken is None else counts.unionByName(taken), folder, "counts")
+    _written(vectors.withColumn("segment", own), folder, "vectors")
+    documents = _written(documents.withColumn("segment", own), folder, "documents")
+    chunks = counts.where((F.col("term") == "") & (F.col("target") == segment)).agg(F.sum("df")).first()[0]
     return {"id": segment, "chunks": chunks or 0, "kills": kills.count(), "documents": documents.count()}
 
 
@@ -188,19 +194,22 @@ def publish(path: str, chunks: DataFrame, documents: DataFrame | None = None, la
         (F.col(label) if label else F.lit(None).cast("string")).alias("label"))
     named = given.select("doc_id") if documents is None else given.select("doc_id").unionByName(documents.select(F.col("doc_id").cast("string")))
     named = named.distinct()
+    _check_keys(given)
     kills = live_documents(spark, path, base).join(named, "doc_id", "left_semi").select("doc_id", F.col("segment").alias("target"))
     kills = spark.createDataFrame([], _SCHEMAS["kills"]) if not base.segments else kills
+    kills = _written(kills, f"{path}/segments/{segment}", "kills")
     taken = None
     if base.segments:
-        hit = F.broadcast(kills) if is_small(kills) else kills
+        # A row per chunk meets the kills; only the terms of chunks that go are unfolded.
+        hit = F.broadcast(kills) if is_small(kills, KILLS) else kills
         gone = _table(spark, path, base, "postings").join(hit.withColumnRenamed("target", "segment"), ["doc_id", "segment"], "left_semi")
-        taken = gone.groupBy("term", F.col("segment").alias("target")).agg((-F.count("len")).alias("df"), (-F.sum("len")).alias("total_len"))
+        gone = lexical.unfolded(gone.select("segment", "len", "terms", "tfs"))
+        taken = gone.groupBy("term", F.col("segment").alias("target")).agg((-F.count("tf")).alias("df"), (-F.sum("len")).alias("total_len"))
         taken = taken.select("term", "df", "total_len", "target")
-    rows = _checked(given)
-    owners = rows.groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    owners = given.groupBy("doc_id").agg(F.count("*").alias("chunks"))
     written = _write_segment(
-        path, segment, lexical.postings(rows, label="label", carry=["doc_id"]).select("chunk_id", "doc_id", "term", "tf", "len", "label"),
-        dense.embed(rows).select("chunk_id", "doc_id", "vector", "label"), owners, kills, taken)
+        path, segment, lexical.counted(given, {"doc_id": "doc_id", "label": "label"}).select("chunk_id", "doc_id", "len", "terms", "tfs", "label"),
+        dense.embed(given).select("chunk_id", "doc_id", "vector", "label"), owners, kills, taken)
     applied = base.applied if batch is None else {**base.applied, writer: batch}
     return commit(spark, path, Snapshot(base.version + 1, (*base.segments, written), applied, base.key_type))
 
@@ -241,6 +250,7 @@ def merge(spark: SparkSession, path: str, ids: list[str] | None = None, base: Sn
     target = spark.createDataFrame([(i,) for i in others], "target string")
     kills = _table(spark, path, base, "kills", ids).join(F.broadcast(target), "target", "left_semi")
     taken = _table(spark, path, base, "counts", ids).join(F.broadcast(target), "target", "left_semi")
-    written = _write_segment(path, segment, live["postings"].repartition("chunk_id"), live["vectors"], live["documents"], kills, taken)
+    kills = _written(kills, f"{path}/segments/{segment}", "kills")
+    written = _write_segment(path, segment, live["postings"], live["vectors"], live["documents"], kills, taken)
     kept = [s for s in base.segments if s["id"] in others]
     return commit(spark, path, Snapshot(base.version + 1, (*kept, written), base.applied, base.key_type))

@@ -115,3 +115,21 @@ def test_replays_keys_and_policy(spark, tmp_path, monkeypatch):
     assert len(S.merge(spark, path).segments) == 1
     with pytest.raises(FileNotFoundError):
         S.snapshot(spark, path, 99)
+
+
+def test_kills_go_to_the_rows_of_chunks(spark, tmp_path):
+    path = str(tmp_path / "live")
+    S.create(spark, path)
+    S.publish(path, rows(spark, {"a": TEXTS["a"], "b": TEXTS["b"]}))
+    S.publish(path, rows(spark, {"a": TEXTS["c"]}))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        index = S.load(spark, path)
+        for table in (index.postings, index.vectors):
+            assert "SortMergeJoin" not in table._jdf.queryExecution().executedPlan().toString()
+        # Dead chunks go before the terms of a chunk are unfolded.
+        plan = index.postings._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("Generate") < plan.index("LeftAnti")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    check(spark, path, {"a": TEXTS["c"], "b": TEXTS["b"]}, tmp_path)
