@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia import params as P
@@ -130,20 +130,21 @@ def outline(lines: DataFrame, end_level: int = 3) -> DataFrame:
     return carry_forward(marked, "doc_id", "line_no", ["segment", "record_id", "title", "piece", "chapter", "page"])
 
 
+#: The place of text before the first heading.
+NO_HEADING = -(1 << 40)
 _JOIN_LINES = "listagg(text, '\n') within group (order by line_no)"
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
-
-
 def record_chunks(lines: DataFrame, end_level: int = 3) -> DataFrame:
     """One labelled chunk per record, a provenance header before its text."""
     rows = outline(lines, end_level).where(F.col("record_id") != "")
-    segments = rows.groupBy("doc_id", "segment").agg(
+    return _labelled_records(rows.groupBy("doc_id", "segment").agg(
         F.first("record_id").alias("record_id"), F.first("title").alias("title"), F.first("chapter").alias("chapter"),
-        F.min_by("page", "line_no").alias("page"), F.expr(_JOIN_LINES).alias("body"))
-    segments = segments.withColumn("body", _strip(F.col("body"))).withColumn("record_type", L.record_type(F.col("record_id")))
+        F.min_by("page", "line_no").alias("page"), F.expr(_JOIN_LINES).alias("body")))
+
+
+def _labelled_records(segments: DataFrame) -> DataFrame:
+    segments = segments.withColumn("body", X.trim_edges(F.col("body"))).withColumn("record_type", L.record_type(F.col("record_id")))
     header = F.concat(
         F.trim(F.concat(F.lit("["), "record_id", F.lit("] "), "title")),
         F.when(F.col("chapter").isNotNull(), F.concat(F.lit(" · Chapter "), "chapter")).otherwise(F.lit("")))
@@ -197,10 +198,13 @@ def field_note_chunks(texts: DataFrame, keys: list[str], text: str = "text", min
 def narrative_pieces(lines: DataFrame, end_level: int = 3, min_chars: int = P.NARRATIVE_PIECE) -> DataFrame:
     """Text outside of records, one piece per heading; short pieces are dropped."""
     rows = outline(lines, end_level).where(F.coalesce("record_id", F.lit("")) == "")
-    rows = rows.withColumn("piece", F.coalesce(F.greatest("piece", "segment"), F.lit(-(1 << 40))))
-    pieces = rows.groupBy("doc_id", "piece").agg(
-        F.first("chapter").alias("chapter"), F.min_by("page", "line_no").alias("page"), F.expr(_JOIN_LINES).alias("content"))
-    pieces = pieces.withColumn("content", _strip(F.col("content"))).where(F.length("content") >= min_chars)
+    rows = rows.withColumn("piece", F.coalesce(F.greatest("piece", "segment"), F.lit(NO_HEADING)))
+    return _titled_pieces(rows.groupBy("doc_id", "piece").agg(
+        F.first("chapter").alias("chapter"), F.min_by("page", "line_no").alias("page"), F.expr(_JOIN_LINES).alias("content")), min_chars)
+
+
+def _titled_pieces(pieces: DataFrame, min_chars: int) -> DataFrame:
+    pieces = pieces.withColumn("content", X.trim_edges(F.col("content"))).where(F.length("content") >= min_chars)
     heading = F.trim(F.regexp_replace(F.element_at(F.split("content", "\n"), 1), "^[# ]+", ""))
     return pieces.select("doc_id", "piece", "chapter", "page", heading.alias("title"), "content")
 
@@ -220,7 +224,10 @@ def narrative_chunks(pieces: DataFrame, limit: int = P.WINDOW_CHARS, overlap: in
 
 def unique_keys(chunks: DataFrame, key: str = "chunk_id", order: str = "ordinal") -> DataFrame:
     """The nth repeat of a key gets ``-n``."""
-    numbered = number_rows(chunks, key, order, "__nth")
+    return _number_repeats(number_rows(chunks, key, order, "__nth"), key)
+
+
+def _number_repeats(numbered: DataFrame, key: str) -> DataFrame:
     suffix = F.when(F.col("__nth") > 1, F.concat(F.lit("-"), (F.col("__nth") - 1).cast("string"))).otherwise(F.lit(""))
     return numbered.withColumn(key, F.concat(key, suffix)).drop("__nth")
 
@@ -231,7 +238,7 @@ def heading_pieces(lines: DataFrame, heading: str = "^#") -> DataFrame:
     placed = place_blocks(lines, "doc_id", "line_no").withColumn("piece", F.when(F.col("text").rlike(heading), F.col("line_no")))
     rows = carry_forward(placed, "doc_id", "line_no", ["piece"])
     page = [F.min_by("page", "line_no").alias("page")] if "page" in lines.columns else []
-    return rows.groupBy("doc_id", F.coalesce("piece", F.lit(-(1 << 40))).alias("piece")).agg(F.expr(_JOIN_LINES).alias("content"), *page)
+    return rows.groupBy("doc_id", F.coalesce("piece", F.lit(NO_HEADING)).alias("piece")).agg(F.expr(_JOIN_LINES).alias("content"), *page)
 
 
 #: Columns of a chunk before it is embedded.
@@ -247,33 +254,112 @@ def corpus_chunks(lines: DataFrame) -> DataFrame:
     numbered in the order of tiers and lines. Notes are cut out of all text, that of records included, as they are
     evidence by themselves.
     """
-    notes = field_note_chunks(heading_pieces(lines), ["doc_id", "piece"], "content").select(
+    tiers = _tiers(record_chunks(lines), table_row_chunks(lines), heading_pieces(lines), narrative_pieces(lines))
+    return unique_keys(tiers, "chunk_id", "__order").drop("__order")
+
+
+def _tiers(records: DataFrame, table_rows: DataFrame, noted: DataFrame, narratives: DataFrame) -> DataFrame:
+    """The tiers under keys that hold the document's ID, ``__order`` being their order."""
+    notes = field_note_chunks(noted, ["doc_id", "piece"], "content").select(
         F.concat(F.lit("note-"), F.lower("record_id")).alias("chunk_id"), "*", (F.col("piece") + F.col("note_no")).alias("ordinal"))
-    narrative = narrative_chunks(narrative_pieces(lines))
-    tiers = [record_chunks(lines), table_row_chunks(lines), notes, narrative]
     out = None
-    for n, tier in enumerate(tiers):
+    for n, tier in enumerate([records, table_rows, notes, narrative_chunks(narratives)]):
         missing = [F.lit(None).cast("int" if c == "page" else "string").alias(c) for c in CHUNK_COLUMNS if c not in tier.columns]
         rows = tier.select("*", *missing).select(*CHUNK_COLUMNS, (F.lit(n).cast("bigint") * (1 << 44) + F.col("ordinal")).alias("__order"))
         out = rows if out is None else out.unionByName(rows)
-    keyed = out.withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_id"))
-    return unique_keys(keyed, "chunk_id", "__order").drop("__order")
+    return out.withColumn("chunk_id", F.concat_ws("-", "doc_id", "chunk_id"))
+
+
+def _cut_before(*headings: str) -> str:
+    """A pattern that cuts a text of many lines before each line that fits one of the headings."""
+    shapes = [h.removeprefix("^").replace(r"\s", r"[^\S\n]") for h in headings]
+    return "\n(?=" + "|".join(h[:-1] + r"[\r\u0085\u2028\u2029]?(?:\n|\z)" if h.endswith("$") else h for h in shapes) + ")"
+
+
+#: A page marker as one line of a longer text.
+_MARKER = P.PAGE_MARKER[1:-1] + r"[\r\u0085\u2028\u2029]?"
+
+
+def document_parts(docs: DataFrame, threshold: int = P.RECORD_AWARE_IDS) -> DataFrame:
+    """Whole documents ``(doc_id, doc_name, text)`` cut before their headings, as ``outline`` and ``upload_chunks`` cut lines.
+
+    ``aware`` tells whether the document holds ``threshold`` distinct record IDs. Each part has the number of its first
+    line, ``piece`` (the same, or ``NO_HEADING`` for what stands before the first heading), record, chapter and page. A
+    document arrives in one row, so the order of its parts is settled where it lies, in one pass.
+    """
+    lines = F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n")
+    plain = F.array_join(F.transform(lines, lambda line: F.trim(line)), "\n")
+    whole = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").repartition("doc_id").select("doc_id", "doc_name", plain.alias("text"))
+    # The look-ahead spares most characters the pattern; every ID starts with a capital.
+    ids = F.array_distinct(X.find_all(F.col("text"), f"(?=[A-Z])({P.RECORD_ID_ANY})", 1))
+    aware = F.col("aware")
+    cut = F.when(aware, F.split("text", _cut_before(P.MD_RECORD_HEADING, P.MD_HEADING))).otherwise(F.split("text", _cut_before(P.UPLOAD_HEADING)))
+    parts = unroll(whole.withColumn("aware", F.size(ids) >= threshold), ["doc_id", "doc_name", "aware"], cut, "text", "part")
+    text, head = F.col("text"), F.col("head")
+    record = head.rlike(P.MD_RECORD_HEADING)
+    leading = F.when(aware, X.group(text, rf"\A{_MARKER}(?:\n|\z)", 1)).otherwise(X.group(text, rf"\A(?:{_MARKER}(?:\n|\z))+", 1))
+    paged = text.contains("[[PAGE ")
+    marked = parts.withColumn("head", F.substring_index("text", "\n", 1)).select(
+        "doc_id", "doc_name", "aware", "part", "text", (record | head.rlike(P.MD_HEADING) | (~aware & head.rlike(P.UPLOAD_HEADING))).alias("headed"),
+        F.when(record, F.regexp_extract(head, P.MD_RECORD_HEADING, 1)).otherwise(F.lit("")).alias("record_id"),
+        F.when(record, F.trim(F.regexp_extract(head, P.MD_RECORD_HEADING, 2))).otherwise(F.lit("")).alias("title"),
+        F.when(head.rlike(P.MD_CHAPTER), F.concat(
+            F.regexp_extract(head, P.MD_CHAPTER, 1), F.lit(" · "), F.trim(F.regexp_extract(head, P.MD_CHAPTER, 2)))).alias("chapter"),
+        (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"),
+        F.when(paged & (F.col("part") == 0), leading).try_cast("bigint").alias("page"),
+        F.when(paged, F.element_at(X.find_all(text, rf"(?:\A|\n){_MARKER}(?=\n|\z)"), -1)).try_cast("bigint").alias("last_page"))
+    upto = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("doc_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = marked.select(
+        "doc_id", "doc_name", "aware", "text", "headed", "record_id", "title", F.last("chapter", ignorenulls=True).over(upto).alias("chapter"),
+        F.coalesce("page", F.last("last_page", ignorenulls=True).over(before)).alias("page"),
+        F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("line_no"))
+    return placed.withColumn("piece", F.when(F.col("headed"), F.col("line_no")).otherwise(F.lit(NO_HEADING))).drop("headed")
+
+
+def _lines_that_start(parts: DataFrame, mark: str) -> DataFrame:
+    """The lines of parts that start with ``mark``, and their numbers."""
+    some = parts.where(F.col("text").startswith(mark) | F.col("text").contains("\n" + mark))
+    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct(i.alias("at"), line.alias("text")))
+    rows = unroll(some, ["doc_id", "line_no"], F.filter(numbered, lambda line: line["text"].startswith(mark)), "line")
+    return rows.select("doc_id", (F.col("line_no") + F.col("line.at")).alias("line_no"), F.col("line.text").alias("text"))
+
+
+def _noted_pieces(parts: DataFrame) -> DataFrame:
+    """What ``heading_pieces`` cuts, of the parts that hold a note."""
+    noted = parts.where(F.col("text").rlike(P.FIELD_NOTE_LABEL)).select("doc_id", "line_no", F.split("text", "\n").alias("lines"))
+    at = F.filter(F.transform("lines", lambda line, i: F.when((i == 0) | line.startswith("#"), i)), lambda i: i.isNotNull())
+    starts = noted.withColumn("starts", at)
+    end = lambda n: F.coalesce(F.get("starts", n + 1), F.size("lines"))
+    cut = F.transform("starts", lambda i, n: F.struct(i.alias("at"), F.array_join(F.slice("lines", i + 1, end(n) - i), "\n").alias("content")))
+    rows = unroll(starts, ["doc_id", "line_no"], cut, "cut").select("doc_id", F.col("line_no") + F.col("cut.at"), "cut.content").toDF("doc_id", "line_no", "content")
+    return rows.select("doc_id", F.when(F.col("content").startswith("#"), F.col("line_no")).otherwise(F.lit(NO_HEADING)).alias("piece"), "content")
 
 
 def chunk_documents(docs: DataFrame, threshold: int = P.RECORD_AWARE_IDS) -> DataFrame:
     """Chunks of documents ``(doc_id, doc_name, text)``, each by the mode its own text calls for.
 
-    One with ``threshold`` distinct record IDs or more is read tier by tier, any other as narrative.
+    One with ``threshold`` distinct record IDs or more is read tier by tier, any other as narrative. Texts are cut and stored
+    once; each tier reads these parts where they lie. A key repeats inside one document at most, so its repeats are numbered
+    in one sort.
     """
-    lines = durable(explode_lines(docs, ["doc_id"]))
-    modes = durable(chunking_mode(lines, threshold))
-    aware = corpus_chunks(lines.join(modes.where("mode = 'record_aware'"), "doc_id", "left_semi"))
-    plain = lines.join(modes.where("mode = 'narrative'"), "doc_id", "left_semi")
-    uploads = upload_chunks(plain, docs.select("doc_id", "doc_name")).select(
+    parts = durable(document_parts(docs, threshold))
+    aware, plain = parts.where("aware"), parts.where("NOT aware")
+    in_record = F.col("record_id") != ""
+    records = aware.where(in_record).select(
+        "doc_id", F.col("line_no").alias("segment"), "record_id", "title", "chapter", "page", F.col("text").alias("body"))
+    narratives = aware.where(~in_record).select("doc_id", "piece", "chapter", "page", F.col("text").alias("content"))
+    tiers = _tiers(_labelled_records(records), table_row_chunks(_lines_that_start(aware, "|")), _noted_pieces(aware),
+                   _titled_pieces(narratives, P.NARRATIVE_PIECE))
+    nth = F.row_number().over(Window.partitionBy("chunk_id").orderBy("__order"))
+    keyed = _number_repeats(tiers.withColumn("__nth", nth), "chunk_id").drop("__order")
+    kept = F.filter(F.split("text", "\n"), lambda line: ~line.rlike(P.PAGE_MARKER))
+    body = F.when(F.col("text").contains("[[PAGE "), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    uploads = _upload_windows(plain.select("doc_id", "doc_name", "piece", "page", body.alias("content"))).select(
         F.concat_ws("-", "doc_id", F.lit("up"), F.col("piece").cast("string"), F.col("window_no").cast("string")).alias("chunk_id"), "doc_id",
         F.col("piece").alias("ordinal"), "title", "section", "page", F.lit("narrative").alias("record_type"),
         L.evidence_quality(F.lit("narrative"), F.col("content")).alias("evidence_quality"), "content")
-    return aware.unionByName(uploads, allowMissingColumns=True)
+    return keyed.unionByName(uploads, allowMissingColumns=True)
 
 
 def inventory_problems(chunks: DataFrame, expected: dict[str, int], critical: list[str], min_chars: int = 50) -> DataFrame:
@@ -310,10 +396,14 @@ def chunking_mode(lines: DataFrame, threshold: int = P.RECORD_AWARE_IDS) -> Data
 def upload_chunks(lines: DataFrame, names: DataFrame, min_chars: int = P.UPLOAD_PIECE, paragraph: str = "\n\n") -> DataFrame:
     """Narrative chunking of an upload: all of its text cut at headings, a short first line becomes the heading."""
     paged = locate(lines).where(~F.col("text").rlike(P.PAGE_MARKER))
-    pieces = heading_pieces(paged, P.UPLOAD_HEADING).withColumn("content", _strip(F.col("content"))).where(F.length("content") >= min_chars)
+    return _upload_windows(heading_pieces(paged, P.UPLOAD_HEADING).join(names, "doc_id"), min_chars, paragraph)
+
+
+def _upload_windows(pieces: DataFrame, min_chars: int = P.UPLOAD_PIECE, paragraph: str = "\n\n") -> DataFrame:
+    pieces = pieces.withColumn("content", X.trim_edges(F.col("content"))).where(F.length("content") >= min_chars)
     first = F.trim(F.regexp_replace(F.element_at(F.split("content", "\n"), 1), "^[# ]+", ""))
     heading = F.when(F.length(first) < 120, F.substring(first, 1, 80)).otherwise(F.lit(""))
-    rows = unroll(pieces.join(names, "doc_id"), ["doc_id", "doc_name", "piece", "page", heading.alias("section")], X.pack_paragraphs(F.col("content"), paragraph=paragraph), "window", "window_no")
+    rows = unroll(pieces, ["doc_id", "doc_name", "piece", "page", heading.alias("section")], X.pack_paragraphs(F.col("content"), paragraph=paragraph), "window", "window_no")
     return rows.select(
         "doc_id", "piece", "window_no", "page", "section", F.when(F.col("section") != "", F.col("section")).otherwise(F.col("doc_name")).alias("title"),
         F.when(F.col("section") != "", F.concat(F.lit("["), "doc_name", F.lit("] "), "section", F.lit("\n\n"), "window"))

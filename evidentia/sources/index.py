@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.bounds import is_small, top_n
+from evidentia.functions.vectors import pack_floats, unpack_floats
 
 INDEX_SCHEMA = (
     "chunk_id STRING, doc_id STRING, doc_name STRING, ordinal BIGINT, content STRING, tokens INT, record_id STRING, record_type STRING, "
     "title STRING, chapter STRING, section STRING, page INT, region_id STRING, evidence_quality STRING, risk_level STRING, record_date STRING, "
     "access_class STRING, navigational BOOLEAN, is_shared BOOLEAN, applies_to ARRAY<STRING>, vector ARRAY<FLOAT>")
-#: Rows as they are stored: each belongs to the version in which its document was last published or removed.
-STORED_SCHEMA = f"{INDEX_SCHEMA}, deleted BOOLEAN, version BIGINT"
+#: Rows as they are stored: each belongs to the version in which its document was last published or removed. A vector is
+#: stored as its bytes, as Parquet writes and reads a list number by number.
+STORED_SCHEMA = f"{INDEX_SCHEMA.replace('vector ARRAY<FLOAT>', 'vector BINARY')}, deleted BOOLEAN, version BIGINT"
 
 
 def create_index(spark: SparkSession, path: str) -> None:
@@ -51,11 +53,20 @@ def removed_counts(current: DataFrame, doc_ids: DataFrame) -> DataFrame:
     return doc_ids.join(gone, "doc_id", "left").select("doc_id", F.coalesce("removed", F.lit(0)).alias("removed"))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("vector", pack_floats()(F.col("vector"))) if "vector" in rows.columns else rows
+
+
 def _append(rows: DataFrame, path: str, version: int) -> DataFrame:
     """Write one version of its own; the files of others are not touched, and a replay replaces just this one."""
-    stamped = rows.withColumn("version", F.lit(version).cast("bigint"))
+    stamped = _packed(rows).withColumn("version", F.lit(version).cast("bigint"))
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
-    return rows.sparkSession.read.schema(STORED_SCHEMA).parquet(path).where(F.col("version") == version)
+    return _stored(rows.sparkSession, path).where(F.col("version") == version)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The stored rows; vectors are unpacked only where they are asked for."""
+    return spark.read.schema(STORED_SCHEMA).parquet(path).withColumn("vector", unpack_floats()(F.col("vector")))
 
 
 def publish(path: str, incoming: DataFrame, version: int, documents: DataFrame | None = None) -> DataFrame:
@@ -85,7 +96,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     Only documents with several versions need a join. While these are few they are broadcast, so that texts and vectors
     are read where they lie and not shuffled.
     """
-    rows = spark.read.schema(STORED_SCHEMA).parquet(path).where(F.col("doc_id").isNotNull())
+    rows = _stored(spark, path).where(F.col("doc_id").isNotNull())
     spans = rows.groupBy("doc_id").agg(F.max("version").alias("__newest"), F.min("version").alias("__oldest"))
     replaced = spans.where(F.col("__oldest") < F.col("__newest")).select("doc_id", "__newest")
     hinted = F.broadcast(replaced) if is_small(replaced) else replaced
@@ -95,7 +106,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def compact(spark: SparkSession, path: str, target: str, version: int) -> None:
     """Write what is read from ``path`` to a new index of one version; readers change over when it is complete."""
-    read_index(spark, path).withColumn("deleted", F.lit(False)).withColumn("version", F.lit(version).cast("bigint")).hint(
+    _packed(read_index(spark, path)).withColumn("deleted", F.lit(False)).withColumn("version", F.lit(version).cast("bigint")).hint(
         "rebalance").write.partitionBy("version").parquet(target)
 
 

@@ -31,9 +31,10 @@ def window_chunks(docs: DataFrame, paragraph: str = "\n") -> DataFrame:
 def split_failed(docs: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
     """Readable documents and failed ones with the reason; one bad document never stops the others."""
     rows = decoded(docs, payload)
+    # One test of the text, as a filter decodes the payload each time it names it.
     blank = F.trim(F.coalesce("text", F.lit(""))) == ""
-    rows = rows.withColumn("error", F.when(F.col("text").isNull(), F.lit("payload is not valid base64")).when(blank, F.lit("no text extracted")))
-    return rows.where("error IS NULL"), rows.where("error IS NOT NULL").select("doc_id", "error")
+    error = F.when(F.col("text").isNull(), F.lit("payload is not valid base64")).otherwise(F.lit("no text extracted"))
+    return rows.where(~blank), rows.where(blank).select("doc_id", error.alias("error"))
 
 
 def ingest_batch(docs: DataFrame, batch_id: int, index_path: str, status_path: str, chunker: Chunker = window_chunks) -> None:
@@ -43,7 +44,7 @@ def ingest_batch(docs: DataFrame, batch_id: int, index_path: str, status_path: s
     replayed batch changes nothing in it; statuses carry the batch id.
     """
     good, bad = split_failed(docs)
-    rows = embed(chunker(good), "content").withColumn("vector", F.col("vector").cast("array<float>"))
+    rows = embed(chunker(good), "content", single=True)
     arrived = publish(index_path, rows, batch_id)
     counts = arrived.groupBy("doc_id").agg(F.count("*").alias("chunks"))
     done = counts.select("doc_id", F.lit("indexed").alias("status"), "chunks", F.lit(None).cast("string").alias("error"))
