@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from evidentia import params as P
 from evidentia.functions import labels as L
 from evidentia.functions import text as X
-from evidentia.functions.bounds import first_per, unroll
-from evidentia.functions.durable import durable
+from evidentia.functions.bounds import BROADCAST_ROWS, first_per, unroll
+from evidentia.functions.durable import durable, stored
 from evidentia.functions.scan import carry_forward, number_rows, place_blocks
 
 
@@ -145,54 +145,83 @@ def record_chunks(lines: DataFrame, end_level: int = 3) -> DataFrame:
 
 def _labelled_records(segments: DataFrame) -> DataFrame:
     segments = segments.withColumn("body", X.trim_edges(F.col("body"))).withColumn("record_type", L.record_type(F.col("record_id")))
-    header = F.concat(
-        F.trim(F.concat(F.lit("["), "record_id", F.lit("] "), "title")),
-        F.when(F.col("chapter").isNotNull(), F.concat(F.lit(" · Chapter "), "chapter")).otherwise(F.lit("")))
+    header = _record_header(F.col("record_id"), F.col("title"), F.col("chapter"))
     return segments.select(
         F.concat(F.lit("rec-"), F.lower("record_id")).alias("chunk_id"), "doc_id", F.col("segment").alias("ordinal"), "record_id",
         "record_type", "title", "chapter", F.col("title").alias("section"), "page",
         L.region_listed(F.col("body")).alias("region_id"), L.evidence_quality(F.col("record_type"), F.col("body")).alias("evidence_quality"),
         L.risk_level(F.col("body")).alias("risk_level"), F.lit(None).cast("string").alias("record_date"),
-        F.concat(header, F.lit("\n\n"), "body").alias("content"))
+        F.concat(header, "body").alias("content"))
+
+
+def _record_header(record_id: Column, title: Column, chapter: Column) -> Column:
+    of_chapter = F.when(chapter.isNotNull(), F.concat(F.lit(" · Chapter "), chapter)).otherwise(F.lit(""))
+    return F.concat(F.trim(F.concat(F.lit("["), record_id, F.lit("] "), title)), of_chapter, F.lit("\n\n"))
+
+
+def _cells(row: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(F.trim(row), r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+
+
+def _row_key(record_id: Column, cells: Column) -> Column:
+    return F.concat_ws("|", record_id, F.slice(cells, 1, 4))
+
+
+def _row_fields(line_no: Column, record_id: Column, cells: Column) -> dict[str, Column]:
+    """A monitoring row's chunk, apart from what is read from its body."""
+    record_date = F.try_element_at(F.filter(cells, lambda c: c.rlike(rf"^{P.ISO_DATE}$")), F.lit(1))
+    label = F.when(record_id.startswith("WS"), F.lit("Water monitoring reading")).otherwise(F.lit("Wildlife survey record"))
+    low = F.exists(cells, lambda c: F.lower(c) == "low")
+    return {
+        "chunk_id": F.concat(F.lit("row-"), F.lower(record_id), F.lit("-"), F.coalesce(record_date, line_no.cast("string"))),
+        "ordinal": line_no, "record_id": record_id, "record_type": F.lit("monitoring"), "title": F.concat(record_id, F.lit(" "), label),
+        "section": label, "evidence_quality": F.when(low, F.lit("disputed report")).otherwise(F.lit("verified observation")),
+        "record_date": record_date, "header": F.concat(F.lit("["), record_id, F.lit("] "), label, F.lit("\n\n")),
+        "body": F.array_join(F.filter(cells, lambda c: c != ""), " · ")}
 
 
 def table_row_chunks(lines: DataFrame) -> DataFrame:
     """One chunk per monitoring row; repeats of an ID and its first four cells are dropped within a document."""
-    text = F.trim("text")
     ids = X.find_all(F.col("text"), P.TABLE_ROW_ID)
-    inner = F.regexp_replace(text, r"^\|+|\|+$", "")
-    rows = lines.where(text.startswith("|") & (F.size(ids) > 0)).select(
-        "doc_id", "line_no", F.element_at(ids, 1).alias("record_id"),
-        F.transform(F.split(inner, r"\|"), lambda c: F.trim(c)).alias("cells")).where(F.size("cells") >= 3)
-    rows = rows.withColumn("key", F.concat_ws("|", "record_id", F.slice("cells", 1, 4)))
+    rows = lines.where(F.trim("text").startswith("|") & (F.size(ids) > 0)).select(
+        "doc_id", "line_no", F.element_at(ids, 1).alias("record_id"), _cells(F.col("text")).alias("cells")).where(F.size("cells") >= 3)
+    rows = rows.withColumn("key", _row_key(F.col("record_id"), F.col("cells")))
     rows = first_per(rows, ["doc_id", "key"], [F.asc("line_no")])
-    dates = F.filter("cells", lambda c: c.rlike(rf"^{P.ISO_DATE}$"))
-    rows = rows.withColumn("record_date", F.try_element_at(dates, F.lit(1))).withColumn(
-        "body", F.array_join(F.filter("cells", lambda c: c != ""), " · "))
-    label = F.when(F.col("record_id").startswith("WS"), F.lit("Water monitoring reading")).otherwise(F.lit("Wildlife survey record"))
-    low = F.exists("cells", lambda c: F.lower(c) == "low")
+    fields = _row_fields(F.col("line_no"), F.col("record_id"), F.col("cells"))
+    rows = rows.select("doc_id", *[c.alias(k) for k, c in fields.items()])
     return rows.select(
-        F.concat(F.lit("row-"), F.lower("record_id"), F.lit("-"), F.coalesce("record_date", F.col("line_no").cast("string"))).alias("chunk_id"),
-        "doc_id", F.col("line_no").alias("ordinal"), "record_id", F.lit("monitoring").alias("record_type"),
-        F.concat("record_id", F.lit(" "), label).alias("title"), label.alias("section"),
-        L.region_listed(F.col("body")).alias("region_id"),
-        F.when(low, F.lit("disputed report")).otherwise(F.lit("verified observation")).alias("evidence_quality"), "record_date",
-        F.concat(F.lit("["), "record_id", F.lit("] "), label, F.lit("\n\n"), "body").alias("content"))
+        "chunk_id", "doc_id", "ordinal", "record_id", "record_type", "title", "section", L.region_listed(F.col("body")).alias("region_id"),
+        "evidence_quality", "record_date", F.concat("header", "body").alias("content"))
+
+
+#: A labelled note, up to the next label, heading or the end.
+_NOTE = rf"(?s)((?:{P.FIELD_NOTE_LABEL})[,.]?\s*.+?)(?={P.FIELD_NOTE_LABEL}|\n#|\z)"
+
+
+def _note_title(note: Column) -> Column:
+    return F.regexp_extract(note, rf"^({P.FIELD_NOTE_LABEL})", 1)
+
+
+def _note_body(note: Column) -> Column:
+    return X.fold(F.regexp_replace(note, rf"^(?:{P.FIELD_NOTE_LABEL})[,.]?\s*", ""))
+
+
+def _note_fields(title: Column, body: Column) -> dict[str, Column]:
+    """A note's chunk, apart from its place and what is read from its body as from any other."""
+    record_id = F.regexp_extract(title, r"(FN-[AB]|LAB-C)", 1)
+    return {
+        "record_id": record_id, "record_type": F.lit("field_note"), "title": title, "evidence_quality": F.lit("disputed report"),
+        "record_date": X.group(body, f"({P.ISO_DATE})", 1), "header": F.concat(F.lit("["), record_id, F.lit("] "), title, F.lit("\n\n")), "body": body}
 
 
 def field_note_chunks(texts: DataFrame, keys: list[str], text: str = "text", min_chars: int = 40) -> DataFrame:
     """Labelled notes cut out of running text, each up to the next label, heading or the end."""
-    note = rf"(?s)((?:{P.FIELD_NOTE_LABEL})[,.]?\s*.+?)(?={P.FIELD_NOTE_LABEL}|\n#|\z)"
-    rows = unroll(texts, [*keys], X.find_all(F.col(text), note), "note", "note_no")
-    label = F.regexp_extract("note", rf"^({P.FIELD_NOTE_LABEL})", 1)
-    body = X.fold(F.regexp_replace("note", rf"^(?:{P.FIELD_NOTE_LABEL})[,.]?\s*", ""))
-    rows = rows.withColumn("title", label).withColumn("body", body).where(F.length("body") >= min_chars)
-    record_id = F.regexp_extract("title", r"(FN-[AB]|LAB-C)", 1)
+    rows = unroll(texts, [*keys], X.find_all(F.col(text), _NOTE), "note", "note_no")
+    rows = rows.withColumn("title", _note_title(F.col("note"))).withColumn("body", _note_body(F.col("note"))).where(F.length("body") >= min_chars)
+    fields = _note_fields(F.col("title"), F.col("body"))
     return rows.select(
-        *keys, "note_no", record_id.alias("record_id"), F.lit("field_note").alias("record_type"), "title",
-        F.lit("disputed report").alias("evidence_quality"), L.region_listed(F.col("body")).alias("region_id"),
-        X.group(F.col("body"), f"({P.ISO_DATE})", 1).alias("record_date"),
-        F.concat(F.lit("["), record_id, F.lit("] "), "title", F.lit("\n\n"), "body").alias("content"))
+        *keys, "note_no", *[fields[c].alias(c) for c in ("record_id", "record_type", "title", "evidence_quality")],
+        L.region_listed(F.col("body")).alias("region_id"), fields["record_date"].alias("record_date"), F.concat(fields["header"], fields["body"]).alias("content"))
 
 
 def narrative_pieces(lines: DataFrame, end_level: int = 3, min_chars: int = P.NARRATIVE_PIECE) -> DataFrame:
@@ -205,8 +234,15 @@ def narrative_pieces(lines: DataFrame, end_level: int = 3, min_chars: int = P.NA
 
 def _titled_pieces(pieces: DataFrame, min_chars: int) -> DataFrame:
     pieces = pieces.withColumn("content", X.trim_edges(F.col("content"))).where(F.length("content") >= min_chars)
-    heading = F.trim(F.regexp_replace(F.element_at(F.split("content", "\n"), 1), "^[# ]+", ""))
-    return pieces.select("doc_id", "piece", "chapter", "page", heading.alias("title"), "content")
+    return pieces.select("doc_id", "piece", "chapter", "page", _piece_title(F.col("content")).alias("title"), "content")
+
+
+def _piece_title(content: Column) -> Column:
+    return F.trim(F.regexp_replace(F.element_at(F.split(content, "\n"), 1), "^[# ]+", ""))
+
+
+def _window_key(chapter: Column, title: Column, piece: Column, window_no: Column) -> Column:
+    return F.concat_ws("-", F.lit("nar"), X.slug(F.coalesce(chapter, F.lit("general"))), X.slug(title), piece.cast("string"), window_no.cast("string"))
 
 
 def narrative_chunks(pieces: DataFrame, limit: int = P.WINDOW_CHARS, overlap: int = P.WINDOW_OVERLAP, paragraph: str = "\n\n",
@@ -215,8 +251,7 @@ def narrative_chunks(pieces: DataFrame, limit: int = P.WINDOW_CHARS, overlap: in
     rows = unroll(pieces, ["doc_id", "piece", "chapter", "page", "title"], X.pack_paragraphs(F.col("content"), limit, overlap, paragraph), "window", "window_no")
     rows = rows.where(F.length(X.body_without_headings(F.col("window"))) >= min_body)
     return rows.select(
-        F.concat_ws("-", F.lit("nar"), X.slug(F.coalesce("chapter", F.lit("general"))), X.slug(F.col("title")),
-                    F.col("piece").cast("string"), F.col("window_no").cast("string")).alias("chunk_id"),
+        _window_key(F.col("chapter"), F.col("title"), F.col("piece"), F.col("window_no")).alias("chunk_id"),
         "doc_id", F.col("piece").alias("ordinal"), F.lit(None).cast("string").alias("record_id"), F.lit("narrative").alias("record_type"),
         "title", "chapter", F.col("title").alias("section"), "page", L.region_listed(F.col("window")).alias("region_id"),
         L.evidence_quality(F.lit("narrative"), F.col("window")).alias("evidence_quality"), F.col("window").alias("content"))
@@ -247,17 +282,122 @@ CHUNK_COLUMNS = [
     "record_date", "content"]
 
 
-def corpus_chunks(lines: DataFrame) -> DataFrame:
+#: Documents of more lines are scanned block by block.
+LARGE_LINES = 1 << 18
+
+
+def corpus_chunks(lines: DataFrame, large: DataFrame | None = None) -> DataFrame:
     """The four tiers of a corpus-shaped document: records, table rows, field notes, narrative windows, under keys of its own.
 
     A key is the document's ID before the tier's key, so no two documents share one; what repeats inside a document is
     numbered in the order of tiers and lines. Notes are cut out of all text, that of records included, as they are
     evidence by themselves.
+
+    Documents are cut in the task that they are placed in, one shuffle of the lines at most. Those of more than
+    ``LARGE_LINES`` lines are spread over many tasks: the IDs in ``large``, counted here if they are not given.
     """
-    tiers = _tiers(record_chunks(lines), table_row_chunks(lines), heading_pieces(lines), narrative_pieces(lines))
+    if large is None:
+        large = lines.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_LINES).select("doc_id")
+    n = large.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return _placed_chunks(lines)
+    hinted = F.broadcast(large) if n <= BROADCAST_ROWS else large
+    return _placed_chunks(lines.join(hinted, "doc_id", "left_anti")).unionByName(_block_chunks(lines.join(hinted, "doc_id", "left_semi")))
+
+
+def _block_chunks(lines: DataFrame) -> DataFrame:
+    """Chunks of lines that are scanned in blocks; stored before their keys are numbered, which reads them several times."""
+    tiers = stored(_tiers(record_chunks(lines), table_row_chunks(lines), heading_pieces(lines), narrative_pieces(lines)), "tiers")
     return unique_keys(tiers, "chunk_id", "__order").drop("__order")
 
 
+def _line_parts(lines: DataFrame) -> DataFrame:
+    """Lines cut before their headings as in ``outline``, each document in one task.
+
+    ``piece`` is the first line of a part, or ``NO_HEADING``; ``hashes`` the lines with a hash sign, ``rows`` those of tables.
+    """
+    text, line_no = F.col("text"), F.col("line_no")
+    hashed = text.startswith("#")
+    cut = hashed & (text.rlike(P.MD_RECORD_HEADING) | text.rlike(P.MD_HEADING))
+    sofar = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    piece = F.coalesce(F.last(F.when(cut, line_no), ignorenulls=True).over(sofar), F.lit(NO_HEADING))
+    marker = F.when(text.startswith("[["), X.group(text, P.PAGE_MARKER, 1)).cast("bigint")
+    parts = lines.select("doc_id", "line_no", "text", piece.alias("piece")).groupBy("doc_id", "piece").agg(
+        F.expr(_JOIN_LINES).alias("text"), F.max(F.when(line_no == F.col("piece"), text)).alias("head"),
+        F.min_by(marker, line_no).alias("page"), F.max_by(marker, F.when(marker.isNotNull(), line_no)).alias("last_page"),
+        F.sort_array(F.collect_list(F.when(hashed, line_no))).alias("hashes"),
+        F.collect_list(F.when(F.trim(text).startswith("|"), F.struct(line_no, text))).alias("rows"))
+    head = F.col("head")
+    record = F.coalesce(head.rlike(P.MD_RECORD_HEADING), F.lit(False))
+    upto = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("doc_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    chapter = F.when(head.rlike(P.MD_CHAPTER), F.concat(
+        F.regexp_extract(head, P.MD_CHAPTER, 1), F.lit(" · "), F.trim(F.regexp_extract(head, P.MD_CHAPTER, 2))))
+    return parts.select(
+        "doc_id", "piece", "text", "hashes", "rows", F.when(record, F.regexp_extract(head, P.MD_RECORD_HEADING, 1)).alias("record_id"),
+        F.when(record, F.trim(F.regexp_extract(head, P.MD_RECORD_HEADING, 2))).alias("record_title"),
+        F.last(chapter, ignorenulls=True).over(upto).alias("chapter"),
+        F.coalesce("page", F.last("last_page", ignorenulls=True).over(before)).alias("page"))
+
+
+_ITEM = ("chunk_id", "ordinal", "record_id", "record_type", "title", "section", "evidence_quality", "record_date", "header", "body", "row")
+
+
+def _item(tier: int, fields: dict[str, Column]) -> Column:
+    null = F.lit(None).cast("string")
+    return F.struct(F.lit(tier).cast("bigint").alias("tier"), *[fields.get(c, null).alias(c) for c in _ITEM])
+
+
+def _placed_chunks(lines: DataFrame) -> DataFrame:
+    """Chunks of documents that each lie in one task: every part yields all of its tiers at once, so nothing is shuffled or read again."""
+    parts = _line_parts(lines).withColumn("body", X.trim_edges(F.col("text")))
+    text, body, piece, record_id = F.col("text"), F.col("body"), F.col("piece"), F.col("record_id")
+    in_record = record_id.isNotNull()
+    record = _item(0, {
+        "chunk_id": F.concat(F.lit("rec-"), F.lower(record_id)), "ordinal": piece, "record_id": record_id, "record_type": L.record_type(record_id),
+        "title": F.col("record_title"), "section": F.col("record_title"), "header": _record_header(record_id, F.col("record_title"), F.col("chapter")), "body": body})
+
+    cells = F.transform("rows", lambda row: F.struct(
+        row["line_no"].alias("line_no"), F.get(X.find_all(row["text"], P.TABLE_ROW_ID), F.lit(0)).alias("record_id"), _cells(row["text"]).alias("cells")))
+    cells = F.filter(cells, lambda row: row["record_id"].isNotNull() & (F.size(row["cells"]) >= 3))
+    rows = F.transform(cells, lambda row: _item(1, _row_fields(row["line_no"], row["record_id"], row["cells"]) | {
+        "row": _row_key(row["record_id"], row["cells"])}))
+
+    # Notes are cut at every line with a hash sign, heading or not.
+    starts = F.when(text.startswith("#"), F.col("hashes")).otherwise(F.concat(F.array(F.lit(NO_HEADING)), "hashes"))
+    notes = F.flatten(F.transform(F.split(text, "\n(?=#)"), lambda content, i: F.transform(X.find_all(content, _NOTE), lambda note, nth: F.struct(
+        (F.get(starts, i) + nth).alias("ordinal"), _note_title(note).alias("title"), _note_body(note).alias("body")))))
+    notes = F.transform(F.filter(notes, lambda note: F.length(note["body"]) >= 40), lambda note: _item(2, _note_fields(note["title"], note["body"]) | {
+        "ordinal": note["ordinal"], "chunk_id": F.concat(F.lit("note-"), F.lower(_note_fields(note["title"], note["body"])["record_id"]))}))
+
+    title = _piece_title(body)
+    windows = F.transform(X.pack_paragraphs(body), lambda window, n: _item(3, {
+        "chunk_id": _window_key(F.col("chapter"), F.col("piece_title"), piece, n), "ordinal": piece, "record_type": F.lit("narrative"), "title": F.col("piece_title"),
+        "section": F.col("piece_title"), "header": F.lit(""), "body": window}))
+    windows = F.filter(windows, lambda item: F.length(X.body_without_headings(item["body"])) >= 100)
+
+    def some(condition: Column, items: Column) -> Column:
+        return F.when(condition, items).otherwise(F.filter(F.array(record), lambda item: F.lit(False)))
+
+    items = F.concat(
+        some(in_record, F.array(record)), some(F.size("rows") > 0, rows), some(text.rlike(P.FIELD_NOTE_LABEL), notes),
+        some(~in_record & (F.length("body") >= P.NARRATIVE_PIECE), windows))
+    out = unroll(parts.withColumn("piece_title", title), ["doc_id", "chapter", "page"], items, "item").select("doc_id", "chapter", "page", "item.*")
+    first = F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("ordinal"))
+    out = out.withColumn("__first", first).where(F.col("row").isNull() | (F.col("__first") == 1))
+
+    tier, told = F.col("tier"), F.col("evidence_quality")
+    own = lambda c: F.when(tier.isin(0, 3), F.col(c))
+    chunks = out.select(
+        F.concat_ws("-", "doc_id", "chunk_id").alias("chunk_id"), "doc_id", "ordinal", "record_id", "record_type", "title", own("chapter").alias("chapter"),
+        "section", own("page").alias("page"), L.region_listed(F.col("body")).alias("region_id"),
+        F.when(told.isNotNull(), told).otherwise(L.evidence_quality(F.col("record_type"), F.col("body"))).alias("evidence_quality"),
+        F.when(tier == 0, L.risk_level(F.col("body"))).alias("risk_level"), "record_date", F.concat("header", "body").alias("content"),
+        (tier * (1 << 44) + F.col("ordinal")).alias("__order"))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "chunk_id").orderBy("__order"))
+    return _number_repeats(chunks.withColumn("__nth", nth), "chunk_id").select(*CHUNK_COLUMNS)
+
+
 def _tiers(records: DataFrame, table_rows: DataFrame, noted: DataFrame, narratives: DataFrame) -> DataFrame:
     """The tiers under keys that hold the document's ID, ``__order`` being their order."""
     notes = field_note_chunks(noted, ["doc_id", "piece"], "content").select(

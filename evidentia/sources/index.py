@@ -60,7 +60,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 def _append(rows: DataFrame, path: str, version: int) -> DataFrame:
     """Write one version of its own; the files of others are not touched, and a replay replaces just this one."""
     stamped = _packed(rows).withColumn("version", F.lit(version).cast("bigint"))
-    stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
+    stamped.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy("version").parquet(path)
     return _stored(rows.sparkSession, path).where(F.col("version") == version)
 
 
@@ -107,7 +107,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 def compact(spark: SparkSession, path: str, target: str, version: int) -> None:
     """Write what is read from ``path`` to a new index of one version; readers change over when it is complete."""
     _packed(read_index(spark, path)).withColumn("deleted", F.lit(False)).withColumn("version", F.lit(version).cast("bigint")).hint(
-        "rebalance").write.partitionBy("version").parquet(target)
+        "rebalance").write.option("compression", "zstd").partitionBy("version").parquet(target)
 
 
 def append_history(rows: DataFrame, path: str) -> None:
