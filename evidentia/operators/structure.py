@@ -509,17 +509,22 @@ def inventory_problems(chunks: DataFrame, expected: dict[str, int], critical: li
     record's header, and chunks that are next to empty. ``expected`` and ``critical`` are parameters of a fixed size.
     """
     spark = chunks.sparkSession
+    heads = X.find_all(F.col("content"), r"(?m)^\[([A-Z]{2,3}-\d+)\]", 1)
+    others = F.array_sort(F.array_remove(F.array_distinct(heads), F.col("record_id")))
+    others = F.when(F.col("record_id").isNotNull() & (F.col("record_type") != "narrative"), others)
+    # One pass over the texts; what is kept of a chunk without a problem is its type, and its ID if it is critical.
+    judged = chunks.select(
+        "chunk_id", "record_type", F.when(F.col("record_id").isin(critical), F.col("record_id")).alias("record_id"),
+        F.when(F.size(others) > 0, F.array_join(others, ",")).alias("others"), (F.length(F.trim("content")) < min_chars).alias("bare"))
+    judged = stored(judged.withColumn("chunk_id", F.when(F.col("others").isNotNull() | F.col("bare"), F.col("chunk_id"))), "judged")
     wanted = spark.createDataFrame(list(expected.items()), "record_type string, expected long")
-    counts = chunks.groupBy("record_type").agg(F.count("*").alias("found"))
+    counts = judged.groupBy("record_type").agg(F.count("*").alias("found"))
     off = wanted.join(counts, "record_type", "left").where(F.coalesce("found", F.lit(0)) != F.col("expected")).select(
         F.lit("count").alias("problem"), F.concat(F.col("record_type"), F.lit(": expected "), "expected", F.lit(", got "), F.coalesce("found", F.lit(0))).alias("detail"))
     named = spark.createDataFrame([(c,) for c in critical], "record_id string")
-    gone = named.join(chunks.select("record_id").distinct(), "record_id", "left_anti").select(F.lit("missing").alias("problem"), F.col("record_id").alias("detail"))
-    heads = X.find_all(F.col("content"), r"(?m)^\[([A-Z]{2,3}-\d+)\]", 1)
-    others = F.array_sort(F.array_remove(F.array_distinct(heads), F.col("record_id")))
-    mixed = chunks.where("record_id IS NOT NULL AND record_type <> 'narrative'").select("chunk_id", others.alias("others")).where(F.size("others") > 0).select(
-        F.lit("mixed").alias("problem"), F.concat("chunk_id", F.lit(": "), F.array_join("others", ",")).alias("detail"))
-    bare = chunks.where(F.length(F.trim("content")) < min_chars).select(F.lit("short").alias("problem"), F.col("chunk_id").alias("detail"))
+    gone = named.join(judged.select("record_id").distinct(), "record_id", "left_anti").select(F.lit("missing").alias("problem"), F.col("record_id").alias("detail"))
+    mixed = judged.where("others IS NOT NULL").select(F.lit("mixed").alias("problem"), F.concat("chunk_id", F.lit(": "), "others").alias("detail"))
+    bare = judged.where("bare").select(F.lit("short").alias("problem"), F.col("chunk_id").alias("detail"))
     return off.unionByName(gone).unionByName(mixed).unionByName(bare)
 
 

@@ -77,3 +77,15 @@ def test_seeded_index_is_packed(spark, tmp_path, monkeypatch):
     files = {k: v for k, v in shared_files(tmp_path).items() if "version=0" in k}
     assert files and all(k.endswith(".zstd.parquet") for k in files)
     assert n > 2000
+
+
+def test_inventory_stores_no_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(DU, "shared_folder", lambda session: str(tmp_path))
+    chunks = Q.register_chunks(lambda name: load(spark, SF, name))
+    problems = catalog.QUERIES["s12_inventory"](spark, SF).count()
+    files = shared_files(tmp_path)
+    assert problems and files
+    # A bit more than the keys of chunks with a problem, which are one in twelve.
+    assert sum(files.values()) < 0.1 * chunks.selectExpr("sum(length(content))").first()[0]
+    kept = spark.read.parquet(*{os.path.dirname(f) for f in files})
+    assert "content" not in kept.columns and kept.where("chunk_id IS NOT NULL").count() <= problems
