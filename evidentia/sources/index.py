@@ -13,7 +13,7 @@ INDEX_SCHEMA = (
     "title STRING, chapter STRING, section STRING, page INT, region_id STRING, evidence_quality STRING, risk_level STRING, record_date STRING, "
     "access_class STRING, navigational BOOLEAN, is_shared BOOLEAN, applies_to ARRAY<STRING>, vector ARRAY<FLOAT>")
 #: Rows as they are stored: each belongs to the version in which its document was last published or removed. A vector is
-#: stored as its bytes, as Parquet writes and reads a list number by number.
+#: stored as bytes without its zeros, as Parquet writes and reads a list number by number.
 STORED_SCHEMA = f"{INDEX_SCHEMA.replace('vector ARRAY<FLOAT>', 'vector BINARY')}, deleted BOOLEAN, version BIGINT"
 
 

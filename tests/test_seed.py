@@ -9,6 +9,7 @@ from test_ingest_chunks import BODY, ODD
 from test_plans import plan_of
 
 from evidentia.functions import durable as DU
+from evidentia.functions import vectors as V
 from evidentia.operators import structure as C
 from evidentia.plans import catalog
 from evidentia.plans import q_ingest as Q
@@ -71,6 +72,18 @@ def shared_files(folder):
     return {os.path.join(at, f): os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files if f.startswith("part-")}
 
 
+def test_vectors_are_packed_without_their_zeros():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    vectors = [None, [], [0.0], [float("inf"), -0.0], *[(rng.random(n) * (rng.random(n) < 0.15)).astype("f4").tolist() for n in (384, 1, 7, 8, 9, 383, 384)], None, [0.0] * 384]
+    for rows in (vectors, vectors[::-1], [None, None], [], [[]], [[0.0], None]):
+        packed = V.pack_floats().func(pa.array(rows, pa.list_(pa.float32())))
+        assert repr(V.unpack_floats().func(packed).to_pylist()) == repr(rows)
+        assert all(b is None if v is None else len(b) == 4 + 4 * -(-len(v) // 32) + 4 * sum(str(x) != "0.0" for x in v) for v, b in zip(rows, packed.to_pylist(), strict=True))
+
+
 def test_seeded_index_is_packed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(DU, "shared_folder", lambda session: str(tmp_path))
     n = catalog.QUERIES["s12_bulk_seed"](spark, SF).first().chunks
