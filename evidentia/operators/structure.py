@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -286,7 +288,7 @@ CHUNK_COLUMNS = [
 LARGE_LINES = 1 << 18
 
 
-def corpus_chunks(lines: DataFrame, large: DataFrame | None = None) -> DataFrame:
+def corpus_chunks(lines: DataFrame, large: DataFrame | None = None, placed: Callable[[DataFrame | None], DataFrame] | None = None) -> DataFrame:
     """The four tiers of a corpus-shaped document: records, table rows, field notes, narrative windows, under keys of its own.
 
     A key is the document's ID before the tier's key, so no two documents share one; what repeats inside a document is
@@ -294,15 +296,17 @@ def corpus_chunks(lines: DataFrame, large: DataFrame | None = None) -> DataFrame
     evidence by themselves.
 
     Documents are cut in the task that they are placed in, one shuffle of the lines at most. Those of more than
-    ``LARGE_LINES`` lines are spread over many tasks: the IDs in ``large``, counted here if they are not given.
+    ``LARGE_LINES`` lines are spread over many tasks: the IDs in ``large``, counted here if they are not given. ``placed``
+    makes the lines of all documents but those it is given, each document in one task; it is used for the others.
     """
     if large is None:
         large = lines.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_LINES).select("doc_id")
     n = large.limit(BROADCAST_ROWS + 1).count()
     if not n:
-        return _placed_chunks(lines)
+        return _placed_chunks(placed(None) if placed else lines)
     hinted = F.broadcast(large) if n <= BROADCAST_ROWS else large
-    return _placed_chunks(lines.join(hinted, "doc_id", "left_anti")).unionByName(_block_chunks(lines.join(hinted, "doc_id", "left_semi")))
+    others = placed(hinted) if placed else lines.join(hinted, "doc_id", "left_anti")
+    return _placed_chunks(others).unionByName(_block_chunks(lines.join(hinted, "doc_id", "left_semi")))
 
 
 def _block_chunks(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from compare import DATA
 from test_ingest_chunks import BODY, ODD
+from pyspark.sql import functions as F
 from test_plans import plan_of
 
 from evidentia.functions import durable as DU
@@ -61,7 +62,12 @@ def test_register_is_chunked_with_one_shuffle(spark, monkeypatch, many):
         monkeypatch.setattr(C, "LARGE_LINES", many * 14)
     chunks = Q.register_chunks(lambda name: load(spark, SF, name))
     assert chunks_of(chunks) == chunks_of(C._block_chunks(load(spark, SF, "record_lines")))
-    if not many:
+    if many:
+        # Rows of large documents are dropped before the others are placed.
+        few = F.broadcast(spark.createDataFrame([("C1",)], "doc_id string"))
+        rows = plan_of(register_lines(load(spark, SF, "customer"), load(spark, SF, "orders"), few))
+        assert rows.index("LeftAnti") > rows.index("Exchange hashpartitioning")
+    else:
         plan = plan_of(catalog.QUERIES["u1_corpus_chunks"](spark, SF))
         assert plan.count("Exchange") == plan.count("Exchange hashpartitioning") == 1
         # Texts do not exist yet where the rows are shuffled.
